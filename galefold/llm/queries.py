@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_files
+from . import decontamination, packing, quality, simhash, token_files
 from .common import table
 
 
@@ -17,6 +17,9 @@ def _on_documents(f: Callable[[SparkSession, DataFrame], DataFrame]) -> Callable
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": _on_documents(token_files.op1),
+        "op2_simhash": _on_documents(simhash.op2),
+        "op5_decontamination": decontamination.op5,
+        "op10_quality": quality.op10,
         "op9_best_fit_packing": _on_documents(packing.op9),
     }
 
