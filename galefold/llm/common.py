@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,3 +59,33 @@ def batches(rows: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[
         step = max(1, min(batch.num_rows or 1, int(batch.num_rows * chars / max(1, batch.nbytes))))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+#: log2 of the bits in a Bloom filter; the size is fixed, whatever the data's size.
+BLOOM_BITS = 24
+
+
+def bloom(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a long column, two bits a key: at most 2**(BLOOM_BITS - 6) words come to the driver."""
+    top = (1 << BLOOM_BITS) - 1
+    bit = F.explode(F.array(F.col(column).bitwiseAND(top), F.shiftrightunsigned(column, BLOOM_BITS).bitwiseAND(top)))
+    rows = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    for word, bits in rows.collect():
+        out[word] = bits
+    return out.view(np.uint64)
+
+
+def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Of unsigned 64-bit keys: False only for those that aren't in the filter."""
+    top = np.uint64((1 << BLOOM_BITS) - 1)
+    has = lambda x: (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+    out = has(keys & top) > 0
+    out[out] = has((keys[out] >> np.uint64(BLOOM_BITS)) & top) > 0
+    return out
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table that `saved` wrote, once nothing reads it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -27,13 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, saved, table
+from .common import batches, bloom, maybe, saved, table
 from .words import WordHashes, mixed, multipliers, run_hashes
 
 SPAN = 12
 GROUPS = 4
 MIN_SIMILARITY = 0.8
-BLOOM_BITS = 24
 #: Positions that each mask keeps.
 MASKS = [[p for p in range(SPAN) if p % GROUPS in kept] for kept in combinations(range(GROUPS), 2)]
 _MULTIPLIERS = [multipliers(SPAN, 100 + k) for k in range(len(MASKS))]
@@ -99,17 +98,6 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     return benchmark.mapInArrow(run, "seed long, item string, at long, n long")
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """A bit array of 2**BLOOM_BITS bits with two bits set for each seed; at most 2**(BLOOM_BITS - 6) rows come to the driver."""
-    top = (1 << BLOOM_BITS) - 1
-    bit = F.explode(F.array(F.col("seed").bitwiseAND(top), F.shiftrightunsigned("seed", BLOOM_BITS).bitwiseAND(top)))
-    rows = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for word, bits in rows.collect():
-        out[word] = bits
-    return out.view(np.uint64)
-
-
 def keyed(rows: DataFrame, name: str) -> DataFrame:
     """The rows with the MD5 of their text, null counting as empty."""
     return rows.withColumn(name, F.md5(F.coalesce(F.col("text"), F.lit(""))))
@@ -121,17 +109,15 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
     items = items.distinct()
     keys = saved(item_seeds(items), "item-seeds")
     short = {r.n for r in keys.where(F.col("n") < SPAN).select("n").distinct().collect()}  # fewer than SPAN numbers
-    sieve = spark.sparkContext.broadcast(bloom(keys))
+    sieve = spark.sparkContext.broadcast(bloom(keys, "seed"))
 
     def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, top = sieve.value, np.uint64((1 << BLOOM_BITS) - 1)
-        has = lambda x: (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
+        bits = sieve.value
         for batch in batches(rows):
             out_k, out_s, out_p = [], [], []
             for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 s, p = seeds(_hashes.of(words(text)), short)
-                hit = np.nonzero(has(s & top))[0]
-                hit = hit[has((s[hit] >> np.uint64(BLOOM_BITS)) & top) > 0]
+                hit = np.nonzero(maybe(bits, s))[0]
                 out_k += [key] * len(hit)
                 out_s.append(s[hit].view(np.int64))
                 out_p.append(p[hit])

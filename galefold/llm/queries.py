@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, simhash, token_files
+from . import decontamination, packing, quality, sharding, simhash, substrings, token_files
 from .common import table
 
 
@@ -18,7 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_files": _on_documents(token_files.op1),
         "op2_simhash": _on_documents(simhash.op2),
+        "op3_label_propagation": _on_documents(sharding.op3),
         "op5_decontamination": decontamination.op5,
+        "op6_substrings": _on_documents(substrings.op6),
         "op10_quality": quality.op10,
         "op9_best_fit_packing": _on_documents(packing.op9),
     }
