@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, packing, quality, sharding, simhash, substrings, token_files
+from . import decontamination, licenses, media, packing, quality, sharding, simhash, substrings, token_files
 from .common import table
 
 
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_label_propagation": _on_documents(sharding.op3),
         "op5_decontamination": decontamination.op5,
         "op6_substrings": _on_documents(substrings.op6),
+        "op7_license_templates": _on_documents(licenses.op7),
+        "op8_media_sequences": _on_documents(media.op8),
         "op10_quality": quality.op10,
         "op9_best_fit_packing": _on_documents(packing.op9),
     }
