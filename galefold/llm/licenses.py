@@ -40,7 +40,7 @@ TEMPLATES = {
     "apache-2.0": [_GRANT + 'apache license <<beginOptional>>version<<endOptional>> 2 0'],
     "gpl-2.0": [_GRANT + 'gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2'],
     "gpl-3.0": [_GRANT + 'gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3'],
-    "lgpl": [_GRANT + 'gnu <<var;name="kind";most="1">> general public license <<beginOptional>>version<<endOptional>> <<beginOptional>>2 1<<endOptional>> <<beginOptional>>3<<endOptional>>'],
+    "lgpl": [_GRANT + 'gnu lesser general public license <<beginOptional>>version<<endOptional>> <<beginOptional>>2 1<<endOptional>> <<beginOptional>>3<<endOptional>>'],
     "mpl-2.0": [_GRANT + 'mozilla public license <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 2 0'],
     "bsd": [
         _GRANT + '<<beginOptional>>new<<endOptional>> <<beginOptional>>simplified<<endOptional>> bsd <<var;name="clauses";most="2">> license',

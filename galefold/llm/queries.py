@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, licenses, media, packing, quality, sharding, simhash, substrings, token_files
+from . import decontamination, licenses, media, packing, quality, secrets, sharding, simhash, substrings, token_files
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_files": _on_documents(token_files.op1),
         "op2_simhash": _on_documents(simhash.op2),
         "op3_label_propagation": _on_documents(sharding.op3),
+        "op4_secret_scan": secrets.op4,
         "op5_decontamination": decontamination.op5,
         "op6_substrings": _on_documents(substrings.op6),
         "op7_license_templates": _on_documents(licenses.op7),

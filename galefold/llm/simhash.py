@@ -14,9 +14,14 @@ fingerprints collapse before any comparison. The index has these levels:
   search goes down from the root, adds up differences with each node's own pattern and
   drops a whole group once they exceed the radius.
 
-A node reports, for every fingerprint that has a link, the least one it is connected
-with, never all pairs; components come from joins over these. No step holds more than a
-node, and none caps its size.
+A node reports a tree of links for each set of fingerprints that it connects, never all
+pairs; components come from joins over these. No step holds more than a node, and none
+caps its size.
+
+`keep_one` finds near copies at a given Jaccard similarity of word shingles. For this,
+TABLES fingerprints of a text's different words are searched within TABLE_RADIUS, and
+each link found is checked against the whole texts' shingles before it counts. At five
+words and 0.8 it finds 99 % of the links there (README, measured against all pairs).
 """
 
 from __future__ import annotations
@@ -31,10 +36,15 @@ from pyspark.sql import functions as F
 
 from .common import batches, saved, whole_texts
 from .components import connected_components
+from .words import WordHashes, mixed, multipliers, run_hashes
 
 BITS = 64
 NODE_LIMIT = 4096
 FANOUT = 16
+SHINGLE = 5
+SIMILARITY = 0.8
+TABLES = 3
+TABLE_RADIUS = 5
 
 
 # -- fingerprints ------------------------------------------------------------------------------
@@ -93,13 +103,6 @@ def masks_of(free: int, parts: int, kept: int) -> list[int]:
     return [sum(x) for x in combinations(blocks, kept)]
 
 
-def _least_root(parent: np.ndarray, k: int) -> int:
-    while parent[k] != k:
-        parent[k] = parent[parent[k]]
-        k = parent[k]
-    return k
-
-
 class GrayTree:
     """The hierarchy over one node's fingerprints, which are distinct and in Gray order."""
 
@@ -119,8 +122,8 @@ class GrayTree:
             over = np.uint64(0) if k == len(values) - 1 else masks[k + 1][np.arange(len(values[k])) // FANOUT]
             self.levels.append((values[k], masks[k] & ~over))
 
-    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query's place, code's place) of all within the radius."""
+    def search(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, code's place, differing bits) of all within the radius."""
         q, node, far = np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
         for k, (values, own) in enumerate(self.levels):
             if k:
@@ -130,28 +133,37 @@ class GrayTree:
             far = far + np.bitwise_count((queries[q] ^ values[node]) & own[node])
             near = far <= radius
             q, node, far = q[near], node[near], far[near]
-        return q, node
+        return q, node, far
+
 
+def forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places within the radius that connect all codes of a node that links connect: a tree for each component, near pairs first."""
+    n, out = len(codes), []
+    root = np.arange(n)
+    members = {k: [k] for k in range(n)}
+
+    def add(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> None:
+        for d in range(radius + 1):
+            at = np.nonzero(far == d)[0]
+            for x, y in zip(a[at[root[a[at]] != root[b[at]]]].tolist(), b[at[root[a[at]] != root[b[at]]]].tolist(), strict=True):
+                low, high = sorted((int(root[x]), int(root[y])), key=lambda r: -len(members[r]))
+                if low != high:
+                    root[members[high]] = low
+                    members[low] += members.pop(high)
+                    out.append((x, y))
 
-def linked(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, place of the first one it is connected with) of a node's codes that have a link, but for the first ones."""
-    n = len(codes)
     if n <= 48:
-        a, b = np.nonzero(np.triu(np.bitwise_count(codes[:, None] ^ codes) <= radius, 1))
+        far = np.bitwise_count(codes[:, None] ^ codes)
+        a, b = np.nonzero(np.triu(far <= radius, 1))
+        add(a, b, far[a, b])
     else:
-        tree, found = GrayTree(codes), []
+        tree = GrayTree(codes)
         for at in range(0, n, 256):
-            q, c = tree.search(codes[at : at + 256], radius)
-            found.append(np.stack([q + at, c])[:, q + at < c])
-        a, b = np.concatenate(found, axis=1)
-    parent = np.arange(n)
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = _least_root(parent, x), _least_root(parent, y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    roots = np.array([_least_root(parent, k) for k in range(n)])
-    moved = np.nonzero(roots != np.arange(n))[0]
-    return moved, roots[moved]
+            q, c, far = tree.search(codes[at : at + 256], radius)
+            later = q + at < c
+            add(q[later] + at, c[later], far[later])
+    pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def _search_nodes(radius: int):
@@ -165,7 +177,7 @@ def _search_nodes(radius: int):
             for codes, table in zip(nodes, tables, strict=True):
                 if len(codes) > 1:
                     codes = codes[np.argsort(gray_rank(codes))]
-                    x, y = linked(codes, radius)
+                    x, y = forest(codes, radius)
                     a.append(codes[x])
                     b.append(codes[y])
                     t.append(np.full(len(x), table, np.int32))
@@ -236,6 +248,89 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# -- near copies -------------------------------------------------------------------------------
+
+
+def word_fingerprints(words: list[bytes], tables: int, hashes: WordHashes) -> list[int]:
+    """Fingerprints of a text's different words, one for each table; all zero without words."""
+    h = np.unique(hashes.of(words))
+    out = []
+    for k in range(tables):
+        bits = np.unpackbits(mixed(h + np.uint64(1000 + k)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        out.append(int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(h)).tobytes(), "big"))
+    return out
+
+
+def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
+    """The different shingles as sorted 32-bit hashes."""
+    h = hashes.of(words)
+    size = min(size, len(h))
+    return np.unique(run_hashes(h, list(range(size)), multipliers(SHINGLE + size, 300), size) >> np.uint64(32)).astype("<u4") if size else np.zeros(0, "<u4")
+
+
+def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, tables: int = TABLES, radius: int = TABLE_RADIUS) -> DataFrame:
+    """Of different texts (key, text): links (a, b) of keys whose shingles have at least this Jaccard similarity."""
+
+    def prints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches(rows):
+            fps = [signed(f) for t in batch["text"].to_pylist() for f in word_fingerprints(t.encode().lower().split(), tables, hashes)]
+            keys = batch["key"].take(pa.array(np.repeat(np.arange(batch.num_rows), tables)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(fps, pa.int64())], names=["key", "tab", "fp"])
+
+    def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches(rows):
+            own = [shingle_set(t.encode().lower().split(), size, hashes).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.binary())], names=["key", "set"])
+
+    def verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            good = []
+            for x, y in zip(batch["set_a"].to_pylist(), batch["set_b"].to_pylist(), strict=True):
+                x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+
+    codes = saved(texts.mapInArrow(prints, "key string, tab int, fp long"), "word-fingerprints")
+    first = codes.groupBy("tab", "fp").agg(F.min("key").alias("first"))
+    links = fingerprint_links(first.select("tab", "fp"), radius, kept=1)
+    same = codes.join(first, ["tab", "fp"]).where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    name = lambda side, out: first.select("tab", F.col("fp").alias(side), F.col("first").alias(out))
+    pairs = links.join(name("a", "x"), ["tab", "a"]).join(name("b", "y"), ["tab", "b"]).select("x", "y")
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(same.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    pairs = saved(pairs.distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    known = saved(texts.join(ends, "key").mapInArrow(sets, "key string, set binary"), "shingles")
+    named = pairs.join(known.select(F.col("key").alias("a"), F.col("set").alias("set_a")), "a").join(known.select(F.col("key").alias("b"), F.col("set").alias("set_b")), "b")
+    return named.select("a", "b", "set_a", "set_b").mapInArrow(verify, "a string, b string")
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all their columns, but for near copies: of each group that links connect, the least doc_id stays.
+
+    Equal texts are a group of their own. Null, empty and blank texts have equal (no)
+    shingles and form one group. Among rows that repeat a doc_id one stays; a null doc_id
+    stays only where its group has no other.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumns({"key_": F.md5(text), "id_": F.col("doc_id").cast("long")})
+    ids = saved(rows.select("key_", "id_"), "ids")
+    n, distinct = ids.agg(F.count("*"), F.countDistinct(F.struct("key_", "id_"))).first()
+    # One text of each key: of the equal texts the row with the least doc_id.
+    least = F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "key_"))
+    one = ids.groupBy("key_").agg(least.alias("first")).select("key_", "first.id_")
+    texts = rows.select(F.col("key_"), "id_", text.alias("text")).join(one.withColumnRenamed("id_", "own_id"), "key_").where("id_ <=> own_id").select(F.col("key_").alias("key"), "text")
+    texts = saved(texts if n == distinct else texts.dropDuplicates(["key"]), "texts")
+    roots = connected_components(similar_links(texts, size, similarity))
+    named = one.join(roots, one.key_ == roots.node, "left").select("key_", "id_", F.coalesce("root", "key_").alias("root"))
+    stay = saved(named.groupBy("root").agg(least.alias("first")).select("first.key_", "first.id_"), "stay")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept = rows.join(stay.withColumnRenamed("id_", "own_id"), "key_").where("id_ <=> own_id")
+    return (kept if n == distinct else kept.dropDuplicates(["key_"])).select(*columns)
+
+
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs, size=3, radius=2, seed=42)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
