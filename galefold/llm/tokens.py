@@ -12,6 +12,8 @@ from array import array
 
 #: Pieces in a generation of the cache. A Python worker keeps two: the older one goes when the newer is full.
 CACHE_PIECES = 250_000
+#: Marks that may close a piece and form a token run of their own after a letter.
+_MARKS = ".,;:!?#$%&*|"
 
 
 class Encoder:
@@ -42,7 +44,8 @@ class Encoder:
 
     def _cut(self, text: str) -> list[str]:
         if not self.keeps_space:  # any run of blanks counts as one, and none is kept
-            return text.replace("\n", " ").split(" ")
+            # Only A-Z are made small here, as the tokenizer does itself, so that fewer pieces differ.
+            return text.encode().lower().decode().replace("\n", " ").split(" ")
         if text[:1].isspace() or text[-1:].isspace() or self._ODD.search(text):  # rare: cut only before a blank between two words
             return re.split(r"(?<=\S)(?= \S)", text)
         cut: list[str] = []
@@ -59,16 +62,25 @@ class Encoder:
         cuts = [self._cut(t) for t in texts]
         if len(self.pieces) > CACHE_PIECES:
             self.older, self.pieces = self.pieces, {}
-        unseen = []
-        for x in set().union(*cuts):
+        unseen = [x for x in set().union(*cuts) if x not in self.pieces]
+        tails: dict[str, str] = {}  # piece -> the part before its closing marks, which every pre-tokenizer here sets apart
+        for x in unseen:
+            core = x.rstrip(_MARKS)
+            if len(core) < len(x) and core[-1:].isalpha():
+                tails[x] = core
+        wanted = {y for x in unseen for y in ((tails[x], x[len(tails[x]) :]) if x in tails else (x,))}
+        fresh = []
+        for x in wanted:
             if x not in self.pieces:
                 if (ids := self.older.get(x)) is None:
-                    unseen.append(x)
+                    fresh.append(x)
                 else:
                     self.pieces[x] = ids
-        for at in range(0, len(unseen), 2000):
-            part = unseen[at : at + 2000]
+        for at in range(0, len(fresh), 2000):
+            part = fresh[at : at + 2000]
             for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.pieces[piece] = array("I", e.ids).tobytes()
+        for x, core in tails.items():
+            self.pieces[x] = self.pieces[core] + self.pieces[x[len(core) :]]
         get = self.pieces.__getitem__
         return [b"".join(map(get, cut)) for cut in cuts]
