@@ -619,3 +619,36 @@ def q_alert_style(spark, sf_dir):
 def q_alert_windows(spark, sf_dir):
     f = feed(spark, sf_dir)
     return alerts.windowed_counts(f.withColumn("effective", F.col("effective").cast("timestamp"))).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+# -- binary volumes ----------------------------------------------------------------------------
+
+
+def encoded_volumes(g: DataFrame) -> DataFrame:
+    """Gates of each tilt as one Level II volume: (path, content)."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ..sources.level2 import encode_volume
+
+    def run(t: pa.Table) -> pa.Table:
+        number = int(t["elevation_number"][0].as_py())
+        rows = t.sort_by([("ray_idx", "ascending"), ("gate_idx", "ascending")]).to_pydict()
+        codes: dict[int, np.ndarray] = {}
+        for ray, gate, vel, ref in zip(rows["ray_idx"], rows["gate_idx"], rows["vel_code"], rows["ref_code"], strict=True):
+            codes.setdefault(ray, np.zeros((2, 100), np.int32))[:, gate] = vel, ref
+        moment = lambda name, offset, c: {"name": name, "gate_count": 100, "first_gate": 2125, "gate_spacing": 250, "word_size": 8, "scale": 2.0, "offset": offset, "codes": c}
+        radials = [{"azimuth_deg": ray * 3 + 1.5, "elevation_deg": rows["elevation_deg"][0], "elevation_number": number, "collect_ms": ray * 100, "nyquist_ms": rows["nyquist_ms"][0], "moments": [moment("VEL", 129.0, c[0]), moment("REF", 66.0, c[1])]} for ray, c in sorted(codes.items())]
+        return pa.table({"path": [f"KXYZ20240115_00000{number}_V06"], "content": pa.array([encode_volume("KXYZ", 19_738, radials, per_block=30)], pa.binary())})
+
+    return g.groupBy("elevation_number").applyInArrow(run, "path string, content binary")
+
+
+@query("""WITH x AS (SELECT elevation_number, dense_rank() OVER (PARTITION BY elevation_number ORDER BY ray_idx) - 1 AS ray, azimuth_deg, gate_idx, range_m, vel_code, ref_code FROM v_gates)
+SELECT 'KXYZ20240115_00000' || elevation_number || '_V06' AS volume_id, elevation_number, CAST(ray AS INT) AS ray_idx, azimuth_deg, moment, gate_idx, range_m, raw_code, value
+FROM (SELECT *, 'VEL' AS moment, vel_code AS raw_code, (vel_code - 129) / 2.0::DOUBLE AS value FROM x UNION ALL SELECT *, 'REF', ref_code, (ref_code - 66) / 2.0::DOUBLE FROM x)""")
+def q_decode_binary(spark, sf_dir):
+    from ..sources.level2 import decode_blocks, radial_gates, volume_blocks
+
+    decoded = radial_gates(decode_blocks(volume_blocks(encoded_volumes(view(spark, sf_dir, "v_gates")))))
+    return decoded.select("volume_id", "elevation_number", "ray_idx", F.col("azimuth_deg").cast("double").alias("azimuth_deg"), "moment", "gate_idx", F.col("range_m").cast("double").alias("range_m"), "raw_code", F.col("value").cast("double").alias("value"))
