@@ -7,11 +7,11 @@ the pieces, put together, are the ids of the whole text (tests compare the two).
 from __future__ import annotations
 
 import os
-import re
+import unicodedata
 from array import array
 
 #: Pieces in a generation of the cache. A Python worker keeps two: the older one goes when the newer is full.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 300_000
 #: Marks that may close a piece and form a token run of their own after a letter.
 _MARKS = ".,;:!?#$%&*|"
 
@@ -31,6 +31,11 @@ class Encoder:
         self.keeps_space = any(t.startswith("Ġ") for t in ids)
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self._encode(["\n"])[0]
+        # Byte-level BPE spells bytes as characters: printable ones as themselves, the rest from U+0100 on.
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.spell = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -39,48 +44,61 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    #: White space other than one blank or line end between two words.
-    _ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
+    # A piece is a word. If white space is kept, a blank stands before it, unless it begins with a line end
+    # instead; a text's first word is looked up behind a line end, whose own id is then cut off.
 
     def _cut(self, text: str) -> list[str]:
-        if not self.keeps_space:  # any run of blanks counts as one, and none is kept
-            # Only A-Z are made small here, as the tokenizer does itself, so that fewer pieces differ.
-            return text.encode().lower().decode().replace("\n", " ").split(" ")
-        if text[:1].isspace() or text[-1:].isspace() or self._ODD.search(text):  # rare: cut only before a blank between two words
-            return re.split(r"(?<=\S)(?= \S)", text)
-        cut: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                cut.append("\n")
-            first, *rest = line.split(" ")
-            cut.append(first)
-            cut += [" " + x for x in rest]
-        return cut
+        if self.keeps_space:
+            return ("\n" + text.replace("\n", " \n")).split(" ")
+        # Any run of white space counts as a blank and none is kept. Only A-Z are made small here, as the
+        # tokenizer does itself, so that fewer pieces differ.
+        return text.encode().lower().decode().replace("\n", " ").split(" ")
+
+    def _odd(self, piece: str) -> bool:
+        """Other white space than one blank or line end stands at the piece, so that the text can't be cut there."""
+        word = piece[1:] if piece[:1] == "\n" else piece
+        return self.keeps_space and (not word or word[0].isspace() or word[-1].isspace())
+
+    def _stays(self, word: str) -> bool:
+        """The tokenizer's normalizer leaves the word as it is."""
+        return self.keeps_space or (word == word.lower() and (word.isascii() or unicodedata.is_normalized("NFC", word)))
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), 2000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put pieces in the cache. Closing marks after a letter are a token run of their own in every pre-tokenizer here."""
+        tails = {x: core for x in pieces if x[-1:] in _MARKS and (core := x.rstrip(_MARKS))[-1:].lower().isalpha()}
+        wanted = pieces.difference(tails).union(tails.values()).difference(self.pieces)
+        for x in wanted.intersection(self.older):
+            self.pieces[x] = self.older[x]
+        fresh = wanted.difference(self.older)
+        # One run of letters is one word to every pre-tokenizer here, and goes to the library's model directly.
+        letters = [x for x in fresh if (x[1:] if self.keeps_space and x[:1] == "\n" else x).isalpha() and self._stays(x)]
+        spell, model, before = self.spell, self.tokenizer.model, " " if self.keeps_space else ""
+        ids = lambda word: array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(spell))]).tobytes()
+        for x in letters:
+            self.pieces[x] = self.line_end + ids(x[1:]) if x[0] == "\n" else ids(before + x)
+        rest = list(fresh.difference(letters))
+        self.pieces.update(zip(rest, self._encode([x if not self.keeps_space or x[:1] == "\n" else " " + x for x in rest]), strict=True))
+        if tails:
+            marks = list({x[len(core) :] for x, core in tails.items()}.difference(self.marks))
+            self.marks.update(zip(marks, self._encode(marks), strict=True))
+            self.pieces.update((x, self.pieces[core] + self.marks[x[len(core) :]]) for x, core in tails.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of little-endian unsigned 32-bit integers."""
-        cuts = [self._cut(t) for t in texts]
+        cuts: list[list[str] | None] = [self._cut(t) for t in texts]
         if len(self.pieces) > CACHE_PIECES:
             self.older, self.pieces = self.pieces, {}
-        unseen = [x for x in set().union(*cuts) if x not in self.pieces]
-        tails: dict[str, str] = {}  # piece -> the part before its closing marks, which every pre-tokenizer here sets apart
-        for x in unseen:
-            core = x.rstrip(_MARKS)
-            if len(core) < len(x) and core[-1:].isalpha():
-                tails[x] = core
-        wanted = {y for x in unseen for y in ((tails[x], x[len(tails[x]) :]) if x in tails else (x,))}
-        fresh = []
-        for x in wanted:
-            if x not in self.pieces:
-                if (ids := self.older.get(x)) is None:
-                    fresh.append(x)
-                else:
-                    self.pieces[x] = ids
-        for at in range(0, len(fresh), 2000):
-            part = fresh[at : at + 2000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[piece] = array("I", e.ids).tobytes()
-        for x, core in tails.items():
-            self.pieces[x] = self.pieces[core] + self.pieces[x[len(core) :]]
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, cut)) for cut in cuts]
+        unseen = set().union(*cuts).difference(self.pieces)
+        whole: dict[int, bytes] = {}
+        if odd := {x for x in unseen if self._odd(x)}:
+            places = [k for k, cut in enumerate(cuts) if not odd.isdisjoint(cut)]
+            whole = dict(zip(places, self._encode([texts[k] for k in places]), strict=True))
+        self._learn(unseen.difference(odd))
+        get, drop = self.pieces.__getitem__, 4 if self.keeps_space else 0
+        return [whole[k] if k in whole else b"".join(map(get, cut))[drop:] for k, cut in enumerate(cuts)]
