@@ -77,11 +77,14 @@ def spans(h: np.ndarray) -> tuple[np.ndarray, ...]:
     return g[anchor[first]], stretch_hashes(h, first, last + WINDOW, 0), first, last
 
 
-def windows(h: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, other hash, start) of each window of a span."""
-    at = np.arange(first, last + 1)
-    part = h[first : last + WINDOW]
-    return stretch_hashes(part, at - first, at - first + WINDOW, 0), stretch_hashes(part, at - first, at - first + WINDOW, 1), at
+def windows(h: np.ndarray, own: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, other hash, start) of each window in a document's spans."""
+    edge = np.zeros(len(h) + 1, np.int64)
+    for span in own:
+        edge[span["first"]] += 1
+        edge[span["last"] + 1] -= 1
+    at = np.nonzero(np.cumsum(edge))[0]
+    return stretch_hashes(h, at, at + WINDOW, 0), stretch_hashes(h, at, at + WINDOW, 1), at
 
 
 def _batch(kind, a, c, doc, first, last) -> pa.RecordBatch:
@@ -127,11 +130,9 @@ def _find_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block()
     for batch in batches(rows):
         for doc, text, own in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["own"].to_pylist(), strict=True):
-            h = _hashes.of(text.encode().split())
-            for span in own:
-                a, c, at = windows(h, span["first"], span["last"])
-                if block.add(doc, a, c, at, at):
-                    yield from block.settled()
+            a, c, at = windows(_hashes.of(text.encode().split()), own)
+            if block.add(doc, a, c, at, at):
+                yield from block.settled()
     yield from block.settled()
 
 
