@@ -1,0 +1,187 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from galefold.llm import decontamination, quality, secrets
+
+
+# -- decontamination ---------------------------------------------------------------------------
+
+
+def plain_overlap(doc, item):
+    """The longest aligned stretch of enough equal words, by trying all of them; its length."""
+    a, b, best = decontamination.words(doc), decontamination.words(item), 0
+    if len(b) < decontamination.SPAN:
+        return len(b) if b and any(a[k : k + len(b)] == b for k in range(len(a) - len(b) + 1)) else 0
+    for shift in range(-len(b) + 1, len(a)):
+        first, last = max(0, -shift), min(len(b), len(a) - shift)
+        same = np.cumsum([0, *(a[shift + k] == b[k] for k in range(first, last))])
+        for x in range(last - first):
+            for y in range(x + decontamination.SPAN, last - first + 1):
+                if same[y] - same[x] >= 0.8 * (y - x):
+                    best = max(best, y - x)
+    return best
+
+
+@pytest.fixture(scope="module")
+def leaky(spark, benchmark_items):
+    rng = random.Random(21)
+    items = [r.text for r in benchmark_items.orderBy("item_id").collect() if r.text]
+    texts = []
+    for k in range(60):
+        own = [f"d{rng.randrange(5000)}" for _ in range(rng.randint(5, 60))]
+        w = decontamination.words(items[k % len(items)])
+        part = w[rng.randrange(3) : len(w) - rng.randrange(3)] if k % 3 else w[:9]
+        for at in rng.sample(range(len(part)), min(len(part), rng.choice([0, 0, 1, 2, 3, 5]))):
+            part = [*part[:at], "changed", *part[at + 1 :]]
+        at = rng.randrange(len(own))
+        texts.append(" ".join(own[:at] + part + own[at:]).capitalize())
+    rows = [(k, t) for k, t in enumerate([*texts, texts[1], "", None, " "])] + [(None, texts[1]), (3, texts[3])]
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "item": F.lit("x"), "n_chars": F.lit(2)}).repartition(3)
+
+
+def test_op5_against_all_stretches(spark, leaky, benchmark_items):
+    got = {(r.doc_id, r.item_id) for r in decontamination.overlaps(leaky, benchmark_items).collect()}
+    docs, items = leaky.collect(), benchmark_items.collect()
+    want = {(d.doc_id, i.item_id) for d in docs for i in items if plain_overlap(d.text or "", i.text or "")}
+    assert got == want and len(want) > 20
+
+
+def test_op5_counts_and_spans(spark, leaky, benchmark_items):
+    items = {r.item_id: decontamination.words(r.text or "") for r in benchmark_items.collect()}
+    texts: dict = {}
+    for r in leaky.collect():
+        texts.setdefault(r.doc_id, []).append(decontamination.words(r.text or ""))
+    for r in decontamination.overlaps(leaky, benchmark_items).collect():
+        assert r.similarity == pytest.approx(r.n_equal / r.n_words) and r.similarity >= 0.8
+        assert any(len(t) >= r.first_word + r.n_words for t in texts[r.doc_id]) and r.n_words <= len(items[r.item_id])
+
+
+def test_clean_keeps_rows_and_columns(spark, leaky, benchmark_items, nothing):
+    kept = decontamination.clean(leaky, benchmark_items)
+    assert kept.columns == leaky.columns
+    items = [r.text or "" for r in benchmark_items.collect()]
+    want = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in leaky.collect() if not any(plain_overlap(r.text or "", i) for i in items)))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()) == want
+    assert decontamination.clean(nothing, benchmark_items).count() == 0
+    assert decontamination.clean(leaky, benchmark_items.limit(0)).count() == leaky.count()
+
+
+def test_op5_messy(spark, messy, benchmark_items):
+    assert decontamination.overlaps(messy, benchmark_items).count() == 0
+    assert decontamination.clean(messy, benchmark_items).count() == messy.count()
+
+
+# -- secrets -----------------------------------------------------------------------------------
+
+
+def secret_rows(rng, n):
+    rows = []
+    for k in range(n):
+        words = [rng.choice(["the", "wind", "radar", "gate", "velocity", "field"]) for _ in range(rng.randint(5, 40))]
+        value = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        extra = {0: f'token = "{value}"', 1: f"({rng.randrange(100, 999)}) 555-{rng.randrange(1000, 9999)} 10.{rng.randrange(255)}.3.{rng.randrange(255)}", 2: f"radar{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", 3: "", 4: f"{rng.randrange(10**15, 10**16)}###"}[k % 5]
+        rows.append((k, " ".join([*words, extra, *words]), None if k % 4 else "src/tests/a", 1, value))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def leaking(spark):
+    rows = secret_rows(random.Random(5), 150)
+    return spark.createDataFrame([r[:4] for r in rows], "doc_id long, text string, source string, n_chars long").repartition(3), {r[0]: r[4] for r in rows if r[0] % 5 == 0}
+
+
+def test_op4_finds_planted_secrets_only(leaking):
+    docs, planted = leaking
+    rows = secrets.secrets(docs).collect()
+    assert {(r.doc_id, r.value) for r in rows if r.is_secret} == set(planted.items())
+    assert {r.doc_id % 5 for r in rows if not r.is_secret} == {1, 2, 4}
+    assert all(0 <= r.probability <= 1 and 0 <= r.dictionary <= 1 for r in rows)
+
+
+def test_forest_scores_findings_that_no_rule_labels(spark, leaking):
+    docs, planted = leaking
+    found = secrets.findings(docs)
+    hidden = found.withColumn("truth", F.col("label")).withColumn("label", F.when(F.col("doc_id") % 3 == 0, F.lit(None).cast("int")).otherwise(F.col("label")))
+    held = secrets.scored(hidden).where("label is null").collect()
+    assert held and all((r.probability >= 0.5) == (r.truth == 1) for r in held)
+
+
+def test_redact(leaking, nothing):
+    docs, planted = leaking
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    for r in out.collect():
+        if r.doc_id in planted:
+            assert planted[r.doc_id] not in r.text and secrets.REDACTED in r.text and r.n_chars == len(r.text)
+    before = {r.doc_id: tuple(r) for r in docs.collect()}
+    assert all(tuple(r) == before[r.doc_id] for r in out.collect() if r.doc_id not in planted)
+    assert secrets.redact(nothing).count() == 0
+
+
+def test_op4_odd_rows(messy):
+    out = secrets.redact(messy)
+    assert out.columns == messy.columns and out.count() == messy.count()
+    (found,) = secrets.secrets(messy).where("value like '24be%'").collect()
+    assert found.label == 1 and found.is_secret
+
+
+# -- quality -----------------------------------------------------------------------------------
+
+
+def fold(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        words = [rng.choice(["the", "wind", "over", "hills", "storm", "cell", "moves", "north"]) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(20, 80))]
+        bad = k % 4 == 0
+        rows.append((k, " ".join(w + rng.choice(["###", "$$$", "***"]) if bad and rng.random() < 0.6 else w for w in words), 0 if bad else 1))
+    docs = spark.createDataFrame([(d, t, "en") for d, t, _ in rows], "doc_id long, text string, lang string").repartition(3)
+    return docs, spark.createDataFrame([(d, q, 0) for d, _, q in rows], "doc_id long, quality int, toxic int"), {d: q for d, _, q in rows}
+
+
+def test_op10_ranks_held_out_documents(judged):
+    docs, labels, truth = judged
+    rows = quality.quality_scores(docs, labels).collect()
+    assert all(r.held_out == (fold(r.doc_id) == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert np.mean([a.score > b.score for a in held if truth[a.doc_id] for b in held if not truth[b.doc_id]]) > 0.99
+
+
+def test_op10_learns_nothing_from_held_out_rows_or_other_columns(judged):
+    docs, labels, _ = judged
+    score = lambda d, x: {r.doc_id: round(r.score, 9) for r in quality.quality_scores(d, x).collect()}
+    twisted = labels.withColumn("quality", F.when(quality.fold(F.col("doc_id")) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    want = score(docs, labels)
+    assert score(docs.withColumn("lang", F.lit("xx")).repartition(2), twisted) == want
+
+
+def test_op10_odd_rows(spark, messy, nothing, judged):
+    _, labels, _ = judged
+    rows = quality.quality_scores(messy, labels).collect()
+    assert len(rows) == messy.count() and all(0 <= r.score <= 1 for r in rows)
+    assert {r.score for r in quality.quality_scores(messy, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_scores(nothing, labels).count() == 0
+    clash = labels.select("doc_id", "quality", F.lit(1).alias("text"), F.lit(2).alias("x"))
+    assert quality.keep_good(messy, clash).columns == messy.columns
+
+
+def test_conflicting_and_null_labels_are_not_learnt_from(spark, judged):
+    docs, labels, _ = judged
+    more = labels.unionByName(spark.createDataFrame([(1, 0, 0), (None, 1, 0), (2, None, 0)], labels.schema))
+    assert quality.quality_scores(docs, more).count() == docs.count()
+
+
+def test_features_are_finite():
+    for text in ("", " ", "a", "A" * 5000, "!!!\n|||\n", "日本 語", "\x00", "w " * 50_000):
+        x = quality.features(text)
+        assert len(x) == len(quality.FEATURES) and np.isfinite(x).all()
