@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -95,3 +97,93 @@ def compare_methods(gates: DataFrame, by: list[str], raw: str, a: str, b: str) -
     return gates.groupBy(*by).agg(
         F.count("*").alias("n_gates"), n(changed(a)).alias("changed_a"), n(changed(b)).alias("changed_b"), n(same).alias("agree"), n(changed(a) & ~changed(b)).alias("false_positive"), n(~changed(a) & changed(b)).alias("missed"), n(changed(a) & changed(b) & ~same).alias("wrong_fold"),
     )
+
+
+def fill_single_gaps(winds: DataFrame, by: list[str]) -> DataFrame:
+    """Winds per height bin, with a bin that is missing between two others given their mean."""
+    w = Window.partitionBy(*by).orderBy("bin")
+    nxt = {c: F.lead(c).over(w) for c in ("bin", "u", "w")}
+    gaps = winds.select(*by, F.col("bin"), "u", "w", nxt["bin"].alias("b2"), nxt["u"].alias("u2"), nxt["w"].alias("w2")).where("b2 - bin = 2")
+    filled = gaps.select(*by, (F.col("bin") + 1).alias("bin"), ((F.col("u") + F.col("u2")) / 2).alias("u"), ((F.col("w") + F.col("w2")) / 2).alias("w"), F.lit(True).alias("filled"))
+    return winds.select(*by, "bin", "u", "w", F.lit(False).alias("filled")).unionByName(filled)
+
+
+def every_nth(gates: DataFrame, by: list[str], order: list[str], stride: int) -> DataFrame:
+    """Every stride-th gate of a tilt, from the first one on."""
+    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    return gates.withColumn("n_", n).where(F.col("n_") % stride == 0).drop("n_")
+
+
+def robust_vad(gates: DataFrame, by: list[str], passes: int = 2, least_gates: int = 4) -> DataFrame:
+    """Wind with an offset, a0 + a1 cos + a2 sin, over each ray's median velocity; Huber weights in the later passes."""
+    rays = gates.where(F.abs("v") <= 0.85 * F.col("nyquist_ms")).groupBy(*by, "ray_idx").agg(F.min("azimuth_deg").alias("az"), F.median("v").alias("m"), F.count("*").alias("n"), F.min("nyquist_ms").alias("vn")).where(F.col("n") >= least_gates)
+    rays = rays.withColumns({"c": F.cos(F.radians("az")), "s": F.sin(F.radians("az"))})
+    fit = None
+    for _ in range(passes):
+        weight = F.least(S.number(1), F.col("n") / 12)
+        rows = rays
+        if fit is not None:
+            rows = rays.join(fit, by)
+            r = F.abs(F.col("m") - F.col("a0") - F.col("a1") * F.col("c") - F.col("a2") * F.col("s"))
+            scale = F.greatest(S.number(1.5), 0.25 * F.col("vn"))
+            weight = weight * F.when(r <= scale, S.number(1)).otherwise(scale / r)
+            rows = rows.withColumn("k", weight).drop("a0", "a1", "a2")
+        else:
+            rows = rows.withColumn("k", weight)
+        total = lambda e: F.sum(F.col("k") * e)
+        c, s, m = F.col("c"), F.col("s"), F.col("m")
+        sums = rows.groupBy(*by).agg(total(F.lit(1.0)).alias("p00"), total(c).alias("p01"), total(s).alias("p02"), total(c * c).alias("p11"), total(c * s).alias("p12"), total(s * s).alias("p22"), total(m).alias("q0"), total(m * c).alias("q1"), total(m * s).alias("q2"))
+        p = {(i, j): F.col(f"p{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
+        q = [F.col(f"q{i}") for i in range(3)]
+
+        def determinant(column: int | None) -> Column:
+            a = [[q[i] if j == column else p[i, j] for j in range(3)] for i in range(3)]
+            return a[0][0] * (a[1][1] * a[2][2] - a[1][2] * a[2][1]) - a[0][1] * (a[1][0] * a[2][2] - a[1][2] * a[2][0]) + a[0][2] * (a[1][0] * a[2][1] - a[1][1] * a[2][0])
+
+        fit = sums.select(*by, *((determinant(k) / F.nullif(determinant(None), F.lit(0.0))).alias(f"a{k}") for k in range(3)))
+    return fit
+
+
+def top_candidates(scores: DataFrame, by: list[str], most: int = 8, step: float = 10) -> DataFrame:
+    """Per height bin the best local maxima of the score on the (iu, iw) grid: no neighbour of eight is higher."""
+    key = [*by, "bin"]
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a, b) != (0, 0)))
+    around = scores.withColumn("s", F.explode(steps)).select(*key, (F.col("iu") + F.col("s.a")).alias("iu"), (F.col("iw") + F.col("s.b")).alias("iw"), F.col("score").alias("near")).groupBy(*key, "iu", "iw").agg(F.max("near").alias("near"))
+    peaks = scores.join(around, [*key, "iu", "iw"], "left").where(F.col("near").isNull() | (F.col("score") >= F.col("near")))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.round("score", 9).desc(), "iu", "iw"))
+    return peaks.withColumn("rank", rank).where(F.col("rank") <= most).select(*key, (F.col("iu") * S.number(step)).alias("u"), (F.col("iw") * S.number(step)).alias("w"), "score", "rank")
+
+
+def wind_track(candidates: DataFrame, by: list[str], start: float = 0.05, own: float = 20.0, move: float = 0.5) -> DataFrame:
+    """One candidate per height bin, so that scores and changes with height cost least over the whole volume.
+
+    A volume has some dozen bins of a few candidates; it is one group of a grouped function.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.sort_by([("bin", "ascending"), ("rank", "ascending")]).to_pylist()
+        bins: dict[int, list[dict]] = {}
+        for r in rows:
+            bins.setdefault(r["bin"], []).append(r)
+        cost, back, before = {}, {}, None
+        for b, own_rows in bins.items():
+            best = max(r["score"] for r in own_rows)
+            for j, r in enumerate(own_rows):
+                base = own * (best - r["score"])
+                if before is None:
+                    cost[b, j], back[b, j] = base + start * float(np.hypot(r["u"], r["w"])), None
+                else:
+                    ways = [cost[before, q] + move * float(np.hypot(r["u"] - x["u"], r["w"] - x["w"])) / max(1, b - before) for q, x in enumerate(bins[before])]
+                    back[b, j] = int(np.argmin(ways))
+                    cost[b, j] = base + ways[back[b, j]]
+            before = b
+        chosen, b, order = [], before, list(bins)
+        j = min(range(len(bins[b])), key=lambda k: cost[b, k]) if b is not None else None
+        for b in reversed(order):
+            chosen.append(bins[b][j])
+            j = back[b, j]
+        return pa.Table.from_pylist(chosen[::-1], schema=t.schema)
+
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema.fields}
+    columns = [*by, "bin", "u", "w", "score", "rank"]
+    return candidates.select(columns).groupBy(*by).applyInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in columns))

@@ -652,3 +652,126 @@ def q_decode_binary(spark, sf_dir):
 
     decoded = radial_gates(decode_blocks(volume_blocks(encoded_volumes(view(spark, sf_dir, "v_gates")))))
     return decoded.select("volume_id", "elevation_number", "ray_idx", F.col("azimuth_deg").cast("double").alias("azimuth_deg"), "moment", "gate_idx", F.col("range_m").cast("double").alias("range_m"), "raw_code", F.col("value").cast("double").alias("value"))
+
+
+# -- palettes, evaluation, legacy geometry -----------------------------------------------------
+
+_LINES = """WITH l AS (SELECT p_partkey, 'M' || (p_partkey % 3) AS moment, 'p' || (p_partkey % 40) AS name, CASE p_partkey % 5 WHEN 0 THEN 'Step: ' || (p_partkey % 7) || '  x ; note' WHEN 1 THEN 'color4:  ' || p_partkey || ' 1 2 3 ' || (p_partkey % 256) WHEN 2 THEN 'Color: ' || p_partkey || '	10 20 30 ' || (p_partkey % 256) || ' 5 6' WHEN 3 THEN '; nothing' ELSE 'color ' || p_partkey || ' 7 8 9' END AS line FROM part)"""
+
+
+def palette_lines(spark, sf_dir):
+    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("given_part")
+    return spark.sql(_LINES.replace("FROM part", "FROM given_part") + " SELECT moment, name, line FROM l")
+
+
+@query(f"""{_LINES}, c AS (SELECT moment, name, CAST(p_partkey AS DOUBLE) AS value, p_partkey % 5 AS k, CASE p_partkey % 5 WHEN 1 THEN 1 WHEN 2 THEN 10 ELSE 7 END AS r, CASE p_partkey % 5 WHEN 1 THEN 2 WHEN 2 THEN 20 ELSE 8 END AS g, CASE p_partkey % 5 WHEN 1 THEN 3 WHEN 2 THEN 30 ELSE 9 END AS b,
+CASE WHEN p_partkey % 5 = 1 THEN CAST(p_partkey % 256 AS INT) ELSE 255 END AS a, CAST(p_partkey % 256 AS INT) AS r2, lead(CAST(p_partkey AS DOUBLE)) OVER (PARTITION BY moment, name ORDER BY p_partkey) AS nx FROM l WHERE p_partkey % 5 IN (1, 2, 4))
+SELECT moment, name, value, r, g, b, a FROM c UNION ALL SELECT moment, name, (value + nx) / 2, r2, 5, 6, a FROM c WHERE k = 2 AND nx IS NOT NULL""")
+def q_palette_points(spark, sf_dir):
+    from ..sources import palettes
+
+    return palettes.control_points(palette_lines(spark, sf_dir))
+
+
+@query(f"{_LINES} SELECT moment, name, 'step' AS key, (p_partkey % 7) || ' x' AS value FROM l WHERE p_partkey % 5 = 0")
+def q_palette_meta(spark, sf_dir):
+    from ..sources import palettes
+
+    return palettes.metadata(palette_lines(spark, sf_dir))
+
+
+@query("""WITH RECURSIVE n AS MATERIALIZED (SELECT elevation_number * 100000 + ray_idx * 100 + gate_idx AS id, * FROM v_gates WHERE vel_code <> true_code),
+ed AS MATERIALIZED (SELECT a.id AS x, c.id AS y FROM n a JOIN n c ON a.elevation_number = c.elevation_number AND abs(a.ray_idx - c.ray_idx) <= 1 AND abs(a.gate_idx - c.gate_idx) <= 1 AND a.id <> c.id),
+lab(id, l) USING KEY (id) AS (SELECT id, id FROM n UNION SELECT ed.y, min(lab.l) FROM lab JOIN ed ON ed.x = lab.id JOIN recurring.lab AS cur ON cur.id = ed.y WHERE lab.l < cur.l GROUP BY ed.y),
+c AS (SELECT elevation_number, l, count(*) AS n, max(ray_idx) - min(ray_idx) AS rays, max(gate_idx) - min(gate_idx) AS depth FROM lab JOIN n USING (id) GROUP BY 1, 2)
+SELECT elevation_number, count(*) AS n_components, max(n) AS largest, count(*) FILTER (n <= 2) AS isolated, count(*) FILTER (n >= 10 AND rays <= 2 AND depth >= 20) AS spokes FROM c GROUP BY 1""")
+def q_changed_components(spark, sf_dir):
+    from ..operators import evaluate
+
+    return evaluate.changed_components(gates(spark, sf_dir).withColumn("changed", F.col("vel_code") != F.col("true_code")))
+
+
+@query(f"""{T}, m AS (SELECT *, CASE WHEN abs(round((t - v) / (2 * nyquist_ms))) <= 1 THEN v + round((t - v) / (2 * nyquist_ms)) * 2 * nyquist_ms ELSE v END AS b, CASE WHEN gate_idx % 7 = 0 THEN v ELSE t END AS o FROM t)
+SELECT elevation_number, count(*) FILTER (abs(t - b) < 0.01) AS consensus, count(*) FILTER (abs(t - b) < 0.01 AND abs(t - v) <= 0.01 AND abs(o - v) > 0.01) AS false_positive, count(*) FILTER (abs(t - b) < 0.01 AND abs(t - v) > 0.01 AND abs(o - v) <= 0.01) AS missed,
+count(*) FILTER (abs(t - b) < 0.01 AND abs(t - v) > 0.01 AND abs(o - v) > 0.01 AND abs(o - t) > 0.01) AS wrong_fold FROM m GROUP BY 1""")
+def q_consensus(spark, sf_dir):
+    from ..operators import evaluate
+
+    g = _true(spark, sf_dir)
+    g = g.withColumns({"b": F.coalesce(S.alias_nearest("v", "t", "nyquist_ms", 1), F.col("v")), "ours": F.when(F.col("gate_idx") % 7 == 0, F.col("v")).otherwise(F.col("t"))})
+    return evaluate.consensus(g, BY, "v", "t", "b", "ours")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_ms(ts) // 1000 AS s FROM events), p AS (SELECT a.event_id, b.event_id AS m, b.s AS t2, abs(a.s - b.s) AS d FROM e a JOIN e b USING (user_id) WHERE a.event_type = 'error' AND b.event_type = 'click' AND abs(a.s - b.s) <= 7200),
+w AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, t2, m) AS n FROM p) SELECT e.event_id, w.m AS matched, w.t2 AS matched_time FROM e LEFT JOIN (SELECT * FROM w WHERE n = 1) w USING (event_id) WHERE event_type = 'error'""")
+def q_nearest_in_time(spark, sf_dir):
+    from ..operators import evaluate
+
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    return evaluate.nearest_in_time(e.where("event_type = 'error'"), e.where("event_type = 'click'"), ["user_id"], "s", "event_id", 7200, ["event_id"]).select("event_id", "matched", "matched_time")
+
+
+@query("SELECT elevation_number, ray_idx, gate_idx, CAST(round_even((range_m + 125 * (gate_idx % 2) - 2125) / 250, 0) AS INT) AS rounded_gate FROM v_gates")
+def q_round_gate(spark, sf_dir):
+    from ..operators import evaluate
+
+    return gates(spark, sf_dir).select(*KEY, evaluate.gate_of_range(F.col("range_m") + 125 * (F.col("gate_idx") % 2), 2125, 250).alias("rounded_gate"))
+
+
+_FILL = ", ".join(f"""m{k} AS (SELECT elevation_number, px + a AS px, py + b AS py, avg(value) AS value FROM f{k - 1}, (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b) WHERE a <> 0 OR b <> 0 GROUP BY 1, 2, 3 HAVING count(*) >= 5),
+f{k} AS (SELECT * FROM f{k - 1} UNION ALL SELECT m{k}.* FROM m{k} ANTI JOIN f{k - 1} USING (elevation_number, px, py))""" for k in (1, 2))
+
+
+@query(f"WITH f0 AS (SELECT elevation_number, ray_idx AS px, gate_idx AS py, CAST((vel_code - 129) AS DOUBLE) AS value FROM v_gates), {_FILL} SELECT elevation_number, CAST(px AS INT) AS px, CAST(py AS INT) AS py, round(value + 1e-9, 6) + 0.0 AS value FROM f2")
+def q_hole_fill(spark, sf_dir):
+    from ..operators import evaluate
+
+    cells = gates(spark, sf_dir).select(*BY, F.col("ray_idx").alias("px"), F.col("gate_idx").alias("py"), (2 * F.col("v")).alias("value"))
+    return evaluate.fill_holes(cells, BY, passes=2).select(*BY, "px", "py", rounded(F.col("value") + 1e-9, "value"))
+
+
+@query("""WITH r AS (SELECT DISTINCT elevation_number, elevation_deg FROM v_gates), s AS (SELECT *, CASE WHEN abs(elevation_deg - lag(elevation_deg) OVER (ORDER BY elevation_number)) >= 0.3 THEN 1 ELSE 0 END AS f FROM r) SELECT elevation_number, CAST(sum(f) OVER (ORDER BY elevation_number) AS INT) AS tilt FROM s""")
+def q_elevation_segments(spark, sf_dir):
+    from ..operators import evaluate
+
+    rows = gates(spark, sf_dir).select("elevation_number", "elevation_deg").distinct().withColumns({"volume": F.lit(1), "seq": F.col("elevation_number")})
+    return evaluate.elevation_segments(rows, ["volume"]).select("elevation_number", "tilt")
+
+
+@query("""WITH b AS (SELECT *, radians(latitude) AS la, 400000 * sqrt(2::DOUBLE) / 6371000 AS d, radians(bearing) AS be FROM v_sites, (VALUES (45), (135), (225), (315)) t(bearing)), p AS (SELECT *, asin(sin(la) * cos(d) + cos(la) * sin(d) * cos(be)) AS t2 FROM b)
+SELECT icao, bearing, round(degrees(t2), 6) AS latitude, round(longitude + degrees(atan2(sin(be) * sin(d) * cos(la), cos(d) - sin(la) * sin(t2))), 6) AS longitude FROM p""")
+def q_raster_corners(spark, sf_dir):
+    from ..operators import evaluate
+
+    p = evaluate.box_points(view(spark, sf_dir, "v_sites"), ["icao"], 400_000)
+    return p.select("icao", "bearing", rounded("latitude", "latitude"), rounded("longitude", "longitude"))
+
+
+@query(f"{G}, n AS (SELECT *, row_number() OVER (PARTITION BY elevation_number ORDER BY ray_idx, gate_idx) - 1 AS n FROM g) SELECT elevation_number, ray_idx, gate_idx FROM n WHERE n % 5 = 0")
+def q_stride_sample(spark, sf_dir):
+    return wind.every_nth(gates(spark, sf_dir), BY, ["ray_idx", "gate_idx"], 5).select(*KEY)
+
+
+@query(f"""WITH v AS ({_voxel_sql().replace('round(sum(wt * dbz) / sum(wt), 3) + 0.0 AS value', 'sum(wt * dbz) / sum(wt) AS value')}) SELECT ix, iy, round(max(value), 3) + 0.0 AS value FROM v GROUP BY 1, 2""")
+def q_max_projection(spark, sf_dir):
+    v = raster.voxels(gates(spark, sf_dir), [], "dbz", LAT0, LON0, BOX, most=VOXELS)
+    return v.groupBy("ix", "iy").agg(F.max("value").alias("value")).select("ix", "iy", rounded("value", "value", 3))
+
+
+@query(None)
+def q_robust_vad(spark, sf_dir):
+    return wind.robust_vad(_true(spark, sf_dir).withColumns({"v": F.col("t"), "nyquist_ms": S.number(60)}), BY)
+
+
+@query(None)
+def q_wind_track(spark, sf_dir):
+    g = gates(spark, sf_dir).withColumn("volume", F.lit(1))
+    return wind.wind_track(wind.top_candidates(wind.alias_scores(g, ["volume"], 40, 10), ["volume"]), ["volume"]).drop("volume")
+
+
+@query(None)
+def q_png(spark, sf_dir):
+    from ..sources import exports
+
+    p = raster.pixels(gates(spark, sf_dir), BY, "dbz", size=64, metres=1000, beam_deg=3.0).select(*BY, "px", "py", raster.colour(F.col("value")).alias("c")).select(*BY, "px", "py", "c.*")
+    return exports.png_tilts(p, BY, 64).select(*BY, F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
