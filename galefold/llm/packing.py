@@ -1,7 +1,8 @@
 """Operator 9: bounded-space online best-fit packing of token sequences.
 
-Every task packs the documents it reads, in the order it reads them, into sequences of
-at most `capacity` ids. It keeps a fixed number of open bins. A bitset, an integer with
+Every task packs the documents it reads into sequences of at most `capacity` ids. Pieces
+arrive in blocks of BLOCK, each block's longest first, which leaves short ones to fill the
+gaps. The task keeps a fixed number of open bins. A bitset, an integer with
 a bit for each amount of free space that some open bin has, gives the bin that fits
 best. When all bins are open and none fits, the fullest closes first. A document longer
 than the capacity is cut into full pieces, which are sequences of their own, and a
@@ -26,6 +27,8 @@ from .tokens import Encoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
+#: Pieces that a task holds to order them by length.
+BLOCK = 2000
 
 
 class BestFit:
@@ -76,16 +79,28 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, bins, base = Encoder.of(tokenizer), BestFit(capacity, open_bins), TaskContext.get().partitionId() << 36
-        for batch in batches(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"]
+        held: list[tuple] = []
+
+        def placed() -> pa.RecordBatch:
+            held.sort(key=lambda piece: -piece[3])  # equal lengths keep their order
             out = []
+            for piece in held:
+                number, offset = bins.place(piece[3])
+                out.append((*piece, zlib.crc32(piece[4]), base + number, offset))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches(rows):
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
                 ids += end
                 for k, (start, length) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    number, offset = bins.place(length)
-                    own = ids[4 * start : 4 * (start + length)]
-                    out.append((doc_id, k, start, length, own, zlib.crc32(own), base + number, offset))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"])
+                    held.append((doc_id, k, start, length, ids[4 * start : 4 * (start + length)]))
+                    if len(held) >= BLOCK:
+                        yield placed()
+        if held:
+            yield placed()
 
     return whole_texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long")
 
