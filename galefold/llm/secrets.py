@@ -82,6 +82,7 @@ def findings(docs: DataFrame) -> DataFrame:
     found = saved(candidates(docs), "candidates")
     parts = found.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), "[^a-z]+")).alias("part")).where("length(part) >= 3")
     known = parts.join(dictionary(docs), "part").groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
+    known = saved(known, "covered")  # a written table, so that Spark may split a value that stands in many texts
     n, value, word = F.length("value"), F.col("value"), F.col("word")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")

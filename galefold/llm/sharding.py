@@ -68,7 +68,8 @@ def propagate(state: DataFrame, shards: int, share: float, rounds: int = ROUNDS)
         cells = state.groupBy("key", "shard").agg(F.sum("size").alias("bytes"))
         open_cells = F.when(_case(room, "shard", 0) > 0, F.struct("bytes", F.xxhash64("key", "shard", F.lit(k)), "shard"))
         wish = cells.groupBy("key").agg(F.max(open_cells)["shard"].alias("to"), F.sum("bytes").alias("group_bytes"))
-        asked = state.join(wish, "key")
+        # A written table on this side, so that Spark may split a large group's rows on the other.
+        asked = state.join(saved(wish, "wishes"), "key")
         wants = F.col("to").isNotNull() & (F.col("to") != F.col("shard"))
         demand = _totals(asked.where(wants), "to")
         if not demand:
@@ -85,7 +86,7 @@ def balanced_shards(docs: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> D
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.unhex(F.md5(text)).alias("key"))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id", "key"), 1))
-    groups = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    groups = saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "groups")
     rows = saved(rows.join(groups, "key", "left").withColumn("linked", F.col("n").isNotNull()).drop("n"), "sizes")
     n, total = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     share, buckets = total / shards, max(1, -(-n // BUCKET_ROWS))

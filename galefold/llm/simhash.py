@@ -294,7 +294,7 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
             yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
     codes = saved(texts.mapInArrow(prints, "key string, tab int, fp long"), "word-fingerprints")
-    first = codes.groupBy("tab", "fp").agg(F.min("key").alias("first"))
+    first = saved(codes.groupBy("tab", "fp").agg(F.min("key").alias("first")), "first-keys")
     links = fingerprint_links(first.select("tab", "fp"), radius, kept=1)
     same = codes.join(first, ["tab", "fp"]).where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
     name = lambda side, out: first.select("tab", F.col("fp").alias(side), F.col("first").alias(out))
@@ -320,7 +320,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     n, distinct = ids.agg(F.count("*"), F.countDistinct(F.struct("key_", "id_"))).first()
     # One text of each key: of the equal texts the row with the least doc_id.
     least = F.min(F.struct(F.col("id_").isNull().alias("none"), "id_", "key_"))
-    one = ids.groupBy("key_").agg(least.alias("first")).select("key_", "first.id_")
+    one = saved(ids.groupBy("key_").agg(least.alias("first")).select("key_", "first.id_"), "first-rows")
     texts = rows.select(F.col("key_"), "id_", text.alias("text")).join(one.withColumnRenamed("id_", "own_id"), "key_").where("id_ <=> own_id").select(F.col("key_").alias("key"), "text")
     texts = saved(texts if n == distinct else texts.dropDuplicates(["key"]), "texts")
     roots = connected_components(similar_links(texts, size, similarity))

@@ -220,6 +220,7 @@ class FingerprintIndex:
         known = [self._table(p).where(F.col("kind") == FIRST) for p in self.runs]
         known = _union(known)
         shared = known.groupBy("a").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where((F.col("n") > 1) & new).select("a")
+        shared = saved(shared, "shared")  # a written table, so that Spark may split a common anchor's spans
         unclear = saved(known.join(shared, "a").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("own")), "unclear")
         fetched = _sifted(everything, _sieve(unclear)).join(unclear, "doc")
         places = saved(fetched.select("doc", "text", "own").mapInArrow(_find_windows, SPANS), "windows")
