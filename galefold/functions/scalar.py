@@ -162,3 +162,57 @@ def quantize(value: Column | str, low: float, high: float) -> Column:
     """Voxel value to 1..255, 0 for none; halves upwards."""
     t = F.greatest(number(0), F.least(number(1), (col(value) - low) / (high - low)))
     return F.coalesce((1 + F.floor(t * 254 + 0.5)).cast("int"), F.lit(0))
+
+
+# -- costs and weights of the older dealiasers ---------------------------------------------------
+
+
+def same_tilt_scale(nyquist: Column | str, width: Column | str) -> Column:
+    """Scale of residuals within a tilt."""
+    return F.greatest(number(1.5), 0.12 * col(nyquist), 0.5 * F.greatest(number(0), F.coalesce(col(width), number(0))))
+
+
+def vertical_scale(nyquist: Column | str, range_m: Column | str, width: Column | str) -> Column:
+    """Scale of residuals between tilts; it grows with range."""
+    return F.greatest(number(2), 0.0025 * F.greatest(number(0), col(range_m)), 0.15 * col(nyquist), 0.35 * F.greatest(number(0), F.coalesce(col(width), number(0))))
+
+
+def fold_confidence(best_cost: Column | str, second_cost: Column | str, horizontal: Column | str, vertical: Column | str, size: Column | str) -> Column:
+    """Blend of margin 0.40, support 0.25, size 0.20 and residual 0.15, in [0, 1]; 0 where a cost is unknown."""
+    best, second = col(best_cost), col(second_cost)
+    clamp = lambda x: F.least(number(1), F.greatest(number(0), x))
+    support = col(horizontal) + 2 * col(vertical)
+    blend = (
+        0.40 * clamp((second - best) / F.greatest(second, number(1e-3))) + 0.25 * (1 - F.exp(-0.35 * support)) + 0.20 * (1 - F.exp(-0.15 * F.greatest(F.lit(1), col(size))))
+        + 0.15 * F.exp(-best / F.greatest(number(1), 4.0 * F.greatest(F.lit(1), support)))
+    )
+    return F.coalesce(clamp(blend), number(0))
+
+
+def candidate_cost(candidate: Column | str, prediction: Column | str, nyquist: Column | str, mad: Column | str, support: Column | str) -> Column:
+    """Huber cost of a candidate velocity against a prediction, less where independent gates support it."""
+    scale = F.greatest(number(1.5), 0.12 * col(nyquist), 2.5 * col(mad))
+    trust = F.when(col(support) >= 2, number(0.45)).when(col(support) == 1, number(0.75)).otherwise(number(1))
+    return huber(col(candidate) - col(prediction), scale) * trust
+
+
+def edge_weight(v_a: Column | str, v_b: Column | str, nyquist: Column | str, width: Column | None = None, dbz_a: Column | None = None, dbz_b: Column | None = None, high_shear: float = 0.75, core: float = 0.2, buffer: float = 0.5) -> Column:
+    """Trust in the continuity of two neighbours: less over strong shear and width, a little by reflectivity."""
+    share = F.abs(col(v_a) - col(v_b)) / col(nyquist)
+    w = F.when(share >= high_shear, number(core)).when(share >= 0.55, number(buffer)).otherwise(number(1))
+    if width is not None:
+        w = w * F.coalesce(F.greatest(number(0.25), F.least(number(1), 1 / (1 + 0.55 * width / F.greatest(number(1), col(nyquist))))), number(1))
+    if dbz_a is not None and dbz_b is not None:
+        step = F.abs(dbz_a - dbz_b)
+        w = w * F.when(step > 25, number(0.75)).when(step < 8, number(1.05)).otherwise(number(1))
+    return F.greatest(number(0.05), F.least(number(1), w))
+
+
+def clock_label(hhmmss: Column | str) -> Column:
+    t = col(hhmmss)
+    return F.concat(F.concat_ws(":", F.substring(t, 1, 2), F.substring(t, 3, 2), F.substring(t, 5, 2)), F.lit(" UTC"))
+
+
+def legend_ticks(low: float, high: float, step: float) -> Column:
+    """Values of a legend at whole steps from low to high."""
+    return F.transform(F.sequence(F.lit(int(-(-low // step))), F.lit(int(high // step))), lambda k: k * number(step))

@@ -239,3 +239,31 @@ def fold_scores(labelled: DataFrame, by: list[str] = BY, most: int = 2, scale_sh
     costs = tried.groupBy(*by, "region", "k").agg(F.avg(cost).alias("cost"))
     ranked = costs.groupBy(*by, "region").agg(F.array_sort(F.collect_list(F.struct("cost", F.abs("k").alias("size"), "k"))).alias("c"))
     return ranked.select(*by, "region", F.col("c")[0]["k"].alias("best_k"), F.col("c")[0]["cost"].alias("best_cost"), F.col("c")[1]["cost"].alias("second_cost"), (F.col("c")[1]["cost"] - F.col("c")[0]["cost"]).alias("margin"))
+
+
+def vertical_votes(labelled: DataFrame, neighbours: DataFrame, volume: list[str], most: int = 3, support: int = 6, share: float = 0.72, side_share: float = 0.65, residual: float = 0.45) -> DataFrame:
+    """Per region the folds that the tilts below and above ask for, and whether they are accepted.
+
+    Accepted: at least `support` matched gates, `share` of them for one k other than 0, both
+    sides of three gates or more for the same k with `side_share`, and a shift that brings the
+    summed difference to `residual` of what it was. All tilts vote on the values as given.
+    """
+    from . import align
+
+    key = [*volume, "elevation_number", "region"]
+    period = 2 * F.col("nyquist_ms")
+    sides = [align.vertical_lookup(labelled, neighbours, volume, side).where("nearest is not null").select(*key, F.lit(side).alias("side"), "v", "nearest", "nyquist_ms") for side in ("below", "above")]
+    rows = sides[0].unionByName(sides[1]).withColumn("k", F.round((F.col("nearest") - F.col("v")) / period).cast("int"))
+    tried = rows.withColumn("t", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    sums = tried.groupBy(*key, "t").agg(
+        *(F.sum(((F.col("k") == F.col("t")) & cond).cast("long")).alias(n) for n, cond in (("votes", F.lit(True)), ("below", F.col("side") == "below"), ("above", F.col("side") == "above"))),
+        F.sum(F.abs(F.col("v") + F.col("t") * period - F.col("nearest"))).alias("cost"),
+    )
+    best = lambda c: F.max_by("t", F.struct(c, -F.col("t")))
+    out = sums.groupBy(*key).agg(
+        best("votes").alias("k"), F.max("votes").alias("best_votes"), F.sum("votes").alias("n_votes"), best("below").alias("k_below"), F.max("below").alias("votes_below"), F.sum("below").alias("n_below"), best("above").alias("k_above"), F.max("above").alias("votes_above"), F.sum("above").alias("n_above"),
+        F.max_by("cost", F.struct("votes", -F.col("t"))).alias("new_cost"), F.max(F.when(F.col("t") == 0, F.col("cost"))).alias("old_cost"),
+    )
+    agree = (F.col("n_below") < 3) | (F.col("n_above") < 3) | ((F.col("k_below") == F.col("k")) & (F.col("k_above") == F.col("k")) & (F.col("votes_below") >= side_share * F.col("n_below")) & (F.col("votes_above") >= side_share * F.col("n_above")))
+    accepted = (F.col("n_votes") >= support) & (F.col("k") != 0) & (F.col("best_votes") >= share * F.col("n_votes")) & agree & (F.col("new_cost") <= residual * F.col("old_cost"))
+    return out.withColumn("accepted", accepted)

@@ -112,3 +112,15 @@ def site_clusters(sites: DataFrame, zoom: float) -> DataFrame:
     cell = 12 if zoom < 4 else 6 if zoom < 5.5 else 3
     key = [F.floor(F.col(c) / cell).cast("int").alias(n) for c, n in (("latitude", "cell_lat"), ("longitude", "cell_lon"))]
     return sites.groupBy(*key).agg(F.count("*").alias("n_sites"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
+
+
+def quads(gates: DataFrame, key: list[str], value: str, lat0: float, lon0: float, gate_m: float = 250, beam_deg: float = 1.0) -> DataFrame:
+    """Six Mercator vertices a gate, two triangles that make up its quad."""
+    corners = [(-1, -1), (1, -1), (-1, 1), (1, -1), (1, 1), (-1, 1)]  # range, azimuth
+
+    def vertex(k: int, dr: int, da: int) -> Column:
+        p = S.gate_position(F.col("range_m") + dr * gate_m / 2, F.col("azimuth_deg") + da * beam_deg / 2, "elevation_deg", S.number(lat0), S.number(lon0))
+        m = S.mercator(p["latitude"], p["longitude"])
+        return F.struct(F.lit(k).alias("vertex"), m["x"].alias("x"), m["y"].alias("y"))
+
+    return gates.select(*key, F.col(value).alias("value"), F.explode(F.array(*(vertex(k, *c) for k, c in enumerate(corners)))).alias("p")).select(*key, "value", "p.*")

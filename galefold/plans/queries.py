@@ -775,3 +775,59 @@ def q_png(spark, sf_dir):
 
     p = raster.pixels(gates(spark, sf_dir), BY, "dbz", size=64, metres=1000, beam_deg=3.0).select(*BY, "px", "py", raster.colour(F.col("value")).alias("c")).select(*BY, "px", "py", "c.*")
     return exports.png_tilts(p, BY, 64).select(*BY, F.length("png").alias("n_bytes"), F.sha2("png", 256).alias("sha256"))
+
+
+# -- costs, weights, quads, vertical votes -----------------------------------------------------
+
+
+@query(f"{T} SELECT elevation_number, ray_idx, gate_idx, round(greatest(1.5::DOUBLE, 0.12::DOUBLE * nyquist_ms, 0.5::DOUBLE * abs(v)), 6) AS same_tilt, round(greatest(2::DOUBLE, 0.0025::DOUBLE * range_m, 0.15::DOUBLE * nyquist_ms, 0.35::DOUBLE * abs(v)), 6) AS vertical FROM t")
+def q_residual_scales(spark, sf_dir):
+    # The size of the velocity stands in for the spectrum width, which the view lacks.
+    g = _true(spark, sf_dir).withColumn("width", F.abs("v"))
+    return g.select(*KEY, rounded(S.same_tilt_scale("nyquist_ms", "width"), "same_tilt"), rounded(S.vertical_scale("nyquist_ms", "range_m", "width"), "vertical"))
+
+
+@query(f"""{T}, c AS (SELECT *, greatest(1.5::DOUBLE, 0.12::DOUBLE * nyquist_ms, 2.5::DOUBLE * (gate_idx % 4)) AS s, abs(t - v) AS r FROM t)
+SELECT elevation_number, ray_idx, gate_idx, round((CASE WHEN r <= s THEN r * r / (2 * s) ELSE r - s / 2 END) * CASE ray_idx % 3 WHEN 2 THEN 0.45::DOUBLE WHEN 1 THEN 0.75::DOUBLE ELSE 1 END + 1e-9, 6) AS cost FROM c""")
+def q_candidate_cost(spark, sf_dir):
+    cost = S.candidate_cost("t", "v", "nyquist_ms", F.col("gate_idx") % 4, F.col("ray_idx") % 3)
+    return _true(spark, sf_dir).select(*KEY, rounded(cost + 1e-9, "cost"))
+
+
+@query(f"""{T}, c AS (SELECT *, abs(t - v) AS b, abs(t) AS s, ray_idx % 5 + 2 * (gate_idx % 3) AS p, gate_idx AS n FROM t)
+SELECT elevation_number, ray_idx, gate_idx, round(least(1, greatest(0, 0.4::DOUBLE * least(1, greatest(0, (s - b) / greatest(s, 0.001::DOUBLE))) + 0.25::DOUBLE * (1 - exp(-0.35::DOUBLE * p)) + 0.2::DOUBLE * (1 - exp(-0.15::DOUBLE * greatest(1, n))) + 0.15::DOUBLE * exp(-b / greatest(1, 4 * greatest(1, p))))) + 1e-9, 6) AS confidence FROM c""")
+def q_fold_confidence(spark, sf_dir):
+    c = S.fold_confidence(F.abs(F.col("t") - F.col("v")), F.abs("t"), F.col("ray_idx") % 5, F.col("gate_idx") % 3, "gate_idx")
+    return _true(spark, sf_dir).select(*KEY, rounded(c + 1e-9, "confidence"))
+
+
+@query(f"""{AZ}, e AS (SELECT az.elevation_number, az.ray_idx, az.gate_idx, abs(az.v - to_v) / az.nyquist_ms AS s, abs(az.dbz - g.dbz) AS d FROM az JOIN g ON g.elevation_number = az.elevation_number AND g.ray_idx = to_ray AND g.gate_idx = az.gate_idx)
+SELECT elevation_number, ray_idx, gate_idx, round(greatest(0.05::DOUBLE, least(1, CASE WHEN s >= 0.75 THEN 0.2::DOUBLE WHEN s >= 0.55 THEN 0.5::DOUBLE ELSE 1 END * CASE WHEN d > 25 THEN 0.75::DOUBLE WHEN d < 8 THEN 1.05::DOUBLE ELSE 1 END)), 6) AS weight FROM e""")
+def q_edge_weight(spark, sf_dir):
+    g = gates(spark, sf_dir)
+    pairs = grid.azimuth_neighbours(g).join(g.select(*BY, F.col("ray_idx").alias("to_ray"), "gate_idx", F.col("dbz").alias("to_dbz")), [*BY, "to_ray", "gate_idx"])
+    return pairs.select(*KEY, rounded(S.edge_weight("v", "to_v", "nyquist_ms", None, F.col("dbz"), F.col("to_dbz")), "weight"))
+
+
+def _vertex(k: int, dr: int, da: int) -> str:
+    return _corner(dr, da, k).replace("round(", "(").replace(", 6) AS", ") AS")
+
+
+@query(f"""WITH c AS (SELECT elevation_number, ray_idx, gate_idx, (vel_code - 129) / 2.0::DOUBLE AS value, {_vertex(0, -1, -1)}, {_vertex(1, 1, -1)}, {_vertex(2, -1, 1)}, {_vertex(3, 1, 1)} FROM v_gates),
+u AS (SELECT elevation_number, ray_idx, gate_idx, value, unnest([0, 1, 2, 3, 4, 5]) AS vertex, unnest([lon0_, lon1_, lon2_, lon1_, lon3_, lon2_]) AS lo, unnest([lat0_, lat1_, lat2_, lat1_, lat3_, lat2_]) AS la FROM c)
+SELECT elevation_number, ray_idx, gate_idx, value, vertex, round((lo + 180) / 360, 8) AS x, round((1 - ln(tan(radians(la) / 2 + pi() / 4)) / pi()) / 2, 8) AS y FROM u""")
+def q_gpu_quads(spark, sf_dir):
+    q = raster.quads(gates(spark, sf_dir), KEY, "v", LAT0, LON0)
+    return q.select(*KEY, "value", "vertex", rounded("x", "x", 8), rounded("y", "y", 8))
+
+
+@query(None)
+def q_vertical_votes(spark, sf_dir):
+    g = labelled(spark, sf_dir).withColumn("volume", F.lit(1))
+    tilts = volume.tilt_neighbours(volume.tilt_summary(g, ["volume", *BY]), ["volume"])
+    return dealias.vertical_votes(g, tilts, ["volume"]).drop("volume")
+
+
+@query(f"{SC} SELECT DISTINCT icao, substr(\"time\", 1, 2) || ':' || substr(\"time\", 3, 2) || ':' || substr(\"time\", 5, 2) || ' UTC' AS label FROM c")
+def q_clock_labels(spark, sf_dir):
+    return scans(spark, sf_dir).select("icao", S.clock_label("time").alias("label")).distinct()
