@@ -29,5 +29,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Windows of 20 words as strings; every later start of one is a repeat, and its words go.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT doc_id, p, string_agg(word, ' ') OVER run AS t, count(*) OVER run AS n FROM x WINDOW run AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+r AS (SELECT doc_id, p, row_number() OVER (PARTITION BY t ORDER BY doc_id, p) AS place FROM k WHERE n = 20),
+c AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM r WHERE place > 1),
+y AS (SELECT x.doc_id, x.p, x.word, c.p IS NOT NULL AS gone FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.p = c.p),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM y GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Of the others, tokenizers, XXH64, fitted models, PNG and automata are beyond SQL; tests compare them with plain versions."""
+    return {"op6_substrings": OP6_SQL}

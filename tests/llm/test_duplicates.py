@@ -183,3 +183,14 @@ def test_op6_odd_rows(spark, messy, nothing):
     want = [(*r[:4], hashlib.sha256(r[4].encode()).hexdigest()) for r in plain_repeats(rows)]
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
     assert substrings.op6(spark, nothing).count() == 0
+
+
+def test_op6_equals_its_sql(spark):
+    import duckdb
+
+    from galefold.llm.queries import OP6_SQL
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = substrings.op6(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(OP6_SQL).fetchall())
