@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -48,9 +48,12 @@ def whole_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
-def md5_long(column: Column) -> Column:
-    """A 60-bit key of a string's MD5."""
-    return F.conv(F.substring(F.md5(column), 1, 15), 16, 10).cast("long")
+def fresh(df: DataFrame, name: str) -> str:
+    """The name with as many underscores as it takes to differ from every column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def batches(rows: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
@@ -85,6 +88,25 @@ def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def parted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose `key` can't be among keys (a column of the same name), and the rest, which a join must settle.
+
+    A Bloom filter decides, so that at any size only the rest is shuffled.
+    """
+    sieve, mark = df.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64(key).alias("key")), "key")), fresh(df, "hash_")
+    names = df.columns
+
+    def rows(inside: bool) -> DataFrame:
+        def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches_:
+                has = maybe(sieve.value, batch[mark].to_numpy(zero_copy_only=False).view(np.uint64))
+                yield batch.filter(pa.array(has == inside)).select(names)
+
+        return df.withColumn(mark, F.xxhash64(key)).mapInArrow(run, df.schema)
+
+    return rows(False), rows(True)
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a table that `saved` wrote, once nothing reads it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

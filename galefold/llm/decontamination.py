@@ -27,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bloom, maybe, saved, table
+from .common import batches, bloom, fresh, maybe, parted, saved, table
 from .words import WordHashes, mixed, multipliers, run_hashes
 
 SPAN = 12
 GROUPS = 4
 MIN_SIMILARITY = 0.8
-#: Positions that each mask keeps.
-MASKS = [[p for p in range(SPAN) if p % GROUPS in kept] for kept in combinations(range(GROUPS), 2)]
-_MULTIPLIERS = [multipliers(SPAN, 100 + k) for k in range(len(MASKS))]
+#: Pairs of groups that each mask keeps.
+MASKS = list(combinations(range(GROUPS), 2))
+_MULTIPLIERS = multipliers(SPAN, 100)
+_MASK_MARKS = multipliers(len(MASKS), 101)
 _EXACT = multipliers(SPAN, 99)
 _WORD = re.compile(r"\w+")
 _hashes = WordHashes()
@@ -47,10 +48,13 @@ def words(text: str) -> list[str]:
 
 def seeds(h: np.ndarray, short: set[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of all seeds of a document's word hashes; short: lengths of items under SPAN. Without it, of an item."""
-    found, starts = [], []
-    for places, m in zip(MASKS, _MULTIPLIERS, strict=True):
-        found.append(run_hashes(h, places, m, SPAN))
-        starts.append(np.arange(len(found[-1])))
+    n = len(h) - SPAN + 1
+    found, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    if n > 0:
+        # A sum for each group of positions; a mask's hash is the sum of the two groups that it keeps.
+        groups = [sum(h[p : p + n] * _MULTIPLIERS[p] for p in range(g, SPAN, GROUPS)) for g in range(GROUPS)]
+        found += [groups[x] + groups[y] + mark for (x, y), mark in zip(MASKS, _MASK_MARKS, strict=True)]
+        starts += [np.arange(n)] * len(MASKS)
     for n in short if short is not None else ({len(h)} if 0 < len(h) < SPAN else ()):
         found.append(mixed(run_hashes(h, list(range(n)), _EXACT, n) + np.uint64(n)))
         starts.append(np.arange(len(found[-1])))
@@ -112,19 +116,21 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
     sieve = spark.sparkContext.broadcast(bloom(keys, "seed"))
 
     def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sieve.value
+        """Texts with a seed that may be an item's, and those seeds."""
+        bits, kind = sieve.value, pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int64())]))
         for batch in batches(rows):
-            out_k, out_s, out_p = [], [], []
-            for key, text in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            kept, own = [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
                 s, p = seeds(_hashes.of(words(text)), short)
                 hit = np.nonzero(maybe(bits, s))[0]
-                out_k += [key] * len(hit)
-                out_s.append(s[hit].view(np.int64))
-                out_p.append(p[hit])
-            join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.string()), join(out_s), join(out_p)], names=["key", "seed", "place"])
-
-    hits = texts.mapInArrow(probe, "key string, seed long, place long")
+                if len(hit):
+                    kept.append(k)
+                    own.append([{"seed": a, "place": b} for a, b in zip(s[hit].view(np.int64).tolist(), p[hit].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(kept, pa.int64())), batch["text"].take(pa.array(kept, pa.int64())), pa.array(own, kind)], names=["key", "text", "hits"])
+
+    # Only these texts go on; the others are neither shuffled nor read again.
+    held = saved(texts.select("key", "text").mapInArrow(probe, "key string, text string, hits array<struct<seed:long,place:long>>"), "hits")
+    hits = held.select("key", F.explode("hits").alias("hit")).select("key", "hit.*")
     pairs = hits.join(keys, "seed").select("key", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
     pairs = pairs.join(items.withColumnRenamed("text", "item_text"), "item")
     pairs = saved(pairs.groupBy("key").agg(F.collect_set(F.struct("item", "shift", "item_text")).alias("pairs")), "pairs")
@@ -142,7 +148,7 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "item", "first_word", "n_words", "n_equal"])
 
-    return saved(texts.join(pairs, "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
+    return saved(held.select("key", "text").join(pairs, "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
 
 
 def _text(key: str) -> list:
@@ -160,10 +166,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, whose text overlaps with no item."""
-    own = keyed(docs, "key_")
-    texts = own.select(F.col("key_").alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    found = text_overlaps(texts, keyed(benchmark, "item").select(*_text("item")))
-    return own.join(found.select(F.col("key").alias("key_")).distinct(), "key_", "left_anti").drop("key_")
+    key, item = fresh(docs, "key_"), fresh(benchmark, "item")
+    own = keyed(docs, key)
+    items = keyed(benchmark, item).select(*_text(item)).toDF("item", "text")
+    found = text_overlaps(own.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text")), items)
+    leaks = saved(found.select(F.col("key").alias(key)).distinct(), "leaks")
+    free, rest = parted(own, leaks, key)
+    return free.unionByName(rest.join(leaks, key, "left_anti").select(*own.columns)).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

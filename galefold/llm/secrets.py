@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 MAX_LABELLED = 20_000
 TREES, DEPTH, SEED = 20, 6, 42
@@ -120,12 +120,13 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of docs, all of them and with the same columns; secrets in text read REDACTED, and n_chars follows."""
-    bad = secrets(docs, labelled).where("is_secret").groupBy("key").agg(F.collect_set("value").alias("values_")).withColumnRenamed("key", "key_")
+    key, found = fresh(docs, "key_"), fresh(docs, "values_")
+    bad = secrets(docs, labelled).where("is_secret").groupBy("key").agg(F.collect_set("value").alias(found)).withColumnRenamed("key", key)
     # Longer values first, so that one inside another leaves nothing behind.
-    order = F.array_sort("values_", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rows = docs.withColumn("key_", row_key()).join(saved(bad, "secrets"), "key_", "left")
-    text = F.when(F.col("values_").isNull(), F.col("text")).otherwise(F.aggregate(order, F.col("text"), lambda t, v: F.replace(t, v, F.lit(REDACTED))))
-    chars = F.when(F.col("values_").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
+    order = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    rows = docs.withColumn(key, row_key()).join(saved(bad, "secrets"), key, "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.aggregate(order, F.col("text"), lambda t, v: F.replace(t, v, F.lit(REDACTED))))
+    chars = F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return rows.select(*(text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
 

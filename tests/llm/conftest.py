@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, tab int, score double, label int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, tab int, score double, key_ int"
 
 
 def prose(rng, n, stock=400):
