@@ -7,7 +7,6 @@ before it, runs as a grouped function, on one tilt's region graph at a time.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
