@@ -11,7 +11,7 @@ import unicodedata
 from array import array
 
 #: Pieces in a generation of the cache. A Python worker keeps two: the older one goes when the newer is full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 150_000
 #: Marks that may close a piece and form a token run of their own after a letter.
 _MARKS = ".,;:!?#$%&*|"
 
