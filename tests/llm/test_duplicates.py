@@ -130,6 +130,75 @@ def test_keep_one_against_all_pairs(spark):
     assert want <= got and len(got - want) <= len(texts) * 0.01
 
 
+def family(rng, core, spread):
+    """Variants of one text: some keep all its words, some change a few."""
+    base = [f"c{rng.randrange(5000)}" for _ in range(core)]
+    out = []
+    for _ in range(spread):
+        copy = list(base)
+        for at in rng.sample(range(core), rng.randint(1, max(1, core // 30))):
+            copy[at] = f"v{rng.randrange(5000)}"
+        if rng.random() < 0.4:
+            at = rng.randrange(core - 20)
+            block = copy[at : at + 20]
+            rng.shuffle(block)
+            copy[at : at + 20] = block
+        out.append(copy)
+    return out
+
+
+def kept_and_wanted(spark, texts, **more):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [shingle5(t) for t in texts]
+    at: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            at.setdefault(x, []).append(k)
+    pairs = {(a, b) for own in at.values() for b in own for a in own if a < b}
+    pairs = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = groups_of(len(texts), pairs)
+    return {r.doc_id for r in simhash.keep_one(docs, **more).collect()}, set(root), root, pairs
+
+
+def test_keep_one_on_texts_with_the_same_words(spark):
+    """The first text has the words of the others in another order; they are alike, it isn't."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        moved = [*base[:50], *base[55:], *base[50:55]]
+        odd = [sorted(base), sorted(base, reverse=True)]
+        texts += [" ".join(x) for x in (odd[0], base, moved, odd[1])]
+    got, want, _, _ = kept_and_wanted(spark, texts)
+    assert got == want and len(want) == 60
+
+
+def test_keep_one_on_large_families(spark):
+    rng = random.Random(4)
+    texts = [" ".join(x) for core in (90, 150, 240) for x in family(rng, core, 200)]
+    got, want, _, _ = kept_and_wanted(spark, texts)
+    assert want <= got and len(got - want) <= len(texts) * 0.005
+
+
+def test_large_buckets_in_tiles(spark):
+    rng = random.Random(5)
+    texts = [" ".join(x) for x in family(rng, 150, 120)]
+    frame = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "key string, text string")
+    at = lambda limit: groups_of(len(texts), [(int(r.a), int(r.b)) for r in simhash.similar_links(frame, node_limit=limit).collect()])
+    assert at(10) == at(4096)
+
+
+def test_verified_links_connect_what_all_pairs_connect():
+    rng = np.random.default_rng(6)
+    base = rng.choice(10**6, 60, replace=False)
+    sets = [np.unique(np.where(rng.random(60) < 0.1, rng.integers(0, 10**6, 60), base)).astype("<u4") for _ in range(80)] + [np.zeros(0, "<u4")] * 2
+    near = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    pairs = [(a, b) for b in range(82) for a in range(b) if near(sets[a], sets[b])]
+    links = simhash.verified_links(sets, 0.8)
+    assert all(near(sets[a], sets[b]) for a, b in links) and groups_of(82, links) == groups_of(82, pairs)
+    assert len(links) == 82 - len(set(groups_of(82, pairs)))
+
+
 def test_keep_one_odd_rows(spark, messy, nothing):
     kept = simhash.keep_one(messy)
     assert kept.columns == messy.columns and simhash.keep_one(nothing).count() == 0
