@@ -263,3 +263,33 @@ def test_op6_equals_its_sql(spark):
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     got = substrings.op6(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
     assert sorted(map(tuple, got)) == sorted(con.execute(OP6_SQL).fetchall())
+
+
+def edited(rng, words, kind, share):
+    """A copy with about this share of the words changed in one way."""
+    n = max(1, int(len(words) * share))
+    if kind == "appended":
+        return words + [f"n{rng.randrange(10**6)}" for _ in range(n)]
+    if kind == "truncated":
+        return words[:-n]
+    if kind == "moved":
+        at = rng.randrange(len(words) - n)
+        rest = words[:at] + words[at + n :]
+        to = rng.randrange(len(rest))
+        return rest[:to] + words[at : at + n] + rest[to:]
+    copy = list(words)
+    for at in rng.sample(range(len(words)), max(1, n // 6)):
+        copy[at] = f"n{rng.randrange(10**6)}"
+    return copy
+
+
+@pytest.mark.parametrize("kind", ["substituted", "appended", "truncated", "moved"])
+def test_copies_of_each_kind_of_edit_share_a_key(kind):
+    rng, hashes, found = random.Random(9), simhash.WordHashes(), []
+    while len(found) < 600:
+        words = [f"w{int(rng.paretovariate(0.4)) % 4000}" for _ in range(rng.randint(60, 600))]
+        a, b = (simhash.shingle_set([w.encode() for w in x], 5, hashes) for x in (words, edited(rng, words, kind, rng.uniform(0.02, 0.25))))
+        both = len(np.intersect1d(a, b))
+        if 0.8 <= both / (len(a) + len(b) - both) < 0.86:
+            found.append((simhash.bands(a) == simhash.bands(b)).any())
+    assert np.mean(found) >= 0.99
