@@ -1,6 +1,10 @@
 """Operator 4: secret scans whose false positives a random forest removes. DataFrame functions and Spark ML only.
 
-Candidates are runs of value characters with letters or digits enough, one row each, with
+Candidates are all runs of eight or more value characters with a digit among them, and,
+whatever its characters, the right-hand side of an assignment to a credential's name
+(in quotes up to the closing quote or a blank, else up to a blank or the next assignment;
+four characters or more, since redaction replaces a value wherever its text has it).
+A name ends at its = or :, so in name=value the value stands alone. One row each, with
 the words around them. Features: length, changes between kinds of characters, share of
 the value that dictionary words cover (the dictionary is counted over all documents),
 the path they come from, and the neighbouring words. A forest is trained on labelled
@@ -33,11 +37,17 @@ DICTIONARY_COUNT = 20
 REDACTED = "[SECRET]"
 
 _SPACE = r"[\x20\x09-\x0D]+"
-#: A word that may hold a value: eight or more value characters in a row, a digit among them.
-_VALUE = r"[A-Za-z0-9+/_.@=~-]{8,}"
-_CANDIDATE = r"(?=[^\x20\x09-\x0D]*[0-9])" + _VALUE
+#: A run of value characters, a digit among them; = only as padding at its end.
+_CANDIDATE = r"(?=[A-Za-z+/_.@~-]*[0-9])[A-Za-z0-9+/_.@~-]{8,}+(?:={1,2}(?![A-Za-z0-9+/_.@=~-]))?"
 # Names of credentials, and shapes that aren't secrets.
 _NAMES = r"(?i)(token|secret|passw(or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|apikey)"
+_NAME = r"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)[A-Za-z0-9_.-]*"
+#: In words joined by blanks, a credential's name, its operator and (group 1) the value.
+_NAMED = (
+    r"(?i)(?:" + _NAME + r"\\?[\"'`]?\]? ?(?:=>|:=|={1,3}|:) ?(?:(?:bearer|basic) )?|\bbearer |(?<![A-Za-z0-9_-])--?[a-z-]*" + _NAME + r" )\\?[\"'`]?"
+    r"((?<=\")[^\" ]{4,}|(?<=')[^' ]{4,}|(?<=`)[^` ]{4,}|[^\"'` =:>](?:(?![&,;?][A-Za-z0-9_.-]+[\"']?[=:]|[,;)}\]\"'`]+(?: |$))[^ ]){3,})"
+)
+_HAS_NAME = r"(?i)" + _NAME
 _TEST_PATH = r"(?i)(test|example|sample|mock|fixture|demo)"
 _NUMBER = r"^[0-9.+/=_-]+$"
 _ADDRESS = r"@|^(https?|www)|\.(com|org|net|html?)\b"
@@ -59,16 +69,19 @@ def candidates(docs: DataFrame) -> DataFrame:
     """key, doc_id, path, place (of the word in the text), value, and the words around it."""
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), row_key().alias("key"), _text().alias("text"))
     # Most texts hold no candidate at all; one pass of an expression spares them the split.
-    held = held.where(F.col("text").rlike(_CANDIDATE)).withColumn("words", F.split("text", _SPACE)).drop("text")
-    places = F.filter(F.sequence(F.lit(1), F.size("words")), lambda k: F.element_at("words", k).rlike(_CANDIDATE))
+    held = held.where(F.col("text").rlike(_CANDIDATE) | F.col("text").rlike(_HAS_NAME)).withColumn("words", F.split("text", _SPACE)).drop("text")
+    get = lambda at: F.coalesce(F.get("words", at), F.lit(""))
+    context = lambda at: F.concat_ws(" ", get(at - 2), get(at - 1), get(at))
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: get(k).rlike(_CANDIDATE) | context(k).rlike(_NAMED))
     rows = held.withColumn("at", F.explode(places))
-    word = lambda shift: F.coalesce(F.get("words", F.col("at") - 1 + shift), F.lit(""))
+    word = lambda shift: get(F.col("at") + shift)
     own, next_word = word(0), word(1)
     before = [word(-k) for k in (1, 2, 3)]
-    value = F.regexp_extract(own, _CANDIDATE, 0)
+    runs = F.regexp_extract_all(own, F.lit(_CANDIDATE), F.lit(0))
+    named = F.filter(F.regexp_extract_all(context(F.col("at")), F.lit(_NAMED), F.lit(1)), lambda v: F.contains(own, v))
     return rows.select(
-        "key", "doc_id", "path", (F.col("at") - 1).cast("long").alias("place"), value.alias("value"), own.alias("word"), *(b.alias(f"before{k}") for k, b in enumerate(before, 1)), next_word.alias("after"),
-    ).where("length(value) >= 8")
+        "key", "doc_id", "path", F.col("at").cast("long").alias("place"), F.explode(F.array_distinct(F.concat(runs, named))).alias("value"), own.alias("word"), *(b.alias(f"before{k}") for k, b in enumerate(before, 1)), next_word.alias("after"),
+    )
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -86,14 +99,17 @@ def findings(docs: DataFrame) -> DataFrame:
     n, value, word = F.length("value"), F.col("value"), F.col("word")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
     flag = lambda c: c.cast("double")
-    assigned = F.col("before1").rlike("[=:]$") | word.rlike(r"[=:][\"']?" + _VALUE)
-    near = F.concat_ws(" ", "before3", "before2", "before1", F.substring_index(word, "=", 1))
+    # The word up to the value, and of it what follows the last separator: the value's own name.
+    lead = F.when(F.contains(word, value), F.expr("substring_index(word, value, 1)")).otherwise("")
+    named = F.regexp_extract(lead, r"[^,;&?{}]*$", 0)
+    assigned = (F.col("before1").rlike("[=:>]$") & lead.rlike(r"^\\?[\"'`]?$")) | lead.rlike(r"[=:>]\\?[\"'`]?$")
+    near = F.concat_ws(" ", "before3", "before2", "before1", named)
     rows = found.join(known, "value", "left").select(
         "key", "doc_id", "place", "value",
         n.cast("double").alias("value_length"), (F.regexp_count(value, F.lit(_CHANGES)) / n).alias("changes"), share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"), share("[aeiouAEIOU]").alias("vowel_share"),
         (F.size(F.array_distinct(F.split(value, ""))) / n).alias("distinct_share"), share("[^A-Za-z0-9]").alias("mark_share"), flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hex"), (F.coalesce("covered", F.lit(0)) / n).alias("dictionary"),
         F.length("path").cast("double").alias("path_length"), F.regexp_count("path", F.lit("/")).cast("double").alias("path_depth"), flag(F.col("path").rlike(_TEST_PATH)).alias("path_test"),
-        flag(F.concat_ws(" ", "before2", "before1").rlike(_NAMES)).alias("named_before"), flag(near.rlike(_NAMES)).alias("named_near"), flag(assigned).alias("assigned"), flag(word.rlike(r"[\"'`]" + _VALUE)).alias("quoted"),
+        flag(F.concat_ws(" ", "before2", "before1").rlike(_NAMES)).alias("named_before"), flag(near.rlike(_NAMES)).alias("named_near"), flag(assigned).alias("assigned"), flag(lead.rlike(r"[\"'`]$")).alias("quoted"),
         F.length("before1").cast("double").alias("word_before"), F.length("after").cast("double").alias("word_after"),
     )
     mixed = (F.col("digit_share") > 0.1) & (F.col("digit_share") < 1) & (n >= 16)
