@@ -140,6 +140,16 @@ COMPACT = {
     "api_key: q8w7e6r5t4y3": {"q8w7e6r5t4y3"},
     "export TOKEN=YWJjZGVmZzEyMzQ1==": {"YWJjZGVmZzEyMzQ1=="},
 }
+LOOSE = {
+    'password = "CorrectHorseBattery"': {"CorrectHorseBattery"},
+    "password: CorrectHorseBattery": {"CorrectHorseBattery"},
+    '{"password":"CorrectHorseBattery","user":"bob"}': {"CorrectHorseBattery"},
+    "db_password=pass!word#12": {"pass!word#12"},
+    "passwd := 'a$b%c&d*e:f'": {"a$b%c&d*e:f"},
+    'secret ="x!y?z(w)"': {"x!y?z(w)"},
+    "run --password open!sesame now": {"open!sesame"},
+    "Authorization: Bearer abcdefGHIJKL": {"abcdefGHIJKL"},
+}
 
 
 def values_of(spark, texts):
@@ -155,6 +165,11 @@ def test_every_run_of_a_word_is_a_candidate(spark):
         assert want <= got and not any("password" in v or "_key" in v or v.startswith("user_name") for v in got), (text, got)
 
 
+def test_named_values_of_any_characters_are_candidates(spark):
+    for (text, want), got in zip(LOOSE.items(), values_of(spark, LOOSE), strict=True):
+        assert want <= got, (text, got)
+
+
 def test_compact_assignments_are_redacted(spark, leaking):
     docs, _ = leaking
     values = [f"{k:x}9f8e7d6c5b4a39281706f5e4d3c2b1a{k % 7}" for k in range(20, 50)]
