@@ -2,8 +2,12 @@
 
 Words (lower case, letters, digits and _) of a window of SPAN are dealt into four groups
 by position; each of six fixed masks keeps two groups and ignores the others. Any two
-substitutions in a window leave at least one mask untouched, so every gap-free overlap
-of SPAN words or more with at least MIN_SIMILARITY equal words has a seed in common.
+substitutions in a window leave at least one mask untouched. With three and more, some
+patterns (such as three words in a row of 15) touch all masks of all windows; two more
+seeds, SPREAD, were chosen to be untouched by one of these each. So every gap-free overlap
+of SPAN to 23 words with at least MIN_SIMILARITY equal words has a seed in common, which a
+test enumerates, and so has every longer one: cut into pieces of SPAN to 23 words, it has
+a piece with at least that share of equal words.
 Seeds of test items and of documents are joined on their hash; around each hit the
 aligned words are compared, and the best stretch is reported if it is long and similar
 enough. Items shorter than SPAN must occur word by word.
@@ -35,8 +39,12 @@ GROUPS = 4
 MIN_SIMILARITY = 0.8
 #: Pairs of groups that each mask keeps.
 MASKS = list(combinations(range(GROUPS), 2))
+#: Words of the seeds for patterns of substitutions that touch every mask.
+SPREAD = ((0, 1, 2, 7, 12, 13, 14), (0, 1, 2, 3, 8, 11, 12))
 _MULTIPLIERS = multipliers(SPAN, 100)
 _MASK_MARKS = multipliers(len(MASKS), 101)
+_SPREAD_MULTIPLIERS = multipliers(max(map(max, SPREAD)) + 1, 102)
+_SPREAD_MARKS = multipliers(len(SPREAD), 103)
 _EXACT = multipliers(SPAN, 99)
 _WORD = re.compile(r"\w+")
 _hashes = WordHashes()
@@ -55,6 +63,11 @@ def seeds(h: np.ndarray, short: set[int] | None = None) -> tuple[np.ndarray, np.
         groups = [sum(h[p : p + n] * _MULTIPLIERS[p] for p in range(g, SPAN, GROUPS)) for g in range(GROUPS)]
         found += [groups[x] + groups[y] + mark for (x, y), mark in zip(MASKS, _MASK_MARKS, strict=True)]
         starts += [np.arange(n)] * len(MASKS)
+    for places, mark in zip(SPREAD, _SPREAD_MARKS, strict=True):
+        n = len(h) - places[-1]
+        if n > 0:
+            found.append(sum(h[p : p + n] * _SPREAD_MULTIPLIERS[p] for p in places) + mark)
+            starts.append(np.arange(n))
     for n in short if short is not None else ({len(h)} if 0 < len(h) < SPAN else ()):
         found.append(mixed(run_hashes(h, list(range(n)), _EXACT, n) + np.uint64(n)))
         starts.append(np.arange(len(found[-1])))

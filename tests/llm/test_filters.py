@@ -1,5 +1,6 @@
 import random
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -75,6 +76,26 @@ def test_op5_messy(spark, messy, benchmark_items):
     assert decontamination.clean(messy, benchmark_items).count() == messy.count()
 
 
+@pytest.mark.parametrize("n", range(decontamination.SPAN, 2 * decontamination.SPAN))
+def test_every_pattern_of_substitutions_leaves_a_seed(n):
+    """Longer overlaps have a piece of one of these lengths with the same share of equal words."""
+    doc = np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    own, at = decontamination.seeds(doc)
+    own = {*zip(own.tolist(), at.tolist(), strict=True)}
+    for k in range(n // 5 + 1):
+        for gone in combinations(range(n), k):
+            item = doc.copy()
+            item[list(gone)] = 7
+            assert not own.isdisjoint(zip(*(x.tolist() for x in decontamination.seeds(item)), strict=True)), gone
+
+
+def test_op5_three_words_in_a_row(spark):
+    item = [f"q{k}" for k in range(15)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *item[:3], "x", "y", "z", *item[6:], "b"]))], "doc_id long, text string")
+    (found,) = decontamination.overlaps(docs, spark.createDataFrame([(4, " ".join(item))], "item_id long, text string")).collect()
+    assert (found.doc_id, found.item_id, found.first_word, found.n_words, found.n_equal) == (1, 4, 1, 15, 12)
+
+
 # -- secrets -----------------------------------------------------------------------------------
 
 
