@@ -29,12 +29,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         ids = self.tokenizer.encode("a b", add_special_tokens=False).tokens
         self.keeps_space = any(t.startswith("Ġ") for t in ids)
-        self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.pieces, self.marks, self.odd = _Pieces(self, {}), {}, False
         self.line_end = self._encode(["\n"])[0]
         # Byte-level BPE spells bytes as characters: printable ones as themselves, the rest from U+0100 on.
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.blank = chr(0x100 + 0x20) if self.keeps_space else ""
         self.spell = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in plain)}
 
     @classmethod
@@ -69,36 +68,51 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2000], add_special_tokens=False)]
         return out
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Put pieces in the cache. Closing marks after a letter are a token run of their own in every pre-tokenizer here."""
-        tails = {x: core for x in pieces if x[-1:] in _MARKS and (core := x.rstrip(_MARKS))[-1:].lower().isalpha()}
-        wanted = pieces.difference(tails).union(tails.values()).difference(self.pieces)
-        for x in wanted.intersection(self.older):
-            self.pieces[x] = self.older[x]
-        fresh = wanted.difference(self.older)
+    def ids(self, piece: str) -> bytes:
+        """The ids of a piece that isn't in the cache. An odd piece sets `odd`, and its text must be encoded whole."""
+        # Closing marks after a letter are a token run of their own in every pre-tokenizer here.
+        if piece[-1:] in _MARKS and (core := piece.rstrip(_MARKS))[-1:].lower().isalpha():
+            marks = piece[len(core) :]
+            if len(self.marks) > 1000:
+                self.marks.clear()
+            if marks not in self.marks:
+                self.marks[marks] = self._encode([marks])[0]
+            return self.pieces[core] + self.marks[marks]
+        if self._odd(piece):
+            self.odd = True
+            return b""
+        at_line = self.keeps_space and piece[0] == "\n"
+        word = piece[1:] if at_line else piece
         # One run of letters is one word to every pre-tokenizer here, and goes to the library's model directly.
-        letters = [x for x in fresh if (x[1:] if self.keeps_space and x[:1] == "\n" else x).isalpha() and self._stays(x)]
-        spell, model, before = self.spell, self.tokenizer.model, " " if self.keeps_space else ""
-        ids = lambda word: array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(spell))]).tobytes()
-        for x in letters:
-            self.pieces[x] = self.line_end + ids(x[1:]) if x[0] == "\n" else ids(before + x)
-        rest = list(fresh.difference(letters))
-        self.pieces.update(zip(rest, self._encode([x if not self.keeps_space or x[:1] == "\n" else " " + x for x in rest]), strict=True))
-        if tails:
-            marks = list({x[len(core) :] for x, core in tails.items()}.difference(self.marks))
-            self.marks.update(zip(marks, self._encode(marks), strict=True))
-            self.pieces.update((x, self.pieces[core] + self.marks[x[len(core) :]]) for x, core in tails.items())
+        if word.isalpha() and self._stays(word):
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.spell)
+            own = array("I", [t.id for t in self.tokenizer.model.tokenize(self.blank + spelt if not at_line else spelt)]).tobytes()
+            return self.line_end + own if at_line else own
+        return self._encode([piece if at_line or not self.keeps_space else " " + piece])[0] if piece else b""
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes of little-endian unsigned 32-bit integers."""
-        cuts: list[list[str] | None] = [self._cut(t) for t in texts]
-        if len(self.pieces) > CACHE_PIECES:
-            self.older, self.pieces = self.pieces, {}
-        unseen = set().union(*cuts).difference(self.pieces)
-        whole: dict[int, bytes] = {}
-        if odd := {x for x in unseen if self._odd(x)}:
-            places = [k for k, cut in enumerate(cuts) if not odd.isdisjoint(cut)]
-            whole = dict(zip(places, self._encode([texts[k] for k in places]), strict=True))
-        self._learn(unseen.difference(odd))
-        get, drop = self.pieces.__getitem__, 4 if self.keeps_space else 0
-        return [whole[k] if k in whole else b"".join(map(get, cut))[drop:] for k, cut in enumerate(cuts)]
+        drop, out = 4 if self.keeps_space else 0, []
+        for text in texts:
+            if len(self.pieces) > CACHE_PIECES:
+                self.pieces = _Pieces(self, dict(self.pieces))
+            self.odd = False
+            ids = b"".join(map(self.pieces.__getitem__, self._cut(text)))[drop:]
+            out.append(self._encode([text])[0] if self.odd else ids)
+        return out
+
+
+class _Pieces(dict):
+    """The newer generation of the cache; what it lacks comes from the older one or is encoded."""
+
+    def __init__(self, encoder: Encoder, older: dict[str, bytes]):
+        self.encoder, self.older = encoder, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = b"" if self.encoder.odd else self.encoder.ids(piece)
+            if self.encoder.odd:
+                return ids
+        self[piece] = ids
+        return ids
