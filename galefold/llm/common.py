@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,11 +26,13 @@ def short_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that setting is absent (tests in local mode) a folder is made and set.
+    Only in local mode, as in tests, a folder is made and set where that setting is absent.
     """
     short_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-galefold-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -48,7 +50,14 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(written: DataFrame) -> None:
+    """Delete the table of a DataFrame that `saved` gave, once nothing reads it."""
+    forget(written.sparkSession, written.saved_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +78,7 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def batches(rows: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def batches(rows: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of bounded size, so that a task holds few texts as Python objects."""
     for batch in rows:
         step = max(1, min(batch.num_rows or 1, int(batch.num_rows * chars / max(1, batch.nbytes))))
@@ -77,50 +86,56 @@ def batches(rows: Iterator[pa.RecordBatch], chars: int = 8_000_000) -> Iterator[
             yield batch.slice(at, step)
 
 
-#: log2 of the bits in a Bloom filter; the size is fixed, whatever the data's size.
-BLOOM_BITS = 24
+def as_bytes(texts: pa.Array) -> list[bytes]:
+    return texts.cast(pa.binary()).to_pylist()
+
+
+#: Bits of a Bloom filter for each key, and log2 of the bits that it has at least and at most.
+BLOOM_KEY_BITS, BLOOM_LEAST, BLOOM_MOST = 16, 20, 27
 
 
 def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of a long column, two bits a key: at most 2**(BLOOM_BITS - 6) words come to the driver."""
-    top = (1 << BLOOM_BITS) - 1
-    bit = F.explode(F.array(F.col(column).bitwiseAND(top), F.shiftrightunsigned(column, BLOOM_BITS).bitwiseAND(top)))
-    rows = keys.select(bit.alias("bit")).groupBy((F.col("bit") / 64).cast("long").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    for word, bits in rows.collect():
-        out[word] = bits
+    """A Bloom filter of a long column, two bits a key.
+
+    Its size follows the number of keys up to 2**BLOOM_MOST bits (16 MB, for some 8 million
+    keys); beyond, it lets more and more pass. It only ever spares work: a join decides.
+    """
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, (BLOOM_KEY_BITS * keys.count()).bit_length()))
+    top = (1 << size) - 1
+    bit = F.explode(F.array(F.col(column).bitwiseAND(top), F.shiftrightunsigned(column, 32).bitwiseAND(top)))
+    rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
+    found, out = rows.toArrow(), np.zeros(1 << (size - 6), np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
 def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Of unsigned 64-bit keys: False only for those that aren't in the filter."""
-    top = np.uint64((1 << BLOOM_BITS) - 1)
+    top = np.uint64(64 * len(bits) - 1)
     has = lambda x: (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
     out = has(keys & top) > 0
-    out[out] = has((keys[out] >> np.uint64(BLOOM_BITS)) & top) > 0
+    out[out] = has((keys[out] >> np.uint64(32)) & top) > 0
     return out
 
 
-def parted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """The rows of df whose `key` can't be among keys (a column of the same name), and the rest, which a join must settle.
+def sieve(keys: DataFrame, *columns: str) -> Callable[..., Column]:
+    """A function of as many columns: false only where their values aren't among keys. Only a hash goes to Python."""
+    bits = keys.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64(*columns).alias("key")), "key"))
 
-    A Bloom filter decides, so that at any size only the rest is shuffled.
-    """
-    sieve, mark = df.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64(key).alias("key")), "key")), fresh(df, "hash_")
-    names = df.columns
+    @F.arrow_udf("boolean")
+    def among(hashes: pa.Array) -> pa.Array:
+        return pa.array(maybe(bits.value, hashes.to_numpy(zero_copy_only=False).view(np.uint64)))
 
-    def rows(inside: bool) -> DataFrame:
-        def run(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches_:
-                has = maybe(sieve.value, batch[mark].to_numpy(zero_copy_only=False).view(np.uint64))
-                yield batch.filter(pa.array(has == inside)).select(names)
+    return lambda *own: among(F.xxhash64(*own))
 
-        return df.withColumn(mark, F.xxhash64(key)).mapInArrow(run, df.schema)
 
-    return rows(False), rows(True)
+def parted(df: DataFrame, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose `key` can't be among keys (a column of the same name), and the rest, which a join must settle."""
+    among = sieve(keys, key)(F.col(key))
+    return df.where(~among), df.where(among)
 
 
 def forget(spark: SparkSession, path: str) -> None:
-    """Delete a table that `saved` wrote, once nothing reads it."""
+    """Delete what was written at this path."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

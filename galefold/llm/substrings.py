@@ -8,10 +8,11 @@ first place where it starts. A new batch is merged with the runs by these two ha
 
 1. A span that stands earlier as well has only repeated windows.
 2. Where one anchor has several different spans, some windows may still be equal. The
-   texts of these spans are fetched, from new and historical documents, and their
-   windows compared one by one on 128 bits.
-3. The merge writes the new spans as a run; once there are `max_runs`, it writes the
-   old runs' spans with them and so compacts the log.
+   texts of these spans are fetched and their windows merged one by one, on 128 bits, with
+   a second log of runs that holds such windows. A historical text is fetched only when
+   one of its anchors meets a second span for the first time.
+3. The merge writes the new spans or windows as a run; once there are `max_runs`, it
+   writes the old runs' rows with them and so compacts the log.
 
 Tasks settle repeats among their own documents before anything is shuffled, so that a
 passage which stands in a third of all documents gives a row for each task and not for
@@ -31,60 +32,64 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bloom, forget, maybe, new_path, saved, whole_texts
-from .words import WordHashes, mixed, multipliers, run_hashes
+from .common import as_bytes, batches, drop, forget, new_path, parted, saved, whole_texts
+from .words import Words, hashed, inverse, ladder, mixed, multipliers, run_hashes
 
 WINDOW = 20
 GRAM = 5
 #: Spans that a task settles among themselves at once.
 BLOCK = 1_000_000
 _GRAM = multipliers(GRAM, 200)
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
-_hashes = WordHashes()
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 SPANS = "kind int, a long, c long, doc long, first int, last int"
 #: Kinds of rows: a span that isn't known elsewhere yet, one whose windows are all repeated, the first of its kind.
 OPEN, REPEATED, FIRST = 0, 1, 2
 
 
-def _ladder(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64."""
-    if k not in _powers or len(_powers[k][0]) < n:
-        base, inverse = _BASES[k], np.uint64(pow(int(_BASES[k]), -1, 1 << 64))
-        size = max(n, 1 << 12)
-        up = lambda x: np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x)]), dtype=np.uint64)
-        _powers[k] = up(base), up(inverse)
-    return _powers[k]
-
-
 def stretch_hashes(h: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
     """Hashes, by the k-th base, of the words from begin to end."""
-    up, down = _ladder(k, len(h) + 1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h + np.uint64(k)) * up[: len(h)], dtype=np.uint64)])
+    up, down = ladder(_BASES[k], len(h) + 1), ladder(inverse(_BASES[k]), len(h) + 1)
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(mixed(h + np.uint64(k)) * up[: len(h)], out=total[1:])
     return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
-def spans(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(anchor hash, span hash, first window, last window) of a document's word hashes."""
+def least_of(g: np.ndarray, width: int) -> np.ndarray:
+    """Where the least of each `width` numbers in a row stands, the first of equal ones."""
+    at, covered = np.arange(len(g)), 1
+    while covered < width:
+        step = min(covered, width - covered)
+        later = g[step:] < g[:-step]
+        g, at, covered = np.where(later, g[step:], g[:-step]), np.where(later, at[step:], at[:-step]), covered + step
+    return at
+
+
+def spans(words: Words) -> tuple[np.ndarray, ...]:
+    """(text, anchor hash, span hash, first window, last window) of all spans; windows count from their text's start."""
+    h, none = words.hashes, np.zeros(0, np.int64)
     if len(h) < WINDOW:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none.view(np.uint64), none.view(np.uint64), none, none
     g = run_hashes(h, list(range(GRAM)), _GRAM, GRAM)
-    wide = np.lib.stride_tricks.sliding_window_view(g, WINDOW - GRAM + 1)
-    anchor = wide.argmin(axis=1) + np.arange(len(wide))
-    first = np.concatenate([[0], np.nonzero(anchor[1:] != anchor[:-1])[0] + 1])
-    last = np.append(first[1:], len(anchor)) - 1
-    return g[anchor[first]], stretch_hashes(h, first, last + WINDOW, 0), first, last
-
-
-def windows(h: np.ndarray, own: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, other hash, start) of each window in a document's spans."""
-    edge = np.zeros(len(h) + 1, np.int64)
-    for span in own:
-        edge[span["first"]] += 1
-        edge[span["last"] + 1] -= 1
+    anchor = least_of(g, WINDOW - GRAM + 1)
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    inside = text[: len(anchor)] == text[WINDOW - 1 :]
+    same = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & inside[1:] & inside[:-1], [False]])
+    first, last = np.nonzero(inside & ~same[:-1])[0], np.nonzero(inside & ~same[1:])[0]
+    start = words.first[text[first]]
+    return text[first], g[anchor[first]], stretch_hashes(h, first, last + WINDOW, 0), first - start, last - start
+
+
+def windows(words: Words, own: list[list[dict]]) -> tuple[np.ndarray, ...]:
+    """(text, hash, other hash, start) of each window in the spans that each text has."""
+    edge = np.zeros(len(words.hashes) + 1, np.int64)
+    for start, of_text in zip(words.first.tolist(), own, strict=False):
+        for span in of_text:
+            edge[start + span["first"]] += 1
+            edge[start + span["last"] + 1] -= 1
     at = np.nonzero(np.cumsum(edge))[0]
-    return stretch_hashes(h, at, at + WINDOW, 0), stretch_hashes(h, at, at + WINDOW, 1), at
+    text = np.searchsorted(words.first, at, side="right") - 1
+    return text, stretch_hashes(words.hashes, at, at + WINDOW, 0), stretch_hashes(words.hashes, at, at + WINDOW, 1), at - words.first[text]
 
 
 def _batch(kind, a, c, doc, first, last) -> pa.RecordBatch:
@@ -100,15 +105,19 @@ class _Block:
     def __init__(self):
         self.parts, self.n = [], 0
 
-    def add(self, doc: int, a: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
-        self.parts.append((a, c, np.full(len(a), doc, np.int64), first, last))
+    def add(self, doc: np.ndarray, a: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
+        self.parts.append((a, c, doc, first, last))
         self.n += len(a)
         return self.n >= BLOCK
 
     def settled(self) -> Iterator[pa.RecordBatch]:
         if self.n:
             a, c, doc, first, last = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-            order = np.lexsort((first, doc, c, a))
+            if (doc[1:] < doc[:-1]).any():
+                order = np.lexsort((first, doc))
+                a, c, doc, first, last = (x[order] for x in (a, c, doc, first, last))
+            # In the order of one hash of both; where two pairs share it, repeats may stay open for the merge.
+            order = np.argsort(a ^ mixed(c), kind="stable")
             a, c, doc, first, last = (x[order] for x in (a, c, doc, first, last))
             again = np.concatenate([[False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])])
             for at in range(0, len(a), 100_000):
@@ -117,22 +126,25 @@ class _Block:
         self.parts, self.n = [], 0
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
 def _find_spans(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block()
     for batch in batches(rows):
-        for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            if block.add(doc, *spans(_hashes.of(text.encode().split()))):
-                yield from block.settled()
+        text, *found = spans(hashed(as_bytes(batch["text"])))
+        if block.add(_numbers(batch["doc"])[text], *found):
+            yield from block.settled()
     yield from block.settled()
 
 
 def _find_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block()
     for batch in batches(rows):
-        for doc, text, own in zip(batch["doc"].to_pylist(), batch["text"].to_pylist(), batch["own"].to_pylist(), strict=True):
-            a, c, at = windows(_hashes.of(text.encode().split()), own)
-            if block.add(doc, a, c, at, at):
-                yield from block.settled()
+        text, a, c, at = windows(hashed(as_bytes(batch["text"])), batch["own"].to_pylist())
+        if block.add(_numbers(batch["doc"])[text], a, c, at, at):
+            yield from block.settled()
     yield from block.settled()
 
 
@@ -151,27 +163,11 @@ def merged(rows: DataFrame) -> DataFrame:
     return rows.select("a", "c", "doc", "first", "last").repartition("a", "c").sortWithinPartitions("a", "c", "doc", "first").mapInArrow(_merge, SPANS)
 
 
-def _sieve(keys: DataFrame):
-    """A Bloom filter of keys (doc) for the tasks."""
-    return keys.sparkSession.sparkContext.broadcast(bloom(keys.select(F.xxhash64("doc").alias("key")), "key"))
-
-
-def _sifted(texts: DataFrame, sieve, inside: bool = True) -> DataFrame:
-    """The rows (doc_id, doc, text) that may be among a sieve's keys, or those that can't be; so most texts are spared a shuffle."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            has = maybe(sieve.value, batch["key"].to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.filter(pa.array(has == inside)).select(["doc_id", "doc", "text"])
-
-    return texts.select("doc_id", "doc", "text", F.xxhash64("doc").alias("key")).mapInArrow(run, "doc_id long, doc long, text string")
-
-
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows):
         n, gone, kept = [], [], []
-        for text, own in zip(batch["text"].to_pylist(), batch["own"].to_pylist(), strict=True):
-            words = text.encode().split()
+        for text, own in zip(as_bytes(batch["text"]), batch["own"].to_pylist(), strict=True):
+            words = text.split()
             n.append(len(words))
             if own:
                 edge = np.zeros(len(words) + 1, np.int64)
@@ -181,51 +177,50 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 stays = np.cumsum(edge[:-1]) == 0
                 words = [w for w, y in zip(words, stays.tolist(), strict=True) if y]
             gone.append(n[-1] - len(words))
-            kept.append(b" ".join(words).decode())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
+            kept.append(b" ".join(words))
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
 class FingerprintIndex:
-    """The log of runs. add() takes the next batch and gives the repeated windows in it."""
+    """The log of runs: spans, and windows of the spans whose anchor has several. add() takes the next batch and gives the repeated windows in it."""
 
     def __init__(self, spark: SparkSession, max_runs: int = 4):
-        self.spark, self.max_runs, self.runs, self.upto = spark, max_runs, [], None
+        self.spark, self.max_runs, self.upto = spark, max_runs, None
+        self.runs, self.window_runs = [], []
 
-    def _table(self, path: str) -> DataFrame:
-        return self.spark.read.schema(SPANS).parquet(path)
+    def _firsts(self, paths: list[str]) -> DataFrame:
+        return _union([self.spark.read.schema(SPANS).parquet(p).where(F.col("kind") == FIRST) for p in paths])
 
-    def _write(self, rows: DataFrame, label: str) -> str:
+    def _merge(self, found: DataFrame, runs: list[str], new, label: str) -> tuple[DataFrame, list[str]]:
+        """Merge rows of a batch with the runs: (repeated places of the batch, the runs from now on)."""
         path = new_path(self.spark, label)
-        rows.write.parquet(path)
-        return path
+        found.write.parquet(path)
+        rows, compact = self.spark.read.schema(SPANS).parquet(path), len(runs) >= self.max_runs
+        together = merged(_union([rows.where(F.col("kind") == OPEN), *([self._firsts(runs)] if runs else [])]))
+        run = new_path(self.spark, f"{label}-run")
+        (together if compact else together.where(new)).write.parquet(run)
+        both = rows.unionByName(self.spark.read.schema(SPANS).parquet(run))
+        repeated = saved(both.where((F.col("kind") == REPEATED) & new).select("doc", "first", "last"), "repeated")
+        for p in (path, *(runs if compact else ())):
+            forget(self.spark, p)
+        return repeated, [run] if compact else [*runs, run]
 
     def add(self, texts: DataFrame, everything: DataFrame) -> DataFrame:
         """texts: (doc_id, doc, text) of the batch; everything: of the history and the batch. Returns repeated windows: doc, first, last."""
         new = (F.col("doc") > self.upto) if self.upto is not None else F.lit(True)
         top = texts.agg(F.max("doc")).first()[0]
-        found = self._write(texts.select("doc", "text").mapInArrow(_find_spans, SPANS), "spans")
-        old = [self._table(p).where(F.col("kind") == FIRST) for p in self.runs]
-        rows = self._table(found).where(F.col("kind") == OPEN)
-        for run in old:
-            rows = rows.unionByName(run)
-        compact = len(self.runs) >= self.max_runs
-        together = merged(rows)
-        run = self._write(together if compact else together.where(new), "run")
-        repeated = saved(self._table(found).where(F.col("kind") == REPEATED).unionByName(self._table(run).where((F.col("kind") == REPEATED) & new)).select("doc", "first", "last"), "repeated")
-        forget(self.spark, found)
-        for p in self.runs if compact else ():
-            forget(self.spark, p)
-        self.runs = [run] if compact else [*self.runs, run]
-
-        known = [self._table(p).where(F.col("kind") == FIRST) for p in self.runs]
-        known = _union(known)
-        shared = known.groupBy("a").agg(F.count("*").alias("n"), F.max("doc").alias("doc")).where((F.col("n") > 1) & new).select("a")
-        shared = saved(shared, "shared")  # a written table, so that Spark may split a common anchor's spans
-        unclear = saved(known.join(shared, "a").groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("own")), "unclear")
-        fetched = _sifted(everything, _sieve(unclear)).join(unclear, "doc")
-        places = saved(fetched.select("doc", "text", "own").mapInArrow(_find_windows, SPANS), "windows")
-        later = merged(places.where(F.col("kind") == OPEN)).where(F.col("kind") == REPEATED)
-        one_by_one = places.where(F.col("kind") == REPEATED).unionByName(later).where(new).select("doc", "first", "last")
+        repeated, self.runs = self._merge(texts.select("doc", "text").mapInArrow(_find_spans, SPANS), self.runs, new, "spans")
+        # Anchors with several spans, one of them new. The windows of their new spans are compared, and those of a historical
+        # span only once: when its anchor meets a second span for the first time.
+        known = self._firsts(self.runs)
+        counts = known.groupBy("a").agg(F.count("*").alias("n"), F.count_if(~new).alias("old"), F.max("doc").alias("doc"))
+        shared = saved(counts.where((F.col("n") > 1) & new).select("a", "old"), "shared")  # a written table, so that Spark may split a common anchor's spans
+        unclear = known.join(shared, "a").where(new | (F.col("old") == 1))
+        unclear = saved(unclear.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("own")), "unclear")
+        fetched = parted(everything, unclear, "doc")[1].join(unclear, "doc").select("doc", "text", "own")
+        one_by_one, self.window_runs = self._merge(fetched.mapInArrow(_find_windows, SPANS), self.window_runs, new, "windows")
+        for written in (shared, unclear):
+            drop(written)
         if top is not None:
             self.upto = top
         return repeated.unionByName(one_by_one)
@@ -268,10 +263,9 @@ def remove_repeats(docs: DataFrame, n_batches: int = 2, max_runs: int = 1) -> Da
         repeated.append(index.add(part, upto))
         low = high
     cover = saved(_union(repeated).groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("own")), "cover")
-    sieve = _sieve(cover)
-    whole = _sifted(rows, sieve, inside=False).withColumn("own", F.lit(None).cast(cover.schema["own"].dataType))
-    covered = _sifted(rows, sieve).join(cover, "doc", "left")
-    return whole.unionByName(covered).select("doc_id", "text", "own").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
+    whole, covered = parted(rows, cover, "doc")
+    whole = whole.withColumn("own", F.lit(None).cast(cover.schema["own"].dataType))
+    return whole.unionByName(covered.join(cover, "doc", "left").select(*whole.columns)).select("doc_id", "text", "own").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -1,26 +1,18 @@
-"""64-bit hashes of words, with a bounded cache, and hashes of runs of words."""
+"""64-bit hashes of the words of many texts at once, and hashes of runs of words."""
 
 from __future__ import annotations
 
-import numpy as np
-
-#: Words that a Python worker keeps at most.
-CACHE_WORDS = 150_000
-
+from typing import NamedTuple
 
-class WordHashes(dict):
-    """Word (str or bytes) -> XXH64 of its UTF-8 bytes."""
-
-    def __missing__(self, word):
-        import xxhash
+import numpy as np
 
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+#: Bytes that are hashed at once. A run of this many and more without a separator is hashed by XXH64.
+CHUNK = 1 << 16
+_BASE = 0x9E3779B97F4A7C15
 
-    def of(self, words: list) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Separators: the blanks, and (for ASCII and what `plain` leaves) all but letters, digits and _.
+BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+MARKS = np.array([b < 0x80 and not (chr(b).isalnum() or b == 0x5F) for b in range(256)])
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:
@@ -35,6 +27,73 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A number for each byte; in the second row capital letters have their small ones' numbers.
+_BYTES = np.stack([multipliers(256, 500)] * 2)
+_BYTES[1, 0x41:0x5B] = _BYTES[1, 0x61:0x7B]
+_powers: dict[int, np.ndarray] = {}
+
+
+def ladder(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd base modulo 2**64, or more."""
+    if base not in _powers or len(_powers[base]) < n:
+        _powers[base] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, CHUNK), np.uint64(base))]), dtype=np.uint64)
+    return _powers[base]
+
+
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+class Words(NamedTuple):
+    """Hashes of all words of some texts, in order; the words of text k are first[k] to first[k + 1]."""
+
+    hashes: np.ndarray
+    first: np.ndarray
+
+    def of(self, k: int) -> np.ndarray:
+        return self.hashes[self.first[k] : self.first[k + 1]]
+
+
+def hashed(texts: list[bytes], apart: np.ndarray = BLANKS, lower: bool = False) -> Words:
+    """The words of texts, cut at the bytes that `apart` marks. lower: A-Z count as a-z.
+
+    A word's hash is the sum of its bytes' numbers, each times the power of its place; sums
+    from the chunk's start give it for all words of a chunk together.
+    """
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    number, up, down = _BYTES[int(lower)], ladder(_BASE, CHUNK + 1), ladder(inverse(_BASE), CHUNK + 1)
+    out, starts, at = [], [], 0
+    while at < len(data):
+        part = data[at : at + CHUNK]
+        gap = apart[part]
+        if len(part) == CHUNK:
+            ends = np.nonzero(gap)[0]
+            if not len(ends):  # one long word
+                stop = at + CHUNK
+                while stop < len(data) and not apart[data[stop : stop + CHUNK]].any():
+                    stop = min(len(data), stop + CHUNK)
+                if stop < len(data):
+                    stop += int(apart[data[stop : stop + CHUNK]].argmax())
+                import xxhash
+
+                out.append(np.array([xxhash.xxh64_intdigest(data[at:stop].tobytes(), int(lower))], np.uint64))
+                starts.append(np.array([at]))
+                at = stop
+                continue
+            part, gap = part[: ends[-1] + 1], gap[: ends[-1] + 1]
+        edge = np.diff(np.concatenate([[True], gap, [True]]).view(np.int8))
+        begin, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(number[part] * up[: len(part)], out=total[1:])
+        out.append(mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        starts.append(begin + at)
+        at += len(part)
+    place = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    bounds = np.concatenate([[0], np.cumsum(lengths + 1)]) if texts else np.zeros(1, np.int64)
+    return Words(np.concatenate(out) if out else np.zeros(0, np.uint64), np.searchsorted(place, bounds))
+
+
 def run_hashes(h: np.ndarray, places: list[int], multiplier: np.ndarray, span: int) -> np.ndarray:
     """Of every run of `span` words, the hash of the words at `places`. The words' own hashes are spread already, so a sum will do."""
     n = len(h) - span + 1
@@ -44,3 +103,10 @@ def run_hashes(h: np.ndarray, places: list[int], multiplier: np.ndarray, span: i
     for p in places:
         total += h[p : p + n] * multiplier[p]
     return mixed(total)
+
+
+class WordHashes:
+    """Hashes of words given one by one."""
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return hashed([b" ".join(words)]).hashes
