@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import batches, bloom, fresh, maybe, parted, saved, table
-from .words import WordHashes, mixed, multipliers, run_hashes
+from .words import MARKS, Words, hashed, mixed, multipliers, run_hashes
 
 SPAN = 12
 GROUPS = 4
@@ -47,13 +47,20 @@ _SPREAD_MULTIPLIERS = multipliers(max(map(max, SPREAD)) + 1, 102)
 _SPREAD_MARKS = multipliers(len(SPREAD), 103)
 _EXACT = multipliers(SPAN, 99)
 _WORD = re.compile(r"\w+")
-_hashes = WordHashes()
+#: What isn't ASCII and no part of a word.
+_GAP = re.compile(r"[^\x00-\x7F\w]+")
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def word_hashes(texts: list[str]) -> Words:
+    """Hashes of the words of texts."""
+    plain = (t if t.isascii() or not _GAP.search(t) else _GAP.sub(" ", t) for t in map(str.lower, texts))
+    return hashed([t.encode() for t in plain], MARKS)
+
+
 def seeds(h: np.ndarray, short: set[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start) of all seeds of a document's word hashes; short: lengths of items under SPAN. Without it, of an item."""
     n = len(h) - SPAN + 1
@@ -102,8 +109,9 @@ def item_seeds(benchmark: DataFrame) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             out_i, out_h, out_p, out_n = [], [], [], []
-            for key, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                h = _hashes.of(words(text))
+            own = word_hashes(batch["text"].to_pylist())
+            for k, key in enumerate(batch["item"].to_pylist()):
+                h = own.of(k)
                 s, p = seeds(h)
                 out_i += [key] * len(s)
                 out_h.append(s.view(np.int64))
@@ -132,9 +140,9 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
         """Texts with a seed that may be an item's, and those seeds."""
         bits, kind = sieve.value, pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int64())]))
         for batch in batches(rows):
-            kept, own = [], []
-            for k, text in enumerate(batch["text"].to_pylist()):
-                s, p = seeds(_hashes.of(words(text)), short)
+            kept, own, found = [], [], word_hashes(batch["text"].to_pylist())
+            for k in range(batch.num_rows):
+                s, p = seeds(found.of(k), short)
                 hit = np.nonzero(maybe(bits, s))[0]
                 if len(hit):
                     kept.append(k)
@@ -144,20 +152,19 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
     # Only these texts go on; the others are neither shuffled nor read again.
     held = saved(texts.select("key", "text").mapInArrow(probe, "key string, text string, hits array<struct<seed:long,place:long>>"), "hits")
     hits = held.select("key", F.explode("hits").alias("hit")).select("key", "hit.*")
-    pairs = hits.join(keys, "seed").select("key", "item", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    pairs = hits.join(keys, "seed").groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
     pairs = pairs.join(items.withColumnRenamed("text", "item_text"), "item")
-    pairs = saved(pairs.groupBy("key").agg(F.collect_set(F.struct("item", "shift", "item_text")).alias("pairs")), "pairs")
+    pairs = saved(pairs.groupBy("key").agg(F.collect_list(F.struct("item", "shifts", "item_text")).alias("pairs")), "pairs")
 
     def verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            best: dict[tuple, tuple] = {}
-            for key, text, own in zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
-                doc = _hashes.of(words(text))
-                for pair in own:
-                    found = best_stretch(doc, _hashes.of(words(pair["item_text"])), pair["shift"])
-                    if found and (-found[2], found[0]) < best.get((key, pair["item"]), ((1, 0),))[0]:
-                        best[key, pair["item"]] = ((-found[2], found[0]), found)
-            out = [(*k, *v) for k, (_, v) in best.items()]
+            out, docs = [], word_hashes(batch["text"].to_pylist())
+            for k, (key, own) in enumerate(zip(batch["key"].to_pylist(), batch["pairs"].to_pylist(), strict=True)):
+                held = word_hashes([pair["item_text"] for pair in own])
+                for j, pair in enumerate(own):
+                    found = [f for f in (best_stretch(docs.of(k), held.of(j), shift) for shift in pair["shifts"]) if f]
+                    if found:
+                        out.append((key, pair["item"], *min(found, key=lambda f: (-f[2], f[0]))))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "item", "first_word", "n_words", "n_equal"])
 
