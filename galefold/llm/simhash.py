@@ -38,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, fresh, parted, saved, whole_texts
+from .common import as_bytes, batches, fresh, parted, saved, whole_texts
 from .components import connected_components
-from .words import WordHashes, mixed, multipliers, run_hashes
+from .words import WordHashes, hashed, mixed, multipliers, run_hashes
 
 BITS = 64
 NODE_LIMIT = 4096
@@ -256,12 +256,21 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
 
 
 def shingle_set(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """The different shingles as sorted 32-bit hashes."""
-    h = hashes.of(words)
+    """The different shingles of a text's words."""
+    return shingle_hashes(hashes.of(words), size)
+
+
+def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
+    """The different shingles of words with these hashes, as sorted 32-bit hashes."""
     size = min(size, len(h))
     return np.unique(run_hashes(h, list(range(size)), multipliers(SHINGLE + size, 300), size) >> np.uint64(32)).astype("<u4") if size else np.zeros(0, "<u4")
 
 
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    words = hashed(as_bytes(texts), lower=True)
+    return (shingle_hashes(words.of(k), size) for k in range(len(texts)))
+
+
 _FACTORS = multipliers(BANDS * ROWS, 400)
 _BAND_MARKS = multipliers(BANDS, 401)
 
@@ -330,15 +339,13 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
     """Of texts (key, text), copies with the same key: verified links (a, b) that connect the keys whose shingles have at least this Jaccard similarity."""
 
     def prints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches(rows):
-            own = [bands(shingle_set(t.encode().lower().split(), size, hashes)).view(np.int64) for t in batch["text"].to_pylist()]
+            own = [bands(x).view(np.int64) for x in shingle_sets(batch["text"], size)]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.list_(pa.int64()))], names=["key", "bands"])
 
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches(rows):
-            own = [shingle_set(t.encode().lower().split(), size, hashes).tobytes() for t in batch["text"].to_pylist()]
+            own = [x.tobytes() for x in shingle_sets(batch["text"], size)]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.binary())], names=["key", "set"])
 
     codes = texts.mapInArrow(prints, "key string, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
@@ -374,21 +381,20 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     key, own = fresh(docs, "key_"), fresh(docs, "id_")
     rows = docs.withColumns({key: F.md5(text), own: F.col("doc_id").cast("long")})
     ids = saved(rows.select(F.col(key).alias("key"), F.col(own).alias("id")), "ids")
-    n, distinct = ids.agg(F.count("*"), F.countDistinct(F.struct("key", "id"))).first()
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))
     one = saved(ids.groupBy("key").agg(least.alias("first")).select("key", "first.id"), "first-rows")
     roots = connected_components(similar_links(rows.select(F.col(key).alias("key"), text.alias("text")), size, similarity))
     named = one.join(roots, one.key == roots.node, "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     stay = saved(named.groupBy("root").agg(least.alias("first")).select("first.key", "first.id"), "stay")
-    # Rows that go: all but the staying row of each group. Most rows stay and are not shuffled.
+    # Rows that go: all but the staying row of each group. Most rows stay and are not shuffled; only rows that go or are repeated meet a join.
     go = saved(ids.join(stay.withColumn("stays", F.lit(True)), (ids.key == stay.key) & ids.id.eqNullSafe(stay.id), "left").where("stays is null").select(ids.key, ids.id).distinct(), "go")
-    mark, out = fresh(rows, "row_"), rows.columns
+    twice = ids.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1").select("key", "id")
+    mark = fresh(rows, "row_")
     marked = rows.withColumn(mark, F.xxhash64(key, own))
-    free, rest = parted(marked, go.select(F.xxhash64("key", "id").alias(mark)), mark)
+    free, rest = parted(marked, saved(go.unionByName(twice).select(F.xxhash64("key", "id").alias(mark)), "unclear"), mark)
     gone = go.select(F.col("key").alias(fresh(marked, "gone_key_")), F.col("id").alias(fresh(marked, "gone_id_")))
-    rest = rest.join(gone, (rest[key] == gone[0]) & rest[own].eqNullSafe(gone[1]), "left_anti")
-    kept = free.unionByName(rest).select(*out)
-    return (kept if n == distinct else kept.dropDuplicates([key])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    rest = rest.join(gone, (rest[key] == gone[0]) & rest[own].eqNullSafe(gone[1]), "left_anti").dropDuplicates([key])
+    return free.unionByName(rest).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
