@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .grid import BY, SKIP, region_edges
+from .grid import BY, SKIP, per_tilt, region_edges
 
 BANDS = 3
 
@@ -175,6 +175,7 @@ def _labels(ray_idx, gate_idx, v, nyquist_ms):
     return label_regions(ray_idx, gate_idx, v, band_limits(v.min(), v.max(), nyquist)), nyquist
 
 
+@per_tilt
 def regions(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     """Gates with `region`, numbered from 1 in each tilt; 0 where a value lies in no band."""
 
@@ -184,6 +185,7 @@ def regions(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     return _by_tilt(gates, by, f, "region long")
 
 
+@per_tilt
 def dealias(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     """Gates with `region`, `folds` and `corrected` = v + folds * 2 Vn.
 
@@ -208,15 +210,18 @@ def dealias(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     return _by_tilt(gates, by, f, "region long, folds int, corrected double")
 
 
+@per_tilt
 def apply_folds(gates: DataFrame, folds: DataFrame, by: list[str] = BY) -> DataFrame:
     """Gates with a region joined with (by, region, folds)."""
     return gates.join(folds, [*by, "region"], "left").withColumn("corrected", F.col("v") + F.coalesce("folds", F.lit(0)) * 2 * F.col("nyquist_ms"))
 
 
+@per_tilt
 def region_sizes(labelled: DataFrame, by: list[str] = BY) -> DataFrame:
     return labelled.where("region > 0").groupBy(*by, "region").agg(F.count("*").alias("n_gates"))
 
 
+@per_tilt
 def fold_votes(labelled: DataFrame, by: list[str] = BY, skip: int = SKIP) -> DataFrame:
     """Per region the folds that most of its boundary pairs ask for, against the other side: weight of the winner and of all."""
     edges = region_edges(labelled, by, skip)
@@ -226,6 +231,7 @@ def fold_votes(labelled: DataFrame, by: list[str] = BY, skip: int = SKIP) -> Dat
     return sums.groupBy(*by, "region").agg(F.max_by("k", F.struct("w", -F.abs("k"), "k")).alias("k"), F.max("w").alias("votes"), F.sum("w").alias("all_votes"))
 
 
+@per_tilt
 def fold_scores(labelled: DataFrame, by: list[str] = BY, most: int = 2, scale_share: float = 0.4) -> DataFrame:
     """Per region the fold in [-most, most] with the least mean Huber cost against neighbours across its boundary, the second best and the margin."""
     from .grid import next_with_data

@@ -1,24 +1,40 @@
 """The polar grid: neighbours, links, fold jumps, hard gates, rays. DataFrame operators over gates.
 
-A gate row has keys `by` (the tilt), ray_idx, gate_idx, azimuth_deg, range_m, nyquist_ms
+A gate row has keys `by` (the volume and its tilt), ray_idx, gate_idx, azimuth_deg, range_m, nyquist_ms
 and a velocity column. Windows are partitioned by ray or by range ring, which holds some
 hundred gates, so every operator spreads over all rays of all volumes.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import inspect
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
-BY = ["elevation_number"]
+BY = ["volume_id", "elevation_number"]
 JUMP_SHARE = 0.9
 SKIP = 100
 
 
+def per_tilt(f):
+    """Where the caller names no keys, `by` is as much of BY as the rows have: rows without a volume_id are one volume."""
+    signature = inspect.signature(f)
+
+    @wraps(f)
+    def run(*args, **more):
+        call = signature.bind(*args, **more)
+        call.apply_defaults()
+        if call.arguments["by"] is BY:
+            call.arguments["by"] = [c for c in BY if c in call.args[0].columns]
+        return f(*call.args, **call.kwargs)
+
+    return run
+
+
 def every(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
@@ -33,10 +49,21 @@ def velocity_gates(gates: DataFrame) -> DataFrame:
     return gates.withColumn("v", (F.col("vel_code") - 129) / S.number(2))
 
 
+@per_tilt
 def ray_counts(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     return gates.groupBy(*by).agg((F.max("ray_idx") + 1).alias("n_rays"))
 
 
+def counted(gates: DataFrame, by: list[str]) -> DataFrame:
+    """Gates with the number of rays of their tilt.
+
+    This deals the gates out by tilt, some hundred thousand at most each; windows by ray and
+    by ring that follow need no other shuffle.
+    """
+    return gates.withColumn("n_rays", F.max("ray_idx").over(Window.partitionBy(*by)) + 1)
+
+
+@per_tilt
 def range_neighbours(gates: DataFrame, by: list[str] = BY, spacing: float = 250, most: float = 1) -> DataFrame:
     """Pairs along a ray: the next gate if it lies within `most` spacings (1 for adjacent, 3.05 to bridge two missing ones)."""
     w = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx")
@@ -44,38 +71,43 @@ def range_neighbours(gates: DataFrame, by: list[str] = BY, spacing: float = 250,
     return out.where((F.col("dr") <= most * spacing + 0.1) & (F.col("dr") > 0.5 * spacing))
 
 
+@per_tilt
 def azimuth_neighbours(gates: DataFrame, by: list[str] = BY, most_gap: float = 4.0) -> DataFrame:
     """Pairs across rays: the same range on the next ray, round the circle, if the rays are near enough."""
-    rays = ray_counts(gates, by)
-    to = gates.select(*by, F.col("ray_idx").alias("to_ray"), "gate_idx", F.col("v").alias("to_v"), F.col("azimuth_deg").alias("to_azimuth"))
-    own = gates.join(rays, by).withColumn("to_ray", (F.col("ray_idx") + 1) % F.col("n_rays"))
-    return own.join(to, [*by, "to_ray", "gate_idx"]).where(S.azimuth_distance("azimuth_deg", "to_azimuth") <= most_gap)
+    ring = Window.partitionBy(*by, "gate_idx").orderBy("ray_idx")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = F.struct("ray_idx", "v", "azimuth_deg")
+    own = counted(gates, by).withColumn("to_", F.coalesce(F.lead(cell).over(ring), F.first(cell).over(whole)))
+    own = own.where(F.col("to_.ray_idx") == (F.col("ray_idx") + 1) % F.col("n_rays"))
+    own = own.withColumns({"to_ray": F.col("to_.ray_idx"), "to_v": F.col("to_.v"), "to_azimuth": F.col("to_.azimuth_deg")}).drop("to_")
+    return own.where(S.azimuth_distance("azimuth_deg", "to_azimuth") <= most_gap)
 
 
+@per_tilt
 def eight_neighbours(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     """Per gate the number and mean of its eight neighbours; rays go round, range does not."""
-    rays = ray_counts(gates, by)
     steps = F.array(*(F.struct(F.lit(a).alias("da"), F.lit(g).alias("dg")) for a in (-1, 0, 1) for g in (-1, 0, 1) if (a, g) != (0, 0)))
     # Each gate sends its value to its neighbours' cells; no neighbour is looked up more than once.
-    sent = gates.join(rays, by).withColumn("s", F.explode(steps)).select(*by, F.pmod(F.col("ray_idx") + F.col("s.da"), F.col("n_rays")).cast("int").alias("ray_idx"), (F.col("gate_idx") + F.col("s.dg")).alias("gate_idx"), F.col("v").alias("sent"))
+    sent = counted(gates, by).withColumn("s", F.explode(steps)).select(*by, F.pmod(F.col("ray_idx") + F.col("s.da"), F.col("n_rays")).cast("int").alias("ray_idx"), (F.col("gate_idx") + F.col("s.dg")).alias("gate_idx"), F.col("v").alias("sent"))
     got = sent.groupBy(*by, "ray_idx", "gate_idx").agg(F.count("*").alias("n_neighbours"), F.avg("sent").alias("mean_v"))
     return gates.join(got, [*by, "ray_idx", "gate_idx"], "left").withColumn("n_neighbours", F.coalesce("n_neighbours", F.lit(0).cast("long")))
 
 
+@per_tilt
 def next_with_data(gates: DataFrame, by: list[str] = BY, skip: int = SKIP) -> DataFrame:
     """Pairs of each gate with the first gate that has data, outwards along the ray and onwards round the ring, at most `skip` cells between."""
-    rays = ray_counts(gates, by)
     out = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx")
     ring = Window.partitionBy(*by, "gate_idx").orderBy("ray_idx")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     cell = F.struct("ray_idx", "gate_idx", "v", *([F.col("region")] if "region" in gates.columns else []))
-    rows = gates.join(rays, by).withColumns({"along": F.lead(cell).over(out), "around": F.coalesce(F.lead(cell).over(ring), F.first(cell).over(whole))})
+    rows = counted(gates, by).withColumns({"along": F.lead(cell).over(out), "around": F.coalesce(F.lead(cell).over(ring), F.first(cell).over(whole))})
     along = rows.where(F.col("along.gate_idx") - F.col("gate_idx") <= skip + 1).select(*by, cell.alias("a"), F.col("along").alias("b"), F.lit("range").alias("way"))
     step = F.pmod(F.col("around.ray_idx") - F.col("ray_idx"), F.col("n_rays"))
     around = rows.where((step <= skip + 1) & (step > 0)).select(*by, cell.alias("a"), F.col("around").alias("b"), F.lit("azimuth").alias("way"))
     return along.unionByName(around)
 
 
+@per_tilt
 def region_edges(labelled: DataFrame, by: list[str] = BY, skip: int = SKIP) -> DataFrame:
     """Edges of the region graph (node_a > node_b): sum_diff in units of 2 Vn and weight. Each pair of cells counts from both sides."""
     nyquist = labelled.groupBy(*by).agg(F.min_by("nyquist_ms", F.struct("ray_idx", "gate_idx")).alias("nyquist_ms"))
@@ -85,6 +117,7 @@ def region_edges(labelled: DataFrame, by: list[str] = BY, skip: int = SKIP) -> D
     return pairs.groupBy(*by, high["region"].alias("node_a"), low["region"].alias("node_b")).agg((2 * F.sum(diff)).alias("sum_diff"), (2 * F.count("*")).alias("weight"))
 
 
+@per_tilt
 def fold_jumps(gates: DataFrame, by: list[str] = BY, value: str = "v") -> DataFrame:
     """Per tilt: jumps between neighbours of at least 0.9 * 2 Vn, along range and round the circle; lower is better."""
     g = gates.withColumn("v", F.col(value))
@@ -95,35 +128,44 @@ def fold_jumps(gates: DataFrame, by: list[str] = BY, value: str = "v") -> DataFr
     return n.join(a, by, "left").join(b, by, "left").na.fill(0, ["range_jumps", "azimuth_jumps"]).withColumn("jumps", F.col("range_jumps") + F.col("azimuth_jumps"))
 
 
+@per_tilt
 def neighbour_distance(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     """Per gate the greatest velocity distance to its four neighbours, in units of Vn (null without any)."""
-    key = [*by, "ray_idx", "gate_idx"]
-    far = S.velocity_distance("v", "to_v", "nyquist_ms") / F.col("nyquist_ms")
-    along = range_neighbours(gates, by).withColumn("far", far)
-    across = azimuth_neighbours(gates, by).withColumn("far", far)
-    sent = [along.select(*key, "far"), along.select(*by, "ray_idx", F.col("to_gate").alias("gate_idx"), "far"), across.select(*key, "far"), across.select(*by, F.col("to_ray").alias("ray_idx"), "gate_idx", "far")]
-    most = reduce(DataFrame.unionByName, sent).groupBy(*key).agg(F.max("far").alias("far"))
-    return gates.join(most, key, "left")
+    ray, ring = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx"), Window.partitionBy(*by, "gate_idx").orderBy("ray_idx")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = F.struct("ray_idx", "v", "range_m", "azimuth_deg", "nyquist_ms")
+    rows = counted(gates, by).withColumns({"own_": cell, "out_": F.lead(cell).over(ray), "in_": F.lag(cell).over(ray), "on_": F.coalesce(F.lead(cell).over(ring), F.first(cell).over(whole)), "back_": F.coalesce(F.lag(cell).over(ring), F.last(cell).over(whole))})
+    own, out, into, on, back = (F.col(c) for c in ("own_", "out_", "in_", "on_", "back_"))
+    distance = lambda a, b: S.velocity_distance(a["v"], b["v"], a["nyquist_ms"]) / a["nyquist_ms"]
+    step = lambda a, b: (b["range_m"] - a["range_m"]).between(S.number(125) + S.number(1e-9), S.number(250.1))
+    turn = lambda a, b: (b["ray_idx"] == (a["ray_idx"] + 1) % F.col("n_rays")) & (S.azimuth_distance(a["azimuth_deg"], b["azimuth_deg"]) <= 4)
+    sides = [F.when(near(a, b), distance(a, b)) for near, a, b in ((step, own, out), (step, into, own), (turn, own, on), (turn, back, own))]
+    return rows.withColumn("far", F.greatest(*sides)).drop("own_", "out_", "in_", "on_", "back_", "n_rays")
 
 
+@per_tilt
 def hard_gates(gates: DataFrame, by: list[str] = BY, share: float = 0.5, dilate_below: float = 0.10, least_dbz: float = 25) -> DataFrame:
     """Gates with `hard`: a neighbour is half of Vn or more away. A tilt with few such gates has them dilated by a cell.
 
     Where reflectivity is known, it must reach least_dbz.
     """
-    key = [*by, "ray_idx", "gate_idx"]
-    seed = neighbour_distance(gates, by).withColumn("seed", F.coalesce((F.col("far") >= share), F.lit(False)))
-    tilt = seed.groupBy(*by).agg(F.avg(F.col("seed").cast("int")).alias("seed_share"))
-    rays = ray_counts(gates, by)
-    steps = F.array(*(F.struct(F.lit(a).alias("da"), F.lit(g).alias("dg")) for a, g in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))))
-    grown = seed.where("seed").join(rays, by).withColumn("s", F.explode(steps)).select(*by, F.pmod(F.col("ray_idx") + F.col("s.da"), F.col("n_rays")).cast("int").alias("ray_idx"), (F.col("gate_idx") + F.col("s.dg")).alias("gate_idx")).distinct().withColumn("grown", F.lit(True))
-    out = seed.join(tilt, by).join(grown, key, "left")
-    hard = F.when(F.col("seed_share") <= dilate_below, F.coalesce("grown", F.lit(False))).otherwise(F.col("seed"))
+    ray, ring = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx"), Window.partitionBy(*by, "gate_idx").orderBy("ray_idx")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    seeds = counted(neighbour_distance(gates, by), by).withColumn("seed", F.coalesce((F.col("far") >= share), F.lit(False)))
+    seeds = seeds.withColumn("seed_share", F.avg(F.col("seed").cast("int")).over(Window.partitionBy(*by)))
+    cell = F.struct("ray_idx", "gate_idx", "seed")
+    near = {"out_": F.lead(cell).over(ray), "in_": F.lag(cell).over(ray), "on_": F.coalesce(F.lead(cell).over(ring), F.first(cell).over(whole)), "back_": F.coalesce(F.lag(cell).over(ring), F.last(cell).over(whole))}
+    out = seeds.withColumns(near)
+    aside = lambda c, to: F.col(f"{c}.seed") & (F.col(f"{c}.ray_idx") == F.pmod(F.col("ray_idx") + to, F.col("n_rays")))
+    along = lambda c, to: F.col(f"{c}.seed") & (F.col(f"{c}.gate_idx") == F.col("gate_idx") + to)
+    grown = reduce(lambda a, b: a | F.coalesce(b, F.lit(False)), [along("out_", 1), along("in_", -1), aside("on_", 1), aside("back_", -1)], F.col("seed"))
+    hard = F.when(F.col("seed_share") <= dilate_below, grown).otherwise(F.col("seed"))
     if "dbz" in gates.columns:
         hard = hard & (F.col("dbz").isNull() | (F.col("dbz") >= least_dbz))
-    return out.withColumn("hard", hard).drop("grown")
+    return out.withColumn("hard", hard).drop(*near, "n_rays")
 
 
+@per_tilt
 def dilate(cells: DataFrame, gates: DataFrame, by: list[str] = BY, hops: int = 1) -> DataFrame:
     """The gates within `hops` steps of marked cells (by, ray_idx, gate_idx); rays go round."""
     key, rays = [*by, "ray_idx", "gate_idx"], ray_counts(gates, by)
@@ -132,6 +174,7 @@ def dilate(cells: DataFrame, gates: DataFrame, by: list[str] = BY, hops: int = 1
     return gates.join(cells, key, "left_semi")
 
 
+@per_tilt
 def azimuth_gaps(gates: DataFrame, by: list[str] = BY, most: float = 5.0) -> DataFrame:
     """Per ray the gap to the next ray, round the circle; and per tilt the mean and median of gaps up to `most`."""
     rays = gates.groupBy(*by, "ray_idx").agg(F.min("azimuth_deg").alias("azimuth_deg"))
@@ -142,6 +185,7 @@ def azimuth_gaps(gates: DataFrame, by: list[str] = BY, most: float = 5.0) -> Dat
     return gaps.groupBy(*by).agg(F.count("*").alias("n_rays"), F.avg(F.when(F.col("gap") <= most, F.col("gap"))).alias("mean_gap"), F.median(F.when(F.col("gap") <= most, F.col("gap"))).alias("median_gap"), F.max("gap").alias("widest_gap"))
 
 
+@per_tilt
 def ray_segments(gates: DataFrame, by: list[str] = BY, order: tuple[str, ...] = ("ray_idx", "gate_idx"), step: float = 0.01) -> DataFrame:
     """Gates in file order get segment numbers: a new ray begins where azimuth moves or range does not rise."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -149,6 +193,7 @@ def ray_segments(gates: DataFrame, by: list[str] = BY, order: tuple[str, ...] =
     return gates.withColumn("new_", new.cast("int")).withColumn("segment", (F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")).drop("new_")
 
 
+@per_tilt
 def valid_rays(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     """Per ray: azimuth in [0, 360), range strictly rising, spacing positive."""
     w = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx")
@@ -156,6 +201,7 @@ def valid_rays(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     return gates.withColumn("rising_", rising).groupBy(*by, "ray_idx").agg(F.every(F.col("rising_") & (F.col("azimuth_deg") >= 0) & (F.col("azimuth_deg") < 360)).alias("valid"), F.count("*").alias("n_gates"))
 
 
+@per_tilt
 def median_filter(gates: DataFrame, by: list[str] = BY, reach: int = 2) -> DataFrame:
     """Median of the gates with data from `reach` before to `reach` after, along the ray."""
     w = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx").rangeBetween(-reach, reach)
@@ -164,6 +210,7 @@ def median_filter(gates: DataFrame, by: list[str] = BY, reach: int = 2) -> DataF
     return gates.withColumn("smooth_v", (F.get(near, at) + F.get(near, F.size(near) - 1 - at)) / 2)
 
 
+@per_tilt
 def directional_prediction(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     """Median of the linear extrapolations from two gates before and two after, along the ray, where both are adjacent."""
     w = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx")

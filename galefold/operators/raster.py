@@ -40,31 +40,61 @@ def voxel_counts(north: float, south: float, east: float, west: float, most: int
     return max(1, int(most * lat / widest)), max(1, int(most * lon / widest)), most
 
 
+def polar_box(lat0: float, lon0: float, box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
+    """(least range, most range, first azimuth, width in degrees) of a box (north, south, east, west) seen from a radar.
+
+    A radar within the box sees it all round. Otherwise the azimuths are those of its corners
+    and of the points nearest to the radar, on the shorter way round, so a box due north
+    begins before 360 degrees and goes on after 0.
+    """
+    north, south, east, west = box
+    scale = math.cos(math.radians(lat0))
+    metres = lambda lat, lon: (math.radians(lat - lat0) * S.EARTH_RADIUS_M, math.radians(lon - lon0) * scale * S.EARTH_RADIUS_M)
+    y, x = metres(min(max(lat0, south), north), min(max(lon0, west), east))
+    corners = [metres(a, o) for a in (north, south) for o in (east, west)]
+    least, most = math.hypot(x, y), max(math.hypot(*c) for c in corners)
+    if not least:
+        return 0.0, most, 0.0, 360.0
+    turns = sorted(math.degrees(math.atan2(x, y)) % 360 for y, x in corners)
+    gaps = [(b - a) % 360 for a, b in zip(turns, [*turns[1:], turns[0]], strict=True)]
+    widest = max(range(4), key=gaps.__getitem__)
+    return least, most, turns[(widest + 1) % 4], 360 - gaps[widest]
+
+
+def in_polar_box(lat0: float, lon0: float, box: tuple[float, float, float, float], slack: float = 0.02) -> Column:
+    """Gates that may lie over a box, by azimuth and range alone; slack: of the ranges, and 360 times as many degrees."""
+    least, most, first, width = polar_box(lat0, lon0, box)
+    ground = F.col("range_m") * F.cos(F.radians("elevation_deg"))
+    near = (F.col("range_m") >= S.number(least * (1 - slack))) & (ground <= S.number(most * (1 + slack)))
+    turn = F.pmod(F.col("azimuth_deg") - S.number(first - 360 * slack / 2), S.number(360)) <= S.number(min(360, width + 360 * slack))
+    return near if width >= 360 else near & turn
+
+
 def voxels(gates: DataFrame, by: list[str], value: str, lat0: float, lon0: float, box: tuple[float, float, float, float], most: int = 96, sharpness: float = 50, base_km: float = 0.70, growth: float = 0.065, radius_cap: int = 64) -> DataFrame:
     """Weighted mean of gates around each voxel of a box (north, south, east, west): ix, iy, iz, value, weight.
 
     Weights are exp(-s d^2 / L^2) along each axis, d whole voxels, L = hypot(base, growth * range).
-    The three axes' weights are made apart and multiplied, so a gate needs few exponentials.
+    They are a product of the three axes' weights, so cells of equal L are spread along one
+    axis after the other and summed in between: 3 (2 r + 1) rows a cell and not (2 r + 1)^3.
     """
     north, south, east, west = box
     n = voxel_counts(north, south, east, west, most)
     size_km = ((north - south) / n[0] * S.METRES_PER_DEGREE / 1000, (east - west) / n[1] * S.METRES_PER_DEGREE / 1000 * math.cos(math.radians((north + south) / 2)), S.VOLUME_TOP_M / 1000 / n[2])
     place = S.gate_position("range_m", "azimuth_deg", "elevation_deg", S.number(lat0), S.number(lon0))
-    rows = gates.withColumns(place).where((F.col("latitude") >= south) & (F.col("latitude") < north) & (F.col("longitude") >= west) & (F.col("longitude") < east) & (F.col("height_m") >= 0) & (F.col("height_m") < S.VOLUME_TOP_M) & F.col(value).isNotNull())
-    rows = rows.withColumns({
-        "cx": F.floor((north - F.col("latitude")) / ((north - south) / n[0])).cast("int"), "cy": F.floor((east - F.col("longitude")) / ((east - west) / n[1])).cast("int"), "cz": F.floor(F.col("height_m") / (S.VOLUME_TOP_M / n[2])).cast("int"), "width": S.kernel_width_km(F.col("range_m") / 1000, base_km, growth),
-    })
-
-    def axis(centre: str, km: float, count: int) -> Column:
+    rows = gates.where(in_polar_box(lat0, lon0, box) & F.col(value).isNotNull()).withColumns(place)
+    rows = rows.where((F.col("latitude") >= south) & (F.col("latitude") < north) & (F.col("longitude") >= west) & (F.col("longitude") < east) & (F.col("height_m") >= 0) & (F.col("height_m") < S.VOLUME_TOP_M))
+    rows = rows.select(
+        *by, F.floor((north - F.col("latitude")) / ((north - south) / n[0])).cast("int").alias("ix"), F.floor((east - F.col("longitude")) / ((east - west) / n[1])).cast("int").alias("iy"), F.floor(F.col("height_m") / (S.VOLUME_TOP_M / n[2])).cast("int").alias("iz"),
+        S.kernel_width_km(F.col("range_m") / 1000, base_km, growth).alias("width"), F.col(value).cast("double").alias("value"),
+    )
+    cells = rows.groupBy(*by, "ix", "iy", "iz", "width").agg(F.count("*").cast("double").alias("weight"), F.sum("value").alias("value"))
+    for name, km, count in (("iz", size_km[2], n[2]), ("iy", size_km[1], n[1]), ("ix", size_km[0], n[0])):
         reach = F.least(F.lit(min(count - 1, radius_cap)), F.ceil(3 * F.col("width") / (math.sqrt(sharpness) * km)).cast("int"))
-        cells = F.sequence(F.greatest(F.lit(0), F.col(centre) - reach), F.least(F.lit(count - 1), F.col(centre) + reach))
-        d = lambda i: (i - F.col(centre)) * S.number(km)
-        return F.transform(cells, lambda i: F.struct(i.alias("i"), F.exp(-sharpness * d(i) * d(i) / (F.col("width") * F.col("width"))).alias("w")))
-
-    for name, centre, km, count in zip(("x", "y", "z"), ("cx", "cy", "cz"), size_km, n, strict=True):
-        rows = rows.withColumn(name, F.explode(axis(centre, km, count)))
-    w = F.col("x.w") * F.col("y.w") * F.col("z.w")
-    return rows.groupBy(*by, F.col("x.i").alias("ix"), F.col("y.i").alias("iy"), F.col("z.i").alias("iz")).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("value"), F.sum(w).alias("weight"))
+        spread = cells.withColumn("step", F.explode(F.sequence(F.greatest(-reach, -F.col(name)), F.least(reach, count - 1 - F.col(name)))))
+        w = F.exp(-sharpness * S.number(km * km) * F.col("step") * F.col("step") / (F.col("width") * F.col("width")))
+        spread = spread.withColumns({name: F.col(name) + F.col("step"), "weight": F.col("weight") * w, "value": F.col("value") * w})
+        cells = spread.groupBy(*by, "ix", "iy", "iz", *(["width"] if name != "ix" else [])).agg(F.sum("weight").alias("weight"), F.sum("value").alias("value"))
+    return cells.select(*by, "ix", "iy", "iz", (F.col("value") / F.col("weight")).alias("value"), "weight")
 
 
 def triangles(gates: DataFrame, key: list[str], value: str, lat0: float, lon0: float, beam_deg: float = 1.0, gate_m: float = 250) -> DataFrame:

@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .grid import BY, next_with_data
+from .grid import BY, next_with_data, per_tilt
 
 
 def height_bin(width: float = 500) -> Column:
     return F.floor(S.beam_height("range_m", "elevation_deg") / width).cast("int")
 
 
+@per_tilt
 def sector_balance(gates: DataFrame, by: list[str] = BY, sectors: int = 36, least_gates: int = 30, least_pairs: int = 3) -> DataFrame:
     """Per tilt the mean over opposite sectors, which a uniform wind brings to zero, and the folds that it asks for."""
     half = sectors // 2
@@ -67,6 +68,7 @@ def component_anchor(labelled: DataFrame, winds: DataFrame, by: list[str], most:
     return ranked.select(*by, "region", "n", F.col("c")[0]["k"].alias("k"), (-F.col("c")[0]["cost"] / F.col("n")).alias("share"), ((F.col("c")[1]["cost"] - F.col("c")[0]["cost"]) / F.col("n")).alias("margin"))
 
 
+@per_tilt
 def region_stats(labelled: DataFrame, by: list[str] = BY) -> DataFrame:
     """Size, rays, mean velocity and reflectivity of each region; `dbz` counts above 5 only."""
     return labelled.where("region > 0").groupBy(*by, "region").agg(
@@ -74,6 +76,7 @@ def region_stats(labelled: DataFrame, by: list[str] = BY) -> DataFrame:
     )
 
 
+@per_tilt
 def shear_stats(labelled: DataFrame, by: list[str] = BY) -> DataFrame:
     """Per region over its boundary pairs: the share with a step of half Vn or more, and with opposite signs of 0.3 Vn or more on both sides."""
     nyquist = labelled.groupBy(*by).agg(F.min_by("nyquist_ms", F.struct("ray_idx", "gate_idx")).alias("vn"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import align, dealias, grid, raster, volume, wind
 from ..sources import catalog
-from ..sources.tables import view, with_views
+from ..sources.tables import CUTS_A_VOLUME, view, with_views
 from ..streaming import alerts
 
 BY, KEY = grid.BY, [*grid.BY, "ray_idx", "gate_idx"]
@@ -23,11 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
-    """Register a function (spark, sf_dir) under its name; sql: what DuckDB runs, with {v} for decoded gates."""
+def query(sql: str | None = None, keep: bool = False):
+    """Register a function (spark, sf_dir) under its name; sql: what DuckDB runs; keep: the result has a volume_id of its own."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        # A tilt's number is unique in the archive, so that results need no volume_id beside it.
+        QUERIES[f.__name__] = f if keep else lambda spark, sf_dir: f(spark, sf_dir).drop("volume_id")
         if sql is not None:
             ORACLE[f.__name__] = with_views(sql.strip())
         return f
@@ -241,39 +242,39 @@ SELECT elevation_number, CAST(min(seq) AS INT) AS first_seq, CAST(sum(n) AS BIGI
 def q_merge_tilts(spark, sf_dir):
     g = gates(spark, sf_dir).withColumn("seq", F.floor(F.col("ray_idx") / 30).cast("int"))
     parts = g.groupBy(*BY, "seq").agg(F.count("*").alias("n"), F.avg(F.col("elevation_deg") + F.col("seq") * S.number(0.01)).alias("elevation_deg"), F.max("range_m").alias("max_range_m"))
-    return volume.merge_partial_tilts(parts, []).withColumns({"elevation_deg": F.round("elevation_deg", 6), "last_elevation_deg": F.round("last_elevation_deg", 6)})
+    return volume.merge_partial_tilts(parts, ["volume_id"]).withColumns({"elevation_deg": F.round("elevation_deg", 6), "last_elevation_deg": F.round("last_elevation_deg", 6)})
 
 
 def cuts(spark, sf_dir):
-    """The cut headers of tilts that have gates."""
-    return view(spark, sf_dir, "v_cuts").join(view(spark, sf_dir, "v_gates").select("elevation_number").distinct(), "elevation_number").withColumn("volume", F.lit(1))
+    """The cut headers of all volumes."""
+    return view(spark, sf_dir, "v_cuts")
 
 
-@query("""WITH c AS (SELECT v_cuts.* FROM v_cuts WHERE elevation_number IN (SELECT elevation_number FROM v_gates)),
+@query("""WITH c AS (SELECT v_cuts.* FROM v_cuts),
 p AS (SELECT a.elevation_number AS a, b.elevation_number AS b FROM c a JOIN c b ON b.elevation_number - a.elevation_number = 1 AND abs(a.elevation_deg - b.elevation_deg) < 0.1),
 k AS (SELECT c.*, coalesce((SELECT p.a FROM p WHERE p.b = c.elevation_number), c.elevation_number) AS kept, elevation_number IN (SELECT a FROM p UNION ALL SELECT b FROM p) AS paired FROM c),
 m AS (SELECT kept, elevation_number, unnest(string_split(moments, ',')) AS moment, contains(moments, 'VEL') AND NOT contains(moments, 'ZDR') AS doppler, paired FROM k),
 o AS (SELECT kept, string_agg(moment || ':' || elevation_number, ',' ORDER BY moment || ':' || elevation_number) AS owners FROM m WHERE NOT paired OR (doppler AND moment IN ('VEL', 'SW')) OR (NOT doppler AND moment NOT IN ('VEL', 'SW')) GROUP BY 1)
 SELECT kept AS kept_number, round(avg(elevation_deg), 6) AS elevation_deg, max(collect_ms) AS collect_ms, count(*) AS n_cuts, any_value(owners) AS owners FROM k JOIN o USING (kept) GROUP BY 1""")
 def q_split_cut(spark, sf_dir):
-    return volume.merged_cuts(cuts(spark, sf_dir), ["volume"]).select("kept_number", F.round("elevation_deg", 6).alias("elevation_deg"), "collect_ms", "n_cuts", "owners")
+    return volume.merged_cuts(cuts(spark, sf_dir), ["volume_id"]).select("kept_number", F.round("elevation_deg", 6).alias("elevation_deg"), "collect_ms", "n_cuts", "owners")
 
 
-@query("SELECT elevation_number, round(elevation_deg, 6) AS elevation_deg FROM (SELECT DISTINCT elevation_number, elevation_deg FROM v_gates) ORDER BY abs(elevation_deg - 2.0), elevation_number LIMIT 1")
+@query("SELECT elevation_number, round(elevation_deg, 6) AS elevation_deg FROM (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY abs(elevation_deg - 2.0), elevation_number) AS n FROM (SELECT DISTINCT volume_id, elevation_number, elevation_deg FROM v_gates)) WHERE n = 1")
 def q_closest_tilt(spark, sf_dir):
-    tilts = volume.tilt_summary(gates(spark, sf_dir), BY).withColumn("volume", F.lit(1))
-    return volume.closest_tilt(tilts, ["volume"], 2.0).select("elevation_number", F.round("elevation_deg", 6).alias("elevation_deg"))
+    tilts = volume.tilt_summary(gates(spark, sf_dir), BY)
+    return volume.closest_tilt(tilts, ["volume_id"], 2.0).select("elevation_number", F.round("elevation_deg", 6).alias("elevation_deg"))
 
 
-@query("""SELECT elevation_number, elevation_deg, CAST(row_number() OVER (ORDER BY elevation_deg, elevation_number) - 1 AS INT) AS tilt_index, strftime(TIMESTAMP '1970-01-01' + INTERVAL 18971 DAY + to_milliseconds(collect_ms), '%Y-%m-%d %H-%M-%S') AS collected
-FROM v_cuts WHERE elevation_number IN (SELECT elevation_number FROM v_gates)""")
+@query("""SELECT elevation_number, elevation_deg, CAST(row_number() OVER (PARTITION BY volume_id ORDER BY elevation_deg, elevation_number) - 1 AS INT) AS tilt_index, strftime(TIMESTAMP '1970-01-01' + INTERVAL 18971 DAY + to_milliseconds(collect_ms), '%Y-%m-%d %H-%M-%S') AS collected
+FROM v_cuts""")
 def q_tilt_info(spark, sf_dir):
-    return volume.tilt_info(cuts(spark, sf_dir), ["volume"], 18972).select("elevation_number", "elevation_deg", "tilt_index", "collected")
+    return volume.tilt_info(cuts(spark, sf_dir), ["volume_id"], 18972).select("elevation_number", "elevation_deg", "tilt_index", "collected")
 
 
-@query("SELECT elevation_number, elevation_deg, lag(elevation_number) OVER w AS below, lead(elevation_number) OVER w AS above FROM v_cuts WHERE elevation_number IN (SELECT elevation_number FROM v_gates) WINDOW w AS (ORDER BY elevation_deg)")
+@query("SELECT elevation_number, elevation_deg, lag(elevation_number) OVER w AS below, lead(elevation_number) OVER w AS above FROM v_cuts WINDOW w AS (PARTITION BY volume_id ORDER BY elevation_deg)")
 def q_tilt_neighbors(spark, sf_dir):
-    return volume.tilt_neighbours(cuts(spark, sf_dir), ["volume"]).select("elevation_number", "elevation_deg", "below", "above")
+    return volume.tilt_neighbours(cuts(spark, sf_dir), ["volume_id"]).select("elevation_number", "elevation_deg", "below", "above")
 
 
 # -- rays and neighbours -----------------------------------------------------------------------
@@ -445,15 +446,15 @@ def q_align_moment(spark, sf_dir):
 
 @query(_NEAR.format(f"{G}, e AS (SELECT elevation_number, avg(elevation_deg) AS d FROM g GROUP BY 1), l AS (SELECT g.* EXCLUDE (range_m), range_m * cos(radians(elevation_deg)) / cos(radians(e.d)) AS range_m FROM g JOIN e ON e.elevation_number = g.elevation_number + 1)", "v", "l a JOIN g b ON b.elevation_number = a.elevation_number + 1 AND a.ray_idx = b.ray_idx") + " SELECT l.elevation_number, l.ray_idx, l.gate_idx, x AS above_v FROM l LEFT JOIN (SELECT * FROM w WHERE n = 1) q USING (elevation_number, ray_idx, gate_idx)")
 def q_vertical_lookup(spark, sf_dir):
-    g = gates(spark, sf_dir).withColumn("volume", F.lit(1))
-    tilts = volume.tilt_neighbours(volume.tilt_summary(g, ["volume", *BY]), ["volume"])
-    return align.vertical_lookup(g, tilts, ["volume"]).select(*KEY, F.col("nearest").alias("above_v"))
+    g = gates(spark, sf_dir)
+    tilts = volume.tilt_neighbours(volume.tilt_summary(g, BY), ["volume_id"])
+    return align.vertical_lookup(g, tilts, ["volume_id"]).select(*KEY, F.col("nearest").alias("above_v"))
 
 
-@query("""WITH c AS (SELECT * FROM v_cuts WHERE elevation_number IN (SELECT elevation_number FROM v_gates)) SELECT a.elevation_number, arg_min(b.elevation_number, round(abs(a.elevation_deg - b.elevation_deg), 6) * 1000 + b.elevation_number) AS sibling FROM c a LEFT JOIN c b ON a.elevation_number <> b.elevation_number AND abs(a.elevation_deg - b.elevation_deg) < 0.1
+@query("""WITH c AS (SELECT * FROM v_cuts) SELECT a.elevation_number, arg_min(b.elevation_number, round(abs(a.elevation_deg - b.elevation_deg), 6) * 1000 + b.elevation_number % 32) AS sibling FROM c a LEFT JOIN c b ON a.volume_id = b.volume_id AND a.elevation_number <> b.elevation_number AND abs(a.elevation_deg - b.elevation_deg) < 0.1
 AND abs(a.collect_ms - b.collect_ms) < 30000 AND (contains(b.moments, 'RHO') OR contains(b.moments, 'ZDR')) WHERE contains(a.moments, 'VEL') GROUP BY 1""")
 def q_sibling(spark, sf_dir):
-    return align.siblings(cuts(spark, sf_dir), ["volume"]).select("elevation_number", "sibling")
+    return align.siblings(cuts(spark, sf_dir), ["volume_id"]).select("elevation_number", "sibling")
 
 
 @query(f"""{G}, s AS (SELECT elevation_number, CAST(floor(azimuth_deg / 10) AS INT) AS s, avg(v) AS m, max(nyquist_ms) AS n FROM g GROUP BY 1, 2 HAVING count(*) >= 30), p AS (SELECT elevation_number, s % 18 AS p, avg(m) AS m, max(n) AS n FROM s GROUP BY 1, 2 HAVING count(*) = 2)
@@ -462,26 +463,30 @@ def q_sector_balance(spark, sf_dir):
     return wind.sector_balance(gates(spark, sf_dir)).select(*BY, "n_pairs", rounded("offset_ms", "offset_ms"), "nyquist_ms", "folds")
 
 
+def _bin() -> Column:
+    return (F.col("volume_id") * 1000 + F.col("bin")).alias("bin")
+
+
 def _vad_sql(k: int) -> str:
     source = "x0" if k == 1 else f"(SELECT x0.* FROM x0 JOIN f{k - 1} USING (bin) WHERE abs(v - u * x1 - w * x2) <= 0.6::DOUBLE * nyquist_ms)"
     return f"""s{k} AS (SELECT bin, count(*) AS n, sum(x1 * x1) + 0.001::DOUBLE * count(*) AS a, sum(x1 * x2) AS b, sum(x2 * x2) + 0.001::DOUBLE * count(*) AS c, sum(x1 * v) AS p, sum(x2 * v) AS q FROM {source} GROUP BY 1),
 f{k} AS (SELECT bin, n, (c * p - b * q) / (a * c - b * b) AS u, (a * q - b * p) / (a * c - b * b) AS w, 4 * (a * c - b * b) / ((a + c) * (a + c)) AS spread FROM s{k})"""
 
 
-X0 = f"""{G.replace('vel_code', 'true_code')}, x0 AS (SELECT *, CAST(floor(({_H.format(R='8490000.0::DOUBLE')}) / 500) AS INT) AS bin, sin(radians(azimuth_deg)) * cos(radians(elevation_deg)) AS x1, cos(radians(azimuth_deg)) * cos(radians(elevation_deg)) AS x2 FROM g)"""
+X0 = f"""{G.replace('vel_code', 'true_code')}, x0 AS (SELECT *, volume_id * 1000 + CAST(floor(({_H.format(R='8490000.0::DOUBLE')}) / 500) AS INT) AS bin, sin(radians(azimuth_deg)) * cos(radians(elevation_deg)) AS x1, cos(radians(azimuth_deg)) * cos(radians(elevation_deg)) AS x2 FROM g)"""
 
 
 @query(f"{X0}, {_vad_sql(1)}, {_vad_sql(2)}, {_vad_sql(3)} SELECT bin, n, round(u, 4) AS u, round(w, 4) AS w, round(spread, 4) AS spread FROM f3")
 def q_vad_ls(spark, sf_dir):
-    g = _true(spark, sf_dir).withColumn("v", F.col("t")).withColumn("volume", F.lit(1))
-    return wind.vad(g, ["volume"]).select("bin", "n", rounded("u", "u", 4), rounded("w", "w", 4), rounded("spread", "spread", 4))
+    g = _true(spark, sf_dir).withColumn("v", F.col("t"))
+    return wind.vad(g, ["volume_id"]).select(_bin(), "n", rounded("u", "u", 4), rounded("w", "w", 4), rounded("spread", "spread", 4))
 
 
 @query(f"""{X0.replace('true_code', 'vel_code')}, t AS (SELECT bin, iu, iw, cos(pi() * (v - (iu * 20 * sin(radians(azimuth_deg)) + iw * 20 * cos(radians(azimuth_deg))) * cos(radians(elevation_deg))) / nyquist_ms) AS s FROM x0, range(-2, 3) a(iu), range(-2, 3) b(iw))
 SELECT bin, CAST(iu AS INT) AS iu, CAST(iw AS INT) AS iw, round(avg(s), 6) + 0.0 AS score, count(*) AS n FROM t GROUP BY 1, 2, 3""")
 def q_ar_vad_score(spark, sf_dir):
-    g = gates(spark, sf_dir).withColumn("volume", F.lit(1))
-    return wind.alias_scores(g, ["volume"], limit=40, step=20).select("bin", "iu", "iw", rounded("score", "score"), "n")
+    g = gates(spark, sf_dir)
+    return wind.alias_scores(g, ["volume_id"], limit=40, step=20).select(_bin(), "iu", "iw", rounded("score", "score"), "n")
 
 
 @query(f"{G} SELECT elevation_number, count(*) AS n, round(sqrt(sum(cos(pi() * v / nyquist_ms)) ** 2 + sum(sin(pi() * v / nyquist_ms)) ** 2) / count(*), 6) AS resultant FROM g GROUP BY 1")
@@ -493,7 +498,7 @@ def q_resultant(spark, sf_dir):
 @query(None)
 def q_component_anchor(spark, sf_dir):
     g = _true(spark, sf_dir)
-    winds = wind.vad(g.withColumn("v", F.col("t")).withColumn("volume", F.lit(1)), ["volume"]).select("bin", "u", "w")
+    winds = wind.vad(g.withColumn("v", F.col("t")), ["volume_id"]).select("volume_id", "bin", "u", "w")
     return wind.component_anchor(labelled(spark, sf_dir), winds, BY)
 
 
@@ -531,13 +536,13 @@ l AS (SELECT *, {LAT0} + degrees(arc * cos(radians(azimuth_deg)) / 6371000) AS l
 c AS (SELECT *, CAST(floor(({north} - la) / ({(north - south) / n[0]!r}::DOUBLE)) AS INT) AS cx, CAST(floor(({east} - lo) / ({(east - west) / n[1]!r}::DOUBLE)) AS INT) AS cy, CAST(floor(h / ({20668.0 / n[2]!r}::DOUBLE)) AS INT) AS cz, sqrt(0.7::DOUBLE ** 2 + (0.065::DOUBLE * (range_m / 1000)) ** 2) AS wd
   FROM l WHERE la >= {south} AND la < {north} AND lo >= {west} AND lo < {east} AND h >= 0 AND h < 20668),
 {axis('ax', 'cx', km[0], n[0])} c), {axis('ay', 'cy', km[1], n[1])} ax), {axis('az', 'cz', km[2], n[2])} ay), w AS (SELECT *, {weight('cx', km[0])} * {weight('cy', km[1])} * {weight('cz', km[2])} AS wt FROM az)
-SELECT CAST(icx AS INT) AS ix, CAST(icy AS INT) AS iy, CAST(icz AS INT) AS iz, round(sum(wt * dbz) / sum(wt), 3) + 0.0 AS value, round(sum(wt), 3) AS weight FROM w GROUP BY 1, 2, 3"""
+SELECT volume_id AS volume, CAST(icx AS INT) AS ix, CAST(icy AS INT) AS iy, CAST(icz AS INT) AS iz, round(sum(wt * dbz) / sum(wt), 3) + 0.0 AS value, round(sum(wt), 3) AS weight FROM w GROUP BY 1, 2, 3, 4"""
 
 
 @query(_voxel_sql())
 def q_voxel_mean(spark, sf_dir):
-    v = raster.voxels(gates(spark, sf_dir), [], "dbz", LAT0, LON0, BOX, most=VOXELS)
-    return v.select("ix", "iy", "iz", rounded("value", "value", 3), rounded("weight", "weight", 3))
+    v = raster.voxels(gates(spark, sf_dir), ["volume_id"], "dbz", LAT0, LON0, BOX, most=VOXELS)
+    return v.select(F.col("volume_id").alias("volume"), "ix", "iy", "iz", rounded("value", "value", 3), rounded("weight", "weight", 3))
 
 
 @query("SELECT elevation_number, step, count(*) AS n FROM (SELECT elevation_number, CASE WHEN d >= 70 THEN 70 WHEN d >= 50 THEN 50 WHEN d >= 30 THEN 30 WHEN d >= 10 THEN 10 WHEN d >= -10 THEN -10 END AS step FROM (SELECT elevation_number, (ref_code - 66) / 2.0::DOUBLE AS d FROM v_gates)) GROUP BY 1, 2")
@@ -625,28 +630,31 @@ def q_alert_windows(spark, sf_dir):
 
 
 def encoded_volumes(g: DataFrame) -> DataFrame:
-    """Gates of each tilt as one Level II volume: (path, content)."""
+    """Gates as one Level II file a volume: (path, content)."""
     import numpy as np
     import pyarrow as pa
 
     from ..sources.level2 import encode_volume
 
     def run(t: pa.Table) -> pa.Table:
-        number = int(t["elevation_number"][0].as_py())
-        rows = t.sort_by([("ray_idx", "ascending"), ("gate_idx", "ascending")]).to_pydict()
-        codes: dict[int, np.ndarray] = {}
-        for ray, gate, vel, ref in zip(rows["ray_idx"], rows["gate_idx"], rows["vel_code"], rows["ref_code"], strict=True):
-            codes.setdefault(ray, np.zeros((2, 100), np.int32))[:, gate] = vel, ref
+        number = int(t["volume_id"][0].as_py())
+        cut, ray, gate, vel, ref = (t[c].to_numpy() for c in ("elevation_number", "ray_idx", "gate_idx", "vel_code", "ref_code"))
+        codes = np.zeros((CUTS_A_VOLUME, 120, 2, 100), np.int32)
+        codes[cut % CUTS_A_VOLUME, ray, 0, gate], codes[cut % CUTS_A_VOLUME, ray, 1, gate] = vel, ref
+        tilt = {int(c): (e, n) for c, e, n in zip(cut % CUTS_A_VOLUME, t["elevation_deg"].to_numpy(), t["nyquist_ms"].to_numpy(), strict=True)}
         moment = lambda name, offset, c: {"name": name, "gate_count": 100, "first_gate": 2125, "gate_spacing": 250, "word_size": 8, "scale": 2.0, "offset": offset, "codes": c}
-        radials = [{"azimuth_deg": ray * 3 + 1.5, "elevation_deg": rows["elevation_deg"][0], "elevation_number": number, "collect_ms": ray * 100, "nyquist_ms": rows["nyquist_ms"][0], "moments": [moment("VEL", 129.0, c[0]), moment("REF", 66.0, c[1])]} for ray, c in sorted(codes.items())]
-        return pa.table({"path": [f"KXYZ20240115_00000{number}_V06"], "content": pa.array([encode_volume("KXYZ", 19_738, radials, per_block=30)], pa.binary())})
+        radials = [
+            {"azimuth_deg": r * 3 + 1.5, "elevation_deg": tilt[c][0], "elevation_number": c, "collect_ms": c * 20_000 + r * 100, "nyquist_ms": tilt[c][1], "moments": [moment("VEL", 129.0, codes[c, r, 0]), moment("REF", 66.0, codes[c, r, 1])]}
+            for c, r in sorted(set(zip((cut % CUTS_A_VOLUME).tolist(), ray.tolist(), strict=True)))
+        ]
+        return pa.table({"path": [f"KXYZ20240115_{number:06d}_V06"], "content": pa.array([encode_volume("KXYZ", 19_738, radials, per_block=30)], pa.binary())})
 
-    return g.groupBy("elevation_number").applyInArrow(run, "path string, content binary")
+    return g.groupBy("volume_id").applyInArrow(run, "path string, content binary")
 
 
-@query("""WITH x AS (SELECT elevation_number, dense_rank() OVER (PARTITION BY elevation_number ORDER BY ray_idx) - 1 AS ray, azimuth_deg, gate_idx, range_m, vel_code, ref_code FROM v_gates)
-SELECT 'KXYZ20240115_00000' || elevation_number || '_V06' AS volume_id, elevation_number, CAST(ray AS INT) AS ray_idx, azimuth_deg, moment, gate_idx, range_m, raw_code, value
-FROM (SELECT *, 'VEL' AS moment, vel_code AS raw_code, (vel_code - 129) / 2.0::DOUBLE AS value FROM x UNION ALL SELECT *, 'REF', ref_code, (ref_code - 66) / 2.0::DOUBLE FROM x)""")
+@query("""WITH x AS (SELECT volume_id, elevation_number % 32 AS elevation_number, elevation_deg, nyquist_ms, dense_rank() OVER (PARTITION BY elevation_number ORDER BY ray_idx) - 1 AS ray, azimuth_deg, gate_idx, range_m, vel_code, ref_code FROM v_gates)
+SELECT 'KXYZ20240115_' || lpad(CAST(volume_id AS VARCHAR), 6, '0') || '_V06' AS volume_id, CAST(elevation_number AS INT) AS elevation_number, CAST(ray AS INT) AS ray_idx, azimuth_deg, moment, gate_idx, range_m, raw_code, value
+FROM (SELECT *, 'VEL' AS moment, vel_code AS raw_code, (vel_code - 129) / 2.0::DOUBLE AS value FROM x UNION ALL SELECT *, 'REF', ref_code, (ref_code - 66) / 2.0::DOUBLE FROM x)""", keep=True)
 def q_decode_binary(spark, sf_dir):
     from ..sources.level2 import decode_blocks, radial_gates, volume_blocks
 
@@ -730,12 +738,12 @@ def q_hole_fill(spark, sf_dir):
     return evaluate.fill_holes(cells, BY, passes=2).select(*BY, "px", "py", rounded(F.col("value") + 1e-9, "value"))
 
 
-@query("""WITH r AS (SELECT DISTINCT elevation_number, elevation_deg FROM v_gates), s AS (SELECT *, CASE WHEN abs(elevation_deg - lag(elevation_deg) OVER (ORDER BY elevation_number)) >= 0.3 THEN 1 ELSE 0 END AS f FROM r) SELECT elevation_number, CAST(sum(f) OVER (ORDER BY elevation_number) AS INT) AS tilt FROM s""")
+@query("""WITH r AS (SELECT DISTINCT volume_id, elevation_number, elevation_deg FROM v_gates), s AS (SELECT *, CASE WHEN abs(elevation_deg - lag(elevation_deg) OVER (PARTITION BY volume_id ORDER BY elevation_number)) >= 0.3 THEN 1 ELSE 0 END AS f FROM r) SELECT elevation_number, CAST(sum(f) OVER (PARTITION BY volume_id ORDER BY elevation_number) AS INT) AS tilt FROM s""")
 def q_elevation_segments(spark, sf_dir):
     from ..operators import evaluate
 
-    rows = gates(spark, sf_dir).select("elevation_number", "elevation_deg").distinct().withColumns({"volume": F.lit(1), "seq": F.col("elevation_number")})
-    return evaluate.elevation_segments(rows, ["volume"]).select("elevation_number", "tilt")
+    rows = gates(spark, sf_dir).select(*BY, "elevation_deg").distinct().withColumns({"seq": F.col("elevation_number")})
+    return evaluate.elevation_segments(rows, ["volume_id"]).select("elevation_number", "tilt")
 
 
 @query("""WITH b AS (SELECT *, radians(latitude) AS la, 400000 * sqrt(2::DOUBLE) / 6371000 AS d, radians(bearing) AS be FROM v_sites, (VALUES (45), (135), (225), (315)) t(bearing)), p AS (SELECT *, asin(sin(la) * cos(d) + cos(la) * sin(d) * cos(be)) AS t2 FROM b)
@@ -752,10 +760,10 @@ def q_stride_sample(spark, sf_dir):
     return wind.every_nth(gates(spark, sf_dir), BY, ["ray_idx", "gate_idx"], 5).select(*KEY)
 
 
-@query(f"""WITH v AS ({_voxel_sql().replace('round(sum(wt * dbz) / sum(wt), 3) + 0.0 AS value', 'sum(wt * dbz) / sum(wt) AS value')}) SELECT ix, iy, round(max(value), 3) + 0.0 AS value FROM v GROUP BY 1, 2""")
+@query(f"""WITH v AS ({_voxel_sql().replace('round(sum(wt * dbz) / sum(wt), 3) + 0.0 AS value', 'sum(wt * dbz) / sum(wt) AS value')}) SELECT volume, ix, iy, round(max(value), 3) + 0.0 AS value FROM v GROUP BY 1, 2, 3""")
 def q_max_projection(spark, sf_dir):
-    v = raster.voxels(gates(spark, sf_dir), [], "dbz", LAT0, LON0, BOX, most=VOXELS)
-    return v.groupBy("ix", "iy").agg(F.max("value").alias("value")).select("ix", "iy", rounded("value", "value", 3))
+    v = raster.voxels(gates(spark, sf_dir), ["volume_id"], "dbz", LAT0, LON0, BOX, most=VOXELS)
+    return v.groupBy("volume_id", "ix", "iy").agg(F.max("value").alias("value")).select(F.col("volume_id").alias("volume"), "ix", "iy", rounded("value", "value", 3))
 
 
 @query(None)
@@ -765,8 +773,8 @@ def q_robust_vad(spark, sf_dir):
 
 @query(None)
 def q_wind_track(spark, sf_dir):
-    g = gates(spark, sf_dir).withColumn("volume", F.lit(1))
-    return wind.wind_track(wind.top_candidates(wind.alias_scores(g, ["volume"], 40, 10), ["volume"]), ["volume"]).drop("volume")
+    g = gates(spark, sf_dir)
+    return wind.wind_track(wind.top_candidates(wind.alias_scores(g, ["volume_id"], 40, 10), ["volume_id"]), ["volume_id"]).withColumn("bin", F.col("volume_id") * 1000 + F.col("bin"))
 
 
 @query(None)
@@ -823,9 +831,9 @@ def q_gpu_quads(spark, sf_dir):
 
 @query(None)
 def q_vertical_votes(spark, sf_dir):
-    g = labelled(spark, sf_dir).withColumn("volume", F.lit(1))
-    tilts = volume.tilt_neighbours(volume.tilt_summary(g, ["volume", *BY]), ["volume"])
-    return dealias.vertical_votes(g, tilts, ["volume"]).drop("volume")
+    g = labelled(spark, sf_dir)
+    tilts = volume.tilt_neighbours(volume.tilt_summary(g, BY), ["volume_id"])
+    return dealias.vertical_votes(g, tilts, ["volume_id"])
 
 
 @query(f"{SC} SELECT DISTINCT icao, substr(\"time\", 1, 2) || ':' || substr(\"time\", 3, 2) || ':' || substr(\"time\", 5, 2) || ' UTC' AS label FROM c")

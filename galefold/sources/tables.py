@@ -1,28 +1,35 @@
 """Radar-shaped views over the given tables, as SQL that Spark and DuckDB both run.
 
-Each view is derived by Spark from a table that grows, so that work on it grows too.
+Each view is derived by Spark from a table that grows. Gates and cuts come in volumes, one
+for each ORDERS_A_VOLUME orders, so that volumes, tilts and gates grow with lineitem; a
+volume has five tilts of at most 12,000 gates. `elevation_number` counts the cuts of the
+whole archive: CUTS_A_VOLUME times the volume, and the cut's number in its volume. The
+alert feed has an id for each ten events, so ids repeat and grow with events.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-V_GATES = """
+ORDERS_A_VOLUME, CUTS_A_VOLUME = 10_000, 32
+_VOLUME = f"CAST(floor(l_orderkey / {ORDERS_A_VOLUME}) AS BIGINT)"
+
+V_GATES = f"""
 WITH g AS (
-  SELECT CAST(l_orderkey % 5 AS INT) AS elevation_number, CAST(l_partkey % 120 AS INT) AS ray_idx,
+  SELECT {_VOLUME} AS volume_id, CAST(l_orderkey % 5 AS INT) AS cut, CAST(l_partkey % 120 AS INT) AS ray_idx,
          CAST((l_suppkey * 7 + l_linenumber * 13 + l_partkey) % 100 AS INT) AS gate_idx,
          max(l_discount) AS noise, max(l_quantity) AS qty
-  FROM lineitem GROUP BY 1, 2, 3),
+  FROM lineitem GROUP BY 1, 2, 3, 4),
 p AS (
-  SELECT elevation_number, ray_idx, gate_idx, noise, qty, CAST(ray_idx * 3 + 1.5 AS DOUBLE) AS azimuth_deg,
-         CAST(2125 + 250 * gate_idx AS DOUBLE) AS range_m, CAST(0.5 + 0.9 * elevation_number AS DOUBLE) AS elevation_deg,
-         CAST(12 + elevation_number AS DOUBLE) AS nyquist_ms FROM g),
+  SELECT volume_id, volume_id * {CUTS_A_VOLUME} + cut AS elevation_number, ray_idx, gate_idx, noise, qty, CAST(ray_idx * 3 + 1.5 AS DOUBLE) AS azimuth_deg,
+         CAST(2125 + 250 * gate_idx AS DOUBLE) AS range_m, CAST(0.5 + 0.9 * cut AS DOUBLE) AS elevation_deg,
+         CAST(12 + cut AS DOUBLE) AS nyquist_ms FROM g),
 t AS (
   SELECT *, (CAST(22 AS DOUBLE) * sin(radians(azimuth_deg)) + CAST(9 AS DOUBLE) * cos(radians(azimuth_deg)))
             * cos(radians(elevation_deg)) * (CAST(1 AS DOUBLE) + CAST(0.004 AS DOUBLE) * gate_idx)
             + CAST(10 AS DOUBLE) * (noise - CAST(0.05 AS DOUBLE)) AS v_true FROM p),
 f AS (SELECT *, v_true - 2 * nyquist_ms * floor((v_true + nyquist_ms) / (2 * nyquist_ms)) AS v_fold FROM t)
-SELECT elevation_number, ray_idx, gate_idx, azimuth_deg, range_m, elevation_deg, nyquist_ms,
+SELECT volume_id, elevation_number, ray_idx, gate_idx, azimuth_deg, range_m, elevation_deg, nyquist_ms,
        CAST(floor(v_fold * 2 + CAST(129.5 AS DOUBLE)) AS INT) AS vel_code,
        CAST(floor(v_true * 2 + CAST(129.5 AS DOUBLE)) AS INT) AS true_code,
        CAST(floor(qty * 2 + 66) AS INT) AS ref_code
@@ -40,7 +47,7 @@ SELECT DISTINCT concat(yy, '/', mm, '/', dd, '/', icao, '/', icao, yy, mm, dd, '
 """
 
 V_ALERT_FEED = """
-SELECT event_id AS feed_seq, CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('urn:', CAST(event_id % 4000 AS STRING)) END AS nws_id,
+SELECT event_id AS feed_seq, CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('urn:', CAST(CAST(floor(event_id / 1000) AS BIGINT) * 100 + event_id % 100 AS STRING)) END AS nws_id,
        CASE event_type WHEN 'error' THEN 'Tornado Warning' WHEN 'click' THEN 'Flash Flood Warning' WHEN 'view' THEN 'Special Weather Statement'
                        WHEN 'signup' THEN 'Winter Storm Warning' ELSE 'Something Else' END AS event,
        ts AS effective, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + (event_id % 48) * INTERVAL '1' HOUR END AS expires, props AS geojson
@@ -53,16 +60,17 @@ SELECT concat('K', lpad(CAST(s_suppkey AS STRING), 3, '0')) AS icao, s_name AS c
 FROM supplier
 """
 
-V_CUTS = """
-SELECT * FROM (VALUES
-  (0, CAST(0.50 AS DOUBLE), 'REF,ZDR,PHI,RHO', 1000), (1, CAST(0.55 AS DOUBLE), 'REF,VEL,SW', 21000),
-  (2, CAST(1.40 AS DOUBLE), 'REF,ZDR,PHI,RHO', 60000), (3, CAST(1.60 AS DOUBLE), 'REF,VEL,SW', 95000),
-  (4, CAST(2.40 AS DOUBLE), 'REF,VEL,SW,ZDR,PHI,RHO', 130000)) AS t(elevation_number, elevation_deg, moments, collect_ms)
+#: Headers of five cuts, two of them split, that each volume has: degrees, moments, milliseconds.
+_CUTS = [("0.50", "REF,ZDR,PHI,RHO", 1000), ("0.55", "REF,VEL,SW", 21000), ("1.40", "REF,ZDR,PHI,RHO", 60000), ("1.60", "REF,VEL,SW", 95000), ("2.40", "REF,VEL,SW,ZDR,PHI,RHO", 130000)]
+_case = lambda k, shape: "CASE cut " + " ".join(f"WHEN {n} THEN {shape.format(c[k])}" for n, c in enumerate(_CUTS)) + " END"
+V_CUTS = f"""
+WITH c AS (SELECT DISTINCT {_VOLUME} AS volume_id, CAST(l_orderkey % 5 AS INT) AS cut FROM lineitem)
+SELECT volume_id, volume_id * {CUTS_A_VOLUME} + cut AS elevation_number, {_case(0, "CAST({} AS DOUBLE)")} AS elevation_deg, {_case(1, "'{}'")} AS moments, {_case(2, "{}")} AS collect_ms FROM c
 """
 
 #: name -> (SQL, tables it reads)
 VIEWS = {
-    "v_gates": (V_GATES, ["lineitem"]), "v_scans": (V_SCANS, ["events"]), "v_alert_feed": (V_ALERT_FEED, ["events"]), "v_sites": (V_SITES, ["supplier"]), "v_cuts": (V_CUTS, []),
+    "v_gates": (V_GATES, ["lineitem"]), "v_scans": (V_SCANS, ["events"]), "v_alert_feed": (V_ALERT_FEED, ["events"]), "v_sites": (V_SITES, ["supplier"]), "v_cuts": (V_CUTS, ["lineitem"]),
 }
 
 
