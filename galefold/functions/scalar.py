@@ -167,26 +167,34 @@ def quantize(value: Column | str, low: float, high: float) -> Column:
 # -- costs and weights of the older dealiasers ---------------------------------------------------
 
 
-def same_tilt_scale(nyquist: Column | str, width: Column | str) -> Column:
-    """Scale of residuals within a tilt."""
-    return F.greatest(number(1.5), 0.12 * col(nyquist), 0.5 * F.greatest(number(0), F.coalesce(col(width), number(0))))
+def _positive(x: Column | str) -> Column:
+    return F.greatest(number(0), F.coalesce(col(x), number(0)))
 
 
-def vertical_scale(nyquist: Column | str, range_m: Column | str, width: Column | str) -> Column:
-    """Scale of residuals between tilts; it grows with range."""
-    return F.greatest(number(2), 0.0025 * F.greatest(number(0), col(range_m)), 0.15 * col(nyquist), 0.35 * F.greatest(number(0), F.coalesce(col(width), number(0))))
+#: Residual scales in m/s: the floor, and the shares of Nyquist velocity, spectrum width and range that they reach at least.
+RESIDUAL_SCALES = {"tilt": (1.5, 0.12, 0.5, 0.0), "vertical": (2.0, 0.15, 0.35, 0.0025)}
 
 
-def fold_confidence(best_cost: Column | str, second_cost: Column | str, horizontal: Column | str, vertical: Column | str, size: Column | str) -> Column:
-    """Blend of margin 0.40, support 0.25, size 0.20 and residual 0.15, in [0, 1]; 0 where a cost is unknown."""
-    best, second = col(best_cost), col(second_cost)
-    clamp = lambda x: F.least(number(1), F.greatest(number(0), x))
-    support = col(horizontal) + 2 * col(vertical)
-    blend = (
-        0.40 * clamp((second - best) / F.greatest(second, number(1e-3))) + 0.25 * (1 - F.exp(-0.35 * support)) + 0.20 * (1 - F.exp(-0.15 * F.greatest(F.lit(1), col(size))))
-        + 0.15 * F.exp(-best / F.greatest(number(1), 4.0 * F.greatest(F.lit(1), support)))
-    )
-    return F.coalesce(clamp(blend), number(0))
+def residual_scale(kind: str, nyquist: Column | str, width: Column | str, range_m: Column | str | None = None) -> Column:
+    """Scale of residuals within a tilt, or between tilts, where it grows with range."""
+    floor, of_nyquist, of_width, of_range = RESIDUAL_SCALES[kind]
+    reach = [of_range * _positive(range_m)] if range_m is not None else []
+    return F.greatest(number(floor), of_nyquist * col(nyquist), of_width * _positive(width), *reach)
+
+
+#: Shares that a fold's margin, neighbours, size and residual have in the trust in it.
+TRUST_SHARES = {"margin": 0.40, "neighbours": 0.25, "size": 0.20, "residual": 0.15}
+
+
+def fold_trust(cost: Column | str, next_cost: Column | str, beside: Column | str, above_below: Column | str, gates: Column | str) -> Column:
+    """Trust in a region's fold, 0 to 1: how far the next best one is, how many neighbours agree (those above and below count twice), size and residual."""
+    votes = col(beside) + 2 * col(above_below)
+    parts = {
+        "margin": F.least(number(1), _positive((col(next_cost) - col(cost)) / F.greatest(col(next_cost), number(1e-3)))), "neighbours": 1 - F.exp(-0.35 * votes),
+        "size": 1 - F.exp(-0.15 * F.greatest(F.lit(1), col(gates))), "residual": F.exp(-col(cost) / F.greatest(number(1), 4.0 * F.greatest(F.lit(1), votes))),
+    }
+    whole = sum((TRUST_SHARES[k] * part for k, part in parts.items()), number(0))
+    return F.when(col(cost).isNotNull() & col(next_cost).isNotNull(), F.least(number(1), _positive(whole))).otherwise(number(0))
 
 
 def candidate_cost(candidate: Column | str, prediction: Column | str, nyquist: Column | str, mad: Column | str, support: Column | str) -> Column:
@@ -213,6 +221,48 @@ def clock_label(hhmmss: Column | str) -> Column:
     return F.concat(F.concat_ws(":", F.substring(t, 1, 2), F.substring(t, 3, 2), F.substring(t, 5, 2)), F.lit(" UTC"))
 
 
-def legend_ticks(low: float, high: float, step: float) -> Column:
-    """Values of a legend at whole steps from low to high."""
-    return F.transform(F.sequence(F.lit(int(-(-low // step))), F.lit(int(high // step))), lambda k: k * number(step))
+def legend_ticks(low: Column, high: Column, step: Column, most: int = 6) -> Column:
+    """Values of a legend: both ends, and between them whole multiples of a step that is widened until about `most` fit."""
+    span = high - low
+    own = F.when(step > 0, step).otherwise(span / 5)
+    wide = own * F.greatest(number(1), F.ceil(span / own / most))
+    first, last = F.ceil(low / wide).cast("long"), F.floor(high / wide).cast("long")
+    inner = F.when(first <= last, F.transform(F.sequence(first, last), lambda k: k * wide)).otherwise(F.array().cast("array<double>"))
+    inner = F.filter(inner, lambda x: (x > low) & (x < high))
+    return F.when(span > 0, F.concat(F.array(low), inner, F.array(high))).otherwise(F.array(low))
+
+
+def legend_digits(step: Column) -> Column:
+    """Digits after the point that a legend's step asks for, three at most."""
+    return F.when((step > 0) & (step < 1), F.least(F.lit(3), F.ceil(-F.log10(step)).cast("int"))).otherwise(F.lit(0))
+
+
+def compatible_nyquist(a: Column | str, b: Column | str, share: float = 0.03) -> Column:
+    """Whether two Nyquist velocities differ by at most a share of the larger."""
+    return F.abs(col(a) - col(b)) <= share * F.greatest(col(a), col(b))
+
+
+def clamped_index(wanted: Column | str, n: Column | str) -> Column:
+    """A tilt's number within 0 and n - 1; null if there are no tilts."""
+    return F.when(col(n) > 0, F.greatest(F.lit(0), F.least(col(wanted), col(n) - 1)))
+
+
+def voxel_number(ix: Column | str, iy: Column | str, iz: Column | str, n_lat: int, n_lon: int) -> Column:
+    """A voxel's place in the flat array, latitude fastest."""
+    return col(ix).cast("long") + col(iy).cast("long") * n_lat + col(iz).cast("long") * n_lat * n_lon
+
+
+def parse_tilt_time(label: Column | str) -> Column:
+    """The time in a tilt's label yyyy-MM-dd HH-mm-ss; null for any other text."""
+    whole = col(label).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}-\d{2}-\d{2}$")
+    return F.when(whole, F.try_to_timestamp(col(label), F.lit("yyyy-MM-dd HH-mm-ss")))
+
+
+def direction_bits(out: Column, inward: Column, on: Column, back: Column) -> Column:
+    """Directions in which something holds as bits 1, 2 (along the ray), 4 and 8 (round the ring)."""
+    return sum((F.when(c, F.lit(1 << k)).otherwise(F.lit(0)) for k, c in enumerate((out, inward, on, back))), F.lit(0))
+
+
+def both_axes(bits: Column) -> Column:
+    """Whether a ray direction and a ring direction are among the bits."""
+    return (bits.bitwiseAND(3) != 0) & (bits.bitwiseAND(12) != 0)

@@ -10,7 +10,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -272,3 +272,31 @@ def vertical_votes(labelled: DataFrame, neighbours: DataFrame, volume: list[str]
     agree = (F.col("n_below") < 3) | (F.col("n_above") < 3) | ((F.col("k_below") == F.col("k")) & (F.col("k_above") == F.col("k")) & (F.col("votes_below") >= side_share * F.col("n_below")) & (F.col("votes_above") >= side_share * F.col("n_above")))
     accepted = (F.col("n_votes") >= support) & (F.col("k") != 0) & (F.col("best_votes") >= share * F.col("n_votes")) & agree & (F.col("new_cost") <= residual * F.col("old_cost"))
     return out.withColumn("accepted", accepted)
+
+
+def median_fold(gates: DataFrame, by: list[str], folds: str) -> DataFrame:
+    """Per component the fold of its middle gate: the least one that more than half of the gates reach."""
+    n = gates.groupBy(*by, folds).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*by)
+    n = n.withColumns({"upto": F.sum("n").over(w.orderBy(folds)), "total": F.sum("n").over(w)})
+    return n.where(F.col("upto") > F.floor(F.col("total") / 2)).groupBy(*by).agg(F.min(folds).alias("folds"))
+
+
+@per_tilt
+def tilt_anchor(gates: DataFrame, by: list[str] = BY, most: int = 3, least_gates: int = 40, better: float = 0.35, small: float = 0.30) -> DataFrame:
+    """Per tilt the folds that bring its mean velocity nearest to zero, if that is clearly better (`better` of the mean before)
+    and small (`small` Vn); 0 for tilts where it isn't, or of fewer than `least_gates` gates."""
+    rows = gates.where("v is not null and v = v and nyquist_ms > 0").groupBy(*by).agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"), F.avg("nyquist_ms").alias("vn"))
+    at = lambda k: F.abs(F.col("mean_v") + k * 2 * F.col("vn"))
+    best = F.array_min(F.array(*(F.struct(F.round(at(k), 9).alias("far"), F.lit(abs(k)).alias("size"), F.lit(k).alias("k")) for k in range(-most, most + 1))))["k"]
+    rows = rows.withColumn("best_", best)
+    good = (F.col("n") >= least_gates) & (at(F.col("best_")) < better * F.abs("mean_v")) & (at(F.col("best_")) < small * F.col("vn"))
+    return rows.withColumn("shift", F.when(good, F.col("best_")).otherwise(0)).drop("best_")
+
+
+@per_tilt
+def largest_regions(labelled: DataFrame, by: list[str] = BY, most: int = 4) -> DataFrame:
+    """The `most` largest regions of each tilt, largest first; the lower number of equals."""
+    n = labelled.groupBy(*by, "region").agg(F.count("*").alias("n_gates"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n_gates").desc(), "region"))
+    return n.withColumn("rank", rank).where(F.col("rank") <= most)

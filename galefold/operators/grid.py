@@ -222,3 +222,93 @@ def directional_prediction(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     cell = F.struct("gate_idx", "v")
     a, b = extrapolated(F.lag(cell, 1).over(w), F.lag(cell, 2).over(w), -1), extrapolated(F.lead(cell, 1).over(w), F.lead(cell, 2).over(w), 1)
     return gates.withColumns({"from_before": a, "from_after": b}).withColumn("predicted", F.coalesce((F.col("from_before") + F.col("from_after")) / 2, "from_before", "from_after"))
+
+
+def in_window(azimuths: tuple[float, float], ranges: tuple[float, float]) -> Column:
+    """Gates within bounds of azimuth and range, both included."""
+    return F.col("azimuth_deg").between(*map(S.number, azimuths)) & F.col("range_m").between(*map(S.number, ranges))
+
+
+def in_core(centre: tuple[float, float], half: tuple[float, float]) -> Column:
+    """Gates within a box of metres east and north of the radar."""
+    east, north = F.col("range_m") * F.sin(F.radians("azimuth_deg")), F.col("range_m") * F.cos(F.radians("azimuth_deg"))
+    return (F.abs(east - S.number(centre[0])) <= half[0]) & (F.abs(north - S.number(centre[1])) <= half[1])
+
+
+@per_tilt
+def tolerant_neighbours(gates: DataFrame, by: list[str] = BY, spacing: float = 250, share: float = 0.75, least_rays: int = 8) -> DataFrame:
+    """Pairs of each gate with the gate of the next ray that is nearest in range, within `share` of the spacing.
+
+    The circle is closed only in tilts of `least_rays` rays or more. Ranges go to buckets
+    of the spacing, so that the join is on keys; the nearer gate of equals is the lower one.
+    """
+    bucket, key = lambda r: F.floor(r / spacing), [*by, "ray_idx", "gate_idx"]
+    to = gates.select(*by, F.col("ray_idx").alias("to_ray"), F.col("gate_idx").alias("to_gate"), F.col("range_m").alias("to_range"), F.explode(F.array(*(bucket(F.col("range_m")) + k for k in (-1, 0, 1)))).alias("bucket_"))
+    own = counted(gates, by).where((F.col("n_rays") >= least_rays) | (F.col("ray_idx") + 1 < F.col("n_rays")))
+    own = own.withColumns({"to_ray": (F.col("ray_idx") + 1) % F.col("n_rays"), "bucket_": bucket(F.col("range_m"))})
+    far = F.abs(F.col("range_m") - F.col("to_range"))
+    pairs = own.join(to, [*by, "to_ray", "bucket_"]).where(far <= share * spacing)
+    best = pairs.groupBy(*key).agg(F.min_by(F.struct("to_ray", "to_gate"), F.struct(far, "to_range")).alias("to_"))
+    return gates.join(best, key).select(*gates.columns, "to_.to_ray", "to_.to_gate")
+
+
+@per_tilt
+def cross_prediction(gates: DataFrame, by: list[str] = BY) -> DataFrame:
+    """Median of what up to four directions foretell: the neighbour's value, and half the step to it from the gate beyond, where that is there."""
+    ray, ring = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx"), Window.partitionBy(*by, "gate_idx").orderBy("ray_idx")
+    whole, last = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.partitionBy(*by, "gate_idx").orderBy(F.col("ray_idx").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = F.struct("ray_idx", "gate_idx", "v")
+    first = lambda k, w: F.nth_value(cell, k).over(w)
+    # Round the ring, what lies beyond its end is counted from its start.
+    on1, back1 = F.coalesce(F.lead(cell).over(ring), first(1, whole)), F.coalesce(F.lag(cell).over(ring), first(1, last))
+    on2 = F.coalesce(F.lead(cell, 2).over(ring), F.when(F.lead(cell).over(ring).isNull(), first(2, whole)).otherwise(first(1, whole)))
+    back2 = F.coalesce(F.lag(cell, 2).over(ring), F.when(F.lag(cell).over(ring).isNull(), first(2, last)).otherwise(first(1, last)))
+    columns = {"in1": F.lag(cell).over(ray), "in2": F.lag(cell, 2).over(ray), "out1": F.lead(cell).over(ray), "out2": F.lead(cell, 2).over(ray), "on1": on1, "on2": on2, "back1": back1, "back2": back2}
+    rows = counted(gates, by).withColumns({f"{k}_": c for k, c in columns.items()})
+
+    def foretold(name: str, way: int, across: bool) -> Column:
+        near, far = F.col(f"{name}1_"), F.col(f"{name}2_")
+        at = lambda c, k: c["ray_idx"] == F.pmod(F.col("ray_idx") + k * way, F.col("n_rays")) if across else c["gate_idx"] == F.col("gate_idx") + k * way
+        return F.when(at(near, 1), near["v"] + F.coalesce(F.when(at(far, 2), (near["v"] - far["v"]) / 2), S.number(0)))
+
+    all_ = F.sort_array(F.filter(F.array(foretold("in", -1, False), foretold("out", 1, False), foretold("on", 1, True), foretold("back", -1, True)), lambda x: x.isNotNull()))
+    n = F.size("foretold_")
+    rows = rows.withColumn("foretold_", all_).withColumns({"predicted": (F.get("foretold_", F.floor((n - 1) / 2).cast("int")) + F.get("foretold_", F.floor(n / 2).cast("int"))) / 2, "n_directions": n})
+    return rows.drop("foretold_", "n_rays", *(f"{k}_" for k in columns))
+
+
+@per_tilt
+def gradient_reference(gates: DataFrame, by: list[str] = BY, steep: float = 0.5, uneven: float = 0.2) -> DataFrame:
+    """Gates with `reference`, what the gates before it on the ray lead to: the last one's value, and its step once more where
+    three of them in a row step evenly (within `uneven` Vn) and not steeply (within `steep` Vn). Null without a gate right before."""
+    w = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx")
+    before = [F.lag(F.struct("gate_idx", "v"), k).over(w) for k in (1, 2, 3)]
+    rows = gates.withColumns({f"before{k}_": c for k, c in enumerate(before, 1)})
+    a, b, c = (F.col(f"before{k}_") for k in (1, 2, 3))
+    there = lambda x, k: F.coalesce(F.col("gate_idx") - x["gate_idx"] == k, F.lit(False))
+    step, earlier = a["v"] - b["v"], b["v"] - c["v"]
+    even = there(b, 2) & there(c, 3) & (F.abs(step) <= steep * F.col("nyquist_ms")) & (F.abs(step - earlier) <= uneven * F.col("nyquist_ms"))
+    return rows.withColumn("reference", F.when(there(a, 1), F.when(even, a["v"] + step).otherwise(a["v"]))).drop("before1_", "before2_", "before3_")
+
+
+def median_and_mad(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Per group the median of a value and the median absolute deviation from it."""
+    centre = rows.groupBy(*by).agg(F.median(value).alias("median_v"))
+    return rows.join(centre, by).groupBy(*by).agg(F.first("median_v").alias("median_v"), F.median(F.abs(F.col(value) - F.col("median_v"))).alias("mad"))
+
+
+@per_tilt
+def jump_bits(gates: DataFrame, by: list[str] = BY, share: float = 0.5, spacing: float = 250, most_gap: float = 4.0) -> DataFrame:
+    """Gates with `bits`: the directions (out, in, on, back) whose neighbour differs by `share` Vn or more."""
+    ray, ring = Window.partitionBy(*by, "ray_idx").orderBy("gate_idx"), Window.partitionBy(*by, "gate_idx").orderBy("ray_idx")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    cell = F.struct("ray_idx", "v", "range_m", "azimuth_deg", "nyquist_ms")
+    near = {"out_": F.lead(cell).over(ray), "in_": F.lag(cell).over(ray), "on_": F.coalesce(F.lead(cell).over(ring), F.first(cell).over(whole)), "back_": F.coalesce(F.lag(cell).over(ring), F.last(cell).over(whole))}
+    rows = counted(gates, by).withColumns({"own_": cell, **near})
+    step = lambda a, b: ((b["range_m"] - a["range_m"]) > spacing / 2) & ((b["range_m"] - a["range_m"]) <= spacing + 0.1)
+    turn = lambda a, b: (b["ray_idx"] == (a["ray_idx"] + 1) % F.col("n_rays")) & (S.azimuth_distance(a["azimuth_deg"], b["azimuth_deg"]) <= most_gap)
+    jump = lambda a, b: F.abs(a["v"] - b["v"]) >= share * a["nyquist_ms"]
+    own, out, into, on, back = (F.col(c) for c in ("own_", *near))
+    pairs = [(step, own, out), (step, into, own), (turn, own, on), (turn, back, own)]
+    held = [F.coalesce(joined(a, b) & jump(a, b), F.lit(False)) for joined, a, b in pairs]
+    return rows.withColumn("bits", S.direction_bits(*held)).drop("own_", *near, "n_rays")

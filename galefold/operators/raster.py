@@ -13,6 +13,24 @@ from ..functions import scalar as S
 CONTROL_POINTS = [(-10, 0, 0, 0, 0), (10, 20, 40, 200, 255), (30, 0, 200, 0, 255), (50, 250, 200, 0, 255), (70, 255, 0, 255, 255)]
 
 
+#: Own step palettes, one for each kind of value: least value, red, green, blue.
+STEP_PALETTES = {
+    "reflectivity": [(5, 60, 90, 150), (15, 40, 160, 200), (25, 30, 170, 60), (35, 240, 220, 60), (45, 235, 130, 40), (55, 210, 40, 40), (65, 190, 60, 190)],
+    "velocity": [(-40, 20, 60, 160), (-20, 40, 150, 90), (-5, 120, 190, 140), (0, 190, 170, 160), (5, 220, 130, 120), (20, 200, 50, 50), (40, 250, 190, 60)],
+    "width": [(0, 70, 70, 70), (2, 60, 110, 160), (4, 70, 160, 100), (6, 220, 190, 60), (10, 210, 90, 50)],
+    "correlation": [(0.2, 60, 60, 110), (0.5, 60, 120, 170), (0.8, 80, 170, 90), (0.9, 225, 200, 70), (0.97, 205, 70, 60)],
+    "decibel": [(-4, 80, 60, 120), (-1, 70, 120, 170), (0, 170, 170, 170), (1, 90, 170, 90), (3, 225, 190, 70), (5, 205, 70, 60)],
+}
+
+
+def step_colour(value: Column, points: list[tuple]) -> Column:
+    """Colour, as red * 65536 + green * 256 + blue, of the last step that is not above the value; null below all."""
+    out = F.lit(None).cast("int")
+    for low, r, g, b in sorted(points):
+        out = F.when(value >= S.number(low), F.lit(r << 16 | g << 8 | b)).otherwise(out)
+    return out
+
+
 def pixels(gates: DataFrame, by: list[str], value: str, size: int = 1000, metres: float = 800, beam_deg: float = 1.0, gate_m: float = 250, least_r: float = 1000, least_value: float = 0.01) -> DataFrame:
     """Mean value of each pixel whose centre lies in some gate's sector; pixels near the radar and faint values are left out.
 

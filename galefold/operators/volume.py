@@ -74,3 +74,14 @@ def tilt_neighbours(tilts: DataFrame, volume: list[str]) -> DataFrame:
     """The tilt below and above each, by elevation."""
     w = Window.partitionBy(*volume).orderBy("elevation_deg")
     return tilts.withColumns({"below": F.lag("elevation_number").over(w), "above": F.lead("elevation_number").over(w)})
+
+
+def by_time(tilts: DataFrame, volume: list[str]) -> DataFrame:
+    """Tilts with their `place` by the time in their label; those without a time come last, by number."""
+    order = Window.partitionBy(*volume).orderBy(S.parse_tilt_time("collected").asc_nulls_last(), "elevation_number")
+    return tilts.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+
+
+def usable_tilts(tilts: DataFrame) -> DataFrame:
+    """Tilts with an angle (-1 stands for none) and with velocity among their moments."""
+    return tilts.where((F.col("elevation_deg") != -1) & F.array_contains(F.split("moments", ","), "VEL"))

@@ -612,7 +612,10 @@ def q_alerts_diff(spark, sf_dir):
     return alerts.shown_diff(known(spark, sf_dir), feed(spark, sf_dir).where(F.col("effective") >= F.lit(CUTOFF).cast("timestamp_ntz")))
 
 
-@query("""SELECT event, CASE event WHEN 'Tornado Warning' THEN '#d7191c' WHEN 'Flash Flood Warning' THEN '#1a9641' WHEN 'Special Weather Statement' THEN '#fdae61' WHEN 'Winter Storm Warning' THEN '#7b3294' ELSE '#999999' END AS colour,
+_COLOUR_SQL = " ".join(f"WHEN '{e}' THEN '{c}'" for e, c in alerts.EVENT_COLOURS.items())
+
+
+@query(f"""SELECT event, CASE event {_COLOUR_SQL} ELSE '#999999' END AS colour,
 CASE WHEN feed_seq % 4 = 0 THEN 0.38::DOUBLE WHEN feed_seq % 4 = 1 THEN 0.3::DOUBLE WHEN feed_seq % 4 = 2 THEN 0.22::DOUBLE ELSE 0.15::DOUBLE END AS opacity, count(*) AS n FROM v_alert_feed GROUP BY 1, 2, 3""")
 def q_alert_style(spark, sf_dir):
     severity = F.element_at(F.array(*map(F.lit, ("Extreme", "Severe", "Moderate", "Minor"))), (F.col("feed_seq") % 4 + 1).cast("int"))
@@ -792,7 +795,7 @@ def q_png(spark, sf_dir):
 def q_residual_scales(spark, sf_dir):
     # The size of the velocity stands in for the spectrum width, which the view lacks.
     g = _true(spark, sf_dir).withColumn("width", F.abs("v"))
-    return g.select(*KEY, rounded(S.same_tilt_scale("nyquist_ms", "width"), "same_tilt"), rounded(S.vertical_scale("nyquist_ms", "range_m", "width"), "vertical"))
+    return g.select(*KEY, rounded(S.residual_scale("tilt", "nyquist_ms", "width"), "same_tilt"), rounded(S.residual_scale("vertical", "nyquist_ms", "width", "range_m"), "vertical"))
 
 
 @query(f"""{T}, c AS (SELECT *, greatest(1.5::DOUBLE, 0.12::DOUBLE * nyquist_ms, 2.5::DOUBLE * (gate_idx % 4)) AS s, abs(t - v) AS r FROM t)
@@ -805,7 +808,7 @@ def q_candidate_cost(spark, sf_dir):
 @query(f"""{T}, c AS (SELECT *, abs(t - v) AS b, abs(t) AS s, ray_idx % 5 + 2 * (gate_idx % 3) AS p, gate_idx AS n FROM t)
 SELECT elevation_number, ray_idx, gate_idx, round(least(1, greatest(0, 0.4::DOUBLE * least(1, greatest(0, (s - b) / greatest(s, 0.001::DOUBLE))) + 0.25::DOUBLE * (1 - exp(-0.35::DOUBLE * p)) + 0.2::DOUBLE * (1 - exp(-0.15::DOUBLE * greatest(1, n))) + 0.15::DOUBLE * exp(-b / greatest(1, 4 * greatest(1, p))))) + 1e-9, 6) AS confidence FROM c""")
 def q_fold_confidence(spark, sf_dir):
-    c = S.fold_confidence(F.abs(F.col("t") - F.col("v")), F.abs("t"), F.col("ray_idx") % 5, F.col("gate_idx") % 3, "gate_idx")
+    c = S.fold_trust(F.abs(F.col("t") - F.col("v")), F.abs("t"), F.col("ray_idx") % 5, F.col("gate_idx") % 3, "gate_idx")
     return _true(spark, sf_dir).select(*KEY, rounded(c + 1e-9, "confidence"))
 
 
@@ -839,3 +842,6 @@ def q_vertical_votes(spark, sf_dir):
 @query(f"{SC} SELECT DISTINCT icao, substr(\"time\", 1, 2) || ':' || substr(\"time\", 3, 2) || ':' || substr(\"time\", 5, 2) || ' UTC' AS label FROM c")
 def q_clock_labels(spark, sf_dir):
     return scans(spark, sf_dir).select("icao", S.clock_label("time").alias("label")).distinct()
+
+
+from . import more  # noqa: E402, F401  (registers its queries here)

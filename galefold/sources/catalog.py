@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE_NAME = r"([A-Z0-9]{4})(\d{8})_(\d{6})_V06$"
@@ -46,7 +46,7 @@ def latest_scans(scans: DataFrame, now: Column, days_back: int = 2) -> DataFrame
 
 def https_url(path: Column, bucket: str, host: str) -> Column:
     """An s3 key as a URL; only a leading bucket is replaced."""
-    return F.when(path.startswith(f"s3://{bucket}/"), F.concat(F.lit(f"https://{host}/"), F.substring(path, len(f"s3://{bucket}/") + 1, 10_000))).otherwise(path)
+    return F.when(path.startswith(f"s3://{bucket}/"), F.concat(F.lit(f"https://{host}/"), F.substr(path, F.lit(len(f"s3://{bucket}/") + 1)))).otherwise(path)
 
 
 def download_ranges(size: Column, parts: int = 6, least: int = 2 << 20) -> Column:
@@ -54,3 +54,24 @@ def download_ranges(size: Column, parts: int = 6, least: int = 2 << 20) -> Colum
     n = F.when(size >= least, F.lit(parts)).otherwise(F.lit(1)).cast("long")
     step = F.ceil(size / n).cast("long")
     return F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda k: F.struct((k * step).alias("first"), (F.least((k + 1) * step, size) - 1).alias("last")))
+
+
+def allowed(url: Column, prefixes: list[str]) -> Column:
+    """Whether a URL begins with one of the prefixes that may be fetched."""
+    return F.exists(F.array(*map(F.lit, prefixes)), lambda p: F.startswith(url, p))
+
+
+def day_prefix(now: Column, icao: Column, days_back: int = 0) -> Column:
+    """The folder YYYY/MM/DD/ICAO/ of a station's scans some days ago."""
+    return F.concat(F.date_format(F.date_sub(F.to_date(now), days_back), "yyyy/MM/dd/"), icao, F.lit("/"))
+
+
+def listed(names: DataFrame, column: str, by: list[str], newest_first: bool = False) -> DataFrame:
+    """A listing with the place of each name, from 0, in ascending or descending order."""
+    order = F.col(column).desc() if newest_first else F.col(column).asc()
+    return names.withColumn("place", (F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1).cast("int"))
+
+
+def with_stations(scans: DataFrame, stations: DataFrame) -> DataFrame:
+    """Scans with their station's city and place, null where the station is unknown."""
+    return scans.join(stations.select("icao", "city", "latitude", "longitude"), "icao", "left")

@@ -51,3 +51,22 @@ def dense(points: DataFrame, size: int = 256) -> DataFrame:
     rows = steps.where("value_ > value").withColumn("i", F.explode(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))))
     rows = rows.withColumn("v", F.col("low") + F.col("i") / (size - 1) * (F.col("high") - F.col("low"))).withColumn("t", (F.col("v") - F.col("value")) / (F.col("value_") - F.col("value")))
     return rows.select("moment", "name", F.col("i").cast("int").alias("i"), F.col("v").alias("value"), *(F.floor(F.col(c) + (F.col(f"{c}_") - F.col(c)) * F.col("t") + 0.5).cast("int").alias(c) for c in "rgba"))
+
+
+def catalogue(files: DataFrame, column: str) -> DataFrame:
+    """moment and name of the palette files .../MOMENT/Name.pal, each once."""
+    at = lambda k: F.regexp_extract(column, r"([^/]+)/([^/]+)\.pal$", k)
+    return files.select(at(1).alias("moment"), at(2).alias("name")).where("name <> ''").distinct()
+
+
+def choose(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (wanted as MOMENT/Name, moment) with `palette`: that one; else the name under the row's own moment; else that moment's first.
+
+    known: (moment, name), each once. Null where the moment has no palette.
+    """
+    rows = wanted.withColumns({"m_": F.substring_index("wanted", "/", 1), "n_": F.substring_index("wanted", "/", -1)})
+    one = known.select(F.col("moment").alias("m_"), F.col("name").alias("n_"), F.concat_ws("/", "moment", "name").alias("first_"))
+    two = known.select("moment", F.col("name").alias("n_"), F.concat_ws("/", "moment", "name").alias("second_"))
+    three = known.groupBy("moment").agg(F.concat_ws("/", "moment", F.min("name")).alias("third_"))
+    rows = rows.join(one, ["m_", "n_"], "left").join(two, ["moment", "n_"], "left").join(three, "moment", "left")
+    return rows.withColumn("palette", F.coalesce("first_", "second_", "third_")).drop("m_", "n_", "first_", "second_", "third_")

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..streaming.alerts import EVENT_COLOURS
+
 ORDERS_A_VOLUME, CUTS_A_VOLUME = 10_000, 32
 _VOLUME = f"CAST(floor(l_orderkey / {ORDERS_A_VOLUME}) AS BIGINT)"
 
@@ -46,11 +48,12 @@ WITH e AS (
 SELECT DISTINCT concat(yy, '/', mm, '/', dd, '/', icao, '/', icao, yy, mm, dd, '_', hms, suffix) AS path FROM e
 """
 
-V_ALERT_FEED = """
+#: By number, an event; the last ones have no colour of their own.
+_EVENTS = "CASE event_id % 20 " + " ".join(f"WHEN {k} THEN '{e}'" for k, e in enumerate(EVENT_COLOURS)) + " ELSE 'Something Else' END"
+V_ALERT_FEED = f"""
 SELECT event_id AS feed_seq, CASE WHEN event_id % 97 = 0 THEN NULL ELSE concat('urn:', CAST(CAST(floor(event_id / 1000) AS BIGINT) * 100 + event_id % 100 AS STRING)) END AS nws_id,
-       CASE event_type WHEN 'error' THEN 'Tornado Warning' WHEN 'click' THEN 'Flash Flood Warning' WHEN 'view' THEN 'Special Weather Statement'
-                       WHEN 'signup' THEN 'Winter Storm Warning' ELSE 'Something Else' END AS event,
-       ts AS effective, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + (event_id % 48) * INTERVAL '1' HOUR END AS expires, props AS geojson
+       {_EVENTS} AS event,
+       ts AS effective, CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + (event_id % 48) * INTERVAL '1' HOUR END AS expires, concat('{{"type":"Feature","geometry":', CASE WHEN event_id % 3 = 0 THEN 'null' ELSE '{{"type":"Polygon"}}' END, ',"properties":{{"severity":"', CASE event_id % 4 WHEN 0 THEN 'Extreme' WHEN 1 THEN 'Severe' WHEN 2 THEN 'Moderate' ELSE 'Minor' END, '"}}}}') AS geojson
 FROM events
 """
 

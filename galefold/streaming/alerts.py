@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# Fill colours by event and opacity by severity.
-EVENT_COLOURS = {"Tornado Warning": "#d7191c", "Flash Flood Warning": "#1a9641", "Special Weather Statement": "#fdae61", "Winter Storm Warning": "#7b3294"}
+# The events that a feed is asked for, the events that have a colour of their own (own colours), and opacity by severity.
+FEED_EVENTS = ["Tornado Warning", "Severe Thunderstorm Warning", "Flash Flood Warning", "Special Weather Statement", "Special Marine Warning", "Coastal Flood Warning", "Winter Storm Warning"]
+EVENT_COLOURS = {
+    "Tornado Warning": "#d7191c", "Tornado Watch": "#e8c21a", "Severe Thunderstorm Warning": "#e8711a", "Severe Thunderstorm Watch": "#e5b84a", "Flash Flood Warning": "#1a9641", "Flash Flood Watch": "#5aa868",
+    "Flood Warning": "#2fb457", "Flood Watch": "#7cc58d", "Coastal Flood Warning": "#2b83ba", "Coastal Flood Advisory": "#6fa9cc", "High Wind Warning": "#b8860b", "Wind Advisory": "#c8a951",
+    "Winter Storm Warning": "#7b3294", "Winter Storm Watch": "#a06bb3", "Blizzard Warning": "#e05299", "Ice Storm Warning": "#8f7fd0", "Special Weather Statement": "#fdae61", "Special Marine Warning": "#1fa2a6",
+}
 OTHER_COLOUR = "#999999"
 OPACITY = {"Extreme": 0.38, "Severe": 0.30, "Moderate": 0.22}
 OTHER_OPACITY = 0.15
@@ -64,8 +69,32 @@ def style(event: Column, severity: Column | None = None) -> dict[str, Column]:
     return {"colour": pick(event, EVENT_COLOURS, OTHER_COLOUR), "opacity": pick(severity, OPACITY, OTHER_OPACITY) if severity is not None else F.lit(OTHER_OPACITY)}
 
 
+def wanted(feed: DataFrame, events: list[str] = FEED_EVENTS) -> DataFrame:
+    """The rows of the events that a feed is asked for."""
+    return feed.where(F.col("event").isin(events))
+
+
+def with_shapes(feed: DataFrame, column: str = "geojson") -> DataFrame:
+    """The rows whose feature has a geometry, with its `geometry` and `severity`."""
+    rows = feed.withColumns({"geometry": F.get_json_object(column, "$.geometry"), "severity": F.get_json_object(column, "$.properties.severity")})
+    return rows.where(F.col("geometry").isNotNull())
+
+
+def sync_counts(known: DataFrame, feed: DataFrame, now: Column, order: str) -> DataFrame:
+    """One row about a poll: rows fetched, added and expired."""
+    gone = expired(known, now).select(F.lit("expired").alias("what"))
+    new = new_alerts(feed, unexpired(known, now), order).select(F.lit("added").alias("what"))
+    rows = feed.select(F.lit("fetched").alias("what")).unionByName(new).unionByName(gone)
+    return rows.agg(*(F.count_if(F.col("what") == w).alias(w) for w in ("fetched", "added", "expired")))
+
+
+def expiry_label(expires: Column) -> Column:
+    """Month, day and time of an expiry; a dash where there is none."""
+    return F.coalesce(F.date_format(expires, "MMM d, HH:mm"), F.lit("—"))
+
+
 def alert_stream(feed: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "2 hours") -> StreamingQuery:
-    """Run a streaming feed into `write(new rows, batch)`: ids repeated within the watermark go, then the batch is settled.
+    """Hand a streaming feed on to `write(new rows, batch)`: ids repeated within the watermark go. For a table, see alert_table.
 
     `write` must be idempotent by batch number, as Spark may repeat a batch after a failure.
     """
@@ -73,6 +102,29 @@ def alert_stream(feed: DataFrame, write: Callable[[DataFrame, int], None], check
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def alert_table(feed: DataFrame, store: str, checkpoint: str, order: str = "feed_seq", now: Callable[[], Column] = F.current_timestamp, every: str | None = None) -> StreamingQuery:
+    """Keep a table of alerts from a streaming feed, in folders under `store`, one for each batch.
+
+    Each batch is a poll: rows that have expired leave the table, then ids that it lacks come
+    in. A batch that fails leaves the last table as it was, and a batch that Spark repeats
+    reads the same table before it and writes the same folder again. every: a trigger such as
+    "60 seconds"; without it the stream ends when nothing is left to read.
+    """
+
+    def poll(rows: DataFrame, number: int) -> None:
+        before = stored_alerts(rows.sparkSession, store, number - 1)
+        kept = before if before is not None else usable(rows).select(*COLUMNS).limit(0)
+        synced(kept, rows, now(), order).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    out = feed.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint)
+    return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
+
+
+def stored_alerts(spark: SparkSession, store: str, batch: int) -> DataFrame | None:
+    """The table after a batch of alert_table; None before the first."""
+    return spark.read.parquet(f"{store}/batch={batch}") if batch >= 0 else None
+
+
 def windowed_counts(feed: DataFrame, window: str = "1 day", delay: str = "2 hours") -> DataFrame:
     """Alerts by event in windows of their start; works on a batch and on a stream."""
     rows = usable(feed)
