@@ -7,21 +7,26 @@ four characters or more, since redaction replaces a value wherever its text has
 A name ends at its = or :, so in name=value the value stands alone. One row each, with
 the words around them. Features: length, changes between kinds of characters, share of
 the value that dictionary words cover (the dictionary is counted over all documents),
-the path they come from, and the neighbouring words. A forest is trained on labelled
-findings; without a table of these, findings that a strict rule is sure about serve:
-an assignment of a quoted mixed value to a credential's name is a secret; numbers,
-addresses and hosts aren't. All findings, sure or not, get the forest's probability.
+how unlikely its letters follow each other in the dictionary, the path they come from,
+and the neighbouring words. A forest is trained on labelled findings and gives every
+finding a probability. Without a table of these, findings are planted: into the
+surroundings of words of at most PLANTED_TEXTS texts (in the order of a hash) each phrase
+of PLANTS is put, credentials and things that look like them, and a finding's label is
+what was planted, not what its features say.
 
-Only the forest's training uses a sample, of at most MAX_LABELLED findings of each label
-in the order of a hash. Candidates, dictionary and scores cover whole texts of all rows.
+Only the forest's training uses a sample: those texts, and at most MAX_LABELLED findings of
+each label. Candidates, dictionary and scores cover whole texts of all rows.
 
 Defined results: null, empty and blank texts have no findings; a null source is an
-empty path; repeated rows give repeated findings; without findings of both labels a
-finding's probability is its label, or 0.5; an empty table gives no rows.
+empty path, and so is a missing column; repeated rows give repeated findings; without
+labelled findings of both kinds a finding's probability is its `label`, which a strict rule
+gives where it is sure, or 0.5; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import fresh, saved, table
 
 MAX_LABELLED = 20_000
+#: Texts that phrases are planted in at most, and words that stay on either side.
+PLANTED_TEXTS, PLANTED_WORDS = 250, 20
 TREES, DEPTH, SEED = 20, 6, 42
 #: Occurrences that make a word part of the dictionary.
 DICTIONARY_COUNT = 20
@@ -53,21 +60,66 @@ _NUMBER = r"^[0-9.+/=_-]+$"
 _ADDRESS = r"@|^(https?|www)|\.(com|org|net|html?)\b"
 _CHANGES = r"(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"
 
-FEATURES = ["value_length", "changes", "digit_share", "upper_share", "vowel_share", "distinct_share", "mark_share", "hex", "dictionary", "path_length", "path_depth", "path_test", "named_before", "named_near", "assigned", "quoted", "word_before", "word_after"]
+_PLACEHOLDER = r"(?i)(example|sample|change.?me|your|placeholder|dummy|redacted|secret_?name|x{4,}|\*{3,}|^[<{$%\[(])"
+_KNOWN = r"^(AKIA|ASIA)[A-Z0-9]{12,}$|^(gh[pousr]|sk|pk|xox[abps]|glpat)[_-]|^eyJ|^AIza"
+
+FEATURES = ["value_length", "changes", "transitions", "number", "address", "placeholder", "known_prefix", "digit_share", "upper_share", "vowel_share", "distinct_share", "mark_share", "hex", "dictionary", "path_length", "path_depth", "path_test", "named_before", "named_near", "assigned", "quoted", "word_before", "word_after"]
+
+
+#: Phrases to plant: label, wording with {v}, and the kinds of value that take its place.
+PLANTS = (
+    (1, 'token = "{v}"', ("hex40", "base64", "mixed", "github")),
+    (1, "api_key='{v}'", ("hex32", "mixed", "stripe")),
+    (1, '{{"user":"bob","password":"{v}","n":1}}', ("hex18", "phrase", "marked", "mixed")),
+    (1, "password={v}", ("hex18", "phrase", "marked", "mixed")),
+    (1, 'password: "{v}"', ("phrase", "marked", "hex18")),
+    (1, "passwd := {v}", ("marked", "phrase", "mixed")),
+    (1, "db_password={v} db_host=localhost", ("marked", "phrase", "hex18")),
+    (1, "export AWS_SECRET_ACCESS_KEY={v}", ("base64",)),
+    (1, "client_secret: {v}", ("base64", "hex40", "mixed")),
+    (1, "Authorization: Bearer {v}", ("base64", "mixed", "hex40")),
+    (1, "run --password {v} now", ("phrase", "marked", "mixed")),
+    (1, "https://h.example/?token={v}&page=2", ("hex18", "mixed")),
+    (1, "{v}", ("amazon", "github", "stripe")),
+    (1, "access_key = {v}", ("amazon", "mixed")),
+    (0, "{v}", ("digits16", "digits10", "mail", "host", "date", "link", "file", "release", "word_number", "joined")),
+    (0, "call ({v}", ("phone",)),
+    (0, "call {v}", ("phone", "digits10")),
+    (0, "{v},", ("digits16", "mail", "link", "joined")),
+    (0, "commit {v}", ("hex40",)),
+    (0, "sha256: {v}", ("hex64",)),
+    (0, "checksum {v}", ("hex32", "hex64")),
+    (0, "id={v}", ("uuid", "digits10")),
+    (0, "request {v} took", ("uuid",)),
+    (0, "version: {v}", ("release",)),
+    (0, 'name = "{v}"', ("joined", "word_number", "file")),
+    (0, 'user: "{v}"', ("mail", "joined")),
+    (0, "url={v}", ("link",)),
+    (0, 'password = "{v}"', ("stand_in",)),
+    (0, "api_key: {v}", ("stand_in",)),
+    (0, "token={v}", ("stand_in",)),
+    (0, "password: {v}", ("plain_word",)),
+    (0, "the secret: {v}", ("plain_word",)),
+)
+STAND_INS = ("changeme", "your_api_key_here", "<your-token>", "********", "${SECRET_NAME}", "example123", "xxxxxxxxxxxx", "{{token}}", "placeholder1", "required")
 
 
 def _text() -> Column:
     return F.coalesce(F.col("text").cast("string"), F.lit(""))
 
 
-def row_key() -> Column:
+def _path(docs: DataFrame) -> Column:
+    return F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
+
+
+def row_key(docs: DataFrame) -> Column:
     """What a finding depends on: the text and its path."""
-    return F.md5(F.concat_ws("\u0000", _text(), F.coalesce(F.col("source").cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws("\u0000", _text(), _path(docs)))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """key, doc_id, path, place (of the word in the text), value, and the words around it."""
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("path"), row_key().alias("key"), _text().alias("text"))
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _path(docs).alias("path"), row_key(docs).alias("key"), _text().alias("text"))
     # Most texts hold no candidate at all; one pass of an expression spares them the split.
     held = held.where(F.col("text").rlike(_CANDIDATE) | F.col("text").rlike(_HAS_NAME)).withColumn("words", F.split("text", _SPACE)).drop("text")
     get = lambda at: F.coalesce(F.get("words", at), F.lit(""))
@@ -90,11 +142,60 @@ def dictionary(docs: DataFrame) -> DataFrame:
     return words.groupBy("part").agg(F.count("*").alias("uses")).where(F.col("uses") >= DICTIONARY_COUNT)
 
 
+def transitions(words: DataFrame) -> Column:
+    """An array, by pair of letters, of the negative logarithm of the second's share after the first in the dictionary."""
+    at = words.select("uses", "part", F.explode(F.sequence(F.lit(1), F.length("part") - 1)).alias("k"))
+    counts = dict(at.groupBy(F.expr("substring(part, k, 2)")).agg(F.sum("uses")).collect())  # 26 x 26 at most
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    costs = []
+    for a in letters:
+        total = sum(counts.get(a + b, 0) for b in letters) + len(letters)
+        costs += [math.log(total / (counts.get(a + b, 0) + 1)) for b in letters]
+    return F.array(*map(F.lit, costs))
+
+
 def findings(docs: DataFrame) -> DataFrame:
     """Candidates with FEATURES and, where the strict rule is sure, a label."""
-    found = saved(candidates(docs), "candidates")
+    return featured(saved(candidates(docs), "candidates"), saved(dictionary(docs), "dictionary"))
+
+
+def planted(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """Findings with FEATURES and label among PLANTS, each put between words of each of PLANTED_TEXTS texts."""
+    full = docs.select(_text().alias("text"), _path(docs).alias("source")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    order = F.xxhash64("text", "source")
+    some = saved(full.orderBy(order, "text", "source").limit(PLANTED_TEXTS), "texts")
+    plants = [F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(wording.replace("{{", "{").replace("}}", "}")).alias("wording"), F.lit(kind).alias("kind")) for k, (label, wording, kind) in enumerate((n, w, kind) for n, w, kinds in PLANTS for kind in kinds)]
+    rows = some.select("source", F.split("text", _SPACE).alias("words"), F.sha2("text", 256).alias("h"), F.explode(F.array(*plants)).alias("plant")).select("source", "words", "h", "plant.*")
+    rows = rows.withColumn("h", F.sha2(F.concat("h", F.col("k").cast("string")), 256)).withColumn("at", F.pmod(F.xxhash64("h"), F.size("words")).cast("int"))
+    part = lambda n, k=1: F.substring("h", k, n)
+    digits = lambda n, k=1: F.substring(F.translate("h", "abcdef", "123456"), k, n)
+    letters = F.translate(F.base64(F.unhex("h")), "+/=", "xyz")
+    word = lambda k: F.regexp_replace(F.get("words", F.pmod(F.xxhash64("h", F.lit(k)), F.size("words")).cast("int")), r"[^\p{L}]", "")
+    name = F.concat(F.lower(word(1)), digits(2))
+    values = {
+        "hex18": part(18), "hex32": part(32), "hex40": part(40), "hex64": part(64), "base64": F.substring(F.base64(F.unhex("h")), 1, 40), "mixed": F.substring(letters, 1, 24),
+        "amazon": F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), "github": F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), "stripe": F.concat(F.lit("sk_live_"), F.substring(letters, 1, 24)),
+        "phrase": F.concat(F.initcap(word(1)), F.initcap(word(2)), F.initcap(word(3))), "marked": F.concat(word(1), F.lit("!"), word(2), F.lit("#"), digits(2)),
+        "digits16": digits(16), "digits10": digits(10), "mail": F.concat(name, F.lit("@mail"), digits(1, 9), F.lit(".example.com")), "host": F.concat(F.lit("1"), digits(2), F.lit(".1"), digits(1, 3), F.lit(".1"), digits(2, 4), F.lit("."), digits(2, 6)),
+        "date": F.concat(F.lit("20"), digits(2), F.lit("-0"), digits(1, 3), F.lit("-1"), digits(1, 4)), "link": F.concat(F.lit("https://www."), F.lower(word(1)), F.lit(".example/"), F.lower(word(2)), digits(3)), "file": F.concat(F.lit("src/"), F.lower(word(1)), F.lit("/"), F.lower(word(2)), F.lit("_v"), digits(2), F.lit(".txt")),
+        "release": F.concat(F.lower(word(1)), F.lit("-"), digits(1), F.lit("."), digits(2, 2), F.lit("."), digits(1, 4)), "word_number": F.concat(word(1), digits(4)), "joined": F.concat(word(1), F.lit("."), word(2), digits(1)), "phone": F.concat(digits(3), F.lit("-555-"), digits(4, 4)),
+        "uuid": F.concat_ws("-", part(8), part(4, 9), part(4, 13), part(4, 17), part(12, 21)), "stand_in": F.get(F.array(*map(F.lit, STAND_INS)), F.pmod(F.xxhash64("h"), F.lit(len(STAND_INS))).cast("int")), "plain_word": F.lower(word(1)),
+    }
+    value = F.lit(None).cast("string")
+    for kind, made in values.items():
+        value = F.when(F.col("kind") == kind, made).otherwise(value)
+    near = lambda start: F.concat_ws(" ", F.slice("words", start, F.lit(PLANTED_WORDS)))
+    rows = rows.withColumn("planted", value).withColumn("text", F.concat_ws(" ", near(F.greatest(F.lit(1), F.col("at") - PLANTED_WORDS + 1)), F.replace("wording", F.lit("{v}"), "planted"), near(F.col("at") + 1)))
+    rows = saved(rows.select(F.lit(0).alias("doc_id"), "text", "source", "planted", "label"), "planted-texts")
+    truth = rows.select(row_key(rows).alias("key"), F.col("planted").alias("value"), "label").distinct()
+    found = featured(saved(candidates(rows), "planted-candidates"), words).drop("label")
+    return found.join(truth, ["key", "value"])
+
+
+def featured(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Candidates with FEATURES and the strict rule's label; words: the dictionary."""
     parts = found.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), "[^a-z]+")).alias("part")).where("length(part) >= 3")
-    known = parts.join(dictionary(docs), "part").groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
+    known = parts.join(words, "part").groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
     known = saved(known, "covered")  # a written table, so that Spark may split a value that stands in many texts
     n, value, word = F.length("value"), F.col("value"), F.col("word")
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / n
@@ -102,11 +203,17 @@ def findings(docs: DataFrame) -> DataFrame:
     # The word up to the value, and of it what follows the last separator: the value's own name.
     lead = F.when(F.contains(word, value), F.expr("substring_index(word, value, 1)")).otherwise("")
     named = F.regexp_extract(lead, r"[^,;&?{}]*$", 0)
+    pairs = F.regexp_extract_all(F.lower(value), F.lit("(?=([a-z][a-z]))"), F.lit(1))
+    cost = transitions(words)
+    of_pair = lambda p: F.get(cost, F.ascii(p) * 26 + F.ascii(F.substring(p, 2, 1)) - 97 * 27)
+    unlikely = F.aggregate(pairs, F.lit(0.0), lambda t, p: t + of_pair(p)) / F.greatest(F.lit(1), F.size(pairs))
     assigned = (F.col("before1").rlike("[=:>]$") & lead.rlike(r"^\\?[\"'`]?$")) | lead.rlike(r"[=:>]\\?[\"'`]?$")
     near = F.concat_ws(" ", "before3", "before2", "before1", named)
     rows = found.join(known, "value", "left").select(
         "key", "doc_id", "place", "value",
-        n.cast("double").alias("value_length"), (F.regexp_count(value, F.lit(_CHANGES)) / n).alias("changes"), share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"), share("[aeiouAEIOU]").alias("vowel_share"),
+        n.cast("double").alias("value_length"), (F.regexp_count(value, F.lit(_CHANGES)) / n).alias("changes"), unlikely.alias("transitions"),
+        flag(value.rlike(_NUMBER)).alias("number"), flag(value.rlike(_ADDRESS)).alias("address"), flag(value.rlike(_PLACEHOLDER)).alias("placeholder"), flag(value.rlike(_KNOWN)).alias("known_prefix"),
+        share("[0-9]").alias("digit_share"), share("[A-Z]").alias("upper_share"), share("[aeiouAEIOU]").alias("vowel_share"),
         (F.size(F.array_distinct(F.split(value, ""))) / n).alias("distinct_share"), share("[^A-Za-z0-9]").alias("mark_share"), flag(value.rlike("^([0-9a-f]+|[0-9A-F]+)$")).alias("hex"), (F.coalesce("covered", F.lit(0)) / n).alias("dictionary"),
         F.length("path").cast("double").alias("path_length"), F.regexp_count("path", F.lit("/")).cast("double").alias("path_depth"), flag(F.col("path").rlike(_TEST_PATH)).alias("path_test"),
         flag(F.concat_ws(" ", "before2", "before1").rlike(_NAMES)).alias("named_before"), flag(near.rlike(_NAMES)).alias("named_near"), flag(assigned).alias("assigned"), flag(lead.rlike(r"[\"'`]$")).alias("quoted"),
@@ -130,8 +237,10 @@ def scored(found: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """A row for each finding: key, doc_id, place, value, FEATURES, label, probability, is_secret."""
-    return scored(findings(docs), labelled).withColumn("is_secret", F.col("probability") >= threshold)
+    """A row for each finding: key, doc_id, place, value, FEATURES, label (the strict rule's), probability, is_secret."""
+    words = saved(dictionary(docs), "dictionary")
+    found = featured(saved(candidates(docs), "candidates"), words)
+    return scored(found, planted(docs, words) if labelled is None else labelled).withColumn("is_secret", F.col("probability") >= threshold)
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -140,7 +249,7 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     bad = secrets(docs, labelled).where("is_secret").groupBy("key").agg(F.collect_set("value").alias(found)).withColumnRenamed("key", key)
     # Longer values first, so that one inside another leaves nothing behind.
     order = F.array_sort(found, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    rows = docs.withColumn(key, row_key()).join(saved(bad, "secrets"), key, "left")
+    rows = docs.withColumn(key, row_key(docs)).join(saved(bad, "secrets"), key, "left")
     text = F.when(F.col(found).isNull(), F.col("text")).otherwise(F.aggregate(order, F.col("text"), lambda t, v: F.replace(t, v, F.lit(REDACTED))))
     chars = F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))
     return rows.select(*(text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
@@ -148,4 +257,4 @@ def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), *FEATURES, "label", "probability", "is_secret")
+    return found.select("doc_id", "place", F.sha2("value", 256).alias("value_sha256"), *FEATURES, "probability", "is_secret")
