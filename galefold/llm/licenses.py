@@ -3,7 +3,9 @@
 A template is plain wording with marks: <<beginOptional>> ... <<endOptional>> encloses
 wording that may be missing, and <<var;name="...";most="N">> stands for up to N words of
 any kind. It compiles to an automaton over words; a stretch of text is accepted if its
-mandatory wording matches word by word. Words are runs of letters and digits (A-Z lower-
+mandatory wording matches word by word. Some templates are the line that names a license,
+others (-text, -clause, -notice and the like) the whole of a license or of its notice,
+so that a text with altered or missing wording isn't accepted as one. Words are runs of letters and digits (A-Z lower-
 cased) and of characters beyond ASCII.
 
 Besides the templates there are base phrases, which count wherever their words stand in
@@ -29,24 +31,15 @@ from .common import batches, whole_texts
 BASE_PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
 _GRANT = '<<beginOptional>><<var;name="what";most="6">> is<<endOptional>> <<beginOptional>>released<<endOptional>> <<beginOptional>>distributed<<endOptional>> <<beginOptional>>licensed<<endOptional>> under <<beginOptional>>the terms of<<endOptional>> the '
-#: label -> templates.
-TEMPLATES = {
-    "mit": [
-        _GRANT + 'mit license',
-        'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction '
-        'including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so '
-        '<<beginOptional>>subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software<<endOptional>>',
-    ],
+#: label -> wording that names the license.
+_NAMED = {
+    "mit": [_GRANT + 'mit license'],
     "apache-2.0": [_GRANT + 'apache license <<beginOptional>>version<<endOptional>> 2 0'],
     "gpl-2.0": [_GRANT + 'gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 2'],
     "gpl-3.0": [_GRANT + 'gnu general public license <<beginOptional>>as published by the free software foundation<<endOptional>> <<beginOptional>>either<<endOptional>> version 3'],
     "lgpl": [_GRANT + 'gnu lesser general public license <<beginOptional>>version<<endOptional>> <<beginOptional>>2 1<<endOptional>> <<beginOptional>>3<<endOptional>>'],
     "mpl-2.0": [_GRANT + 'mozilla public license <<beginOptional>>version<<endOptional>> <<beginOptional>>v<<endOptional>> 2 0'],
-    "bsd": [
-        _GRANT + '<<beginOptional>>new<<endOptional>> <<beginOptional>>simplified<<endOptional>> bsd <<var;name="clauses";most="2">> license',
-        'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met',
-    ],
-    "isc": ['permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted'],
+    "bsd": [_GRANT + '<<beginOptional>>new<<endOptional>> <<beginOptional>>simplified<<endOptional>> bsd <<var;name="clauses";most="2">> license'],
     "cc-by-4.0": ['<<beginOptional>>licensed under<<endOptional>> <<beginOptional>>the<<endOptional>> cc by 4 0', 'creative commons attribution 4 0 <<beginOptional>>international<<endOptional>>'],
     "cc-by-nc-4.0": ['<<beginOptional>>licensed under<<endOptional>> <<beginOptional>>the<<endOptional>> cc by nc 4 0', 'creative commons attribution noncommercial 4 0 <<beginOptional>>international<<endOptional>>'],
     "cc-by-sa-4.0": ['<<beginOptional>>licensed under<<endOptional>> <<beginOptional>>the<<endOptional>> cc by sa 4 0', 'creative commons attribution sharealike 4 0 <<beginOptional>>international<<endOptional>>'],
@@ -54,6 +47,65 @@ TEMPLATES = {
     "all-rights-reserved": ['<<beginOptional>>copyright <<var;name="owner";most="8">><<endOptional>> all rights reserved'],
 }
 
+_OPEN, _END = '<<beginOptional>>', '<<endOptional>>'
+_HOLDER = '<<var;name="holder";most="12">>'
+_AS_IS = 'this software is provided by ' + _HOLDER + ' as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall ' + _HOLDER + ' be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage'
+_BSD = 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met {_1} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer {_2} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution '.replace('{_1}', f'{_OPEN}1{_END}').replace('{_2}', f'{_OPEN}2{_END}')
+_NO_ENDORSEMENT = f'{_OPEN}3{_END} neither the name of ' + _HOLDER + ' nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission '
+_ISC_WARRANTY = 'the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software'
+_GNU = '<<var;name="program";most="6">> is free software you can redistribute it and or modify it under the terms of the gnu {kind} as published by the free software foundation either version {version} of the license or at your option any later version <<var;name="this program";most="6">> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {kind} for more details'
+
+#: label -> whole license texts, or the notice that a license tells to put in files. The public wording of each.
+_WHOLE = {
+    "mit-text": [
+        'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation '
+        'the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions '
+        f'the above copyright notice and this permission notice {_OPEN}including the next paragraph{_END} shall be included in all copies or substantial portions of the software '
+        'the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement '
+        'in no event shall ' + _HOLDER + ' be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software'
+    ],
+    "bsd-2-clause": [_BSD + _AS_IS],
+    "bsd-3-clause": [_BSD + _NO_ENDORSEMENT + _AS_IS],
+    "isc": [f'permission to use copy modify and {_OPEN}or{_END} distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies ' + _ISC_WARRANTY],
+    "0bsd": [f'permission to use copy modify and {_OPEN}or{_END} distribute this software for any purpose with or without fee is hereby granted ' + _ISC_WARRANTY],
+    "zlib": [
+        f'this software is provided as is without any express or implied warranty in no event will the {_OPEN}author{_END} {_OPEN}authors{_END} be held liable for any damages arising from the use of this software '
+        'permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions '
+        f'{_OPEN}1{_END} the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required '
+        f'{_OPEN}2{_END} altered source versions must be plainly marked as such and must not be misrepresented as being the original software {_OPEN}3{_END} this notice may not be removed or altered from any source distribution'
+    ],
+    "bsl-1.0": [
+        'permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software '
+        'and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following '
+        'the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software '
+        'unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor '
+        'the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement '
+        'in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software'
+    ],
+    "unlicense": [
+        'this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means '
+        'in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors '
+        'we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law '
+        'the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement '
+        'in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software'
+    ],
+    "apache-2.0-notice": [
+        'licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 '
+        'unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied '
+        'see the license for the specific language governing permissions and limitations under the license'
+    ],
+    "gpl-2.0-notice": [_GNU.format(kind='general public license', version='2')],
+    "gpl-3.0-notice": [_GNU.format(kind='general public license', version='3')],
+    "lgpl-2.1-notice": [_GNU.format(kind='lesser general public license', version='2 1')],
+    "lgpl-3.0-notice": [_GNU.format(kind='lesser general public license', version='3')],
+    "agpl-3.0-notice": [_GNU.format(kind='affero general public license', version='3')],
+    "mpl-2.0-notice": ['this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0', 'this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0'],
+    "epl-2.0-notice": [f'this program and the accompanying materials are made available under the terms of the eclipse public license {_OPEN}v{_END} 2 0 which is {_OPEN}also{_END} available at https www eclipse org legal epl 2 0'],
+    "wtfpl": ['do what the fuck you want to public license terms and conditions for copying distribution and modification 0 you just do what the fuck you want to'],
+    "cc0-1.0-notice": [_OPEN + 'to the extent possible under law' + _END + ' ' + _HOLDER + ' has waived all copyright and related or neighboring rights to <<var;name="work";most="12">>'],
+}
+TEMPLATES = _NAMED | _WHOLE
+
 _APART = bytes.maketrans(bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]), b" " * (0x30 + 0x27 + 5))
 _MARK = re.compile(r'<<(beginOptional|endOptional|var;[^>]*)>>')
 
