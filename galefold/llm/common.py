@@ -55,9 +55,10 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def drop(written: DataFrame) -> None:
-    """Delete the table of a DataFrame that `saved` gave, once nothing reads it."""
-    forget(written.sparkSession, written.saved_at)
+def drop(*written: DataFrame) -> None:
+    """Delete the tables of DataFrames that `saved` gave, once nothing reads them."""
+    for df in written:
+        forget(df.sparkSession, df.saved_at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,19 +91,19 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return texts.cast(pa.binary()).to_pylist()
 
 
-#: Bits of a Bloom filter for each key, and log2 of the bits that it has at least and at most.
-BLOOM_KEY_BITS, BLOOM_LEAST, BLOOM_MOST = 16, 20, 27
+#: Bits that a Bloom filter sets for each key, bits that it has for each key, and log2 of the bits that it has at least and at most.
+BLOOM_HASHES, BLOOM_KEY_BITS, BLOOM_LEAST, BLOOM_MOST = 6, 32, 20, 27
 
 
-def bloom(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of a long column, two bits a key.
+def bloom(keys: DataFrame, column: str, key_bits: int = BLOOM_KEY_BITS) -> np.ndarray:
+    """A Bloom filter of a column of long hashes: of 40,000 others, 32 bits a key let one pass, 64 bits one of 2 million.
 
-    Its size follows the number of keys up to 2**BLOOM_MOST bits (16 MB, for some 8 million
-    keys); beyond, it lets more and more pass. It only ever spares work: a join decides.
+    Its size follows the number of keys up to 2**BLOOM_MOST bits (16 MB, for 4 million keys
+    of 32 bits); beyond, it lets more and more pass. It only ever spares work: a join decides.
     """
-    size = min(BLOOM_MOST, max(BLOOM_LEAST, (BLOOM_KEY_BITS * keys.count()).bit_length()))
-    top = (1 << size) - 1
-    bit = F.explode(F.array(F.col(column).bitwiseAND(top), F.shiftrightunsigned(column, 32).bitwiseAND(top)))
+    size = min(BLOOM_MOST, max(BLOOM_LEAST, (key_bits * keys.count()).bit_length()))
+    low, high = F.col(column).bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(column, 32)
+    bit = F.explode(F.array(*((low + k * high).bitwiseAND((1 << size) - 1) for k in range(BLOOM_HASHES))))
     rows = keys.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits"))
     found, out = rows.toArrow(), np.zeros(1 << (size - 6), np.int64)
     out[found["word"].to_numpy()] = found["bits"].to_numpy()
@@ -111,10 +112,11 @@ def bloom(keys: DataFrame, column: str) -> np.ndarray:
 
 def maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Of unsigned 64-bit keys: False only for those that aren't in the filter."""
-    top = np.uint64(64 * len(bits) - 1)
-    has = lambda x: (bits[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1)
-    out = has(keys & top) > 0
-    out[out] = has((keys[out] >> np.uint64(32)) & top) > 0
+    top, out = np.uint64(64 * len(bits) - 1), np.ones(len(keys), bool)
+    for k in range(BLOOM_HASHES):
+        own = keys[out]
+        at = ((own & np.uint64(0xFFFFFFFF)) + np.uint64(k) * (own >> np.uint64(32))) & top
+        out[out] = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
     return out
 
 

@@ -12,8 +12,8 @@ Seeds of test items and of documents are joined on their hash; around each hit t
 aligned words are compared, and the best stretch is reported if it is long and similar
 enough. Items shorter than SPAN must occur word by word.
 
-The documents' seeds pass a Bloom filter of the items' seeds first. Its size is fixed,
-whatever the benchmark's size; it only spares rows, and the join decides.
+The documents' seeds pass a Bloom filter of the items' seeds first. Its size follows the
+benchmark's up to a bound; it only spares rows, and the join decides.
 
 Defined results: null, empty and blank texts and items have no overlap; copies of a text
 are compared once and each reported; repeated rows give repeated results; a null doc_id
@@ -31,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bloom, fresh, maybe, parted, saved, table
+from .common import batches, bloom, drop, fresh, maybe, parted, saved, table
 from .words import MARKS, Words, hashed, mixed, multipliers, run_hashes
 
 SPAN = 12
 GROUPS = 4
 MIN_SIMILARITY = 0.8
+#: Bits of the Bloom filter for each seed of an item; a text tries some thousand seeds.
+SEED_BITS = 64
 #: Pairs of groups that each mask keeps.
 MASKS = list(combinations(range(GROUPS), 2))
 #: Words of the seeds for patterns of substitutions that touch every mask.
@@ -129,12 +131,12 @@ def keyed(rows: DataFrame, name: str) -> DataFrame:
 
 
 def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """Of texts (key, text) and items (item, text), both keyed by MD5: key, item, first_word, n_words, n_equal of every overlap."""
+    """Of texts (key, text) and items (item, text), both keyed by MD5: key, item and the best overlap's first_word, n_words, n_equal."""
     spark = texts.sparkSession
     items = items.distinct()
     keys = saved(item_seeds(items), "item-seeds")
     short = {r.n for r in keys.where(F.col("n") < SPAN).select("n").distinct().collect()}  # fewer than SPAN numbers
-    sieve = spark.sparkContext.broadcast(bloom(keys, "seed"))
+    sieve = spark.sparkContext.broadcast(bloom(keys, "seed", SEED_BITS))
 
     def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with a seed that may be an item's, and those seeds."""
@@ -168,7 +170,9 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "item", "first_word", "n_words", "n_equal"])
 
-    return saved(held.select("key", "text").join(pairs, "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
+    found = saved(held.select("key", "text").join(pairs, "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
+    drop(keys, held, pairs)
+    return found
 
 
 def _text(key: str) -> list:
@@ -176,7 +180,7 @@ def _text(key: str) -> list:
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each row of docs and item that overlap: doc_id, item_id, first_word, n_words, n_equal, similarity (words from 0)."""
+    """A row for each row of docs and item that overlap: doc_id, item_id and, of the overlap with most equal words, first_word, n_words, n_equal, similarity (words from 0)."""
     docs = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "key")
     items = keyed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item")
     found = text_overlaps(docs.select(*_text("key")), items.select(*_text("item")))

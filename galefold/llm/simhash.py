@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, fresh, parted, saved, whole_texts
+from .common import as_bytes, batches, drop, fresh, parted, saved, whole_texts
 from .components import connected_components
 from .words import WordHashes, hashed, mixed, multipliers, run_hashes
 
@@ -156,16 +156,11 @@ def forest(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
                     members[low] += members.pop(high)
                     out.append((x, y))
 
-    if n <= 48:
-        far = np.bitwise_count(codes[:, None] ^ codes)
-        a, b = np.nonzero(np.triu(far <= radius, 1))
-        add(a, b, far[a, b])
-    else:
-        tree = GrayTree(codes)
-        for at in range(0, n, 256):
-            q, c, far = tree.search(codes[at : at + 256], radius)
-            later = q + at < c
-            add(q[later] + at, c[later], far[later])
+    tree = GrayTree(codes)
+    for at in range(0, n, 256):
+        q, c, far = tree.search(codes[at : at + 256], radius)
+        later = q + at < c
+        add(q[later] + at, c[later], far[later])
     pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
     return pairs[:, 0], pairs[:, 1]
 
@@ -349,7 +344,9 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.binary())], names=["key", "set"])
 
     codes = texts.mapInArrow(prints, "key string, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
-    codes = saved(codes, "bands").select("key", F.explode("bands").alias("band"))
+    codes = saved(codes, "bands")
+    written = [codes]
+    codes = codes.select("key", F.explode("bands").alias("band"))
     own = F.xxhash64("key")
     buckets = codes.groupBy("band").agg(F.count("*").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"), F.bit_xor(own).alias("all")).where("n > 1")
     # Near copies share many keys; buckets of the same members are one.
@@ -357,8 +354,10 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
     # Texts that share no key are sifted out before anything is shuffled.
     members = saved(parted(codes, buckets, "band")[1].join(buckets, "band"), "members")
     ends = saved(members.select("key").distinct(), "ends")
+    written += [buckets, members, ends]
     known = parted(texts, ends, "key")[1].mapInArrow(sets, "key string, set binary")
     known = saved(known.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key"), "shingles")
+    written.append(known)
     # Two members of a large bucket meet in the tile of their two parts.
     tiles = F.ceil(F.col("n") / (node_limit / 2)).cast("int")
     part = F.pmod(F.xxhash64("key", F.lit(1)), tiles).cast("int")
@@ -367,7 +366,9 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
     dealt = members.select("key", "band", part.alias("part"), F.explode(other).alias("other"))
     dealt = dealt.select("key", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     dealt = dealt.join(known, "key").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
-    return dealt.mapInArrow(_search_buckets(similarity), "a string, b string")
+    links = saved(dealt.mapInArrow(_search_buckets(similarity), "a string, b string").distinct(), "links")
+    drop(*written)
+    return links
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -219,8 +219,7 @@ class FingerprintIndex:
         unclear = saved(unclear.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("own")), "unclear")
         fetched = parted(everything, unclear, "doc")[1].join(unclear, "doc").select("doc", "text", "own")
         one_by_one, self.window_runs = self._merge(fetched.mapInArrow(_find_windows, SPANS), self.window_runs, new, "windows")
-        for written in (shared, unclear):
-            drop(written)
+        drop(shared, unclear)
         if top is not None:
             self.upto = top
         return repeated.unionByName(one_by_one)
