@@ -154,9 +154,9 @@ def centred(fold: dict[int, int], size: dict[int, int]) -> dict[int, int]:
     return {r: f - shift for r, f in fold.items()}
 
 
-def _by_tilt(gates: DataFrame, by: list[str], f, columns: str) -> DataFrame:
-    """Run f(arrays of a tilt) -> dict of new columns, on each tilt's gates; a tilt is some hundred thousand gates at most."""
-    names = [*by, "ray_idx", "gate_idx", "v", "nyquist_ms"]
+def _by_tilt(gates: DataFrame, by: list[str], f, columns: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Run f(arrays of a tilt) -> dict of new columns, on each tilt's gates; a tilt is some hundred thousand gates at most. keep: other columns that stay."""
+    names = [*by, "ray_idx", "gate_idx", "v", "nyquist_ms", *keep]
     kinds = {x.name: x.dataType.simpleString() for x in gates.schema.fields}
 
     def run(table: pa.Table) -> pa.Table:
@@ -176,13 +176,13 @@ def _labels(ray_idx, gate_idx, v, nyquist_ms):
 
 
 @per_tilt
-def regions(gates: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Gates with `region`, numbered from 1 in each tilt; 0 where a value lies in no band."""
+def regions(gates: DataFrame, by: list[str] = BY, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Gates with `region`, numbered from 1 in each tilt; 0 where a value lies in no band. keep: other columns that stay."""
 
     def f(**x):
         return {"region": _labels(**x)[0].astype(np.int64)}
 
-    return _by_tilt(gates, by, f, "region long")
+    return _by_tilt(gates, by, f, "region long", keep)
 
 
 @per_tilt

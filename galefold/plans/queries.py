@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -44,9 +44,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gates with the least id of their region as `region`; for SQL, which can't number regions in order of discovery."""
     g = gates(spark, sf_dir)
     ident = F.col("elevation_number") * 100_000 + F.col("ray_idx") * 100 + F.col("gate_idx")
-    named = dealias.regions(g).where("region > 0").withColumn("id", ident)
-    least = named.groupBy(*BY, "region").agg(F.min("id").alias("least"))
-    return named.join(least, [*BY, "region"]).drop("region").withColumnRenamed("least", "region").join(g.select(*KEY, "azimuth_deg", "range_m", "elevation_deg", "dbz"), KEY)
+    named = dealias.regions(g, keep=("azimuth_deg", "range_m", "elevation_deg", "dbz")).where("region > 0")
+    return named.withColumn("region", F.min(ident).over(Window.partitionBy(*BY, "region"))).withColumn("id", ident)
 
 
 def rounded(c: Column | str, name: str, digits: int = 6) -> Column:
@@ -124,9 +123,10 @@ def q_sw_conf(spark, sf_dir):
     return _true(spark, sf_dir).select(*KEY, rounded(S.width_confidence(F.abs("v")), "confidence"))
 
 
-@query(f"{T}, k AS (SELECT *, CAST(round((t - v) / (2 * nyquist_ms)) AS INT) AS k FROM t) SELECT elevation_number, ray_idx, gate_idx, CASE WHEN abs(k) <= 1 THEN v + k * 2 * nyquist_ms END AS nearest FROM k")
+@query(f"{T}, k AS (SELECT *, CAST(round((4 * t - v) / (2 * nyquist_ms)) AS INT) AS k FROM t) SELECT elevation_number, ray_idx, gate_idx, CASE WHEN abs(k) <= 3 THEN v + k * 2 * nyquist_ms END AS nearest FROM k")
 def q_alias_nearest(spark, sf_dir):
-    return _true(spark, sf_dir).select(*KEY, S.alias_nearest("v", "t", "nyquist_ms", 1).alias("nearest"))
+    # Four times the true velocity as reference, so that some lie more than three folds away.
+    return _true(spark, sf_dir).withColumn("far", 4 * F.col("t")).select(*KEY, S.alias_nearest("v", "far", "nyquist_ms").alias("nearest"))
 
 
 _H = "sqrt(range_m * range_m + {R} * {R} + 2 * range_m * {R} * sin(radians(elevation_deg))) - {R}"
@@ -293,9 +293,12 @@ def q_az_gaps(spark, sf_dir):
     return grid.azimuth_gaps(gates(spark, sf_dir)).withColumns({"mean_gap": F.round("mean_gap", 6), "median_gap": F.round("median_gap", 6)})
 
 
-@query(f"{G} SELECT elevation_number, ray_idx, true AS valid, count(*) AS n_gates FROM g GROUP BY 1, 2")
+@query(f"""{G}, b AS (SELECT elevation_number, ray_idx, gate_idx, azimuth_deg + CASE WHEN ray_idx % 7 = 3 THEN 360 ELSE 0 END AS a, range_m - CASE WHEN ray_idx % 5 = 0 AND gate_idx % 11 = 0 THEN 600 ELSE 0 END AS r FROM g),
+l AS (SELECT *, coalesce(r > lag(r) OVER (PARTITION BY elevation_number, ray_idx ORDER BY gate_idx), true) AS up FROM b) SELECT elevation_number, ray_idx, bool_and(up AND a >= 0 AND a < 360) AS valid, count(*) AS n_gates FROM l GROUP BY 1, 2""")
 def q_ray_validity(spark, sf_dir):
-    return grid.valid_rays(gates(spark, sf_dir))
+    # Some rays are given an azimuth beyond the circle or ranges that fall, so that not all are valid.
+    g = gates(spark, sf_dir).withColumns({"azimuth_deg": F.col("azimuth_deg") + F.when(F.col("ray_idx") % 7 == 3, 360).otherwise(0), "range_m": F.col("range_m") - F.when((F.col("ray_idx") % 5 == 0) & (F.col("gate_idx") % 11 == 0), 600).otherwise(0)})
+    return grid.valid_rays(g)
 
 
 @query(f"{AZ} SELECT elevation_number, ray_idx, gate_idx, to_gate, v, to_v FROM rg")
@@ -495,11 +498,17 @@ def q_resultant(spark, sf_dir):
     return wind.resultant_length(gates(spark, sf_dir), BY, phase).select(*BY, "n", rounded("resultant", "resultant"))
 
 
-@query(None)
+_TRUE_X0 = X0.split(", x0 AS ", 1)[1].replace("FROM g)", "FROM (SELECT * REPLACE ((true_code - 129) / 2.0::DOUBLE AS v) FROM g))")
+
+
+@query(f"""{LABELS}, x0 AS {_TRUE_X0}, {_vad_sql(1)}, {_vad_sql(2)}, {_vad_sql(3)},
+rb AS (SELECT *, volume_id * 1000 + CAST(floor(({_H.format(R='8490000.0::DOUBLE')}) / 500) AS INT) AS bin FROM r), an AS (SELECT elevation_number, region, nyquist_ms, (u * sin(radians(azimuth_deg)) + w * cos(radians(azimuth_deg))) * cos(radians(elevation_deg)) - v AS d FROM rb JOIN f3 USING (bin)),
+ft AS (SELECT elevation_number, region, CAST(k AS INT) AS k, round(sum(greatest(0, 1 - abs(d - 2 * k * nyquist_ms) / nyquist_ms)), 9) AS fit, count(*) AS n FROM an, range(-2, 3) t(k) GROUP BY 1, 2, 3), rk AS (SELECT *, row_number() OVER (PARTITION BY elevation_number, region ORDER BY fit DESC, abs(k), k) AS i FROM ft)
+SELECT elevation_number, region, max(n) AS n, max(k) FILTER (i = 1) AS k, round(max(fit) FILTER (i = 1) / max(n), 6) + 0.0 AS share, round((max(fit) FILTER (i = 1) - max(fit) FILTER (i = 2)) / max(n), 6) + 0.0 AS margin FROM rk GROUP BY 1, 2""")
 def q_component_anchor(spark, sf_dir):
     g = _true(spark, sf_dir)
     winds = wind.vad(g.withColumn("v", F.col("t")), ["volume_id"]).select("volume_id", "bin", "u", "w")
-    return wind.component_anchor(labelled(spark, sf_dir), winds, BY)
+    return wind.component_anchor(labelled(spark, sf_dir), winds, BY).select(*BY, "region", "n", "k", rounded("share", "share"), rounded("margin", "margin"))
 
 
 # -- rasters, voxels, colours ------------------------------------------------------------------
@@ -769,9 +778,23 @@ def q_max_projection(spark, sf_dir):
     return v.groupBy("volume_id", "ix", "iy").agg(F.max("value").alias("value")).select(F.col("volume_id").alias("volume"), "ix", "iy", rounded("value", "value", 3))
 
 
-@query(None)
+def _fit_sql(k: int, rows: str) -> str:
+    """Sums of the weighted normal equations of a0 + a1 c + a2 s, and their solution by determinants."""
+    p = [["p00", "p01", "p02"], ["p01", "p11", "p12"], ["p02", "p12", "p22"]]
+
+    def determinant(column: int | None) -> str:
+        a = [[f"q{i}" if j == column else p[i][j] for j in range(3)] for i in range(3)]
+        return f"({a[0][0]} * ({a[1][1]} * {a[2][2]} - {a[1][2]} * {a[2][1]}) - {a[0][1]} * ({a[1][0]} * {a[2][2]} - {a[1][2]} * {a[2][0]}) + {a[0][2]} * ({a[1][0]} * {a[2][1]} - {a[1][1]} * {a[2][0]}))"
+
+    sums = ", ".join(f"sum(k * {e}) AS {n}" for n, e in (("p00", "1.0::DOUBLE"), ("p01", "c"), ("p02", "s"), ("p11", "c * c"), ("p12", "c * s"), ("p22", "s * s"), ("q0", "m"), ("q1", "m * c"), ("q2", "m * s")))
+    return f"s{k} AS (SELECT elevation_number, {sums} FROM {rows} GROUP BY 1), f{k} AS (SELECT elevation_number, {', '.join(f'{determinant(j)} / nullif({determinant(None)}, 0) AS a{j}' for j in range(3))} FROM s{k})"
+
+
+@query(f"""{T}, ry AS (SELECT elevation_number, ray_idx, radians(min(azimuth_deg)) AS az, median(t) AS m, count(*) AS n FROM t WHERE abs(t) <= 51 GROUP BY 1, 2 HAVING count(*) >= 4), rc AS (SELECT *, cos(az) AS c, sin(az) AS s, least(1, n / 12.0::DOUBLE) AS k FROM ry), {_fit_sql(1, 'rc')},
+w2 AS (SELECT rc.* EXCLUDE (k), k * CASE WHEN abs(m - a0 - a1 * c - a2 * s) <= 15 THEN 1 ELSE 15 / abs(m - a0 - a1 * c - a2 * s) END AS k FROM rc JOIN f1 USING (elevation_number)), {_fit_sql(2, 'w2')} SELECT elevation_number, round(a0, 5) + 0.0 AS a0, round(a1, 5) + 0.0 AS a1, round(a2, 5) + 0.0 AS a2 FROM f2""")
 def q_robust_vad(spark, sf_dir):
-    return wind.robust_vad(_true(spark, sf_dir).withColumns({"v": F.col("t"), "nyquist_ms": S.number(60)}), BY)
+    fit = wind.robust_vad(_true(spark, sf_dir).withColumns({"v": F.col("t"), "nyquist_ms": S.number(60)}), BY)
+    return fit.select(*BY, *(rounded(c, c, 5) for c in ("a0", "a1", "a2")))
 
 
 @query(None)
