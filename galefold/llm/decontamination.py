@@ -189,7 +189,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose text overlaps with no item."""
+    """The rows of docs, with all their columns, whose text overlaps with no item. Null, empty and blank texts stay, and repeated rows stay or go together."""
     key, item = fresh(docs, "key_"), fresh(benchmark, "item")
     own = keyed(docs, key)
     items = keyed(benchmark, item).select(*_text(item)).toDF("item", "text")

@@ -10,7 +10,8 @@ first piece that holds the rest. Tasks share nothing, so there is no shuffle, an
 lost task packs its rows again to the same result.
 
 Defined results: a null text counts as empty and gives one piece, the end id; repeated
-rows are packed each for itself; an empty table gives no rows; a null doc_id stays null.
+rows are packed each for itself; an empty table gives no rows; a null doc_id stays null;
+other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

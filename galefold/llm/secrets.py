@@ -244,7 +244,11 @@ def secrets(docs: DataFrame, labelled: DataFrame | None = None, threshold: float
 
 
 def redact(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """The rows of docs, all of them and with the same columns; secrets in text read REDACTED, and n_chars follows."""
+    """The rows of docs, all of them and with the same columns; secrets in text read REDACTED, and n_chars follows.
+
+    Texts without a secret, nulls among them, stay as they are, n_chars included; repeated
+    rows are redacted alike.
+    """
     key, found = fresh(docs, "key_"), fresh(docs, "values_")
     bad = secrets(docs, labelled).where("is_secret").groupBy("key").agg(F.collect_set("value").alias(found)).withColumnRenamed("key", key)
     # Longer values first, so that one inside another leaves nothing behind.

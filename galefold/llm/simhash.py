@@ -235,7 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
 
     Defined results: null, empty and blank texts have fingerprint zero and are linked like
     any other; repeated rows all stay; a null doc_id stays null and takes part in links, but
-    is never the least unless a component has no other; an empty table gives no rows.
+    is never the least unless a component has no other; other columns are ignored; an empty
+    table gives no rows.
     """
     fps = saved(fingerprints(docs, size, seed), "fingerprints")
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -375,8 +376,9 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     """The rows of docs, with all their columns, but for near copies: of each group that links connect, the least doc_id stays.
 
     Equal texts are a group of their own. Null, empty and blank texts have equal (no)
-    shingles and form one group. Among rows that repeat a doc_id one stays; a null doc_id
-    stays only where its group has no other.
+    shingles and form one group. Of rows with the same doc_id and text one stays; a null
+    doc_id stays only where its group has no other. Columns may have any names and values;
+    an empty table stays empty.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     key, own = fresh(docs, "key_"), fresh(docs, "id_")

@@ -20,7 +20,8 @@ each document. Words covered by a repeated window go; windows are judged on the
 
 Batches must come in ascending order of doc_id. Defined results: a null text has no
 words; documents under WINDOW words are kept whole; rows that repeat a doc_id, or have
-none (they come first), are ordered by their text's MD5; an empty table gives no rows.
+none (they come first), are ordered by their text's MD5; other columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
