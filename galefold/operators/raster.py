@@ -58,6 +58,20 @@ def voxel_counts(north: float, south: float, east: float, west: float, most: int
     return max(1, int(most * lat / widest)), max(1, int(most * lon / widest)), most
 
 
+def nearest_pixels(gates: DataFrame, by: list[str], value: str, size: int = 1000, metres: float = 800, least_r: float = 1000) -> DataFrame:
+    """Mean value of the gates whose centre lies in each pixel; pixels without one are holes for evaluate.fill_holes. Gates within least_r are left out."""
+    a, half = F.radians("azimuth_deg"), size / 2
+    px = F.floor(F.col("range_m") * F.sin(a) / metres + half).cast("int")
+    py = F.floor(half - F.col("range_m") * F.cos(a) / metres).cast("int")
+    rows = gates.where(F.col("range_m") > least_r).withColumns({"px": px, "py": py})
+    return rows.where(F.col("px").between(0, size - 1) & F.col("py").between(0, size - 1)).groupBy(*by, "px", "py").agg(F.avg(value).alias("value"), F.count("*").alias("n_gates"))
+
+
+def moved_side(wanted: Column, opposite: Column, upper: bool, least_span: float = 0.001) -> Column:
+    """Where a side of a box (upper: north or east) comes to lie when it is dragged: at least a span from the opposite one."""
+    return F.greatest(wanted, opposite + S.number(least_span)) if upper else F.least(wanted, opposite - S.number(least_span))
+
+
 def polar_box(lat0: float, lon0: float, box: tuple[float, float, float, float]) -> tuple[float, float, float, float]:
     """(least range, most range, first azimuth, width in degrees) of a box (north, south, east, west) seen from a radar.
 

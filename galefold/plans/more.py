@@ -325,3 +325,16 @@ def q_step_colours(spark, sf_dir):
     values = {"reflectivity": F.col("dbz"), "velocity": F.col("v"), "width": F.col("gate_idx") / S.number(8), "correlation": F.col("ray_idx") / S.number(100), "decibel": F.col("gate_idx") / S.number(10) - 4}
     rows = g.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), raster.step_colour(v, raster.STEP_PALETTES[k]).alias("rgb")) for k, v in values.items()))).alias("c")).select("c.*")
     return rows.groupBy("kind", "rgb").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT *, (vel_code - 129) / 2.0::DOUBLE AS v, CAST(floor(range_m * sin(radians(azimuth_deg)) / 700 + 40) AS INT) AS px, CAST(floor(40 - range_m * cos(radians(azimuth_deg)) / 700) AS INT) AS py FROM v_gates WHERE range_m > 3000)
+SELECT elevation_number, px, py, round(avg(v), 6) + 0.0 AS value, count(*) AS n_gates FROM p WHERE px BETWEEN 0 AND 79 AND py BETWEEN 0 AND 79 GROUP BY 1, 2, 3""")
+def q_nearest_pixels(spark, sf_dir):
+    return raster.nearest_pixels(gates(spark, sf_dir), BY, "v", size=80, metres=700, least_r=3000).select(*BY, "px", "py", rounded("value", "value"), "n_gates")
+
+
+@query("""SELECT icao, round(greatest(latitude + CAST(length(city) % 5 - 2 AS DOUBLE), latitude - 1 + 0.001::DOUBLE), 6) AS north, round(least(latitude + CAST(length(city) % 5 - 2 AS DOUBLE), latitude + 1 - 0.001::DOUBLE), 6) AS south FROM v_sites""")
+def q_box_edits(spark, sf_dir):
+    sites = view(spark, sf_dir, "v_sites")
+    dragged = F.col("latitude") + (F.length("city") % 5 - 2).cast("double")
+    return sites.select("icao", F.round(raster.moved_side(dragged, F.col("latitude") - 1, True), 6).alias("north"), F.round(raster.moved_side(dragged, F.col("latitude") + 1, False), 6).alias("south"))

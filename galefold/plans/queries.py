@@ -855,11 +855,20 @@ def q_gpu_quads(spark, sf_dir):
     return q.select(*KEY, "value", "vertex", rounded("x", "x", 8), rounded("y", "y", 8))
 
 
-@query(None)
+def _best_sql(c: str) -> str:
+    return f"arg_max(t, {c} * 100 - t)"
+
+
+@query(f"""{LABELS}, te AS (SELECT elevation_number, avg(elevation_deg) AS d FROM r GROUP BY 1), cd AS (SELECT s, a.elevation_number, a.id, a.region, a.v, a.nyquist_ms, b.v AS nearest, row_number() OVER (PARTITION BY s, a.id ORDER BY round(abs(a.range_m * cos(radians(a.elevation_deg)) / cos(radians(te.d)) - b.range_m), 6), b.range_m) AS i
+FROM r a, (VALUES (-1), (1)) q(s), te, r b WHERE te.elevation_number = a.elevation_number + s AND b.elevation_number = a.elevation_number + s AND b.ray_idx = a.ray_idx AND abs(a.range_m * cos(radians(a.elevation_deg)) / cos(radians(te.d)) - b.range_m) <= 750),
+vk AS (SELECT *, CAST(round((nearest - v) / (2 * nyquist_ms)) AS INT) AS k FROM cd WHERE i = 1), vt AS (SELECT elevation_number, region, CAST(t AS INT) AS t, count(*) FILTER (k = t) AS votes, count(*) FILTER (k = t AND s = -1) AS below, count(*) FILTER (k = t AND s = 1) AS above, sum(abs(v + t * 2 * nyquist_ms - nearest)) AS cost FROM vk, range(-3, 4) x(t) GROUP BY 1, 2, 3),
+vo AS (SELECT elevation_number, region, {_best_sql('votes')} AS k, max(votes) AS best_votes, CAST(sum(votes) AS BIGINT) AS n_votes, {_best_sql('below')} AS k_below, max(below) AS votes_below, CAST(sum(below) AS BIGINT) AS n_below, {_best_sql('above')} AS k_above, max(above) AS votes_above, CAST(sum(above) AS BIGINT) AS n_above,
+arg_max(cost, votes * 100 - t) AS new_cost, max(cost) FILTER (t = 0) AS old_cost FROM vt GROUP BY 1, 2)
+SELECT * REPLACE (round(new_cost, 4) AS new_cost, round(old_cost, 4) AS old_cost), n_votes >= 6 AND k <> 0 AND best_votes >= 0.72::DOUBLE * n_votes AND (n_below < 3 OR n_above < 3 OR (k_below = k AND k_above = k AND votes_below >= 0.65::DOUBLE * n_below AND votes_above >= 0.65::DOUBLE * n_above)) AND new_cost <= 0.45::DOUBLE * old_cost AS accepted FROM vo""")
 def q_vertical_votes(spark, sf_dir):
     g = labelled(spark, sf_dir)
     tilts = volume.tilt_neighbours(volume.tilt_summary(g, BY), ["volume_id"])
-    return dealias.vertical_votes(g, tilts, ["volume_id"])
+    return dealias.vertical_votes(g, tilts, ["volume_id"]).withColumns({"new_cost": F.round("new_cost", 4), "old_cost": F.round("old_cost", 4)})
 
 
 @query(f"{SC} SELECT DISTINCT icao, substr(\"time\", 1, 2) || ':' || substr(\"time\", 3, 2) || ':' || substr(\"time\", 5, 2) || ' UTC' AS label FROM c")
