@@ -37,7 +37,7 @@ from .common import fresh, saved, table
 
 MAX_LABELLED = 20_000
 #: Texts that phrases are planted in at most, and words that stay on either side.
-PLANTED_TEXTS, PLANTED_WORDS = 250, 20
+PLANTED_TEXTS, PLANTED_WORDS = 120, 6
 TREES, DEPTH, SEED = 20, 6, 42
 #: Occurrences that make a word part of the dictionary.
 DICTIONARY_COUNT = 20
@@ -186,7 +186,8 @@ def planted(docs: DataFrame, words: DataFrame) -> DataFrame:
         value = F.when(F.col("kind") == kind, made).otherwise(value)
     near = lambda start: F.concat_ws(" ", F.slice("words", start, F.lit(PLANTED_WORDS)))
     rows = rows.withColumn("planted", value).withColumn("text", F.concat_ws(" ", near(F.greatest(F.lit(1), F.col("at") - PLANTED_WORDS + 1)), F.replace("wording", F.lit("{v}"), "planted"), near(F.col("at") + 1)))
-    rows = saved(rows.select(F.lit(0).alias("doc_id"), "text", "source", "planted", "label"), "planted-texts")
+    rows = rows.select(F.lit(0).alias("doc_id"), "text", "source", "planted", "label").repartition(docs.sparkSession.sparkContext.defaultParallelism)  # else one task has them all
+    rows = saved(rows, "planted-texts")
     truth = rows.select(row_key(rows).alias("key"), F.col("planted").alias("value"), "label").distinct()
     found = featured(saved(candidates(rows), "planted-candidates"), words).drop("label")
     return found.join(truth, ["key", "value"])
