@@ -162,8 +162,10 @@ def findings(docs: DataFrame) -> DataFrame:
 def planted(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Findings with FEATURES and label among PLANTS, each put between words of each of PLANTED_TEXTS texts."""
     full = docs.select(_text().alias("text"), _path(docs).alias("source")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    order = F.xxhash64("text", "source")
-    some = saved(full.orderBy(order, "text", "source").limit(PLANTED_TEXTS), "texts")
+    # Hashes are ordered first, without their texts; then the texts of the least ones are read.
+    full = full.withColumn("order_", F.xxhash64("text", "source"))
+    least = saved(full.select("order_").distinct().orderBy("order_").limit(PLANTED_TEXTS), "least-hashes")
+    some = saved(full.join(F.broadcast(least), "order_").select("text", "source").distinct(), "texts")
     plants = [F.struct(F.lit(k).alias("k"), F.lit(label).alias("label"), F.lit(wording.replace("{{", "{").replace("}}", "}")).alias("wording"), F.lit(kind).alias("kind")) for k, (label, wording, kind) in enumerate((n, w, kind) for n, w, kinds in PLANTS for kind in kinds)]
     rows = some.select("source", F.split("text", _SPACE).alias("words"), F.sha2("text", 256).alias("h"), F.explode(F.array(*plants)).alias("plant")).select("source", "words", "h", "plant.*")
     rows = rows.withColumn("h", F.sha2(F.concat("h", F.col("k").cast("string")), 256)).withColumn("at", F.pmod(F.xxhash64("h"), F.size("words")).cast("int"))
