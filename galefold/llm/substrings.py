@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batches, drop, forget, new_path, parted, saved, whole_texts
@@ -233,15 +233,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, text): doc orders the rows; it is doc_id itself where that is unique and never null."""
-    texts = whole_texts(docs)
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, doc, text) and more columns: doc orders the rows; it is doc_id itself where that is unique and never null."""
+    texts = whole_texts(docs, *more)
+    others = texts.columns[2:]
     n, distinct, known = texts.agg(F.count("*"), F.countDistinct("doc_id"), F.count("doc_id")).first()
     if n == distinct == known:
-        return texts.select("doc_id", F.col("doc_id").alias("doc"), "text")
+        return texts.select("doc_id", F.col("doc_id").alias("doc"), "text", *others)
     tie = texts.withColumn("tie", F.md5("text"))
     tie = tie.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    return saved(tie.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text"), "numbered")
+    return saved(tie.select("doc_id", F.monotonically_increasing_id().alias("doc"), "text", *others), "numbered")
 
 
 def remove_repeats(docs: DataFrame, n_batches: int = 2, max_runs: int = 1) -> DataFrame:
