@@ -2,22 +2,22 @@
 
 Texts are lower-cased (A-Z), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and those into words
 `[^\\x20\\x09]+`; phrases lie within a piece, and all counts are per language (null: `und`).
-Lengths are mined one after the other, the empty phrase (which stands at every word) and
-single words first:
-
-1. A task takes its texts in blocks. Prefix polynomials over the bytes give every word's
-   hash, and over these every phrase's fingerprint. Of longer phrases only those are taken
-   whose two parts of one word less may be frequent, by a Bloom filter; this spares rows
-   and decides nothing. In a block, equal fingerprints are compared by their words, and
-   each different phrase gives one row: fingerprint, count, pointer to one place.
-2. A shuffle adds up the counts by fingerprint. A fingerprint that reaches `least` is
-   frequent; since phrases can collide, its sum is an upper bound of each one's count.
-3. Only the pointers of frequent fingerprints are followed. Each document that they name
-   gives the words at its places, and counts are added up by these words, so collisions
-   come apart. Only frequent phrases ever become text.
-
-A block's longest texts come first, so that few documents hold its pointers. Scores come
-from joins over the frequent phrases alone: every part of a frequent phrase is frequent.
+
+1. Counts. Prefix polynomials over the bytes give every word's hash, and over these every
+   phrase's fingerprint. A task adds up equal fingerprints, a shuffle those of all tasks.
+   Words and pairs come first; of three and four words only those are counted whose two
+   parts of one word less may be frequent, by a Bloom filter, which spares rows and decides
+   nothing. A fingerprint that reaches `least` is frequent; since phrases can collide, its
+   sum is an upper bound of each one's count.
+2. Places. The phrases of frequent fingerprints are met once more. In a block of texts, equal
+   fingerprints are compared by their words, and each different phrase gives one row: a
+   128-bit digest of its words, its count, a pointer to one place, in a text as long as can
+   be. A shuffle adds up the rows of each digest and keeps one pointer.
+3. Texts. Only those pointers are followed whose phrase really is frequent, so that only
+   frequent phrases ever become text; the words at each are held against the digest.
+
+Scores come from joins over the frequent phrases alone: every part of a frequent phrase is
+frequent.
 
 Defined results: null and empty texts have no words; a null language counts as `und`;
 repeated rows and ids count each; other columns are ignored; an empty table gives no rows.
@@ -25,7 +25,6 @@ repeated rows and ids count each; other columns are ignored; an empty table give
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,8 +39,8 @@ from .words import _BYTES, inverse, ladder, mixed
 
 LONGEST = 4
 LEAST = 30
-#: Bytes of text that a task settles among themselves at once, bytes that are hashed at once, bytes from which a word is hashed by XXH64.
-BLOCK, CHUNK, LONG_WORD = 4 << 20, 1 << 16, 32
+#: Bytes of text that a task takes at once, fingerprints that it adds up at once, bytes that are hashed at once, bytes from which a word is hashed by XXH64.
+BLOCK, COUNTED, CHUNK, LONG_WORD = 6 << 20, 4_000_000, 1 << 16, 32
 #: Candidates that one task of the first ranking has.
 RANKED = 50_000
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -49,7 +48,7 @@ _GAP = np.isin(np.arange(256), [0x20, 0x09])
 _CUT = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-PLACES = "fp long, n long, doc long, start long, stop long"
+PLACES = "high long, low long, n long, size int, doc long, start int, stop int"
 
 
 class Block(NamedTuple):
@@ -128,76 +127,149 @@ def fingerprints(h: np.ndarray, n: int, lang: np.ndarray, bits: int) -> np.ndarr
     return found >> np.uint64(64 - bits)
 
 
-def settled(docs: list[int], langs: list[str], texts: list[bytes], n: int, among: np.ndarray | None, bits: int) -> pa.RecordBatch:
-    """One row for each different phrase of n words (n = 1: and for the empty one, once a word) in these texts."""
+class Phrases(NamedTuple):
+    """A block's words with their hashes, the languages of its texts, and each word's language (its number and hash)."""
+
+    block: Block
+    hashes: np.ndarray
+    langs: list[str]
+    lang: np.ndarray
+    lang_hash: np.ndarray
+
+    def fingerprints(self, n: int, bits: int) -> np.ndarray:
+        return fingerprints(self.hashes, n, self.lang_hash, bits)
+
+    def places(self, n: int) -> np.ndarray:
+        """Which words begin a phrase of n words."""
+        m, piece = max(0, len(self.hashes) - n + 1), self.block.piece
+        return piece[:m] == piece[len(piece) - m :]
+
+
+def phrases_of(langs: list[str], texts: list[bytes]) -> Phrases:
     import xxhash
 
-    order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
-    docs, langs, b = np.array([docs[k] for k in order], np.int64), [langs[k] for k in order], block_of([texts[k] for k in order])
+    b = block_of(texts)
     names = {x: k for k, x in enumerate(dict.fromkeys(langs))}
-    lang_of = np.array([names[x] for x in langs], np.int64)[b.text] if len(b.text) else np.zeros(0, np.int64)
-    lang_hash = np.array([xxhash.xxh64_intdigest(x.encode()) for x in names], np.uint64)[lang_of] if names else np.zeros(0, np.uint64)
-    h = word_hashes(b)
-    fp = fingerprints(h, n, lang_hash, bits)
-    inside = b.piece[: len(fp)] == b.piece[len(h) - len(fp) :]
-    if among is not None:
-        part = maybe(among, fingerprints(h, n - 1, lang_hash, bits))
-        inside &= part[: len(fp)] & part[1 : len(fp) + 1]
-    at = np.nonzero(inside)[0]
-    at = at[np.argsort(fp[at], kind="stable")]
-    new = np.concatenate([[True], fp[at][1:] != fp[at][:-1]]) if len(at) else np.zeros(0, bool)
-    first = at[np.nonzero(new)[0]][np.cumsum(new) - 1]
-    words = exact_words(b, h)
-    alike = lang_of[at] == lang_of[first]
-    for k in range(n):
-        alike &= words[at + k] == words[first + k]
-    counts = np.bincount(np.cumsum(new) - 1, alike) if len(at) else np.zeros(0)
-    rows = np.concatenate([at[new], at[~alike]])  # a phrase that isn't its fingerprint's first goes place by place
-    count = np.concatenate([counts.astype(np.int64), np.ones((~alike).sum(), np.int64)])
-    start, stop, text = b.begin[rows] - b.first[b.text[rows]], b.end[rows + n - 1] - b.first[b.text[rows]], b.text[rows]
-    found = fp[rows]
-    if n == 1:
-        own = np.unique(lang_of, return_index=True)[1]
-        nothing = np.zeros(len(own), np.int64)
-        empty = mixed(lang_hash[own]) >> np.uint64(64 - bits)
-        found, count, text = np.concatenate([found, empty]), np.concatenate([count, np.bincount(lang_of)[lang_of[own]]]), np.concatenate([text, b.text[own]])
-        start, stop = np.concatenate([start, nothing]), np.concatenate([stop, nothing])
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64) if x.dtype != np.uint64 else x.view(np.int64)) for x in (found, count, docs[text] if len(text) else text, start, stop)], names=["fp", "n", "doc", "start", "stop"])
-
-
-def _find(n: int, among, bits: int):
+    lang = np.array([names[x] for x in langs], np.int64)[b.text]
+    return Phrases(b, word_hashes(b), list(names), lang, np.array([xxhash.xxh64_intdigest(x.encode()) for x in names], np.uint64)[lang])
+
+
+def _blocks(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str], list[bytes]]]:
+    docs, langs, texts, size = [], [], [], 0
+    for batch in batches(rows):
+        docs += batch["doc"].to_pylist()
+        langs += batch["lang"].to_pylist()
+        texts += as_bytes(batch["text"])
+        size += batch["text"].nbytes
+        if size >= BLOCK:
+            yield docs, langs, texts
+            docs, langs, texts, size = [], [], [], 0
+    if texts:
+        yield docs, langs, texts
+
+
+def _summed(fp: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(fp)
+    fp, n = fp[order], n[order]
+    first = np.nonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))[0] if len(fp) else np.zeros(0, np.int64)
+    return fp[first], np.add.reduceat(n, first) if len(fp) else n
+
+
+def _counts(lengths: list[int], among, bits: int):
+    """Fingerprints of phrases of these lengths and how often a task meets them. among: a filter of the fingerprints of one word less."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fps, ns, held = [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if fps:
+                fp, n = _summed(np.concatenate(fps), np.concatenate(ns))
+                for at in range(0, len(fp), 200_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[at : at + 200_000].view(np.int64)), pa.array(n[at : at + 200_000])], names=["fp", "n"])
+
+        for _, langs, texts in _blocks(rows):
+            x = phrases_of(langs, texts)
+            for n in lengths:
+                fp, inside = x.fingerprints(n, bits), x.places(n)
+                if among is not None:
+                    part = maybe(among.value, x.fingerprints(n - 1, bits))
+                    inside &= part[: len(fp)] & part[1 : len(fp) + 1]
+                fp, count = _summed(fp[inside], np.ones(inside.sum(), np.int64))
+                fps.append(fp)
+                ns.append(count)
+                held += len(fp)
+            if held >= COUNTED:
+                yield from out()
+                fps, ns, held = [], [], 0
+        yield from out()
+
+    return run
+
+
+def digest(lang: bytes, words: bytes) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(lang + b"\n" + words)
+
+
+def plain_words(piece: bytes) -> bytes:
+    """The words of a lower-cased piece, with one blank between them."""
+    return b" ".join([w for w in piece.replace(b"\t", b" ").split(b" ") if w])
+
+
+def _places(longest: int, among, bits: int):
+    """A row for each different phrase in a block whose fingerprint may be frequent, and one for the empty phrase of each language."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_ = among.value if among is not None else None
-        docs, langs, texts, size = [], [], [], 0
-        for batch in batches(rows):
-            own = as_bytes(batch["text"])
-            docs += batch["doc"].to_pylist()
-            langs += batch["lang"].to_pylist()
-            texts += own
-            size += batch["text"].nbytes
-            if size >= BLOCK:
-                yield settled(docs, langs, texts, n, filter_, bits)
-                docs, langs, texts, size = [], [], [], 0
-        if texts:
-            yield settled(docs, langs, texts, n, filter_, bits)
+        for docs, langs, texts in _blocks(rows):
+            order = sorted(range(len(texts)), key=lambda k: -len(texts[k]))
+            docs = np.array([docs[k] for k in order], np.int64)
+            x = phrases_of([langs[k] for k in order], [texts[k] for k in order])
+            b, data, names, words = x.block, x.block.data.tobytes(), [s.encode() for s in x.langs], exact_words(x.block, x.hashes)
+            for n in range(longest + 1):
+                if n:
+                    fp = x.fingerprints(n, bits)
+                    at = np.nonzero(x.places(n))[0]
+                    at = at[maybe(among.value, fp[at])]
+                    at = at[np.argsort(fp[at], kind="stable")]
+                    new = np.concatenate([[True], fp[at][1:] != fp[at][:-1]]) if len(at) else np.zeros(0, bool)
+                    group = np.cumsum(new) - 1
+                    first = at[np.nonzero(new)[0]][group]
+                    alike = x.lang[at] == x.lang[first]
+                    for k in range(n):
+                        alike &= words[at + k] == words[first + k]
+                    # A phrase that isn't its fingerprint's first goes place by place.
+                    place = np.concatenate([at[new], at[~alike]])
+                    count = np.concatenate([np.bincount(group, alike, int(new.sum())).astype(np.int64), np.ones((~alike).sum(), np.int64)])
+                    start, stop = b.begin[place], b.end[place + n - 1]
+                else:
+                    place = np.unique(x.lang, return_index=True)[1]
+                    count = np.bincount(x.lang)[x.lang[place]] if len(place) else np.zeros(0, np.int64)
+                    start = stop = b.first[b.text[place]]
+                marks = [digest(names[k], plain_words(data[i:j])) for k, i, j in zip(x.lang[place].tolist(), start.tolist(), stop.tolist(), strict=True)]
+                marks = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
+                text = b.text[place]
+                size = (b.first[text + 1] - b.first[text]).astype(np.int32) if len(text) else np.zeros(0, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (marks[:, 0].copy(), marks[:, 1].copy(), count, size, docs[text], (start - b.first[text]).astype(np.int32), (stop - b.first[text]).astype(np.int32))], names=[c.split()[0] for c in PLACES.split(", ")])
 
     return run
 
 
-def _materialised(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words at each pointer, with the counts of a batch added up."""
+def _texts(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words at each pointer, which must have their digest."""
     lower = bytes(_LOWER)
     for batch in batches(rows):
-        total: Counter = Counter()
+        langs, phrases, counts = [], [], []
         for lang, text, own in zip(batch["lang"].to_pylist(), as_bytes(batch["text"]), batch["own"], strict=True):
             own = own.values
-            for n, start, stop in zip(*(own.field(c).to_pylist() for c in ("n", "start", "stop")), strict=True):
-                total[lang, text[start:stop]] += n
-        phrases: Counter = Counter()
-        for (lang, x), n in total.items():
-            phrases[lang, b" ".join(w for w in x.translate(lower).replace(b"\t", b" ").split(b" ") if w)] += n
-        langs, found = [k[0] for k in phrases], pa.array([k[1] for k in phrases], pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), found.cast(pa.string()), pa.array(list(phrases.values()), pa.int64())], names=["lang", "phrase", "f"])
+            for high, low, n, start, stop in zip(*(own.field(c).to_pylist() for c in ("high", "low", "n", "start", "stop")), strict=True):
+                words = plain_words(text[start:stop].translate(lower))
+                if np.array([high, low]).tobytes() != digest(lang.encode(), words):
+                    raise ValueError("a pointer leads to other words; did the documents change meanwhile?")
+                langs.append(lang)
+                phrases.append(words)
+                counts.append(n)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "phrase", "f"])
 
 
 def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, bits: int = 64) -> DataFrame:
@@ -207,23 +279,22 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     """
     spark = docs.sparkSession
     texts = numbered(docs, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    pointers, written, among = [], [], None
-    for n in range(1, longest + 1):
-        places = saved(texts.select("doc", "lang", "text").mapInArrow(_find(n, among, bits), PLACES), "places")
-        frequent = saved(places.groupBy("fp").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("fp"), "frequent")
-        kept = saved(parted(places, frequent, "fp")[1].join(frequent, "fp", "left_semi").select("doc", "n", "start", "stop"), "pointers")
-        pointers.append(kept)
-        drop(places)
-        written += [frequent, kept]
+    written, among = [], None
+    for lengths in [[1, 2], *([n] for n in range(3, longest + 1))]:
+        counts = texts.select("doc", "lang", "text").mapInArrow(_counts(lengths, among, bits), "fp long, n long")
+        frequent = saved(counts.groupBy("fp").agg(F.sum("n").alias("total")).where(F.col("total") >= least).select("fp"), "frequent")
+        written.append(frequent)
         among = spark.sparkContext.broadcast(bloom(frequent, "fp"))
-    own = pointers[0]
-    for more in pointers[1:]:
-        own = own.unionByName(more)
-    own = saved(own.groupBy("doc").agg(F.collect_list(F.struct("n", "start", "stop")).alias("own")), "own")
+    every = written[0]
+    for more in written[1:]:
+        every = every.unionByName(more)
+    places = texts.select("doc", "lang", "text").mapInArrow(_places(longest, spark.sparkContext.broadcast(bloom(every, "fp")), bits), PLACES)
+    found = places.groupBy("high", "low").agg(F.sum("n").alias("n"), F.max(F.struct("size", "doc", "start", "stop")).alias("at"))
+    found = saved(found.where(F.col("n") >= least).select("high", "low", "n", "at.doc", "at.start", "at.stop"), "pointers")
+    own = saved(found.groupBy("doc").agg(F.collect_list(F.struct("high", "low", "n", "start", "stop")).alias("own")), "own")
     fetched = parted(texts, own, "doc")[1].join(own, "doc").select("lang", "text", "own")
-    found = fetched.mapInArrow(_materialised, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    out = saved(found.where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
-    drop(own, *written)
+    out = saved(fetched.mapInArrow(_texts, "lang string, phrase string, f long"), "phrases")
+    drop(found, own, *written)
     return out
 
 
