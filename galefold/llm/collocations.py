@@ -11,8 +11,8 @@ Texts are lower-cased (A-Z), cut into pieces at `[.,;:!?\\x0A-\\x0D]` and those
    sum is an upper bound of each one's count.
 2. Places. The phrases of frequent fingerprints are met once more. In a block of texts, equal
    fingerprints are compared by their words, and each different phrase gives one row: a
-   128-bit digest of its words, its count, a pointer to one place, in a text as long as can
-   be. A shuffle adds up the rows of each digest and keeps one pointer.
+   128-bit digest of its words, its count, a pointer to one place, in the block's longest text
+   that has it. A shuffle adds up the rows of each digest and keeps one pointer.
 3. Texts. Only those pointers are followed whose phrase really is frequent, so that only
    frequent phrases ever become text; the words at each are held against the digest.
 
@@ -40,7 +40,7 @@ from .words import _BYTES, inverse, ladder, mixed
 LONGEST = 4
 LEAST = 30
 #: Bytes of text that a task takes at once, fingerprints that it adds up at once, bytes that are hashed at once, bytes from which a word is hashed by XXH64.
-BLOCK, COUNTED, CHUNK, LONG_WORD = 6 << 20, 4_000_000, 1 << 16, 32
+BLOCK, COUNTED, CHUNK, LONG_WORD = 3 << 20, 2_000_000, 1 << 16, 32
 #: Candidates that one task of the first ranking has.
 RANKED = 50_000
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
@@ -48,7 +48,7 @@ _GAP = np.isin(np.arange(256), [0x20, 0x09])
 _CUT = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
-PLACES = "high long, low long, n long, size int, doc long, start int, stop int"
+PLACES = "high long, low long, n long, doc long, start int, stop int"
 
 
 class Block(NamedTuple):
@@ -70,7 +70,7 @@ def block_of(texts: list[bytes]) -> Block:
     begin, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     first = np.concatenate([[0], np.cumsum(lengths + 1)])
-    return Block(data, begin, end, np.cumsum(_CUT[data])[begin], np.searchsorted(first, begin, side="right") - 1, first)
+    return Block(data, begin, end, np.cumsum(_CUT[data], dtype=np.int32)[begin], np.searchsorted(first, begin, side="right") - 1, first)
 
 
 def word_hashes(b: Block) -> np.ndarray:
@@ -249,8 +249,7 @@ def _places(longest: int, among, bits: int):
                 marks = [digest(names[k], plain_words(data[i:j])) for k, i, j in zip(x.lang[place].tolist(), start.tolist(), stop.tolist(), strict=True)]
                 marks = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2)
                 text = b.text[place]
-                size = (b.first[text + 1] - b.first[text]).astype(np.int32) if len(text) else np.zeros(0, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (marks[:, 0].copy(), marks[:, 1].copy(), count, size, docs[text], (start - b.first[text]).astype(np.int32), (stop - b.first[text]).astype(np.int32))], names=[c.split()[0] for c in PLACES.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (marks[:, 0].copy(), marks[:, 1].copy(), count, docs[text], (start - b.first[text]).astype(np.int32), (stop - b.first[text]).astype(np.int32))], names=[c.split()[0] for c in PLACES.split(", ")])
 
     return run
 
@@ -289,8 +288,8 @@ def frequent_phrases(docs: DataFrame, longest: int = LONGEST, least: int = LEAST
     for more in written[1:]:
         every = every.unionByName(more)
     places = texts.select("doc", "lang", "text").mapInArrow(_places(longest, spark.sparkContext.broadcast(bloom(every, "fp")), bits), PLACES)
-    found = places.groupBy("high", "low").agg(F.sum("n").alias("n"), F.max(F.struct("size", "doc", "start", "stop")).alias("at"))
-    found = saved(found.where(F.col("n") >= least).select("high", "low", "n", "at.doc", "at.start", "at.stop"), "pointers")
+    found = places.groupBy("high", "low").agg(F.sum("n").alias("n"), *(F.first(c).alias(c) for c in ("doc", "start", "stop")))
+    found = saved(found.where(F.col("n") >= least).select("high", "low", "n", "doc", "start", "stop"), "pointers")
     own = saved(found.groupBy("doc").agg(F.collect_list(F.struct("high", "low", "n", "start", "stop")).alias("own")), "own")
     fetched = parted(texts, own, "doc")[1].join(own, "doc").select("lang", "text", "own")
     out = saved(fetched.mapInArrow(_texts, "lang string, phrase string, f long"), "phrases")
