@@ -877,3 +877,5 @@ def q_clock_labels(spark, sf_dir):
 
 
 from . import more  # noqa: E402, F401  (registers its queries here)
+
+from . import stages as _stages  # noqa: E402, F401  (so does this)
