@@ -142,7 +142,7 @@ def solve_in_rounds(sizes: DataFrame, votes: DataFrame, by: list[str], most: int
         pairs = pairs.select(*by, "a", "b", "total", F.col("best.k").alias("k"))
         sides = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y"), "k"), F.struct(F.col("b").alias("x"), F.col("a").alias("y"), (-F.col("k")).alias("k")))
         both = pairs.select(*by, "a", "b", "total", F.explode(sides).alias("s")).select(*by, "a", "b", "total", "s.*")
-        taken = both.groupBy(*by, "x").agg(F.min(F.struct((-F.col("total")).alias("w"), "a", "b", "y", "k")).alias("t")).select(*by, "x", "t.y", "t.k")
+        taken = both.groupBy(*by, "x").agg(F.min(F.struct((-F.col("total")).alias("w"), "a", "b", "y", "k")).alias("took_")).select(*by, "x", "took_.y", "took_.k")
         taken = written(taken)
         if taken.isEmpty():
             break
@@ -226,7 +226,7 @@ def groups_through_hard(gates: DataFrame, solved: DataFrame, by: list[str] = BY)
 
 
 @per_tilt
-def grow(gates: DataFrame, by: list[str] = BY, most_cost: float = 0.6) -> DataFrame:
+def grow(gates: DataFrame, by: list[str] = BY, most_cost: float = 0.6, most_gap: float = 4.0) -> DataFrame:
     """Gates with cost, folds and corrected, grown from seeds (`seed`: true, with their own `folds`) over links.
 
     A step costs the circular distance of the two velocities, at most `most_cost` Vn, in
@@ -235,7 +235,7 @@ def grow(gates: DataFrame, by: list[str] = BY, most_cost: float = 0.6) -> DataFr
     gates whose way has become cheaper tell their neighbours. Gates that no seed reaches have no
     cost and keep their value.
     """
-    near = links(gates, by)
+    near = links(gates, by, most_gap=most_gap)
     share = S.velocity_distance("a.v", "b.v", F.least("a.nyquist_ms", "b.nyquist_ms")) / F.least("a.nyquist_ms", "b.nyquist_ms")
     k = lambda x, y: F.round((F.col(f"{x}.v") - F.col(f"{y}.v")) / (2 * F.col(f"{y}.nyquist_ms"))).cast("int")
     side = lambda x, y: F.struct(F.col(f"{x}.cell").alias("x"), F.col(f"{y}.cell").alias("y"), k(x, y).alias("k"))

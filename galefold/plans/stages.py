@@ -149,3 +149,98 @@ def q_refraction(spark, sf_dir):
     tilts = g.groupBy(*BY).agg(F.avg("elevation_deg").alias("elevation_deg"))
     tables = rounds.written(refraction.ray_tables(tilts, BY, STEP_M * STEPS, STEP_M))
     return refraction.with_refraction(g, tables, BY, STEP_M).select(*KEY, rounded("height_m", "height_m", 3), rounded("arc_rad", "arc_rad", 9))
+
+
+# -- votes in sequence -------------------------------------------------------------------------
+
+
+def _sequence_sql(tilts: int = 5) -> str:
+    """One tilt after the other; c1, c2, ... hold a tilt's gates with their corrected velocity."""
+    out = [f"{LABELS}, te AS MATERIALIZED (SELECT elevation_number, avg(elevation_deg) AS d FROM r GROUP BY 1)"]
+    most = "arg_max(t, {} * 100 - t)"
+    for p in range(1, tilts + 1):
+        below = f"SELECT elevation_number, ray_idx, range_m, cv AS v, -1 AS s FROM c{p - 1} UNION ALL " if p > 1 else ""
+        out += [
+            f"o{p} AS ({below}SELECT elevation_number, ray_idx, range_m, v, 1 AS s FROM r WHERE elevation_number % 32 = {p})",
+            f"""d{p} AS (SELECT o.s, a.elevation_number, a.id, a.region, a.v, a.nyquist_ms, o.v AS nearest, row_number() OVER (PARTITION BY o.s, a.id ORDER BY round(abs(a.range_m * cos(radians(a.elevation_deg)) / cos(radians(te.d)) - o.range_m), 6), o.range_m) AS i
+FROM r a JOIN o{p} o ON o.elevation_number = a.elevation_number + o.s AND o.ray_idx = a.ray_idx JOIN te ON te.elevation_number = o.elevation_number WHERE a.elevation_number % 32 = {p - 1} AND abs(a.range_m * cos(radians(a.elevation_deg)) / cos(radians(te.d)) - o.range_m) <= 750)""",
+            f"k{p} AS (SELECT *, CAST(round((nearest - v) / (2 * nyquist_ms)) AS INT) AS k FROM d{p} WHERE i = 1)",
+            f"v{p} AS (SELECT elevation_number, region, CAST(t AS INT) AS t, count(*) FILTER (k = t) AS votes, count(*) FILTER (k = t AND s = -1) AS below, count(*) FILTER (k = t AND s = 1) AS above, sum(abs(v + t * 2 * nyquist_ms - nearest)) AS cost FROM k{p}, range(-3, 4) x(t) GROUP BY 1, 2, 3)",
+            f"""w{p} AS (SELECT elevation_number, region, {most.format('votes')} AS k, max(votes) AS votes, sum(votes) AS n, {most.format('below')} AS kb, max(below) AS vb, sum(below) AS nb, {most.format('above')} AS ka, max(above) AS va, sum(above) AS na, arg_max(cost, votes * 100 - t) AS c1, max(cost) FILTER (t = 0) AS c0 FROM v{p} GROUP BY 1, 2)""",
+            f"""c{p} AS MATERIALIZED (SELECT r.*, coalesce(w.k, 0) AS folds, v + coalesce(w.k, 0) * 2 * nyquist_ms AS cv FROM r LEFT JOIN (SELECT * FROM w{p} WHERE n >= 6 AND k <> 0 AND votes >= 0.72::DOUBLE * n AND (nb < 3 OR na < 3 OR (kb = k AND ka = k AND vb >= 0.65::DOUBLE * nb AND va >= 0.65::DOUBLE * na)) AND c1 <= 0.45::DOUBLE * c0) w
+ON w.elevation_number = r.elevation_number AND w.region = r.region WHERE r.elevation_number % 32 = {p - 1})""",
+        ]
+    return ",\n".join(out) + "\n" + " UNION ALL ".join(f"SELECT id, folds, cv AS corrected FROM c{p}" for p in range(1, tilts + 1))
+
+
+@query(_sequence_sql())
+def q_vertical_sequence(spark, sf_dir):
+    """Votes of the tilts below and above, tilt by tilt, each on the corrected values of the one below."""
+    return stages.vertical_in_sequence(labelled(spark, sf_dir), ["volume_id"]).select("id", "folds", "corrected")
+
+
+# -- rescue ------------------------------------------------------------------------------------
+
+RESCUE_SHARE = 0.25
+
+
+def _pass_sql(number: int) -> str:
+    done = " UNION ALL ".join(f"SELECT t, cell, k FROM y{n}" for n in range(1, number)) or "SELECT t, cell, 0 AS k FROM b WHERE false"
+    huber = lambda r, d: f"CASE WHEN abs({r}) <= {d} THEN ({r}) * ({r}) / (2 * {d}) ELSE abs({r}) - {d} / 2 END"
+    return f"""w{number} AS MATERIALIZED ({done}),
+f{number} AS (SELECT bs.t, bs.cell, bs.dir, bs.o + coalesce(w.k, 0) * 2 * bs.ovn AS o, bs.ovn FROM bs LEFT JOIN w{number} w ON w.t = bs.t AND w.cell = bs.other WHERE NOT oh OR w.k IS NOT NULL),
+t{number} AS (SELECT h.t, h.cell, h.vn, h.target, k, h.v + k * 2 * h.vn AS c FROM hg h ANTI JOIN w{number} w ON w.t = h.t AND w.cell = h.cell, range(-6, 7) x(k)),
+s{number} AS (SELECT t.t, t.cell, k, any_value(vn) AS vn, any_value(target) AS target, any_value(c) AS c, count(o) AS n, sum({huber('c - o', 'greatest(1.5::DOUBLE, 0.38::DOUBLE * vn)')}) AS s, count(*) FILTER (abs(c - o) <= 0.55::DOUBLE * least(vn, ovn)) AS backed,
+  count(*) FILTER (abs(c - o) <= 0.55::DOUBLE * least(vn, ovn) AND dir < 2) AS b1, count(*) FILTER (abs(c - o) <= 0.55::DOUBLE * least(vn, ovn) AND dir >= 2) AS b2 FROM t{number} t LEFT JOIN f{number} f ON f.t = t.t AND f.cell = t.cell GROUP BY t.t, t.cell, k),
+u{number} AS (SELECT t, cell, k, round(CASE WHEN n > 0 THEN s / n ELSE 0 END + coalesce(0.2::DOUBLE * ({huber('c - target', 'greatest(2::DOUBLE, 0.4::DOUBLE * vn)')}), 0), 6) AS cost, (backed >= 2 AND b1 > 0 AND b2 > 0) OR (backed >= 1 AND coalesce(abs(c - target) <= 0.5 * vn, false)) AS fits FROM s{number}),
+z{number} AS (SELECT t, cell, max(cost) FILTER (k = 0) AS old, min({{'cost': cost, 'far': abs(k), 'k': k}}) FILTER (fits AND k <> 0) AS b FROM u{number} GROUP BY t, cell),
+y{number} AS MATERIALIZED (SELECT t, cell, b.k AS k, gain FROM (SELECT z.t, z.cell, b, round((old - b.cost) / old, 6) AS gain FROM z{number} z WHERE old > 0) q JOIN bu USING (t) WHERE gain >= 0.3::DOUBLE
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY gain DESC, cell) <= any_value(budget) OVER (PARTITION BY t) - (SELECT count(*) FROM w{number} w WHERE w.t = q.t))"""
+
+
+@query(f"""{_HARD}, b AS MATERIALIZED (SELECT elevation_number AS t, cell, ray_idx, gate_idx, CASE WHEN hard THEN v ELSE (true_code - 129) / 2.0::DOUBLE END AS v, nyquist_ms AS vn, range_m, elevation_deg, hard FROM hd),
+bu AS MATERIALIZED (SELECT t, budget FROM (SELECT t, count(*) FILTER (hard) AS nh, least(4096, greatest(1, CAST(floor(count(*) * {RESCUE_SHARE}::DOUBLE + 1e-9) AS INT))) AS budget FROM b GROUP BY t) WHERE nh > 0 AND nh <= 2 * budget),
+te AS (SELECT t, avg(elevation_deg) AS d FROM b GROUP BY t),
+vl AS (SELECT a.t, a.cell, o.v AS nearest, row_number() OVER (PARTITION BY a.t, a.cell, o.t ORDER BY round(abs(a.range_m * cos(radians(a.elevation_deg)) / cos(radians(te.d)) - o.range_m), 6), o.range_m) AS i
+  FROM b a JOIN b o ON o.t IN (a.t - 1, a.t + 1) AND o.ray_idx = a.ray_idx AND NOT o.hard JOIN te ON te.t = o.t WHERE a.hard AND abs(a.range_m * cos(radians(a.elevation_deg)) / cos(radians(te.d)) - o.range_m) <= 750),
+ta AS (SELECT t, cell, avg(nearest) AS target FROM vl WHERE i = 1 GROUP BY t, cell), hg AS MATERIALIZED (SELECT b.*, target FROM b JOIN bu USING (t) LEFT JOIN ta ON ta.t = b.t AND ta.cell = b.cell WHERE hard),
+bs AS MATERIALIZED (SELECT lb.t, ac AS cell, bc AS other, d AS dir, o.v AS o, o.vn AS ovn, o.hard AS oh FROM lb JOIN hg h ON h.t = lb.t AND h.cell = ac JOIN b o ON o.t = lb.t AND o.cell = bc),
+{_pass_sql(1)}, {_pass_sql(2)}
+SELECT t AS elevation_number, CAST(cell // 1048576 AS INT) AS ray_idx, CAST(cell % 1048576 AS INT) AS gate_idx, CAST(k AS INT) AS folds, gain, pass FROM (SELECT *, 1 AS pass FROM y1 UNION ALL SELECT *, 2 FROM y2)""")
+def q_gate_rescue(spark, sf_dir):
+    """Hard gates that are rescued, where all others have their true velocity."""
+    g = gates(spark, sf_dir)
+    true = g.select(*KEY, ((F.col("true_code") - 129) / 2.0).alias("t"))
+    rows = _hard(spark, sf_dir).join(true, KEY).withColumn("v", F.when(F.col("hard"), F.col("v")).otherwise(F.col("t"))).drop("t")
+    return stages.rescue(rounds.written(rows), ["volume_id"], most_share=RESCUE_SHARE)
+
+
+# -- vortices ----------------------------------------------------------------------------------
+
+STEPS_OF_FIT = {"offset": [-500.0, 0.0, 500.0], "radius": [400.0, 900.0], "vr": [-8.0, 0.0], "vt": [-30.0, -15.0, 15.0, 30.0]}
+WINDOW_GATES = 10
+
+
+def _list(values: list[float]) -> str:
+    return "unnest([" + ", ".join(f"{v}::DOUBLE" for v in values) + "])"
+
+
+@query(f"""{_HARD}, hp AS MATERIALIZED (SELECT t * {_ID} + ac AS x, t * {_ID} + bc AS y FROM lb WHERE ha AND hb), hn AS MATERIALIZED (SELECT DISTINCT x AS id FROM hp),
+hl(id, l) USING KEY (id) AS (SELECT id, id FROM hn UNION SELECT hp.y, min(hl.l) FROM hl JOIN hp ON hp.x = hl.id JOIN recurring.hl AS cur ON cur.id = hp.y WHERE hl.l < cur.l GROUP BY hp.y),
+fl AS MATERIALIZED (SELECT elevation_number AS t, cell, range_m * cos(radians(elevation_deg)) * sin(radians(azimuth_deg)) AS x, range_m * cos(radians(elevation_deg)) * cos(radians(azimuth_deg)) AS y, sin(radians(azimuth_deg)) AS bx, cos(radians(azimuth_deg)) AS by_, cos(radians(elevation_deg)) AS ce, v, nyquist_ms AS vn FROM hd),
+cl AS MATERIALIZED (SELECT fl.t, l % {_ID} AS cluster, count(*) AS n, avg(x) AS x, avg(y) AS y FROM fl JOIN hl ON hl.id = fl.t * {_ID} + cell GROUP BY ALL HAVING count(*) >= 4),
+jo AS (SELECT a.t, a.cluster, arg_min(b.cluster, (-b.n, b.cluster)) AS home FROM cl a JOIN cl b ON a.t = b.t AND (b.n > a.n OR (b.n = a.n AND b.cluster < a.cluster)) AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 2000 GROUP BY a.t, a.cluster),
+ce AS MATERIALIZED (SELECT cl.t, coalesce(home, cl.cluster) AS cluster, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y, sum(n) AS n FROM cl LEFT JOIN jo ON jo.t = cl.t AND jo.cluster = cl.cluster GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cl.t ORDER BY sum(n) DESC, 2) <= 4),
+wn AS MATERIALIZED (SELECT fl.*, cluster, ce.x AS x0, ce.y AS y0, count(*) OVER (PARTITION BY ce.t, cluster) AS n FROM fl JOIN ce ON ce.t = fl.t WHERE sqrt((fl.x - ce.x) * (fl.x - ce.x) + (fl.y - ce.y) * (fl.y - ce.y)) <= 3000),
+tr AS (SELECT t, cluster, x0 + dx AS xc, y0 + dy AS yc, radius, vr, vt FROM (SELECT DISTINCT t, cluster, x0, y0 FROM wn WHERE n >= {WINDOW_GATES}), (SELECT {_list(STEPS_OF_FIT['offset'])} AS dx), (SELECT {_list(STEPS_OF_FIT['offset'])} AS dy), (SELECT {_list(STEPS_OF_FIT['radius'])} AS radius), (SELECT {_list(STEPS_OF_FIT['vr'])} AS vr), (SELECT {_list(STEPS_OF_FIT['vt'])} AS vt)),
+bb AS (SELECT w.*, tr.xc, tr.yc, radius, vr, vt, x - xc AS dx, y - yc AS dy, sqrt((x - xc) * (x - xc) + (y - yc) * (y - yc)) AS far FROM wn w JOIN tr ON tr.t = w.t AND tr.cluster = w.cluster),
+ff AS (SELECT *, CASE WHEN far < 1 THEN 0 WHEN far < radius THEN 1 / radius ELSE radius / (far * far) END AS f FROM bb),
+sc AS (SELECT t, cluster, xc, yc, radius, vt, vr, round(sqrt(sum(cos(a)) * sum(cos(a)) + sum(sin(a)) * sum(sin(a))) / count(*), 9) AS score FROM (SELECT *, pi() / vn * (v - ce * (vt * f * (dx * by_ - dy * bx) + vr * f * (dx * bx + dy * by_))) AS a FROM ff) GROUP BY ALL),
+s0 AS (SELECT t, cluster, count(*) AS n, any_value(vn) AS vn, sqrt(sum(cos(pi() / vn * v)) ** 2 + sum(sin(pi() / vn * v)) ** 2) / count(*) AS score0 FROM wn GROUP BY t, cluster)
+SELECT t AS elevation_number, cluster, round(xc, 4) + 0.0 AS xc, round(yc, 4) + 0.0 AS yc, radius, vt, vr, round(score, 6) AS score, round(score0, 6) AS score0, n FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY t, cluster ORDER BY score DESC, xc, yc, radius, vt, vr) = 1) JOIN s0 USING (t, cluster)""")
+def q_vortex_fit(spark, sf_dir):
+    """The best of a small grid of vortices about each cluster of hard gates."""
+    hard = rounds.written(_hard(spark, sf_dir))
+    centres = rounds.written(stages.hard_clusters(hard))
+    fits = stages.vortex_fits(hard, centres, coarse=STEPS_OF_FIT, fine={}, least=WINDOW_GATES)
+    return fits.select(*BY, "cluster", rounded("xc", "xc", 4), rounded("yc", "yc", 4), "radius", "vt", "vr", F.round("score", 6).alias("score"), F.round("score0", 6).alias("score0"), "n")
