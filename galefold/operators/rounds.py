@@ -113,7 +113,7 @@ def segments(gates: DataFrame, by: list[str] = BY, share: float = 0.2) -> DataFr
 
 @per_tilt
 def fold_evidence(labelled: DataFrame, by: list[str] = BY) -> DataFrame:
-    """Votes between regions whose gates are linked (a < b): k folds on a's side bring it to b's, with weight w (confidence of both widths, where known)."""
+    """Votes between regions whose gates are linked (a < b); gates without a region, which must not be left out, only keep others apart. k folds on a's side bring it to b's, with weight w (confidence of both widths, where known)."""
     across = links(labelled, by).where("a.region <> b.region")
     period = 2 * F.least("a.nyquist_ms", "b.nyquist_ms")
     k = F.round((F.col("b.v") - F.col("a.v")) / period).cast("int")
@@ -169,7 +169,7 @@ def solve_in_rounds(sizes: DataFrame, votes: DataFrame, by: list[str], most: int
 def repairs(solved: DataFrame, by: list[str] = BY, better: float = 0.75, share: float = 0.8, least: int = 2) -> DataFrame:
     """Regions that one fold more or less fits better on their boundary: by, region, shift.
 
-    solved: gates with region and corrected. Two boundary pairs at least must fall to
+    solved: all gates, with region (null for hard gates) and corrected. Two boundary pairs at least must fall to
     `better` of their difference and the sum to `share`. Regions are judged on the values as
     given; of two neighbours that both ask for a shift only the one that gains more moves, of
     equals the lower, so that they can't swap.
@@ -196,11 +196,12 @@ def stage_a(gates: DataFrame, by: list[str] = BY) -> DataFrame:
     velocity or Nyquist velocity go; rows of one cell must not repeat.
     """
     usable = gates.where("v is not null and v = v and nyquist_ms > 0")
-    labelled = written(segments(usable, by))
-    sizes = labelled.groupBy(*by, "region").agg(F.count("*").alias("n_gates"))
-    folds = solve_in_rounds(sizes, fold_evidence(labelled, by), by)
-    out = written(labelled.join(folds, [*by, "region"]).withColumn("corrected", F.col("v") + F.col("folds") * 2 * F.col("nyquist_ms")))
-    out = out.join(repairs(out, by), [*by, "region"], "left").withColumn("folds", F.col("folds") + F.coalesce("shift", F.lit(0))).drop("shift")
+    homes = segments(usable, by).select(*by, "ray_idx", "gate_idx", "region")
+    whole = written(usable.join(homes, [*by, "ray_idx", "gate_idx"], "left"))
+    sizes = whole.where("region is not null").groupBy(*by, "region").agg(F.count("*").alias("n_gates"))
+    folds = solve_in_rounds(sizes, fold_evidence(whole, by), by)
+    whole = written(whole.join(folds, [*by, "region"], "left").withColumn("corrected", F.col("v") + F.coalesce("folds", F.lit(0)) * 2 * F.col("nyquist_ms")))
+    out = whole.where("region is not null").join(repairs(whole, by), [*by, "region"], "left").withColumn("folds", F.col("folds") + F.coalesce("shift", F.lit(0))).drop("shift")
     return out.withColumn("corrected", F.col("v") + F.col("folds") * 2 * F.col("nyquist_ms"))
 
 

@@ -9,7 +9,9 @@ from ..operators import grid, rounds, stages
 from .queries import BY, FAR, KEY, LABELS, G, gates, labelled, query, rounded
 
 #: Gates with `hard`, their cells, and links that bridge two missing gates, both ways.
-_HARD = FAR.replace("WITH g AS", "WITH RECURSIVE g AS", 1) + """,
+#: The views' velocities jump little, so a gate is hard from HARD Vn on.
+HARD, SEED_GATES = 0.12, 10
+_HARD = FAR.replace("WITH g AS", "WITH RECURSIVE g AS", 1).replace("far >= 0.5", f"far >= {HARD}::DOUBLE") + """,
 hd AS MATERIALIZED (SELECT sd.*, sd.ray_idx * 1048576 + sd.gate_idx AS cell, (CASE WHEN share <= 0.1 THEN gr.ray_idx IS NOT NULL ELSE seed END) AND dbz >= 25 AS hard FROM sd JOIN ts USING (elevation_number) LEFT JOIN gr ON sd.elevation_number = gr.elevation_number AND sd.ray_idx = gr.ray_idx AND sd.gate_idx = gr.gate_idx),
 lk AS MATERIALIZED (SELECT elevation_number AS t, cell AS ac, bc, v AS va, vb, hard AS ha, hb, nyquist_ms AS vn, 0 AS d FROM (SELECT *, lead(cell) OVER w AS bc, lead(v) OVER w AS vb, lead(hard) OVER w AS hb, lead(range_m) OVER w - range_m AS dr FROM hd WINDOW w AS (PARTITION BY elevation_number, ray_idx ORDER BY gate_idx)) WHERE dr > 125 AND dr <= 3.05::DOUBLE * 250
   UNION ALL SELECT a.elevation_number, a.cell, b.cell, a.v, b.v, a.hard, b.hard, a.nyquist_ms, 2 FROM az JOIN hd a ON a.elevation_number = az.elevation_number AND a.ray_idx = az.ray_idx AND a.gate_idx = az.gate_idx JOIN hd b ON b.elevation_number = az.elevation_number AND b.ray_idx = az.to_ray AND b.gate_idx = az.gate_idx),
@@ -52,7 +54,7 @@ fin AS MATERIALIZED (SELECT st.* REPLACE (CAST(folds + coalesce(shift, 0) AS INT
 
 
 def _hard(spark, sf_dir):
-    return grid.hard_gates(gates(spark, sf_dir)).select(*KEY, "v", "nyquist_ms", "range_m", "azimuth_deg", "elevation_deg", "dbz", "hard")
+    return grid.hard_gates(gates(spark, sf_dir), share=HARD).select(*KEY, "v", "nyquist_ms", "range_m", "azimuth_deg", "elevation_deg", "dbz", "hard")
 
 
 @query(f"{_SEGMENTS} SELECT elevation_number, ray_idx, gate_idx, region FROM sg")
@@ -98,7 +100,7 @@ def q_hard_groups(spark, sf_dir):
     return rounds.groups_through_hard(hard, rounds.written(rounds.stage_a(hard)))
 
 
-@query(f"""{_SEGMENTS}, sz AS (SELECT elevation_number AS t, region, count(*) AS n FROM sg GROUP BY ALL), top AS (SELECT t, arg_max(region, (n, -region)) AS region FROM sz GROUP BY t),
+@query(f"""{_SEGMENTS}, sz AS (SELECT elevation_number AS t, region, count(*) AS n FROM sg GROUP BY ALL), top AS (SELECT t, region FROM sz WHERE n >= {SEED_GATES}),
 sp AS MATERIALIZED (SELECT t * {_ID} + ac AS x, t * {_ID} + bc AS y, least(abs(va - vb) % (2 * vn), 2 * vn - abs(va - vb) % (2 * vn)) / vn AS s, CAST(round((va - vb) / (2 * vn)) AS INT) AS k FROM lb),
 sq AS MATERIALIZED (SELECT x, y, k, CAST(floor(s * 1000000 + 0.5) AS BIGINT) + 1000 AS step FROM sp WHERE s <= 0.6::DOUBLE),
 gw(id, o) USING KEY (id) AS (SELECT sg.id, {{'cost': 0::BIGINT, 'via': -1::BIGINT, 'folds': 0}} FROM sg JOIN top ON top.t = sg.elevation_number AND top.region = sg.region
@@ -106,11 +108,11 @@ gw(id, o) USING KEY (id) AS (SELECT sg.id, {{'cost': 0::BIGINT, 'via': -1::BIGIN
   WHERE c.id IS NULL OR n.o.cost < c.o.cost OR (n.o.cost = c.o.cost AND c.o.via >= 0 AND (n.o.via < c.o.via OR (n.o.via = c.o.via AND n.o.folds <> c.o.folds))))
 SELECT elevation_number, ray_idx, gate_idx, o.cost AS cost, CAST(o.folds AS INT) AS folds, v + coalesce(o.folds, 0) * 2 * nyquist_ms AS corrected FROM hd LEFT JOIN gw ON gw.id = elevation_number * {_ID} + cell""")
 def q_seeded_growth(spark, sf_dir):
-    """Growth of all gates from each tilt's largest segment."""
+    """Growth of all gates from segments of SEED_GATES gates or more."""
     hard = rounds.written(_hard(spark, sf_dir))
     own = rounds.written(rounds.segments(hard))
-    top = own.groupBy(*BY, "region").agg(F.count("*").alias("n")).groupBy(*BY).agg(F.max_by("region", F.struct("n", -F.col("region"))).alias("top"))
-    seeds = own.join(top, BY).where("region = top").select(*KEY, F.lit(True).alias("seed"))
+    top = own.groupBy(*BY, "region").agg(F.count("*").alias("n")).where(F.col("n") >= SEED_GATES)
+    seeds = own.join(top, [*BY, "region"]).select(*KEY, F.lit(True).alias("seed"))
     rows = hard.join(seeds, KEY, "left").withColumns({"seed": F.coalesce("seed", F.lit(False)), "folds": F.lit(0)})
     return rounds.grow(rows).select(*KEY, "cost", "folds", "corrected")
 
@@ -230,7 +232,7 @@ hl(id, l) USING KEY (id) AS (SELECT id, id FROM hn UNION SELECT hp.y, min(hl.l)
 fl AS MATERIALIZED (SELECT elevation_number AS t, cell, range_m * cos(radians(elevation_deg)) * sin(radians(azimuth_deg)) AS x, range_m * cos(radians(elevation_deg)) * cos(radians(azimuth_deg)) AS y, sin(radians(azimuth_deg)) AS bx, cos(radians(azimuth_deg)) AS by_, cos(radians(elevation_deg)) AS ce, v, nyquist_ms AS vn FROM hd),
 cl AS MATERIALIZED (SELECT fl.t, l % {_ID} AS cluster, count(*) AS n, avg(x) AS x, avg(y) AS y FROM fl JOIN hl ON hl.id = fl.t * {_ID} + cell GROUP BY ALL HAVING count(*) >= 4),
 jo AS (SELECT a.t, a.cluster, arg_min(b.cluster, (-b.n, b.cluster)) AS home FROM cl a JOIN cl b ON a.t = b.t AND (b.n > a.n OR (b.n = a.n AND b.cluster < a.cluster)) AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) < 2000 GROUP BY a.t, a.cluster),
-ce AS MATERIALIZED (SELECT cl.t, coalesce(home, cl.cluster) AS cluster, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y, sum(n) AS n FROM cl LEFT JOIN jo ON jo.t = cl.t AND jo.cluster = cl.cluster GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cl.t ORDER BY sum(n) DESC, 2) <= 4),
+ce AS MATERIALIZED (SELECT cl.t, coalesce(home, cl.cluster) AS cluster, sum(x * n) / sum(n) AS x, sum(y * n) / sum(n) AS y, sum(n) AS n FROM cl LEFT JOIN jo ON jo.t = cl.t AND jo.cluster = cl.cluster GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY cl.t ORDER BY sum(n) DESC, coalesce(home, cl.cluster)) <= 4),
 wn AS MATERIALIZED (SELECT fl.*, cluster, ce.x AS x0, ce.y AS y0, count(*) OVER (PARTITION BY ce.t, cluster) AS n FROM fl JOIN ce ON ce.t = fl.t WHERE sqrt((fl.x - ce.x) * (fl.x - ce.x) + (fl.y - ce.y) * (fl.y - ce.y)) <= 3000),
 tr AS (SELECT t, cluster, x0 + dx AS xc, y0 + dy AS yc, radius, vr, vt FROM (SELECT DISTINCT t, cluster, x0, y0 FROM wn WHERE n >= {WINDOW_GATES}), (SELECT {_list(STEPS_OF_FIT['offset'])} AS dx), (SELECT {_list(STEPS_OF_FIT['offset'])} AS dy), (SELECT {_list(STEPS_OF_FIT['radius'])} AS radius), (SELECT {_list(STEPS_OF_FIT['vr'])} AS vr), (SELECT {_list(STEPS_OF_FIT['vt'])} AS vt)),
 bb AS (SELECT w.*, tr.xc, tr.yc, radius, vr, vt, x - xc AS dx, y - yc AS dy, sqrt((x - xc) * (x - xc) + (y - yc) * (y - yc)) AS far FROM wn w JOIN tr ON tr.t = w.t AND tr.cluster = w.cluster),
