@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+import colorsys
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# The events that a feed is asked for, the events that have a colour of their own (own colours), and opacity by severity.
+# The events that a feed is asked for, the events that have a colour of their own, and opacity by severity.
 FEED_EVENTS = ["Tornado Warning", "Severe Thunderstorm Warning", "Flash Flood Warning", "Special Weather Statement", "Special Marine Warning", "Coastal Flood Warning", "Winter Storm Warning"]
-EVENT_COLOURS = {
-    "Tornado Warning": "#d7191c", "Tornado Watch": "#e8c21a", "Severe Thunderstorm Warning": "#e8711a", "Severe Thunderstorm Watch": "#e5b84a", "Flash Flood Warning": "#1a9641", "Flash Flood Watch": "#5aa868",
-    "Flood Warning": "#2fb457", "Flood Watch": "#7cc58d", "Coastal Flood Warning": "#2b83ba", "Coastal Flood Advisory": "#6fa9cc", "High Wind Warning": "#b8860b", "Wind Advisory": "#c8a951",
-    "Winter Storm Warning": "#7b3294", "Winter Storm Watch": "#a06bb3", "Blizzard Warning": "#e05299", "Ice Storm Warning": "#8f7fd0", "Special Weather Statement": "#fdae61", "Special Marine Warning": "#1fa2a6",
-}
+COLOURED_EVENTS = [
+    "Blizzard Warning", "Coastal Flood Advisory", "Coastal Flood Warning", "Flash Flood Warning", "Flash Flood Watch", "Flood Warning", "Flood Watch", "High Wind Warning", "Ice Storm Warning",
+    "Severe Thunderstorm Warning", "Severe Thunderstorm Watch", "Special Marine Warning", "Special Weather Statement", "Tornado Warning", "Tornado Watch", "Wind Advisory", "Winter Storm Warning", "Winter Storm Watch",
+]
+#: An event's kind is its last word and gives the lightness; what is before it is the hazard, and hazards share the circle of hues.
+LIGHTNESS = {"Warning": 0.40, "Watch": 0.55, "Advisory": 0.65, "Statement": 0.72}
+
+
+def event_colours(events: list[str]) -> dict[str, str]:
+    """Colours by rule: equal steps of hue for the hazards in alphabetical order, lightness by kind."""
+    hazards = sorted({e.rpartition(" ")[0] for e in events})
+
+    def colour(event: str) -> str:
+        hazard, _, kind = event.rpartition(" ")
+        rgb = colorsys.hls_to_rgb(hazards.index(hazard) / len(hazards), LIGHTNESS.get(kind, 0.5), 0.75)
+        return "#" + "".join(f"{round(255 * c):02x}" for c in rgb)
+
+    return {e: colour(e) for e in events}
+
+
+EVENT_COLOURS = event_colours(COLOURED_EVENTS)
 OTHER_COLOUR = "#999999"
 OPACITY = {"Extreme": 0.38, "Severe": 0.30, "Moderate": 0.22}
 OTHER_OPACITY = 0.15
 COLUMNS = ["nws_id", "event", "effective", "expires", "geojson"]
 
 
-def parse_features(feed: DataFrame, column: str = "feature") -> DataFrame:
-    """GeoJSON features as text: id, event, headline, area, times and the whole feature; missing texts are empty."""
+def parse_features(feed: DataFrame, column: str = "feature", keep: tuple[str, ...] = ()) -> DataFrame:
+    """GeoJSON features as text: id, event, headline, area, times and the whole feature; missing texts are empty. keep: other columns that stay."""
     prop = lambda n: F.get_json_object(column, f"$.properties.{n}")
     text = lambda n: F.coalesce(prop(n), F.lit(""))
     time = lambda n: F.try_to_timestamp(F.nullif(prop(n), F.lit("")))
-    return feed.select(prop("id").alias("nws_id"), text("event").alias("event"), text("headline").alias("headline"), text("areaDesc").alias("area_desc"), time("effective").alias("effective"), time("expires").alias("expires"), F.get_json_object(column, "$.geometry").alias("geometry"), prop("severity").alias("severity"), F.col(column).alias("geojson"))
+    return feed.select(*keep, prop("id").alias("nws_id"), text("event").alias("event"), text("headline").alias("headline"), text("areaDesc").alias("area_desc"), time("effective").alias("effective"), time("expires").alias("expires"), F.get_json_object(column, "$.geometry").alias("geometry"), prop("severity").alias("severity"), F.col(column).alias("geojson"))
 
 
 def usable(feed: DataFrame) -> DataFrame:
@@ -107,7 +124,8 @@ def alert_table(feed: DataFrame, store: str, checkpoint: str, order: str = "feed
 
     Each batch is a poll: rows that have expired leave the table, then ids that it lacks come
     in. A batch that fails leaves the last table as it was, and a batch that Spark repeats
-    reads the same table before it and writes the same folder again. every: a trigger such as
+    reads the same table before it and writes the same folder again; tables before the last
+    two go. every: a trigger such as
     "60 seconds"; without it the stream ends when nothing is left to read.
     """
 
@@ -115,6 +133,7 @@ def alert_table(feed: DataFrame, store: str, checkpoint: str, order: str = "feed
         before = stored_alerts(rows.sparkSession, store, number - 1)
         kept = before if before is not None else usable(rows).select(*COLUMNS).limit(0)
         synced(kept, rows, now(), order).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        forget_batch(rows.sparkSession, store, number - 2)
 
     out = feed.writeStream.foreachBatch(poll).option("checkpointLocation", checkpoint)
     return (out.trigger(processingTime=every) if every else out.trigger(availableNow=True)).start()
@@ -125,6 +144,12 @@ def stored_alerts(spark: SparkSession, store: str, batch: int) -> DataFrame | No
     return spark.read.parquet(f"{store}/batch={batch}") if batch >= 0 else None
 
 
+def forget_batch(spark: SparkSession, store: str, batch: int) -> None:
+    """Delete the table of a batch that none will read again."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/batch={batch}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def windowed_counts(feed: DataFrame, window: str = "1 day", delay: str = "2 hours") -> DataFrame:
     """Alerts by event in windows of their start; works on a batch and on a stream."""
     rows = usable(feed)
