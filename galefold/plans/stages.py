@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import refraction
+from ..functions import scalar as S
 from ..operators import grid, rounds, stages
 from .queries import BY, FAR, KEY, LABELS, G, gates, labelled, query, rounded
 
@@ -246,3 +247,61 @@ def q_vortex_fit(spark, sf_dir):
     centres = rounds.written(stages.hard_clusters(hard))
     fits = stages.vortex_fits(hard, centres, coarse=STEPS_OF_FIT, fine={}, least=WINDOW_GATES)
     return fits.select(*BY, "cluster", rounded("xc", "xc", 4), rounded("yc", "yc", 4), "radius", "vt", "vr", F.round("score", 6).alias("score"), F.round("score0", 6).alias("score0"), "n")
+
+
+# -- descent and couplets ----------------------------------------------------------------------
+
+_ADJACENT = G + """, rays AS (SELECT elevation_number, max(ray_idx) + 1 AS n_rays FROM g GROUP BY 1),
+ga AS MATERIALIZED (SELECT g.*, elevation_number AS t, ray_idx * 1048576 + gate_idx AS cell, (ray_idx + gate_idx) % 2 + CASE WHEN n_rays % 2 = 1 AND ray_idx = n_rays - 1 THEN 2 ELSE 0 END AS colour, n_rays FROM g JOIN rays USING (elevation_number)),
+ad AS MATERIALIZED (SELECT a.t, a.cell AS ac, b.cell AS bc, a.v - b.v AS d, a.nyquist_ms AS vn, 0 AS way FROM ga a JOIN ga b ON a.t = b.t AND a.ray_idx = b.ray_idx AND b.gate_idx = a.gate_idx + 1
+  UNION ALL SELECT a.t, a.cell, b.cell, a.v - b.v, a.nyquist_ms, 1 FROM ga a JOIN ga b ON a.t = b.t AND b.ray_idx = (a.ray_idx + 1) % a.n_rays AND a.gate_idx = b.gate_idx AND a.cell <> b.cell WHERE least(abs(a.azimuth_deg - b.azimuth_deg) % 360, 360 - abs(a.azimuth_deg - b.azimuth_deg) % 360) <= 4),
+bo AS MATERIALIZED (SELECT * FROM ad UNION ALL SELECT t, bc, ac, -d, vn, way FROM ad)"""
+PASSES = 2
+
+
+def _descent_sql() -> str:
+    cost = lambda k: f"sum(CASE WHEN abs(d + (s.k + {k} - o.k) * 2 * vn) <= 0.4::DOUBLE * vn THEN (d + (s.k + {k} - o.k) * 2 * vn) * (d + (s.k + {k} - o.k) * 2 * vn) / (2 * (0.4::DOUBLE * vn)) ELSE abs(d + (s.k + {k} - o.k) * 2 * vn) - 0.4::DOUBLE * vn / 2 END)"
+    out, n = [f"{_ADJACENT}, s0 AS MATERIALIZED (SELECT t, cell, colour, 0 AS k FROM ga)"], 0
+    for number in range(PASSES):
+        for colour in (0, 1, 2, 3) if number % 2 == 0 else (3, 2, 1, 0):
+            tries = ", ".join(f"{{'cost': round({cost(k)}, 6), 'far': {abs(k)}, 'k': {k}}}" for k in (-1, 0, 1))
+            out += [
+                f"m{n} AS (SELECT s.t, s.cell, any_value(s.k) AS k0, list_min([{tries}]).k AS k FROM s{n} s JOIN bo ON bo.t = s.t AND bo.ac = s.cell JOIN s{n} o ON o.t = s.t AND o.cell = bo.bc WHERE s.colour = {colour} GROUP BY s.t, s.cell)",
+                f"s{n + 1} AS MATERIALIZED (SELECT s.t, s.cell, s.colour, s.k + coalesce(m.k, 0) AS k FROM s{n} s LEFT JOIN (SELECT * FROM m{n} WHERE k <> 0 AND abs(k0 + k) <= 6) m ON m.t = s.t AND m.cell = s.cell)",
+            ]
+            n += 1
+    return ",\n".join(out) + f"\nSELECT elevation_number, ray_idx, gate_idx, CAST(k AS INT) AS folds, v + k * 2 * nyquist_ms AS corrected FROM ga JOIN s{n} s ON s.t = ga.t AND s.cell = ga.cell"
+
+
+@query(_descent_sql())
+def q_gate_descent(spark, sf_dir):
+    """Single gates moved by whole folds, colour by colour, so that the cost of links never rises."""
+    return stages.descend(gates(spark, sf_dir), passes=PASSES).select(*KEY, "folds", "corrected")
+
+
+LEAST_MS = 4.0
+
+
+@query(f"""{_ADJACENT.replace("WITH g", "WITH RECURSIVE g", 1)}, pr AS (SELECT t, ac, bc, abs(d) AS d FROM ad WHERE way = 1 AND abs(d) >= {LEAST_MS}::DOUBLE), ho AS MATERIALIZED (SELECT t, cell, max(d) AS d, count(*) AS n FROM (SELECT t, ac AS cell, d FROM pr UNION ALL SELECT t, bc, d FROM pr) GROUP BY t, cell),
+ie AS MATERIALIZED (SELECT bo.t * {_ID} + ac AS x, bo.t * {_ID} + bc AS y FROM bo JOIN ho a ON a.t = bo.t AND a.cell = ac JOIN ho b ON b.t = bo.t AND b.cell = bc),
+cp(id, l) USING KEY (id) AS (SELECT t * {_ID} + cell, t * {_ID} + cell FROM ho UNION SELECT ie.y, min(cp.l) FROM cp JOIN ie ON ie.x = cp.id JOIN recurring.cp AS cur ON cur.id = ie.y WHERE cp.l < cur.l GROUP BY ie.y),
+dt AS MATERIALIZED (SELECT volume_id, ga.t, l % {_ID} AS couplet, CAST(sum(ho.n) / 2 AS BIGINT) AS n_pairs, max(ho.d) AS delta_ms, avg(range_m * cos(radians(elevation_deg)) * sin(radians(azimuth_deg))) AS x, avg(range_m * cos(radians(elevation_deg)) * cos(radians(azimuth_deg))) AS y,
+  avg(sqrt(range_m * range_m + {S.BEAM_RADIUS_M}::DOUBLE * {S.BEAM_RADIUS_M}::DOUBLE + 2 * range_m * {S.BEAM_RADIUS_M}::DOUBLE * sin(radians(elevation_deg))) - {S.BEAM_RADIUS_M}::DOUBLE) AS h FROM ho JOIN ga ON ga.t = ho.t AND ga.cell = ho.cell JOIN cp ON cp.id = ho.t * {_ID} + ho.cell GROUP BY ALL),
+lv AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY volume_id ORDER BY t) AS level FROM dt),
+ch AS MATERIALIZED (SELECT a.t * {_ID} + a.couplet AS x, b.t * {_ID} + b.couplet AS y FROM lv a JOIN lv b ON a.volume_id = b.volume_id AND b.level = a.level + 1 WHERE sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 2500 AND abs(a.h - b.h) <= 3000),
+cb AS MATERIALIZED (SELECT * FROM ch UNION ALL SELECT y, x FROM ch),
+cn(id, l) USING KEY (id) AS (SELECT t * {_ID} + couplet, t * {_ID} + couplet FROM lv UNION SELECT cb.y, min(cn.l) FROM cn JOIN cb ON cb.x = cn.id JOIN recurring.cn AS cur ON cur.id = cb.y WHERE cn.l < cur.l GROUP BY cb.y),
+nm AS (SELECT lv.*, l FROM lv JOIN cn ON cn.id = t * {_ID} + couplet), su AS (SELECT l, count(DISTINCT level) AS n_tilts, max(h) - min(h) AS depth, max(delta_ms) AS chain_ms FROM nm GROUP BY l)
+SELECT t AS elevation_number, couplet, n_pairs, delta_ms, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(h, 4) + 0.0 AS height_m, l % {_ID} AS chain_couplet, n_tilts, round(depth, 4) + 0.0 AS depth_m, chain_ms, n_tilts >= 2 AND chain_ms >= 12 AS vortex FROM nm JOIN su USING (l)""")
+def q_couplet_chains(spark, sf_dir):
+    """Shear between rays, chained through the tilts of a volume."""
+    found = stages.couplets(gates(spark, sf_dir), least_ms=LEAST_MS)
+    rows = stages.chains(found, ["volume_id"], vortex_ms=12.0)
+    return rows.select(*BY, "couplet", "n_pairs", "delta_ms", *(rounded(c, c, 4) for c in ("x", "y", "height_m")), F.col("chain.couplet").alias("chain_couplet"), "n_tilts", rounded("depth_m", "depth_m", 4), "chain_ms", "vortex")
+
+
+@query(None)
+def q_dealias_stages(spark, sf_dir):
+    """Whole volumes through region solve, votes, vortices and rescue; a test holds it against planted folds."""
+    out = stages.dealias_in_stages(gates(spark, sf_dir), ["volume_id"], hard={"share": HARD}, fits={"coarse": STEPS_OF_FIT, "fine": {}, "least": WINDOW_GATES}, rescued={"most_share": RESCUE_SHARE})
+    return out.select(*KEY, "hard", "folds", "corrected")

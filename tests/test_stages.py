@@ -275,3 +275,142 @@ def test_empty_tilts(spark):
     assert stages.rescue(none, ["volume_id"]).count() == 0
     assert stages.vortex_fits(none, stages.hard_clusters(none)).count() == 0
     assert none.where(F.lit(True)).count() == 0
+
+
+def test_descent_never_raises_the_energy_and_undoes_planted_folds(spark):
+    rng = random.Random(12)
+    rays = 37  # an odd ring
+    cells = {(r, g): 3.0 * math.sin(2 * math.pi * r / rays) + rng.random() for r in range(rays) for g in range(15)}
+    planted = {k: rng.choice([-1, 1]) for k in rng.sample(sorted(cells), 40)}
+    frame = spark.createDataFrame(tilt(1, {k: v + 20 * planted.get(k, 0) for k, v in cells.items()}, rays=rays), GATES).repartition(3)
+    last = math.inf
+    for passes in range(4):
+        out = rounds.written(stages.descend(frame, passes=passes, most_gap=12.0))
+        (energy,) = (r.energy for r in stages.fold_energy(out, most_gap=12.0).collect())
+        assert energy <= last + 1e-6
+        last = energy
+    got = {(r.ray_idx, r.gate_idx): r.folds for r in out.collect()}
+    shift = Counter(f + planted.get(k, 0) for k, f in got.items())
+    assert shift.most_common(1)[0][1] >= len(cells) - 2
+
+
+def test_planted_couplets_chain_into_flags(spark):
+    rows = []
+    for number, (low, dbz, rho) in enumerate([(21.0, 45.0, 0.6), (20.0, 45.0, 0.95), (18.5, 45.0, 0.95)], 1):
+        cells = {(r, g): 0.0 for r in range(0, 40) for g in range(30)}
+        for g in (10, 11):
+            cells[10, g], cells[11, g] = -low, low
+        if number == 1:
+            cells[30, 20], cells[31, 20] = -15.0, 15.0  # one tilt only
+        rows += [(*r, rho if 9 < r[2] < 12 else 0.98, dbz) for r in tilt(number, cells, nyquist=30.0, rays=360, elevation=0.5 * number)]
+    found = rounds.written(stages.couplets(spark.createDataFrame(rows, GATES + ", rho double, dbz double").repartition(3), least_ms=25.0))
+    got = sorted((r.elevation_number, r.n_tilts, r.chain_ms, r.n_pairs, r.vortex, r.debris) for r in stages.chains(found, ["volume_id"]).collect())
+    assert got == [(1, 1, 30.0, 1, False, False), (1, 3, 42.0, 2, True, True), (2, 3, 42.0, 2, True, True), (3, 3, 42.0, 2, True, True)]
+    assert stages.chains(found.where("false"), ["volume_id"]).count() == 0
+
+
+def plain_merge(size, edges):
+    """The greedy merge without heap or live links: every step looks at all edges again and writes the graph anew."""
+    edges = [list(e) for e in sorted(edges, key=lambda e: (e[1], e[0]))]  # a, b, sum of (a - b), weight; the place in this list breaks ties
+    size, group, fold = dict(size), {n: [n] for n in size}, dict.fromkeys(size, 0)
+    while any(e is not None for e in edges):
+        at = min((k for k, e in enumerate(edges) if e is not None), key=lambda k: (-edges[k][3], k))
+        a, b, s, w = edges[at]
+        mean = s / w
+        k = int(math.copysign(math.floor(abs(mean) + 0.5), mean)) if mean else 0
+        keep, gone, k = (a, b, k) if size[a] >= size[b] else (b, a, -k)
+        for r in group[gone]:
+            fold[r] += k
+        edges[at] = None
+        for i, e in enumerate(edges):
+            if e is None or gone not in e[:2]:
+                continue
+            x, total = (e[1], e[2]) if e[0] == gone else (e[0], -e[2])
+            total += e[3] * k
+            twin = next((j for j, o in enumerate(edges) if o is not None and j != i and {keep, x} == set(o[:2])), None)
+            if twin is None:
+                edges[i] = [keep, x, total, e[3]]
+            else:
+                o = edges[twin]
+                own = o[2] if o[0] == keep else -o[2]
+                edges[twin], edges[i] = [keep, x, own + total, o[3] + e[3]], None
+        # From here on an edge of the node that stays is seen from it.
+        for i, e in enumerate(edges):
+            if e is not None and e[1] == keep:
+                edges[i] = [e[1], e[0], -e[2], e[3]]
+        group[keep] += group.pop(gone)
+        size[keep] += size.pop(gone)
+    total = sum(size.values())
+    mean = sum(fold[r] * n for r, n in {**{r: 0 for r in fold}, **START}.items()) / total
+    shift = int(math.copysign(math.floor(abs(mean) + 0.5), mean)) if mean else 0
+    return {r: f - shift for r, f in fold.items()}
+
+
+START: dict[int, int] = {}
+
+
+def test_the_dealiaser_equals_a_plain_one_on_every_given_tilt(spark):
+    """Labels by flooding, edges gate by gate, the merge anew at each step: folds of all gates of sf0.001."""
+    from galefold.plans.queries import gates
+
+    g = gates(spark, "/root/testdata/sf0.001")
+    want_rows = dealias.dealias(g).select("elevation_number", "ray_idx", "gate_idx", "v", "region", "folds").collect()
+    nyquist = {r.elevation_number: r.nyquist_ms for r in g.select("elevation_number", "nyquist_ms").distinct().collect()}
+    tilts = defaultdict(dict)
+    for r in want_rows:
+        tilts[r.elevation_number][r.ray_idx, r.gate_idx] = r
+    assert len(tilts) == 5
+    for number, cells in tilts.items():
+        vn = nyquist[number]
+        limits = dealias.band_limits(min(r.v for r in cells.values()), max(r.v for r in cells.values()), vn)
+        band = {k: next((i for i in range(len(limits) - 1) if limits[i] <= r.v < limits[i + 1]), -1) for k, r in cells.items()}
+        label, n = {}, 0
+        for b in range(len(limits) - 1):
+            for k in sorted(k for k in cells if band[k] == b):
+                if k in label:
+                    continue
+                n += 1
+                label[k], stack = n, [k]
+                while stack:
+                    r, c = stack.pop()
+                    for to in ((r + 1, c), (r - 1, c), (r, c + 1), (r, c - 1)):
+                        if to in cells and to not in label and band[to] == b:
+                            label[to] = n
+                            stack.append(to)
+        assert {k: label.get(k, 0) for k in cells} == {k: r.region for k, r in cells.items()}
+        rays = 1 + max(k[0] for k in cells)
+        by_edge = defaultdict(lambda: [0.0, 0])
+        for (r, c), own in cells.items():
+            if (r, c) not in label:
+                continue
+            out = next((s for s in range(1, 102) if (r, c + s) in label), None)
+            on = next((s for s in range(1, 102) if (((r + s) % rays), c) in label and s % rays), None)
+            for to in ([(r, c + out)] if out else []) + ([((r + on) % rays, c)] if on else []):
+                a, b = label[r, c], label[to]
+                if a != b:
+                    e = by_edge[max(a, b), min(a, b)]
+                    e[0] += 2 * ((own.v - cells[to].v) if a > b else (cells[to].v - own.v)) / (2 * vn)
+                    e[1] += 2
+        START.clear()
+        START.update(Counter(label.values()))
+        folds = plain_merge(START, [(a, b, s, w) for (a, b), (s, w) in by_edge.items()])
+        assert {k: r.folds for k, r in cells.items()} == {k: folds[label[k]] if k in label else 0 for k in cells}, number
+
+
+def test_all_stages_unfold_a_volume(spark):
+    """Three tilts of a strong wind with folded specks; every gate comes out once and nearly all as they were, up to one shift a tilt."""
+    rng = random.Random(21)
+    rows, true = [], {}
+    for number in (1, 2, 3):
+        real = {(r, g): 24 * math.sin(2 * math.pi * r / 120) * (1 + g / 200) for r in range(120) for g in range(40)}
+        specks = set(rng.sample(sorted(real), 60))
+        true |= {(number, *k): v for k, v in real.items()}
+        cells = {k: (v + 10) % 20 - 10 + (20 if k in specks else 0) for k, v in real.items()}
+        rows += tilt(number, cells, rays=120, elevation=0.4 + 0.1 * number)
+    frame = spark.createDataFrame(rows, GATES).repartition(3)
+    small = {"coarse": {"offset": [0.0], "radius": [500.0], "vr": [0.0], "vt": [-20.0, 20.0]}, "fine": {}}
+    got = stages.dealias_in_stages(frame, ["volume_id"], fits=small, rescued={"most_share": 0.2}).collect()
+    assert len(got) == len(rows) and len({(r.elevation_number, r.ray_idx, r.gate_idx) for r in got}) == len(rows)
+    off = Counter((r.elevation_number, round((r.corrected - true[r.elevation_number, r.ray_idx, r.gate_idx]) / 20)) for r in got)
+    assert all(abs((r.corrected - r.v) / 20 - r.folds) < 1e-9 for r in got)
+    assert sum(n for _, n in off.most_common(3)) >= 0.99 * len(rows)
