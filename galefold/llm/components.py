@@ -12,7 +12,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the least node that it reaches.
 
     Null ends and loops are left out. Each round joins the edges with the least neighbour
-    of each node, which is unique, so that a hub's rows may be split; the number of rounds
+    of each node, which is written first: both sides of the join are then plain shuffles, whose
+    large partitions Spark may split, so that a hub's rows don't all go to one task. The number of rounds
     grows with the logarithm of the longest path. Only a count and a checksum of each
     round reach the driver.
     """
@@ -20,12 +21,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         before = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        drop(least)
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         last, e = e, saved(small, "edges")
-        drop(last)
+        drop(last, large, least)
         if e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -18,7 +18,8 @@ A node reports a tree of links for each set of fingerprints that it connects, ne
 pairs; components come from joins over these. No step holds more than a node, and none
 caps its size.
 
-`keep_one` finds near copies at a given Jaccard similarity of word shingles. Each text has
+`keep_one` takes another way than this index, since fingerprints at small radii lose too many
+pairs of similarity 0.8 (figures in the README). It finds near copies at a given Jaccard similarity of word shingles. Each text has
 BANDS keys of ROWS min-hashes of its shingles; texts with a key in common form a bucket.
 Within a bucket texts are compared by their whole shingle sets, from one text to all that
 no verified link has reached yet, so a link that fails costs no other pair its comparison.
@@ -242,8 +243,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, radius: int = 2, seed: int =
     classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     links = fingerprint_links(classes.select(F.lit(0).alias("tab"), "fp"), radius)
     roots = saved(connected_components(links.select("a", "b")), "roots")
-    named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = saved(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "named")
+    groups = saved(named.groupBy("root").agg(F.min("least").alias("component_id")), "groups")  # written, so that a giant component's rows may be split
     of_fp = named.join(groups, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 

@@ -293,3 +293,9 @@ def test_copies_of_each_kind_of_edit_share_a_key(kind):
         if 0.8 <= both / (len(a) + len(b) - both) < 0.86:
             found.append((simhash.bands(a) == simhash.bands(b)).any())
     assert np.mean(found) >= 0.99
+
+
+def test_a_hub_and_a_long_path_are_two_components(spark):
+    rows = [("hub", f"leaf{k:05d}") for k in range(3000)] + [(f"p{k:04d}", f"p{k + 1:04d}") for k in range(200)] + [("x", "x"), ("y", None)]
+    found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a string, b string").repartition(5)).collect()}
+    assert len(found) == 3001 + 201 and {found[k] for k in found if k.startswith("p")} == {"p0000"} and {found[k] for k in found if not k.startswith("p")} == {"hub"}
