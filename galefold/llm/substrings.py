@@ -3,17 +3,21 @@
 A window is WINDOW consecutive words. Each window has an anchor, the least hash among
 its runs of GRAM words, which depends on the window's words alone; consecutive windows
 with the same anchor form a span, which stands for them all. The index is a log of
-sorted immutable runs: of every different span (anchor hash, hash of the whole span) the
-first place where it starts. A new batch is merged with the runs by these two hashes:
+sorted immutable runs: of every different span (anchor hash, digest of the whole span) the
+first place where it starts. A new batch is merged with the runs by these two:
 
 1. A span that stands earlier as well has only repeated windows.
 2. Where one anchor has several different spans, some windows may still be equal. The
-   texts of these spans are fetched and their windows merged one by one, on 128 bits, with
-   a second log of runs that holds such windows. A historical text is fetched only when
+   texts of these spans are fetched and their windows merged one by one, by their digests,
+   with a second log of runs that holds such windows. A historical text is fetched only when
    one of its anchors meets a second span for the first time.
 3. The merge writes the new spans or windows as a run; once there are `max_runs`, it
    writes the old runs' rows with them and so compacts the log.
 
+The quick hashes of words only choose anchors. What makes two spans or windows equal is
+a 128-bit BLAKE2b digest of their words' bytes, joined by one blank, so words that are
+built to share a quick hash are still told apart.
+
 Tasks settle repeats among their own documents before anything is shuffled, so that a
 passage which stands in a third of all documents gives a row for each task and not for
 each document. Words covered by a repeated window go; windows are judged on the input.
@@ -27,6 +31,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -34,26 +39,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import as_bytes, batches, drop, forget, new_path, parted, saved, whole_texts
-from .words import Words, hashed, inverse, ladder, mixed, multipliers, run_hashes
+from .words import Words, hashed, mixed, multipliers, run_hashes
 
 WINDOW = 20
 GRAM = 5
 #: Spans that a task settles among themselves at once.
 BLOCK = 1_000_000
 _GRAM = multipliers(GRAM, 200)
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
-SPANS = "kind int, a long, c long, doc long, first int, last int"
+#: a: the anchor's hash, 0 for single windows; c, d: the digest.
+SPANS = "kind int, a long, c long, d long, doc long, first int, last int"
 #: Kinds of rows: a span that isn't known elsewhere yet, one whose windows are all repeated, the first of its kind.
 OPEN, REPEATED, FIRST = 0, 1, 2
 
 
-def stretch_hashes(h: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> np.ndarray:
-    """Hashes, by the k-th base, of the words from begin to end."""
-    up, down = ladder(_BASES[k], len(h) + 1), ladder(inverse(_BASES[k]), len(h) + 1)
-    total = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(mixed(h + np.uint64(k)) * up[: len(h)], out=total[1:])
-    return mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+def digests(texts: list[bytes], text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Two numbers for each stretch, the digest of a text's words from window first to window last; stretches come text by text."""
+    out = []
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
+    for k, whole in enumerate(texts):
+        if bounds[k] < bounds[k + 1]:
+            words = whole.split()
+            at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+            whole, own = b" ".join(words), slice(bounds[k], bounds[k + 1])
+            out += [blake2b(whole[x:y], digest_size=16).digest() for x, y in zip(at[first[own]].tolist(), (at[last[own] + WINDOW] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), "<u8").reshape(-1, 2)
 
 
 def least_of(g: np.ndarray, width: int) -> np.ndarray:
@@ -67,10 +77,10 @@ def least_of(g: np.ndarray, width: int) -> np.ndarray:
 
 
 def spans(words: Words) -> tuple[np.ndarray, ...]:
-    """(text, anchor hash, span hash, first window, last window) of all spans; windows count from their text's start."""
+    """(text, anchor hash, first window, last window) of all spans; windows count from their text's start."""
     h, none = words.hashes, np.zeros(0, np.int64)
     if len(h) < WINDOW:
-        return none, none.view(np.uint64), none.view(np.uint64), none, none
+        return none, none.view(np.uint64), none, none
     g = run_hashes(h, list(range(GRAM)), _GRAM, GRAM)
     anchor = least_of(g, WINDOW - GRAM + 1)
     text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
@@ -78,11 +88,11 @@ def spans(words: Words) -> tuple[np.ndarray, ...]:
     same = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & inside[1:] & inside[:-1], [False]])
     first, last = np.nonzero(inside & ~same[:-1])[0], np.nonzero(inside & ~same[1:])[0]
     start = words.first[text[first]]
-    return text[first], g[anchor[first]], stretch_hashes(h, first, last + WINDOW, 0), first - start, last - start
+    return text[first], g[anchor[first]], first - start, last - start
 
 
 def windows(words: Words, own: list[list[dict]]) -> tuple[np.ndarray, ...]:
-    """(text, hash, other hash, start) of each window in the spans that each text has."""
+    """(text, start) of each window in the spans that each text has."""
     edge = np.zeros(len(words.hashes) + 1, np.int64)
     for start, of_text in zip(words.first.tolist(), own, strict=False):
         for span in of_text:
@@ -90,40 +100,40 @@ def windows(words: Words, own: list[list[dict]]) -> tuple[np.ndarray, ...]:
             edge[start + span["last"] + 1] -= 1
     at = np.nonzero(np.cumsum(edge))[0]
     text = np.searchsorted(words.first, at, side="right") - 1
-    return text, stretch_hashes(words.hashes, at, at + WINDOW, 0), stretch_hashes(words.hashes, at, at + WINDOW, 1), at - words.first[text]
+    return text, at - words.first[text]
 
 
-def _batch(kind, a, c, doc, first, last) -> pa.RecordBatch:
+def _batch(kind, a, c, d, doc, first, last) -> pa.RecordBatch:
     n = len(doc)
     return pa.RecordBatch.from_arrays([
-        pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
-    ], names=["kind", "a", "c", "doc", "first", "last"])
+        pa.array(np.broadcast_to(np.asarray(kind, np.int32), n)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d.view(np.int64)), pa.array(doc.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)),
+    ], names=["kind", "a", "c", "d", "doc", "first", "last"])
 
 
 class _Block:
-    """Places with a two-part hash, settled among themselves: the first of each hash stays open, the rest are repeated."""
+    """Places with anchor and digest, settled among themselves: the first of equal ones stays open, the rest are repeated."""
 
     def __init__(self):
         self.parts, self.n = [], 0
 
-    def add(self, doc: np.ndarray, a: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
-        self.parts.append((a, c, doc, first, last))
+    def add(self, doc: np.ndarray, a: np.ndarray, digest: np.ndarray, first: np.ndarray, last: np.ndarray) -> bool:
+        self.parts.append((a, digest[:, 0], digest[:, 1], doc, first, last))
         self.n += len(a)
         return self.n >= BLOCK
 
     def settled(self) -> Iterator[pa.RecordBatch]:
         if self.n:
-            a, c, doc, first, last = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            a, c, d, doc, first, last = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             if (doc[1:] < doc[:-1]).any():
                 order = np.lexsort((first, doc))
-                a, c, doc, first, last = (x[order] for x in (a, c, doc, first, last))
-            # In the order of one hash of both; where two pairs share it, repeats may stay open for the merge.
+                a, c, d, doc, first, last = (x[order] for x in (a, c, d, doc, first, last))
+            # In the order of one number of both; where others share it, repeats may stay open for the merge.
             order = np.argsort(a ^ mixed(c), kind="stable")
-            a, c, doc, first, last = (x[order] for x in (a, c, doc, first, last))
-            again = np.concatenate([[False], (a[1:] == a[:-1]) & (c[1:] == c[:-1])])
+            a, c, d, doc, first, last = (x[order] for x in (a, c, d, doc, first, last))
+            again = np.concatenate([[False], (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])])
             for at in range(0, len(a), 100_000):
                 s = slice(at, at + 100_000)
-                yield _batch(np.where(again[s], REPEATED, OPEN), a[s], c[s], doc[s], first[s], last[s])
+                yield _batch(np.where(again[s], REPEATED, OPEN), a[s], c[s], d[s], doc[s], first[s], last[s])
         self.parts, self.n = [], 0
 
 
@@ -134,8 +144,9 @@ def _numbers(column: pa.Array) -> np.ndarray:
 def _find_spans(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block()
     for batch in batches(rows):
-        text, *found = spans(hashed(as_bytes(batch["text"])))
-        if block.add(_numbers(batch["doc"])[text], *found):
+        texts = as_bytes(batch["text"])
+        text, a, first, last = spans(hashed(texts))
+        if block.add(_numbers(batch["doc"])[text], a, digests(texts, text, first, last), first, last):
             yield from block.settled()
     yield from block.settled()
 
@@ -143,25 +154,26 @@ def _find_spans(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _find_windows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     block = _Block()
     for batch in batches(rows):
-        text, a, c, at = windows(hashed(as_bytes(batch["text"])), batch["own"].to_pylist())
-        if block.add(_numbers(batch["doc"])[text], a, c, at, at):
+        texts = as_bytes(batch["text"])
+        text, at = windows(hashed(texts), batch["own"].to_pylist())
+        if block.add(_numbers(batch["doc"])[text], np.zeros(len(at), np.uint64), digests(texts, text, at, at), at, at):
             yield from block.settled()
     yield from block.settled()
 
 
 def _merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by hash and place: the first of each hash is marked so, the others are repeated."""
+    """Rows come sorted by digest and place: the first of equal ones is marked so, the others are repeated."""
     before = None
     for batch in rows:
         if batch.num_rows:
-            a, c, doc, first, last = (batch[x].to_numpy(zero_copy_only=False) for x in ("a", "c", "doc", "first", "last"))
-            again = np.concatenate([[before == (a[0], c[0])], (a[1:] == a[:-1]) & (c[1:] == c[:-1])])
-            before = a[-1], c[-1]
-            yield _batch(np.where(again, REPEATED, FIRST), a, c, doc, first, last)
+            a, c, d, doc, first, last = (batch[x].to_numpy(zero_copy_only=False) for x in ("a", "c", "d", "doc", "first", "last"))
+            again = np.concatenate([[before == (a[0], c[0], d[0])], (a[1:] == a[:-1]) & (c[1:] == c[:-1]) & (d[1:] == d[:-1])])
+            before = a[-1], c[-1], d[-1]
+            yield _batch(np.where(again, REPEATED, FIRST), a, c, d, doc, first, last)
 
 
 def merged(rows: DataFrame) -> DataFrame:
-    return rows.select("a", "c", "doc", "first", "last").repartition("a", "c").sortWithinPartitions("a", "c", "doc", "first").mapInArrow(_merge, SPANS)
+    return rows.select("a", "c", "d", "doc", "first", "last").repartition("a", "c").sortWithinPartitions("a", "c", "d", "doc", "first").mapInArrow(_merge, SPANS)
 
 
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

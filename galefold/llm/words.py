@@ -8,7 +8,6 @@ import numpy as np
 
 #: Bytes that are hashed at once. A run of this many and more without a separator is hashed by XXH64.
 CHUNK = 1 << 16
-_BASE = 0x9E3779B97F4A7C15
 
 #: Separators: the blanks, and (for ASCII and what `plain` leaves) all but letters, digits and _.
 BLANKS = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -30,6 +29,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 #: A number for each byte; in the second row capital letters have their small ones' numbers.
 _BYTES = np.stack([multipliers(256, 500)] * 2)
 _BYTES[1, 0x41:0x5B] = _BYTES[1, 0x61:0x7B]
+#: A multiplier for each place in a word, independent of each other: powers of one base modulo 2**64 let words be built that collide.
+_PLACES = multipliers(CHUNK, 501)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -57,11 +58,11 @@ class Words(NamedTuple):
 def hashed(texts: list[bytes], apart: np.ndarray = BLANKS, lower: bool = False) -> Words:
     """The words of texts, cut at the bytes that `apart` marks. lower: A-Z count as a-z.
 
-    A word's hash is the sum of its bytes' numbers, each times the power of its place; sums
-    from the chunk's start give it for all words of a chunk together.
+    A word's hash is the sum of its bytes' numbers, each times the multiplier of its place in
+    the word; sums from the chunk's start give it for all words of a chunk together.
     """
     data = np.frombuffer(b" ".join(texts), np.uint8)
-    number, up, down = _BYTES[int(lower)], ladder(_BASE, CHUNK + 1), ladder(inverse(_BASE), CHUNK + 1)
+    number = _BYTES[int(lower)]
     out, starts, at = [], [], 0
     while at < len(data):
         part = data[at : at + CHUNK]
@@ -83,9 +84,12 @@ def hashed(texts: list[bytes], apart: np.ndarray = BLANKS, lower: bool = False)
             part, gap = part[: ends[-1] + 1], gap[: ends[-1] + 1]
         edge = np.diff(np.concatenate([[True], gap, [True]]).view(np.int8))
         begin, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
+        nth = np.arange(len(part))
+        nth -= np.maximum.accumulate(np.where(gap, nth + 1, 0))
+        nth[gap] = 0
         total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(number[part] * up[: len(part)], out=total[1:])
-        out.append(mixed((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64)))
+        np.cumsum(number[part] * _PLACES[nth], out=total[1:])
+        out.append(mixed(total[end] - total[begin] + (end - begin).astype(np.uint64)))
         starts.append(begin + at)
         at += len(part)
     place = np.concatenate(starts) if starts else np.zeros(0, np.int64)

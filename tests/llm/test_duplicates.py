@@ -299,3 +299,35 @@ def test_a_hub_and_a_long_path_are_two_components(spark):
     rows = [("hub", f"leaf{k:05d}") for k in range(3000)] + [(f"p{k:04d}", f"p{k + 1:04d}") for k in range(200)] + [("x", "x"), ("y", None)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a string, b string").repartition(5)).collect()}
     assert len(found) == 3001 + 201 and {found[k] for k in found if k.startswith("p")} == {"p0000"} and {found[k] for k in found if not k.startswith("p")} == {"hub"}
+
+
+def thue_morse():
+    """Two words of 1,024 letters that polynomials modulo 2**64 give the same hash."""
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_built_to_collide_are_not_repeats(spark):
+    one, other = thue_morse()
+    rest = [f"w{k}" for k in range(19)]
+    docs = [(1, " ".join([*rest, one])), (2, " ".join([*rest, other])), (3, " ".join([*rest, one]))]
+    got = {r.doc_id: r.n_removed for r in substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), 2).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_digests_follow_the_words():
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(60)]
+    texts = [" ".join(words).encode(), " ".join(words[::-1]).encode(), " ".join(words).encode()]
+    text = np.array([0, 0, 1, 2, 2])
+    first, last = np.array([0, 5, 0, 0, 5]), np.array([3, 9, 3, 3, 9])
+    found = [tuple(x) for x in substrings.digests(texts, text, first, last).tolist()]
+    assert found[0] == found[3] and found[1] == found[4] and len(set(found)) == 3
+
+
+def test_keep_one_on_words_built_to_collide(spark):
+    one, other = thue_morse()
+    docs = [(1, " ".join([one] * 5)), (2, " ".join([other] * 5))]
+    assert simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).count() == 2
