@@ -8,9 +8,12 @@ seeds, SPREAD, were chosen to be untouched by one of these each. So every gap-fr
 of SPAN to 23 words with at least MIN_SIMILARITY equal words has a seed in common, which a
 test enumerates, and so has every longer one: cut into pieces of SPAN to 23 words, it has
 a piece with at least that share of equal words.
-Seeds of test items and of documents are joined on their hash; around each hit the
-aligned words are compared, and the best stretch is reported if it is long and similar
-enough. Items shorter than SPAN must occur word by word.
+The different seeds of test items and of documents are joined on their hash, which names
+pairs of a text and an item. Where a pair's common seeds stand says how the two may be
+aligned; there the words themselves are compared, and the best stretch is reported if it is
+long and similar enough. Items shorter than SPAN must occur word by word. Where seeds repeat
+so often that their places would outgrow the two texts, all alignments are looked at instead,
+in the order of their equal words and until none can be better; the result is the same.
 
 The documents' seeds pass a Bloom filter of the items' seeds first. Its size follows the
 benchmark's up to a bound; it only spares rows, and the join decides.
@@ -48,6 +51,10 @@ _MASK_MARKS = multipliers(len(MASKS), 101)
 _SPREAD_MULTIPLIERS = multipliers(max(map(max, SPREAD)) + 1, 102)
 _SPREAD_MARKS = multipliers(len(SPREAD), 103)
 _EXACT = multipliers(SPAN, 99)
+#: Pairs of a seed's places that are followed, for each word of the two texts; beyond, all alignments are looked at.
+PLACES = 16
+#: Items of which a text may meet all in one row.
+ITEMS = 256
 _WORD = re.compile(r"\w+")
 #: What isn't ASCII and no part of a word.
 _GAP = re.compile(r"[^\x00-\x7F\w]+")
@@ -107,22 +114,56 @@ def best_stretch(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, in
     return shift + first + at, length, equal
 
 
+def placed(h: np.ndarray, short: set[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The seeds in order, with their places."""
+    found, places = seeds(h, short)
+    order = np.argsort(found, kind="stable")
+    return found[order], places[order]
+
+
+def alignments(doc: np.ndarray, item: np.ndarray, doc_seeds: tuple[np.ndarray, np.ndarray], item_seeds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where item word 0 may stand in the document, by the seeds that the two have in common."""
+    (a, x), (b, y), common = doc_seeds, item_seeds, np.unique(item_seeds[0])
+    x0, x1, y0, y1 = (np.searchsorted(s, common, side) for s in (a, b) for side in ("left", "right"))
+    if int(((x1 - x0) * (y1 - y0)).sum()) > PLACES * (len(doc) + len(item)):
+        return np.arange(1 - len(item), len(doc))
+    met = np.nonzero(x1 > x0)[0]
+    apart = [(x[x0[k] : x1[k], None] - y[None, y0[k] : y1[k]]).ravel() for k in met.tolist()]
+    return np.unique(np.concatenate(apart)) if apart else np.zeros(0, np.int64)
+
+
+def best_overlap(doc: np.ndarray, item: np.ndarray, at: np.ndarray) -> tuple[int, int, int] | None:
+    """The best stretch over the alignments `at`: most equal words, then the earliest start, then the longest.
+
+    No stretch has more equal words than its alignment, and none starts before it, so alignments in that order end the search early.
+    """
+    equal = np.fromiter((np.count_nonzero(doc[max(0, k) : k + len(item)] == item[max(0, -k) : len(doc) - k]) for k in at.tolist()), np.int64, len(at))
+    start, best = np.maximum(at, 0), None
+    for k in np.lexsort((at, start, -equal)).tolist():
+        if best is not None and (-equal[k], start[k]) > (-best[2], best[0]):
+            break
+        found = best_stretch(doc, item, int(at[k]))
+        if found and (best is None or (-found[2], found[0], -found[1]) < (-best[2], best[0], -best[1])):
+            best = found
+    return best
+
+
 def item_seeds(benchmark: DataFrame) -> DataFrame:
+    """The different seeds of each item, with the item's number of words."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            out_i, out_h, out_p, out_n = [], [], [], []
+            out_i, out_h, out_n = [], [np.zeros(0, np.uint64)], []
             own = word_hashes(batch["text"].to_pylist())
             for k, key in enumerate(batch["item"].to_pylist()):
                 h = own.of(k)
-                s, p = seeds(h)
+                s = np.unique(seeds(h)[0])
                 out_i += [key] * len(s)
-                out_h.append(s.view(np.int64))
-                out_p.append(p)
+                out_h.append(s)
                 out_n += [len(h)] * len(s)
-            join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(out_h), pa.array(out_i, pa.string()), join(out_p), pa.array(out_n, pa.int64())], names=["seed", "item", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_h).view(np.int64), pa.int64()), pa.array(out_i, pa.string()), pa.array(out_n, pa.int64())], names=["seed", "item", "n"])
 
-    return benchmark.mapInArrow(run, "seed long, item string, at long, n long")
+    return benchmark.mapInArrow(run, "seed long, item string, n long")
 
 
 def keyed(rows: DataFrame, name: str) -> DataFrame:
@@ -133,45 +174,52 @@ def keyed(rows: DataFrame, name: str) -> DataFrame:
 def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
     """Of texts (key, text) and items (item, text), both keyed by MD5: key, item and the best overlap's first_word, n_words, n_equal."""
     spark = texts.sparkSession
-    items = items.distinct()
+    items = saved(items.distinct(), "items")
+    parts = -(-items.count() // ITEMS)
     keys = saved(item_seeds(items), "item-seeds")
     short = {r.n for r in keys.where(F.col("n") < SPAN).select("n").distinct().collect()}  # fewer than SPAN numbers
     sieve = spark.sparkContext.broadcast(bloom(keys, "seed", SEED_BITS))
 
     def probe(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with a seed that may be an item's, and those seeds."""
-        bits, kind = sieve.value, pa.list_(pa.struct([("seed", pa.int64()), ("place", pa.int64())]))
+        bits = sieve.value
         for batch in batches(rows):
             kept, own, found = [], [], word_hashes(batch["text"].to_pylist())
             for k in range(batch.num_rows):
-                s, p = seeds(found.of(k), short)
-                hit = np.nonzero(maybe(bits, s))[0]
-                if len(hit):
+                s, _ = seeds(found.of(k), short)
+                hit = maybe(bits, s)
+                if hit.any():
                     kept.append(k)
-                    own.append([{"seed": a, "place": b} for a, b in zip(s[hit].view(np.int64).tolist(), p[hit].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([batch["key"].take(pa.array(kept, pa.int64())), batch["text"].take(pa.array(kept, pa.int64())), pa.array(own, kind)], names=["key", "text", "hits"])
+                    own.append(np.unique(s[hit]).view(np.int64))
+            kept = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["key"].take(kept), batch["text"].take(kept), pa.array(own, pa.list_(pa.int64()))], names=["key", "text", "hits"])
 
     # Only these texts go on; the others are neither shuffled nor read again.
-    held = saved(texts.select("key", "text").mapInArrow(probe, "key string, text string, hits array<struct<seed:long,place:long>>"), "hits")
-    hits = held.select("key", F.explode("hits").alias("hit")).select("key", "hit.*")
-    pairs = hits.join(keys, "seed").groupBy("key", "item").agg(F.collect_set(F.col("place") - F.col("at")).alias("shifts"))
-    pairs = pairs.join(items.withColumnRenamed("text", "item_text"), "item")
-    pairs = saved(pairs.groupBy("key").agg(F.collect_list(F.struct("item", "shifts", "item_text")).alias("pairs")), "pairs")
+    held = saved(texts.select("key", "text").mapInArrow(probe, "key string, text string, hits array<long>"), "hits")
+    hits = held.select("key", F.explode("hits").alias("seed"))
+    pairs = hits.join(keys, "seed").select("key", "item").distinct().join(items.withColumnRenamed("text", "item_text"), "item")
+    # A row holds the items that one text meets in one of these parts.
+    pairs = pairs.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(max(1, parts))).alias("part"))
+    pairs = saved(pairs.agg(F.collect_list(F.struct("item", "item_text")).alias("pairs")), "pairs")
 
     def verify(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             out, docs = [], word_hashes(batch["text"].to_pylist())
-            for k, (key, own) in enumerate(zip(batch["key"].to_pylist(), batch["pairs"].to_pylist(), strict=True)):
+            for k, (key, text, own) in enumerate(zip(batch["key"].to_pylist(), batch["text"].to_pylist(), batch["pairs"].to_pylist(), strict=True)):
                 held = word_hashes([pair["item_text"] for pair in own])
+                numbers: dict[str, int] = {}
+                doc = np.array([numbers.setdefault(w, len(numbers)) for w in words(text)], np.int64)
+                doc_seeds = placed(docs.of(k), {n for n in np.diff(held.first).tolist() if 0 < n < SPAN})
                 for j, pair in enumerate(own):
-                    found = [f for f in (best_stretch(docs.of(k), held.of(j), shift) for shift in pair["shifts"]) if f]
+                    item = np.array([numbers.get(w, -1) for w in words(pair["item_text"])], np.int64)
+                    found = best_overlap(doc, item, alignments(doc, item, doc_seeds, placed(held.of(j))))
                     if found:
-                        out.append((key, pair["item"], *min(found, key=lambda f: (-f[2], f[0]))))
+                        out.append((key, pair["item"], *found))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "item", "first_word", "n_words", "n_equal"])
 
     found = saved(held.select("key", "text").join(pairs, "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
-    drop(keys, held, pairs)
+    drop(keys, held, pairs, items)
     return found
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 from itertools import combinations
 
@@ -96,6 +97,52 @@ def test_op5_three_words_in_a_row(spark):
     assert (found.doc_id, found.item_id, found.first_word, found.n_words, found.n_equal) == (1, 4, 1, 15, 12)
 
 
+def hashes_of(words):
+    return decontamination.word_hashes([" ".join(words)]).of(0)
+
+
+def test_best_overlap_by_seeds_is_the_best_of_all_alignments(monkeypatch):
+    """Texts of few words repeat their seeds; whether places are followed or all alignments looked at, the result is the same."""
+    rng, found = random.Random(8), 0
+    for k in range(300):
+        few = [f"w{x}" for x in range(rng.choice([1, 2, 3, 40]))]
+        doc, item = ([rng.choice(few) for _ in range(rng.randint(1, 50))] for _ in range(2))
+        if k % 2:
+            at = rng.randrange(len(doc))
+            item = [w if rng.random() < 0.9 else "other" for w in doc[at : at + 30]]
+        names = {w: n for n, w in enumerate(sorted({*doc, *item}))}
+        a, b = (np.array([names[w] for w in x]) for x in (doc, item))
+        every = (decontamination.best_stretch(a, b, s) for s in range(1 - len(b), len(a)))
+        want = min((f for f in every if f), key=lambda f: (-f[2], f[0], -f[1]), default=None)
+        short = {len(item)} if len(item) < decontamination.SPAN else set()
+        for places in (0, 10**6):
+            monkeypatch.setattr(decontamination, "PLACES", places)
+            at = decontamination.alignments(a, b, decontamination.placed(hashes_of(doc), short), decontamination.placed(hashes_of(item)))
+            assert decontamination.best_overlap(a, b, at) == want
+        found += want is not None
+    assert found > 100
+
+
+def test_op5_one_word_repeated(spark):
+    """Every place of the text meets every place of the item; neither is paired with all of the other."""
+    docs = spark.createDataFrame([(1, "again " * 20_000), (2, "once again"), (3, "to and fro " * 7_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(4, "again " * 5_000), (5, "to and fro " * 1_500)], "item_id long, text string")
+    began = time.time()
+    got = {tuple(r) for r in decontamination.overlaps(docs, items).collect()}
+    assert got == {(1, 4, 0, 5_000, 5_000, 1.0), (3, 5, 0, 4_500, 4_500, 1.0)}
+    assert time.time() - began < 60
+
+
+def test_op5_words_built_to_collide(spark):
+    bits = [0]
+    while len(bits) < 1024:
+        bits += [1 - b for b in bits]
+    one, other = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    docs = spark.createDataFrame([(1, f"{one} b c"), (2, f"{other} b c")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, f"{one} b c")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontamination.overlaps(docs, items).collect()] == [(1, 7)]
+
+
 # -- secrets -----------------------------------------------------------------------------------
 
 
