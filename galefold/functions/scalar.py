@@ -78,10 +78,6 @@ def width_confidence(width: Column | str, low: float = 2, high: float = 8, floor
     return F.coalesce(1 - t * (1 - floor), number(1))
 
 
-def compatible_nyquist(a: Column | str, b: Column | str, share: float = 0.03) -> Column:
-    return F.abs(col(a) - col(b)) <= share * F.greatest(F.abs(col(a)), F.abs(col(b)))
-
-
 # -- angles ------------------------------------------------------------------------------------
 
 

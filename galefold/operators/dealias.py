@@ -1,7 +1,7 @@
 """Region-based velocity dealiasing, tilt by tilt.
 
-Labels and edges are plain grid work; only the greedy merge, which depends on each step
-before it, runs as a grouped function, on one tilt's region graph at a time.
+`dealias` labels, finds edges and merges in one grouped Arrow function, one tilt at a time;
+`regions` gives the labels alone in the same way. `rounds.py` does such work by joins.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """The polar grid: neighbours, links, fold jumps, hard gates, rays. DataFrame operators over gates.
 
 A gate row has keys `by` (the volume and its tilt), ray_idx, gate_idx, azimuth_deg, range_m, nyquist_ms
-and a velocity column. Windows are partitioned by ray or by range ring, which holds some
-hundred gates, so every operator spreads over all rays of all volumes.
+and a velocity column. Windows are partitioned by ray or by range ring. Most operators
+first deal the gates out by tilt, once, and so have as many tasks as there are tilts.
 """
 
 from __future__ import annotations
