@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from .grid import BY, next_with_data, per_tilt
+from .rounds import written
 
 
 def height_bin(width: float = 500) -> Column:
@@ -32,12 +33,14 @@ def vad(gates: DataFrame, by: list[str], passes: int = 3, ridge: float = 1e-3, r
     Also the number of gates, the determinant's ratio (1: well spread) and the sectors of 30 degrees with six gates or more, as bits.
     """
     rows = gates.withColumns({"bin": height_bin(width), "x1": F.sin(F.radians("azimuth_deg")) * F.cos(F.radians("elevation_deg")), "x2": F.cos(F.radians("azimuth_deg")) * F.cos(F.radians("elevation_deg"))})
-    key, fit, used = [*by, "bin"], None, rows
+    key, fit = [*by, "bin"], None
+    used = rows = written(rows.select(*key, "azimuth_deg", "nyquist_ms", "x1", "x2", "v"))  # each pass reads them again
     for _ in range(passes):
         used = rows if fit is None else rows.join(fit.select(*key, "u", "w"), key).where(F.abs(F.col("v") - F.col("u") * F.col("x1") - F.col("w") * F.col("x2")) <= reject * F.col("nyquist_ms")).drop("u", "w")
         s = used.groupBy(*key).agg(F.count("*").alias("n"), F.sum(F.col("x1") * F.col("x1")).alias("a"), F.sum(F.col("x1") * F.col("x2")).alias("b"), F.sum(F.col("x2") * F.col("x2")).alias("c"), F.sum(F.col("x1") * F.col("v")).alias("p"), F.sum(F.col("x2") * F.col("v")).alias("q"))
         s = s.withColumns({"a": F.col("a") + ridge * F.col("n"), "c": F.col("c") + ridge * F.col("n")}).withColumn("det", F.col("a") * F.col("c") - F.col("b") * F.col("b"))
         fit = s.select(*key, "n", ((F.col("c") * F.col("p") - F.col("b") * F.col("q")) / F.col("det")).alias("u"), ((F.col("a") * F.col("q") - F.col("b") * F.col("p")) / F.col("det")).alias("w"), (4 * F.col("det") / ((F.col("a") + F.col("c")) * (F.col("a") + F.col("c")))).alias("spread"))
+        fit = written(fit)
     sectors = used.groupBy(*key, F.floor(F.col("azimuth_deg") / 30).cast("int").alias("s")).agg(F.count("*").alias("m")).where("m >= 6").groupBy(*key).agg(F.bit_or(F.expr("shiftleft(1, s)")).alias("sectors"))
     return fit.join(sectors, key, "left").na.fill(0, ["sectors"])
 

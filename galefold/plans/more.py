@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import align, dealias, evaluate, grid, raster, volume, wind
+from ..operators.rounds import written
 from ..sources import catalog
 from ..sources.tables import view
 from ..streaming import alerts
@@ -176,7 +177,7 @@ FROM l a JOIN {right} b ON b.elevation_number = a.elevation_number + 1 AND a.ray
 
 
 def _above(spark, sf_dir):
-    g = gates(spark, sf_dir)
+    g = written(gates(spark, sf_dir))  # read five times
     return g, volume.tilt_neighbours(volume.tilt_summary(g, BY), ["volume_id"])
 
 

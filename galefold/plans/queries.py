@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import align, dealias, grid, raster, volume, wind
+from ..operators.rounds import written
 from ..sources import catalog
 from ..sources.tables import CUTS_A_VOLUME, view, with_views
 from ..streaming import alerts
@@ -449,7 +450,7 @@ def q_align_moment(spark, sf_dir):
 
 @query(_NEAR.format(f"{G}, e AS (SELECT elevation_number, avg(elevation_deg) AS d FROM g GROUP BY 1), l AS (SELECT g.* EXCLUDE (range_m), range_m * cos(radians(elevation_deg)) / cos(radians(e.d)) AS range_m FROM g JOIN e ON e.elevation_number = g.elevation_number + 1)", "v", "l a JOIN g b ON b.elevation_number = a.elevation_number + 1 AND a.ray_idx = b.ray_idx") + " SELECT l.elevation_number, l.ray_idx, l.gate_idx, x AS above_v FROM l LEFT JOIN (SELECT * FROM w WHERE n = 1) q USING (elevation_number, ray_idx, gate_idx)")
 def q_vertical_lookup(spark, sf_dir):
-    g = gates(spark, sf_dir)
+    g = written(gates(spark, sf_dir))  # read five times
     tilts = volume.tilt_neighbours(volume.tilt_summary(g, BY), ["volume_id"])
     return align.vertical_lookup(g, tilts, ["volume_id"]).select(*KEY, F.col("nearest").alias("above_v"))
 
