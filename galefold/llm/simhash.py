@@ -25,8 +25,8 @@ Within a bucket texts are compared by their whole shingle sets, from one text to
 no verified link has reached yet, so a link that fails costs no other pair its comparison.
 A pair of similarity s shares no key with probability (1 - s**ROWS)**BANDS, whatever the
 kind of edit: 0.0007 at 0.8, under 0.0001 from 0.84. Buckets with the same members are
-compared once; one with more than NODE_LIMIT members is dealt into tiles that cover all
-its pairs.
+compared once; one with more than NODE_LIMIT members, or too many shingles for one task
+(TILE_SHINGLES, TILE_WORK), is dealt into tiles that cover all its pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ from .words import WordHashes, hashed, mixed, multipliers, run_hashes
 
 BITS = 64
 NODE_LIMIT = 4096
+#: Of a tile of near-copy candidates: shingles (about 42 bytes each while it is searched) and shingles times members (about 15 s).
+TILE_SHINGLES, TILE_WORK = 1 << 22, 1 << 31
 FANOUT = 16
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -332,27 +334,43 @@ def _search_buckets(similarity: float):
     return run
 
 
-def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, node_limit: int = NODE_LIMIT) -> DataFrame:
+def in_tiles(members: DataFrame, node_limit: int = NODE_LIMIT, tile_shingles: int = TILE_SHINGLES, tile_work: int = TILE_WORK) -> DataFrame:
+    """Members (key, band; n and weight: members and shingles of their bucket) as (key, band, low, high): a row for each tile to bear.
+
+    Two members of a large bucket meet in the tile of their two parts. A tile has at most about node_limit members,
+    tile_shingles shingles (memory) and tile_work shingles times members (time, where no member is like another).
+    """
+    n, weight = F.col("n"), F.col("weight").cast("double")
+    whole = (n <= node_limit) & (weight <= tile_shingles) & (n * weight <= tile_work)
+    tiles = F.ceil(F.greatest(F.lit(2.0), n / (node_limit / 2), weight / (tile_shingles / 2), 2 * F.sqrt(n * weight / tile_work))).cast("int")
+    part = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("key", F.lit(1)), tiles).cast("int"))
+    other = F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1))
+    dealt = members.select("key", "band", part.alias("part"), F.explode(other).alias("other"))
+    return dealt.select("key", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+
+
+def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY, node_limit: int = NODE_LIMIT, tile_shingles: int = TILE_SHINGLES, tile_work: int = TILE_WORK) -> DataFrame:
     """Of texts (key, text), copies with the same key: verified links (a, b) that connect the keys whose shingles have at least this Jaccard similarity."""
 
     def prints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            own = [bands(x).view(np.int64) for x in shingle_sets(batch["text"], size)]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.list_(pa.int64()))], names=["key", "bands"])
+            found = list(shingle_sets(batch["text"], size))
+            own = [bands(x).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64())], names=["key", "bands", "shingles"])
 
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             own = [x.tobytes() for x in shingle_sets(batch["text"], size)]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.binary())], names=["key", "set"])
 
-    codes = texts.mapInArrow(prints, "key string, bands array<long>").groupBy("key").agg(F.first("bands").alias("bands"))
+    codes = texts.mapInArrow(prints, "key string, bands array<long>, shingles long").groupBy("key").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
     codes = saved(codes, "bands")
     written = [codes]
-    codes = codes.select("key", F.explode("bands").alias("band"))
+    codes = codes.select("key", "shingles", F.explode("bands").alias("band"))
     own = F.xxhash64("key")
-    buckets = codes.groupBy("band").agg(F.count("*").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"), F.bit_xor(own).alias("all")).where("n > 1")
+    buckets = codes.groupBy("band").agg(F.count("*").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"), F.bit_xor(own).alias("all"), F.sum("shingles").alias("weight")).where("n > 1")
     # Near copies share many keys; buckets of the same members are one.
-    buckets = saved(buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band")).select("band", "n"), "buckets")
+    buckets = saved(buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band"), F.max("weight").alias("weight")).select("band", "n", "weight"), "buckets")
     # Texts that share no key are sifted out before anything is shuffled.
     members = saved(parted(codes, buckets, "band")[1].join(buckets, "band"), "members")
     ends = saved(members.select("key").distinct(), "ends")
@@ -360,13 +378,7 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
     known = parted(texts, ends, "key")[1].mapInArrow(sets, "key string, set binary")
     known = saved(known.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key"), "shingles")
     written.append(known)
-    # Two members of a large bucket meet in the tile of their two parts.
-    tiles = F.ceil(F.col("n") / (node_limit / 2)).cast("int")
-    part = F.pmod(F.xxhash64("key", F.lit(1)), tiles).cast("int")
-    other = F.when(F.col("n") <= node_limit, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), tiles - 1))
-    part = F.when(F.col("n") <= node_limit, 0).otherwise(part)
-    dealt = members.select("key", "band", part.alias("part"), F.explode(other).alias("other"))
-    dealt = dealt.select("key", "band", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = in_tiles(members, node_limit, tile_shingles, tile_work)
     dealt = dealt.join(known, "key").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     links = saved(dealt.mapInArrow(_search_buckets(similarity), "a string, b string").distinct(), "links")
     drop(*written)

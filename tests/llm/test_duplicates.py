@@ -184,8 +184,25 @@ def test_large_buckets_in_tiles(spark):
     rng = random.Random(5)
     texts = [" ".join(x) for x in family(rng, 150, 120)]
     frame = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "key string, text string")
-    at = lambda limit: groups_of(len(texts), [(int(r.a), int(r.b)) for r in simhash.similar_links(frame, node_limit=limit).collect()])
-    assert at(10) == at(4096)
+    at = lambda **limits: groups_of(len(texts), [(int(r.a), int(r.b)) for r in simhash.similar_links(frame, **limits).collect()])
+    assert at(node_limit=10) == at() == at(tile_shingles=2000, tile_work=50_000)
+
+
+def test_tiles_weigh_shingles(spark):
+    """Long texts make a bucket of few members heavy: every pair meets in one tile, and no tile is over its bounds by much."""
+    members = [(f"{b}-{k}", b, n, n * each) for b, n, each in ((1, 300, 19_000), (2, 3_000, 200), (3, 40, 100), (4, 2, 0)) for k in range(n)]
+    limits = {"node_limit": 1000, "tile_shingles": 500_000, "tile_work": 30_000_000}
+    each = {1: 19_000, 2: 200, 3: 100, 4: 0}
+    tiles, parts = {}, {}
+    for r in simhash.in_tiles(spark.createDataFrame(members, "key string, band long, n long, weight long"), **limits).collect():
+        tiles.setdefault((r.band, r.low, r.high), set()).add(r.key)
+        parts.setdefault(r.band, {}).setdefault(r.key, []).append((r.low, r.high))
+    for (band, _, _), keys in tiles.items():
+        assert len(keys) <= 1.5 * limits["node_limit"] and len(keys) * each[band] <= 2 * limits["tile_shingles"] and len(keys) ** 2 * each[band] <= 4 * limits["tile_work"]
+    for own in parts.values():
+        keys = sorted(own)[:40]
+        assert all(set(own[x]) & set(own[y]) for x in keys for y in keys)
+    assert len(parts[3]) == 40 and {t for t in tiles if t[0] in (3, 4)} == {(3, 0, 0), (4, 0, 0)}
 
 
 def test_verified_links_connect_what_all_pairs_connect():
