@@ -6,13 +6,17 @@ the difference of their features: P(i before j) = sigmoid(w . (x_i - x_j)). The
 the quantile of the raw scores at the share of label 0 among the learnt rows, and the
 score is the sigmoid of the raw score, shifted so that the cut comes out at THRESHOLD.
 
-Only the fit uses a sample, of at most MAX_LABELLED rows of each label in the order of a
-hash of their doc_id; every text is read whole and scored.
+Every row whose label may be learnt takes part. The rows are dealt into cells by a hash of
+their doc_id; in a cell each row of label 1 is compared with each of label 0. Up to CELL rows
+of the commoner label there is one cell, which has all pairs. Rows of a label too rare to be in every
+cell are dealt into several. A step of Newton's method is one pass over the cells; sums
+of 651 numbers a task come to the driver. Means, counts and the quantile are of all learnt rows
+and exact.
 
 Defined results: null and empty texts have all features zero and get a score like any
 other; rows with a null doc_id are scored and never learnt from; a document whose labels
 disagree is not learnt from; of rows that repeat a doc_id the one with the least features
-is learnt from; without rows of both labels every score is 0.5; repeated rows get equal
+is learnt from, once; without rows of both labels every score is 0.5; repeated rows get equal
 scores; other columns are ignored; an empty table gives no rows.
 """
 
@@ -27,12 +31,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import drop, saved, short_batches, table
+from .common import drop, saved, short_batches, sieve, table
 
-#: Rows of each label that a fit takes at most.
-MAX_LABELLED = 10_000
-#: Partners that each learnt row is paired with.
-PARTNERS = 8
+#: Rows of the commoner label in a cell, and of the rarer label at least (fewer only where there are fewer), on average.
+CELL, CELL_LEAST = 512, 64
+#: Cells in a task, and parts that a search for a quantile is cut into at a time.
+TASK_CELLS, PARTS = 16, 1024
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -86,73 +90,111 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS
 
 
-def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, steps: int = 30, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """(weights, shift) so that a score is sigmoid(weights . x + shift). Newton's method on the pairwise logistic loss."""
-    width = len(FEATURES)
-    if not len(good) or not len(bad):
-        return np.zeros(width), 0.0
-    everything = np.concatenate([good, bad])
-    mean, scale = everything.mean(axis=0), everything.std(axis=0)
-    live = scale > 1e-9
-    scale = np.where(live, scale, 1.0)
-    g, b = np.where(live, (good - mean) / scale, 0), np.where(live, (bad - mean) / scale, 0)
-    rng = np.random.default_rng(42)
-    d = np.concatenate([np.repeat(g, PARTNERS, axis=0) - b[rng.integers(0, len(b), len(g) * PARTNERS)], g[rng.integers(0, len(g), len(b) * PARTNERS)] - np.repeat(b, PARTNERS, axis=0)])
+def pair_sums(good: np.ndarray, bad: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of all pairs of a good and a bad row: their number, then gradient and Hessian of the summed logistic loss at w."""
+    wrong = 1 / (1 + np.exp(np.clip((good @ w)[:, None] - bad @ w, -30, 30)))
+    gradient = wrong.sum(axis=0) @ bad - wrong.sum(axis=1) @ good
+    wrong *= 1 - wrong
+    cross = good.T @ (wrong @ bad)
+    hessian = (good.T * wrong.sum(axis=1)) @ good + (bad.T * wrong.sum(axis=0)) @ bad - cross - cross.T
+    return np.concatenate([[wrong.size], gradient, hessian.ravel()])
+
+
+def dealt(rows: DataFrame, bad: int, good: int, cell: int = CELL, least: int = CELL_LEAST) -> DataFrame:
+    """Learnt rows (doc_id, quality, x), `bad` of label 0 and `good` of label 1, as cells: a row each, with the features of its good and its bad rows."""
+    rarer, cells = min(bad, good), -(-max(bad, good) // cell)
+    copies = min(cells, max(1, -(-least * cells // rarer)))
+    home = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(cells)).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: (k * F.lit(cells // copies) + home) % cells) if copies < cells else F.sequence(F.lit(0), F.lit(cells - 1))
+    own = F.when(F.col("quality") == int(good >= bad), F.array(home)).otherwise(others)
+
+    def packed(group: pa.Table) -> pa.Table:
+        group = group.sort_by("doc_id")
+        x, quality = group["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)), group["quality"].to_numpy()
+        return pa.table({"good": pa.array([x[quality == 1].tobytes()], pa.binary()), "bad": pa.array([x[quality == 0].tobytes()], pa.binary())})
+
+    return rows.select("doc_id", "quality", "x", F.explode(own).alias("cell")).groupBy("cell").applyInArrow(packed, "good binary, bad binary").repartition(-(-cells // TASK_CELLS))
+
+
+def fit(cells: DataFrame, mean: np.ndarray, scale: np.ndarray, steps: int = 30, ridge: float = 1e-3) -> np.ndarray:
+    """Weights by Newton's method on the mean logistic loss of all pairs of all cells. Rounded, since the order of sums differs from run to run."""
+    width, live = len(FEATURES), scale > 1e-9
     w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
-        gradient = d.T @ (p - 1) / len(d) + ridge * w
-        hessian = (d * (p * (1 - p))[:, None]).T @ d / len(d) + ridge * np.eye(width)
+
+        def run(rows, w=w):
+            total = None
+            for batch in rows:
+                for pair in zip(batch["good"].to_pylist(), batch["bad"].to_pylist(), strict=True):
+                    sums = pair_sums(*(np.where(live, (np.frombuffer(x).reshape(-1, width) - mean) / np.where(live, scale, 1.0), 0) for x in pair), w)
+                    total = sums if total is None else total + sums
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+
+        n, *sums = np.sum([r["sums"] for r in cells.mapInArrow(run, "sums array<double>").collect()], axis=0)
+        gradient, hessian = np.array(sums[:width]) / n + ridge * w, np.array(sums[width:]).reshape(width, width) / n + ridge * np.eye(width)
         step = np.linalg.solve(hessian, gradient)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    weights = np.where(live, w / scale, 0.0)
-    raw_good, raw_bad = np.sort(good @ weights), np.sort(bad @ weights)
-    # The quantile at share_bad of the raw scores, each label weighing as in all learnt rows.
-    raw = np.concatenate([raw_good, raw_bad])
-    weight = np.concatenate([np.full(len(good), (1 - share_bad) / len(good)), np.full(len(bad), share_bad / len(bad))])
-    order = np.argsort(raw, kind="stable")
-    at = int(np.searchsorted(np.cumsum(weight[order]), share_bad + 1e-12))
-    cut = (raw[order][min(at, len(raw) - 1)] + raw[order][max(0, min(at, len(raw) - 1) - 1)]) / 2
-    return weights, float(np.log(THRESHOLD / (1 - THRESHOLD)) - cut)
-
-
-def learn(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> tuple[np.ndarray, float]:
-    """Fit on rows of docs whose label is known; with held_out, not on those whose fold is 0.
-
-    Only ids meet all labels; the texts of the sample alone are joined, with its ids, of
-    which there are at most 2 * MAX_LABELLED, and read for features.
-    """
+    return np.array([float(f"{x:.9g}") for x in np.where(live, w / np.where(live, scale, 1.0), 0.0)])
+
+
+def middle(values: DataFrame, below: int) -> float:
+    """The middle between the value of a column of doubles that has `below` in order before it, and the value before that. Exact: the range that holds it is narrowed by counts."""
+    v, first = F.col(values.columns[0]), below
+    low, high = values.agg(F.min(v), F.max(v)).first()
+    while low < high:
+        part = F.floor((v - low) / (high - low) * PARTS)
+        parts = values.where(v.between(low, high)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).collect()
+        for _, n, low, high in sorted(parts):
+            if first < n:
+                break
+            first -= n
+    before, top = values.where(v < low).agg(F.count("*"), F.max(v)).first()
+    return (low + (top if before == below else low)) / 2
+
+
+def learnable(labels: DataFrame, held_out: bool = True) -> DataFrame:
+    """doc_id, quality of documents whose label is known and undisputed; with held_out, not those whose fold is 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality in (0, 1)")
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("top")).where("quality = top").drop("top")
-    if held_out:
-        known = known.where(fold(F.col("doc_id")) != 0)
-    learnt = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id").groupBy("doc_id", "quality").agg(F.count("*").alias("n")), "learnt")
-    counts = dict(learnt.groupBy("quality").agg(F.sum("n")).collect())
-    picked = [learnt.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED) for q in (0, 1)]
-    picked = saved(picked[0].unionByName(picked[1]).select(F.col("doc_id").alias("picked"), "quality"), "picked")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), F.col("doc_id") == F.col("picked"))
-    sample = texts.withColumn("x", text_features(texts)).groupBy("picked", "quality").agg(F.min("x").alias("x")).toArrow()
-    drop(learnt, picked)
-    x, quality = np.array(sample["x"].to_pylist(), dtype=float).reshape(-1, len(FEATURES)), sample["quality"].to_numpy()
-    order = np.argsort(sample["picked"].to_numpy(), kind="stable")
-    x, quality = x[order], quality[order]
-    return fit(x[quality == 1], x[quality == 0], counts.get(0, 0) / max(1, sum(counts.values())))
+    return known.where(fold(F.col("doc_id")) != 0) if held_out else known
+
+
+def learn(found: DataFrame, known: DataFrame, cell: int = CELL, least: int = CELL_LEAST) -> tuple[np.ndarray, float]:
+    """(weights, shift) so that a score is sigmoid(weights . x + shift), from all rows of found (doc_id, x) whose quality is known."""
+    rows = saved(found.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")), "learnt")
+    x = [F.col("x")[k] for k in range(len(FEATURES))]
+    n, good, *moments = rows.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0)), *map(F.avg, x), *map(F.stddev_pop, x)).first()
+    if not 0 < good < n:
+        drop(rows)
+        return np.zeros(len(FEATURES)), 0.0
+    cells = saved(dealt(rows, n - good, good, cell, least), "cells")
+    weights = fit(cells, *np.array(moments).reshape(2, -1))
+    scores = saved(rows.select(raw(F.col("x"), weights).alias("raw")), "raw")
+    shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - middle(scores, n - good))
+    drop(rows, cells, scores)
+    return weights, shift
+
+
+def raw(x: Column, weights: np.ndarray, start: float = 0.0) -> Column:
+    return F.aggregate(F.zip_with(x, F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(start), lambda s, v: s + v)
 
 
 def score(x: Column, model: tuple[np.ndarray, float]) -> Column:
     weights, shift = model
     if not np.any(weights):
         return F.lit(0.5)
-    raw = F.aggregate(F.zip_with(x, F.array(*(F.lit(float(w)) for w in weights)), lambda a, b: a * b), F.lit(float(shift)), lambda s, v: s + v)
-    return 1 / (1 + F.exp(-raw))
+    return 1 / (1 + F.exp(-raw(x, weights, shift)))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted."""
-    model, doc_id = learn(docs, labels), F.col("doc_id").cast("long")
-    scored = docs.select(doc_id.alias("doc_id"), F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"), score(text_features(docs), model).alias("score"))
+    doc_id = F.col("doc_id")
+    found = saved(docs.select(doc_id.cast("long").alias("doc_id"), text_features(docs).alias("x")), "features")
+    model = learn(found, learnable(labels))
+    scored = found.select("doc_id", F.coalesce(fold(doc_id) == 0, F.lit(False)).alias("held_out"), score(F.col("x"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -161,5 +203,13 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, whose score reaches the threshold. Nulls, empty texts and repeated rows are scored like any other."""
-    return docs.where(score(text_features(docs), learn(docs, labels)) >= THRESHOLD)
+    """The rows of docs, with all their columns, whose score reaches the threshold. Nulls, empty texts and repeated rows are scored like any other.
+
+    A filter by the labels' ids spares other texts the first pass.
+    """
+    known = saved(learnable(labels), "known")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.where(sieve(known, "doc_id")("doc_id"))
+    model = learn(texts.select("doc_id", text_features(texts).alias("x")), known)
+    drop(known)
+    return docs.where(score(text_features(docs), model) >= THRESHOLD)

@@ -300,6 +300,55 @@ def test_conflicting_and_null_labels_are_not_learnt_from(spark, judged):
     assert quality.quality_scores(docs, more).count() == docs.count()
 
 
+def test_op10_learns_from_every_labelled_row(spark):
+    """The texts that change are the last by a hash of doc_id, of over 10,000 learnt rows of each label."""
+    ids = spark.range(26_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    learnt = ids.where(quality.fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id")).collect()
+    late = {r.doc_id for q in (0, 1) for r in [r for r in learnt if r.quality == q][10_000:]}
+    assert len(late) > 100
+    rng = random.Random(14)
+    texts = [" ".join(rng.choice(["wind", "storm,", "cell.", "hills"] + ["##", "|"] * (k % 2 == 0)) for _ in range(8)) for k in range(26_000)]
+    score = lambda own: {r.doc_id: r for r in quality.quality_scores(spark.createDataFrame(list(enumerate(own)), "doc_id long, text string"), ids).collect()}
+    before, after = score(texts), score(["!! " * 40 if k in late else t for k, t in enumerate(texts)])
+    assert all(before[k].score != after[k].score for k in range(200) if k not in late)
+    assert sum(r.score != 0.5 for r in before.values()) == 26_000
+
+
+def plain_gradient(x, labels, w, ridge=1e-3):
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    z = (x - mean) / np.where(scale > 0, scale, 1)
+    v = w * scale
+    d = (z[labels == 1][:, None] - z[labels == 0][None]).reshape(-1, x.shape[1])
+    return (d * (1 / (1 + np.exp(-(d @ v))) - 1)[:, None]).mean(axis=0) + ridge * v
+
+
+@pytest.mark.parametrize("share,cell,least", [(4, 512, 64), (4, 40, 8), (100, 40, 8), (100, 40, 2)])
+def test_op10_fit_against_all_pairs(spark, share, cell, least):
+    rng = np.random.default_rng(share)
+    labels = (np.arange(400) % share != 0).astype(int)
+    x = rng.normal(size=(400, len(quality.FEATURES))) + labels[:, None] * np.linspace(0, 1, len(quality.FEATURES))
+    x[:, -1] = 5.3
+    found = spark.createDataFrame([(k, row.tolist()) for k, row in enumerate(x)], "doc_id long, x array<double>").repartition(3)
+    known = spark.createDataFrame([(k, int(q)) for k, q in enumerate(labels)], "doc_id long, quality int")
+    weights, shift = quality.learn(found, known, cell, least)
+    gradient = np.abs(plain_gradient(x, labels, weights)).max()
+    assert weights[-1] == 0 and gradient < (1e-6 if cell > 400 else 0.1)
+    passed = 1 / (1 + np.exp(-(x @ weights + shift))) >= quality.THRESHOLD
+    assert passed.sum() == labels.sum()
+    dealt = quality.dealt(found.join(known, "doc_id"), int((labels == 0).sum()), int((labels == 1).sum()), cell, least).collect()
+    rows = lambda own: np.concatenate([np.frombuffer(r[own]).reshape(-1, x.shape[1]) for r in dealt])
+    assert len(rows("good")) == labels.sum() and {tuple(r) for r in rows("bad")} == {tuple(r) for r in x[labels == 0]}
+    assert all(r.bad for r in dealt)
+
+
+def test_op10_cut_is_exact(spark):
+    rng = np.random.default_rng(5)
+    for own in (rng.normal(size=3000), np.round(rng.normal(size=3000), 1), np.full(50, 2.5), np.concatenate([[-1e12], rng.random(500) * 1e-9, [1e12]])):
+        values, order = spark.createDataFrame([(float(x),) for x in own], "raw double"), np.sort(own)
+        for below in {1, len(own) // 3, len(own) - 1}:
+            assert quality.middle(values, below) == (order[below - 1] + order[below]) / 2
+
+
 def test_features_are_finite():
     for text in ("", " ", "a", "A" * 5000, "!!!\n|||\n", "日本 語", "\x00", "w " * 50_000):
         x = quality.features(text)
