@@ -1,6 +1,6 @@
 """A corpus pipeline of the operators in galefold.llm.
 
-STAGES: quality classifier, near-dedup (operator 2's `keep_one`, by min-hashes), benchmark decontamination,
+STAGES: quality classifier, near-dedup (operator 2's index, by `keep_one`), benchmark decontamination,
 secret scans, best-fit packing. Each function takes (spark, docs, sf_dir) and returns a DataFrame that
 is written as Parquet and read again for the next stage. All but the last return the
 columns of documents:

@@ -18,15 +18,20 @@ A node reports a tree of links for each set of fingerprints that it connects, ne
 pairs; components come from joins over these. No step holds more than a node, and none
 caps its size.
 
-`keep_one` takes another way than this index, since fingerprints at small radii lose too many
-pairs of similarity 0.8 (figures in the README). It finds near copies at a given Jaccard similarity of word shingles. Each text has
-BANDS keys of ROWS min-hashes of its shingles; texts with a key in common form a bucket.
-Within a bucket texts are compared by their whole shingle sets, from one text to all that
+`keep_one` finds near copies at a given Jaccard similarity of word shingles through the same
+index, with 1 + TABLES fingerprints a text, a table each. The first is the SimHash of its shingles. It loses
+many pairs of similarity 0.8 (at that similarity it differs in ten bits on average), so each of the
+others draws SAMPLES shingles by min-hash and takes SAMPLE_BITS of the hash of each: it
+differs in 6.4 bits on average, whatever the kind of edit. Top nodes are the masks that keep
+one of BLOCKS blocks; in a node, codes within NEAR bits form a group. A node with
+more than NODE_LIMIT codes is dealt into tiles that cover all its pairs: near copies agree on most of their bits, so to
+split them by free bits would hardly divide them. The texts of a
+group are a bucket. Within a bucket texts are compared by their whole shingle sets, from one text to all that
 no verified link has reached yet, so a link that fails costs no other pair its comparison.
-A pair of similarity s shares no key with probability (1 - s**ROWS)**BANDS, whatever the
-kind of edit: 0.0007 at 0.8, under 0.0001 from 0.84. Buckets with the same members are
+A pair of similarity 0.8 is in no common group of the TABLES drawn ones with probability 0.0002, one of 0.86 with
+0.000001. Buckets with the same members are
 compared once; one with more than NODE_LIMIT members, or too many shingles for one task
-(TILE_SHINGLES, TILE_WORK), is dealt into tiles that cover all its pairs.
+(TILE_SHINGLES, TILE_WORK), is dealt into tiles as well.
 """
 
 from __future__ import annotations
@@ -39,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, drop, fresh, parted, saved, whole_texts
+from .common import as_bytes, batches, drop, fresh, parted, saved, sieve, whole_texts
 from .components import connected_components
 from .words import WordHashes, hashed, mixed, multipliers, run_hashes
 
@@ -50,8 +55,10 @@ TILE_SHINGLES, TILE_WORK = 1 << 22, 1 << 31
 FANOUT = 16
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 24
-ROWS = 6
+#: Fingerprints of drawn shingles beside the SimHash, shingles that each draws and bits that it takes of one.
+TABLES, SAMPLES, SAMPLE_BITS = 5, 16, 4
+#: Blocks of a fingerprint, of which a mask keeps one, and bits in which near copies differ at most in a table that names them.
+BLOCKS, NEAR = 4, 10
 
 
 # -- fingerprints ------------------------------------------------------------------------------
@@ -270,18 +277,96 @@ def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
     return (shingle_hashes(words.of(k), size) for k in range(len(texts)))
 
 
-_FACTORS = multipliers(BANDS * ROWS, 400)
-_BAND_MARKS = multipliers(BANDS, 401)
+_FACTORS = multipliers(TABLES * SAMPLES, 400)
 
 
-def bands(shingles: np.ndarray) -> np.ndarray:
-    """A text's keys, one for each band; texts without shingles have the same keys."""
-    least = np.full(BANDS * ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+def near_codes(shingles: np.ndarray) -> np.ndarray:
+    """A text's fingerprint in each table: the SimHash of its shingles (zero without any), then those of drawn shingles."""
+    least, ones = np.full(TABLES * SAMPLES, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(BITS, np.int64)
     h = mixed(shingles.astype(np.uint64) + np.uint64(1))
     for at in range(0, len(h), 2048):
-        least = np.minimum(least, (h[at : at + 2048, None] * _FACTORS).min(axis=0))
-    total = (mixed(least).reshape(BANDS, ROWS) * _FACTORS[:ROWS]).sum(axis=1, dtype=np.uint64)
-    return mixed(total + _BAND_MARKS)
+        part = h[at : at + 2048]
+        least = np.minimum(least, (part[:, None] * _FACTORS).min(axis=0))
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    own = np.packbits(2 * ones > len(h)).view(">u8").astype(np.uint64)
+    drawn = (mixed(least) >> np.uint64(BITS - SAMPLE_BITS)).reshape(TABLES, SAMPLES) << np.arange(0, BITS, SAMPLE_BITS, dtype=np.uint64)
+    return np.concatenate([own, np.bitwise_or.reduce(drawn, axis=1)])
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """The masked patterns of a text's fingerprints, one for each table and mask; texts without shingles have the same."""
+    return (near_codes(shingles)[:, None] & np.array(masks_of((1 << BITS) - 1, BLOCKS, 1), np.uint64)).ravel()
+
+
+def near_sets(codes: np.ndarray, node: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of codes whose nodes stand together: the places of those with another one of their node within the radius, and the least place that such pairs connect each with.
+
+    A node of at most FANOUT codes is a single leaf of the Gray-order tree; all leaves are compared at once.
+    """
+    starts = np.concatenate([[0], np.nonzero(node[1:] != node[:-1])[0] + 1]) if len(node) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(node)))
+    leaf, a, b = np.repeat(sizes <= FANOUT, sizes), [], []
+    for far in range(1, min(FANOUT, len(codes))):
+        at = np.nonzero(leaf[:-far] & (node[far:] == node[:-far]))[0]
+        at = at[np.bitwise_count(codes[at] ^ codes[at + far]) <= radius]
+        a.append(at)
+        b.append(at + far)
+    for k in np.nonzero(sizes > FANOUT)[0]:
+        own = np.arange(starts[k], starts[k] + sizes[k])
+        own = own[np.argsort(gray_rank(codes[own]))]
+        x, y = forest(codes[own], radius)
+        a.append(own[x])
+        b.append(own[y])
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    root = np.arange(len(codes))
+    while (root[a] != root[b]).any():
+        low = np.minimum(root[a], root[b])
+        for ends in (root[a], root[b], a, b):
+            np.minimum.at(root, ends, low)
+        root = root[root]
+    places = np.unique(np.concatenate([a, b]))
+    return places, root[places]
+
+
+def _search_tiles(radius: int):
+    """Rows of a partition come sorted by tile (band, low, high); each tile is searched once it is whole."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: pa.RecordBatch, tile: np.ndarray) -> pa.RecordBatch:
+            codes = rows["fp"].to_numpy().view(np.uint64)
+            places, roots = near_sets(codes, tile, radius)
+            own = rows.take(pa.array(places))
+            return pa.RecordBatch.from_arrays([*(own[c] for c in ("band", "low", "high", "tab", "fp")), rows["fp"].take(pa.array(roots))], names=["band", "low", "high", "tab", "fp", "root"])
+
+        rest = None
+        for batch in rows:
+            whole = batch if rest is None else pa.concat_batches([rest, batch])
+            if not whole.num_rows:
+                continue
+            keys = [whole[c].to_numpy() for c in ("band", "low", "high")]
+            tile = np.cumsum(np.concatenate([[False], np.logical_or.reduce([x[1:] != x[:-1] for x in keys])]))
+            last = int(np.searchsorted(tile, tile[-1]))
+            if last:
+                yield out(whole.slice(0, last), tile[:last])
+            rest = whole.slice(last)
+        if rest is not None:
+            yield out(rest, np.zeros(rest.num_rows, np.int64))
+
+    return run
+
+
+def near_groups(codes: DataFrame, radius: int = NEAR, node_limit: int = NODE_LIMIT) -> DataFrame:
+    """Groups (band, tab, fp) of distinct codes (tab, fp) that agree on a mask's block, within the radius: each such pair has a group in common."""
+    masks = [signed(m) for m in masks_of((1 << BITS) - 1, BLOCKS, 1)]
+    level = codes.select("tab", "fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("tab", "fp", F.xxhash64("tab", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("band"))
+    counts = saved(level.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
+    members = level.join(counts, "band").select(F.struct("tab", "fp").alias("key"), "band", "n", F.lit(0).alias("weight"))
+    tiles = in_tiles(members, node_limit).select("key.tab", "key.fp", "band", "low", "high")
+    tiles = tiles.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    found = tiles.mapInArrow(_search_tiles(radius), "band long, low int, high int, tab int, fp long, root long")
+    groups = saved(found.select(F.xxhash64("band", "low", "high", "root").alias("band"), "tab", "fp"), "groups")
+    drop(counts)
+    return groups
 
 
 def verified_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -355,24 +440,30 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
     def prints(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             found = list(shingle_sets(batch["text"], size))
-            own = [bands(x).view(np.int64) for x in found]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64())], names=["key", "bands", "shingles"])
+            own = [near_codes(x).view(np.int64) for x in found]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.list_(pa.int64())), pa.array([len(x) for x in found], pa.int64())], names=["key", "codes", "shingles"])
 
     def sets(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             own = [x.tobytes() for x in shingle_sets(batch["text"], size)]
             yield pa.RecordBatch.from_arrays([batch["key"], pa.array(own, pa.binary())], names=["key", "set"])
 
-    codes = texts.mapInArrow(prints, "key string, bands array<long>, shingles long").groupBy("key").agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    codes = saved(codes, "bands")
-    written = [codes]
-    codes = codes.select("key", "shingles", F.explode("bands").alias("band"))
+    codes = texts.mapInArrow(prints, "key string, codes array<long>, shingles long").groupBy("key").agg(F.first("codes").alias("codes"), F.first("shingles").alias("shingles"))
+    codes = saved(codes, "codes")
+    own_codes = codes.select("key", "shingles", F.posexplode("codes").alias("tab", "fp"))
+    classes = saved(own_codes.groupBy("tab", "fp").agg(F.count("*").alias("n")), "classes")
+    groups = near_groups(classes.select("tab", "fp"), NEAR, node_limit)
+    # Texts with the same fingerprint are a group without a search.
+    named = saved(groups.unionByName(classes.where("n > 1").select(F.xxhash64("tab", "fp").alias("band"), "tab", "fp")), "named")
+    # Texts that share no group are sifted out before anything is shuffled.
+    found = saved(own_codes.where(sieve(named, "tab", "fp")("tab", "fp")).join(named, ["tab", "fp"]).select("key", "shingles", "band").distinct(), "found")
+    drop(classes, groups, named)
+    written = [codes, found]
     own = F.xxhash64("key")
-    buckets = codes.groupBy("band").agg(F.count("*").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"), F.bit_xor(own).alias("all"), F.sum("shingles").alias("weight")).where("n > 1")
-    # Near copies share many keys; buckets of the same members are one.
+    buckets = found.groupBy("band").agg(F.count("*").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"), F.bit_xor(own).alias("all"), F.sum("shingles").alias("weight")).where("n > 1")
+    # Near copies share many groups; buckets of the same members are one.
     buckets = saved(buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band"), F.max("weight").alias("weight")).select("band", "n", "weight"), "buckets")
-    # Texts that share no key are sifted out before anything is shuffled.
-    members = saved(parted(codes, buckets, "band")[1].join(buckets, "band"), "members")
+    members = saved(found.join(buckets, "band"), "members")
     ends = saved(members.select("key").distinct(), "ends")
     written += [buckets, members, ends]
     known = parted(texts, ends, "key")[1].mapInArrow(sets, "key string, set binary")

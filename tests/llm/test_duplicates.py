@@ -312,6 +312,48 @@ def test_copies_of_each_kind_of_edit_share_a_key(kind):
     assert np.mean(found) >= 0.99
 
 
+@pytest.mark.parametrize("kind", ["substituted", "appended", "truncated", "moved"])
+def test_copies_of_each_kind_of_edit_are_near_in_a_table(kind):
+    rng, hashes, found = random.Random(10), simhash.WordHashes(), []
+    while len(found) < 600:
+        words = [f"w{int(rng.paretovariate(0.4)) % 4000}" for _ in range(rng.randint(60, 600))]
+        a, b = (simhash.shingle_set([w.encode() for w in x], 5, hashes) for x in (words, edited(rng, words, kind, rng.uniform(0.02, 0.25))))
+        both = len(np.intersect1d(a, b))
+        if 0.8 <= both / (len(a) + len(b) - both) < 0.86:
+            x, y = simhash.near_codes(a), simhash.near_codes(b)
+            block = (simhash.bands(a) == simhash.bands(b)).reshape(len(x), simhash.BLOCKS).any(axis=1)
+            found.append((block & (np.bitwise_count(x ^ y) <= simhash.NEAR)).any())
+    assert np.mean(found) >= 0.995
+
+
+def test_the_first_table_holds_simhashes():
+    shingles = np.random.default_rng(1).integers(0, 2**32, 2500).astype("<u4")
+    for own in (shingles, shingles[:1], shingles[:7], shingles[:0]):
+        h = [int(x) for x in simhash.mixed(own.astype(np.uint64) + np.uint64(1))]
+        assert int(simhash.near_codes(own)[0]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("radius,limit", [(10, 4096), (10, 20), (4, 60)])
+def test_near_groups_connect_all_pairs_of_the_index(spark, radius, limit):
+    """Of each table: pairs that agree on a block and are within the radius have a group in common, and groups hold nothing that they don't connect."""
+    codes = [(t, int(x)) for t in (0, 1) for x in (*clustered(np.random.default_rng(t), 300).tolist(), *np.random.default_rng(5 + t).integers(0, 2**64, 300, dtype=np.uint64).tolist())]
+    rows = spark.createDataFrame([(t, simhash.signed(x)) for t, x in codes], "tab int, fp long").repartition(3)
+    at, groups = {(t, simhash.signed(x)): k for k, (t, x) in enumerate(codes)}, {}
+    for r in simhash.near_groups(rows, radius, limit).collect():
+        groups.setdefault(r.band, set()).add(at[r.tab, r.fp])
+    alike = lambda a, b: a[0] == b[0] and (a[1] ^ b[1]).bit_count() <= radius and any((a[1] ^ b[1]) >> k & 0xFFFF == 0 for k in (0, 16, 32, 48))
+    pairs = {(a, b) for b in range(len(codes)) for a in range(b) if alike(codes[a], codes[b])}
+    own = [set() for _ in codes]
+    for g, x in groups.items():
+        assert len(x) > 1
+        for k in x:
+            own[k].add(g)
+    assert len(pairs) > 1000 and all(own[a] & own[b] for a, b in pairs)
+    for x in groups.values():
+        inside = groups_of(len(codes), [(a, b) for a, b in pairs if a in x and b in x])
+        assert len({inside[k] for k in x}) == 1
+
+
 def test_a_hub_and_a_long_path_are_two_components(spark):
     rows = [("hub", f"leaf{k:05d}") for k in range(3000)] + [(f"p{k:04d}", f"p{k + 1:04d}") for k in range(200)] + [("x", "x"), ("y", None)]
     found = {r.node: r.root for r in connected_components(spark.createDataFrame(rows, "a string, b string").repartition(5)).collect()}
