@@ -728,7 +728,7 @@ w AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY d, t2, m) AS n
 def q_nearest_in_time(spark, sf_dir):
     from ..operators import evaluate
 
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", S.epoch_seconds("ts").alias("s"))
     return evaluate.nearest_in_time(e.where("event_type = 'error'"), e.where("event_type = 'click'"), ["user_id"], "s", "event_id", 7200, ["event_id"]).select("event_id", "matched", "matched_time")
 
 

@@ -1,9 +1,11 @@
 import itertools
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
 from galefold.operators import evaluate, raster, wind
+from galefold.plans.queries import ORACLE, QUERIES
 from galefold.sources import exports, palettes
 
 
@@ -89,6 +91,17 @@ def test_nearest_in_time_ties_take_the_earlier(spark):
     assert got == {1: "x", 2: None}
 
 
+def test_nearest_in_time_rounds_to_milliseconds(spark, tmp_path):
+    times = ["2024-01-23 22:13:26.9994", "2024-01-23 22:13:26.9995", "2024-01-23 22:13:27.2", "1969-12-31 23:59:59.4", "1969-12-31 23:59:58.9996", "1969-12-31 23:59:57.9"]
+    rows = ", ".join(f"({2 * k + n}::BIGINT, {k}::BIGINT, TIMESTAMP '{t}', '{e}')" for k, t in enumerate(times) for n, e in enumerate(("error", "click")))
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM (VALUES {rows}) e(event_id, user_id, ts, event_type)) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = QUERIES["q_nearest_in_time"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(ORACLE["q_nearest_in_time"]).fetchall())
+    assert sorted(r.matched_time for r in got) == [-2, -1, 0, 1706048006, 1706048007, 1706048007]
+
+
 def test_holes_need_five_neighbours(spark):
     ringed = [(0, x, y, 8.0) for x in range(3) for y in range(3) if (x, y) != (1, 1)]
     out = evaluate.fill_holes(spark.createDataFrame(ringed, "t int, px int, py int, value double"), ["t"], passes=2)
