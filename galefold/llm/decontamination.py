@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, bloom, drop, fresh, maybe, parted, saved, table
+from .common import batches, bloom, drop, fresh, maybe, merge, parted, saved, table
 from .words import MARKS, Words, hashed, mixed, multipliers, run_hashes
 
 SPAN = 12
@@ -196,7 +196,7 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
 
     # Only these texts go on; the others are neither shuffled nor read again.
     held = saved(texts.select("key", "text").mapInArrow(probe, "key string, text string, hits array<long>"), "hits")
-    hits = held.select("key", F.explode("hits").alias("seed"))
+    hits = saved(held.select("key", F.explode("hits").alias("seed")), "seeds")  # written, so that Spark knows its size
     pairs = hits.join(keys, "seed").select("key", "item").distinct().join(items.withColumnRenamed("text", "item_text"), "item")
     # A row holds the items that one text meets in one of these parts.
     pairs = pairs.groupBy("key", F.pmod(F.xxhash64("item"), F.lit(max(1, parts))).alias("part"))
@@ -218,8 +218,8 @@ def text_overlaps(texts: DataFrame, items: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], names=["key", "item", "first_word", "n_words", "n_equal"])
 
-    found = saved(held.select("key", "text").join(pairs, "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
-    drop(keys, held, pairs, items)
+    found = saved(held.select("key", "text").join(merge(pairs), "key").mapInArrow(verify, "key string, item string, first_word long, n_words long, n_equal long").distinct(), "overlaps")
+    drop(keys, held, hits, pairs, items)
     return found
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import drop, saved, short_batches, sieve, table
+from .common import drop, merge, saved, short_batches, sieve, table
 
 #: Rows of the commoner label in a cell, and of the rarer label at least (fewer only where there are fewer), on average.
 CELL, CELL_LEAST = 512, 64
@@ -164,7 +164,7 @@ def learnable(labels: DataFrame, held_out: bool = True) -> DataFrame:
 
 def learn(found: DataFrame, known: DataFrame, cell: int = CELL, least: int = CELL_LEAST) -> tuple[np.ndarray, float]:
     """(weights, shift) so that a score is sigmoid(weights . x + shift), from all rows of found (doc_id, x) whose quality is known."""
-    rows = saved(found.join(known, "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")), "learnt")
+    rows = saved(found.join(merge(known), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")), "learnt")
     x = [F.col("x")[k] for k in range(len(FEATURES))]
     n, good, *moments = rows.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0)), *map(F.avg, x), *map(F.stddev_pop, x)).first()
     if not 0 < good < n:

@@ -239,6 +239,7 @@ def planted(docs: DataFrame, words: DataFrame, phrases: tuple = PLANTS) -> DataF
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     """Candidates with FEATURES and the strict rule's label; words: the dictionary."""
     parts = found.select("value").distinct().select("value", F.explode(F.split(F.lower("value"), "[^a-z]+")).alias("part")).where("length(part) >= 3")
+    parts = saved(parts, "parts")  # written, so that Spark knows its size
     known = parts.join(words, "part").groupBy("value").agg(F.sum(F.length("part")).alias("covered"))
     known = saved(known, "covered")  # a written table, so that Spark may split a value that stands in many texts
     n, value, word = F.length("value"), F.col("value"), F.col("word")

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batches, drop, fresh, parted, saved, sieve, whole_texts
+from .common import as_bytes, batches, drop, fresh, merge, parted, saved, sieve, whole_texts
 from .components import connected_components
 from .words import WordHashes, hashed, mixed, multipliers, run_hashes
 
@@ -360,7 +360,7 @@ def near_groups(codes: DataFrame, radius: int = NEAR, node_limit: int = NODE_LIM
     masks = [signed(m) for m in masks_of((1 << BITS) - 1, BLOCKS, 1)]
     level = codes.select("tab", "fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("tab", "fp", F.xxhash64("tab", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("band"))
     counts = saved(level.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "nodes")
-    members = level.join(counts, "band").select(F.struct("tab", "fp").alias("key"), "band", "n", F.lit(0).alias("weight"))
+    members = level.join(merge(counts), "band").select(F.struct("tab", "fp").alias("key"), "band", "n", F.lit(0).alias("weight"))
     tiles = in_tiles(members, node_limit).select("key.tab", "key.fp", "band", "low", "high")
     tiles = tiles.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     found = tiles.mapInArrow(_search_tiles(radius), "band long, low int, high int, tab int, fp long, root long")
@@ -456,21 +456,21 @@ def similar_links(texts: DataFrame, size: int = SHINGLE, similarity: float = SIM
     # Texts with the same fingerprint are a group without a search.
     named = saved(groups.unionByName(classes.where("n > 1").select(F.xxhash64("tab", "fp").alias("band"), "tab", "fp")), "named")
     # Texts that share no group are sifted out before anything is shuffled.
-    found = saved(own_codes.where(sieve(named, "tab", "fp")("tab", "fp")).join(named, ["tab", "fp"]).select("key", "shingles", "band").distinct(), "found")
+    found = saved(own_codes.where(sieve(named, "tab", "fp")("tab", "fp")).join(merge(named), ["tab", "fp"]).select("key", "shingles", "band").distinct(), "found")
     drop(classes, groups, named)
     written = [codes, found]
     own = F.xxhash64("key")
     buckets = found.groupBy("band").agg(F.count("*").alias("n"), F.min(own).alias("least"), F.max(own).alias("most"), F.bit_xor(own).alias("all"), F.sum("shingles").alias("weight")).where("n > 1")
     # Near copies share many groups; buckets of the same members are one.
     buckets = saved(buckets.groupBy("n", "least", "most", "all").agg(F.min("band").alias("band"), F.max("weight").alias("weight")).select("band", "n", "weight"), "buckets")
-    members = saved(found.join(buckets, "band"), "members")
+    members = saved(found.join(merge(buckets), "band"), "members")
     ends = saved(members.select("key").distinct(), "ends")
     written += [buckets, members, ends]
     known = parted(texts, ends, "key")[1].mapInArrow(sets, "key string, set binary")
-    known = saved(known.groupBy("key").agg(F.first("set").alias("set")).join(ends, "key"), "shingles")
+    known = saved(known.groupBy("key").agg(F.first("set").alias("set")).join(merge(ends), "key"), "shingles")
     written.append(known)
     dealt = in_tiles(members, node_limit, tile_shingles, tile_work)
-    dealt = dealt.join(known, "key").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    dealt = dealt.join(merge(known), "key").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
     links = saved(dealt.mapInArrow(_search_buckets(similarity), "a string, b string").distinct(), "links")
     drop(*written)
     return links
@@ -494,7 +494,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARIT
     named = one.join(roots, one.key == roots.node, "left").select("key", "id", F.coalesce("root", "key").alias("root"))
     stay = saved(named.groupBy("root").agg(least.alias("first")).select("first.key", "first.id"), "stay")
     # Rows that go: all but the staying row of each group. Most rows stay and are not shuffled; only rows that go or are repeated meet a join.
-    go = saved(ids.join(stay.withColumn("stays", F.lit(True)), (ids.key == stay.key) & ids.id.eqNullSafe(stay.id), "left").where("stays is null").select(ids.key, ids.id).distinct(), "go")
+    go = saved(ids.join(merge(stay.withColumn("stays", F.lit(True))), (ids.key == stay.key) & ids.id.eqNullSafe(stay.id), "left").where("stays is null").select(ids.key, ids.id).distinct(), "go")
     twice = ids.groupBy("key", "id").agg(F.count("*").alias("n")).where("n > 1").select("key", "id")
     mark = fresh(rows, "row_")
     marked = rows.withColumn(mark, F.xxhash64(key, own))

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from galefold.llm import decontamination, quality
+from galefold.llm import decontamination, quality, secrets, simhash
 from galefold.llm.common import saved
 
 
@@ -77,3 +77,23 @@ def test_filters_leave_what_their_operators_pass(spark, corpus):
     assert {r.doc_id for r in quality.keep_good(docs, labels).collect()} == passed
     found = {r.doc_id for r in decontamination.overlaps(docs, items).collect()}
     assert {r.doc_id for r in decontamination.clean(docs, items).collect()} == {r.doc_id for r in docs.collect()} - found
+
+
+def test_sides_that_spark_sizes_too_low_are_not_broadcast(spark, corpus, monkeypatch):
+    """Joins of exploded codes, of tiles and of items' repeated texts sort both sides, however small their files are; what is exploded elsewhere is a table first."""
+    folder, _ = corpus
+    docs, plans = spark.read.parquet(f"{folder}/documents.parquet"), {}
+
+    def noted(df, label):
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString())
+        return saved(df, label)
+
+    for module in (simhash, quality, decontamination, secrets):
+        monkeypatch.setattr(module, "saved", noted)
+    quality.keep_good(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    simhash.keep_one(docs)
+    decontamination.clean(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    secrets.redact(docs)
+    for label in ("learnt", "groups", "found", "members", "shingles", "links", "go", "overlaps"):
+        assert "SortMergeJoin" in plans[label] and "BroadcastHashJoin" not in plans[label], label
+    assert "Generate explode" not in plans["pairs"] + plans["covered"]
