@@ -207,6 +207,19 @@ def test_votes_in_sequence_differ_from_votes_at_once(spark):
     assert stages.vertical_in_sequence(frame.where("false"), ["volume_id"]).count() == 0
 
 
+def test_rescue_looks_up_hard_gates_alone(spark, monkeypatch):
+    sides, tables = [], []
+    real, put = stages.align.nearest_polar, stages.written
+    monkeypatch.setattr(stages.align, "nearest_polar", lambda left, *args, **more: (sides.append(left.count()), real(left, *args, **more))[1])
+    monkeypatch.setattr(stages, "written", lambda df: (tables.append(df.columns), put(df))[1])
+    rows = [(*r[:8], 21.0 if r[2] == r[3] else 1.0, r[2] == r[3]) for n in (1, 2, 3) for r in tilt(n, {(r, g): 1.0 for r in range(30) for g in range(20)}, rays=30, elevation=0.4 + 0.1 * n)]
+    rows += [(*r, True) for r in tilt(9, {(r, 0): 1.0 for r in range(30)}, rays=30, elevation=5.0)]  # a tilt beyond its budget
+    got = stages.rescue(spark.createDataFrame(rows, GATES + ", hard boolean"), ["volume_id"], most_share=0.4)
+    assert {(r.elevation_number, r.ray_idx, r.folds) for r in got.collect()} == {(n, k, -1) for n in (1, 2, 3) for k in range(20)}
+    # 20 hard gates of each tilt look below and above, and each side is written before the next one is looked for.
+    assert sorted(sides) == [40, 60] and sum(c[-1] == "nearest" for c in tables) == 2
+
+
 @pytest.mark.parametrize("share,most", [(0.5, 4096), (0.05, 4096), (0.5, 7)])
 def test_rescue_keeps_its_budget(spark, share, most):
     rng = random.Random(2)
