@@ -151,6 +151,26 @@ def test_repair_moves_one_of_two_rivals(spark):
     assert [(r.region, r["shift"]) for r in got] == [(1, 1)]
 
 
+def test_growth_writes_no_table_for_a_step(spark, monkeypatch):
+    tables, put = [], rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df: (tables.append(1), put(df))[1])
+    rows = [(*r, r[3] == 0, 2) for n in (1, 2) for r in tilt(n, {(0, g): (g * 7) % 20 - 10.0 for g in range(40)})]
+    got = rounds.grow(spark.createDataFrame(rows, GATES + ", seed boolean, folds int"), most_cost=1.0).collect()
+    assert len(got) == 80 and all(r.cost is not None for r in got) and {r.folds for r in got if r.gate_idx == 0} == {2}
+    assert all(abs(r.corrected - 30.0 - 7 * r.gate_idx) < 1e-9 for r in got) and len(tables) < 5
+
+
+def test_segments_join_runs_not_gates(spark, monkeypatch):
+    edges, real = [], rounds.components
+    monkeypatch.setattr(rounds, "components", lambda e, by: (edges.append(e.select(*by, "a", "b").distinct().count()), real(e, by))[1])
+    cells = {(r, g): 1.0 for r in range(6) for g in range(30)} | {(3, g): 9.0 for g in range(10, 20)}
+    rows = [(*r, r[2] == 1 and r[3] == 5) for r in tilt(1, cells, rays=120)]
+    got = {(r.ray_idx, r.gate_idx): r.region for r in rounds.segments(spark.createDataFrame(rows, GATES + ", hard boolean")).collect()}
+    assert len(got) == 179 and set(got.values()) == {0, 3 * rounds.CELL + 10}
+    # Rays 0, 2, 4 and 5 are one run, ray 1 two, ray 3 three.
+    assert edges == [9]
+
+
 def test_growth_equals_a_priority_search(spark):
     rng = random.Random(8)
     rays = 24
