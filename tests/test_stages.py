@@ -144,6 +144,15 @@ def test_stage_a_unfolds_a_tilt_and_joins_through_hard_gates(spark):
     assert len(groups) == 3 and len({r["group"] for r in groups}) == 2
 
 
+def test_stage_a_looks_for_links_twice(spark, monkeypatch):
+    """Once for segments, once between regions; the repair takes the latter with their folds."""
+    calls, real = [], rounds.links
+    monkeypatch.setattr(rounds, "links", lambda *args, **more: (calls.append(1), real(*args, **more))[1])
+    rows = [(*r, False) for r in tilt(1, wavy(rays=120)[1], rays=120)]
+    frame = spark.createDataFrame(rows, GATES + ", hard boolean")
+    assert rounds.stage_a(frame).count() == len(rows) and len(calls) == 2
+
+
 def test_repair_moves_one_of_two_rivals(spark):
     cells = {(r, g): 0.0 for r in range(4) for g in range(6)}
     rows = [(*r, 1 if r[3] < 3 else 2, r[8] + (20.0 if r[3] >= 3 else 0.0)) for r in tilt(1, cells, rays=36)]
